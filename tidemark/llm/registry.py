@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, mpegts
+from tidemark.llm import chat, exact, langid, mpegts, simhash
+
+QUERIES = (mpegts.op1_media_mpegts, exact.op3_exact_dedup, simhash.op6_simhash_components, langid.op8_language_id, chat.op10_chat_format)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (mpegts.op1_media_mpegts, exact.op3_exact_dedup, chat.op10_chat_format)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
