@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, langid, mpegts, simhash
-
-QUERIES = (mpegts.op1_media_mpegts, exact.op3_exact_dedup, simhash.op6_simhash_components, langid.op8_language_id, chat.op10_chat_format)
+from tidemark.llm import chat, exact, langid, mpegts, packing, pii, sentencepiece, simhash
+
+QUERIES = (
+    mpegts.op1_media_mpegts,
+    exact.op3_exact_dedup,
+    pii.op4_pii_crf,
+    simhash.op6_simhash_components,
+    sentencepiece.op7_sentencepiece,
+    langid.op8_language_id,
+    packing.op9_bestfit_packing,
+    chat.op10_chat_format,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
