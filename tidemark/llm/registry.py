@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, langid, mpegts, packing, pii, sentencepiece, simhash
+from tidemark.llm import chat, exact, langid, mpegts, packing, pii, sentencepiece, simhash, substring
 
 QUERIES = (
     mpegts.op1_media_mpegts,
+    substring.op2_substring_dedup,
     exact.op3_exact_dedup,
     pii.op4_pii_crf,
     simhash.op6_simhash_components,

@@ -45,6 +45,14 @@ def rolling(values: np.ndarray, size: int, base: np.uint64 = _WORD_BASE) -> np.n
     return mix64(have)
 
 
+def spaced(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end with a space after each, so that no word runs into the next text, and the new offsets."""
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    held = np.full(len(body) + n, 0x20, np.uint8)
+    held[np.arange(len(body)) + np.repeat(np.arange(n), sizes)] = body
+    return held, offsets + np.arange(n + 1)
+
+
 def words_of(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a byte array."""
     inside = np.concatenate(([False], ~_SPACE[body], [False]))
