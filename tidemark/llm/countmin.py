@@ -1,8 +1,8 @@
 """Count-min sketches as DataFrames: per-partition sketches of 64-bit items merge into bitmaps of repeated cells.
 
 A sketch has ``DEPTH`` rows of 2**``width`` counters, cut into segments of 2**``SEGMENT`` cells. A partition sends, for each
-segment, the cells it counted and their saturating counts; a segment's sketches merge by addition, one segment at a time
-in a task. An item's estimate is the least of its counters, so it is never too low: an item that
+segment, the cells it counted and whether more than once (counters saturate at two, as nothing asks for more); a segment's
+sketches merge by addition, one segment at a time in a task. An item's estimate is the least of its counters, so it is never too low: an item that
 occurs twice anywhere has all its cells at two or more. What goes back to the executors is one bit per cell (count above one):
 2**``width`` / 4 bytes, fixed by the parameter and not by the input. With more items than cells, more of them pass as
 repeated and the exact step behind the sketch does more work; none is lost.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import mix64
 
-DEPTH, SEGMENT, CAP = 2, 20, 255
+DEPTH, SEGMENT, CAP = 2, 20, 2
 #: Items that a task gathers before it sends its sketch on.
 FLUSH = 1 << 21
 _SALTS = np.array([0x8BB84B93962EACC9, 0x4B33A62ED433D4A3], np.uint64)
@@ -30,19 +30,30 @@ def cells(items: np.ndarray, width: int) -> list[np.ndarray]:
 
 
 def sketch(items: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(segment, cells within it, counts) of the items' sketch, cells in order, counts capped."""
-    at, counts = np.unique(np.concatenate(cells(items, width)), return_counts=True)
-    counts = np.minimum(counts, CAP).astype(np.uint8)
+    """(segment, cells within it, bits) of the items' sketch: 16 block sizes and the cells' low 16 bits in order; a bit for a count above one."""
+    at = np.sort(np.concatenate(cells(items, width)))
+    first = np.concatenate(([True], at[1:] != at[:-1]))
+    more = np.diff(np.append(np.flatnonzero(first), len(at))) > 1
+    at = at[first]
     segments = at >> SEGMENT
     edges = np.flatnonzero(np.concatenate(([True], segments[1:] != segments[:-1], [True])))
-    within = (at & ((1 << SEGMENT) - 1)).astype(np.uint32)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(segments[a]), within[a:b].tobytes(), counts[a:b].tobytes()
+        within = at[a:b] & ((1 << SEGMENT) - 1)
+        blocks = np.bincount(within >> 16, minlength=1 << (SEGMENT - 16)).astype(np.uint32)
+        yield int(segments[a]), blocks.tobytes() + within.astype(np.uint16).tobytes(), np.packbits(more[a:b]).tobytes()
+
+
+def read_sketch(at: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Cells within the segment and their counts, 1 or 2 (two or more)."""
+    n = 1 << (SEGMENT - 16)
+    blocks = np.frombuffer(at, np.uint32, n)
+    low = np.frombuffer(at, np.uint16, offset=4 * n)
+    return np.repeat(np.arange(n) << 16, blocks) + low, 1 + np.unpackbits(np.frombuffer(more, np.uint8), count=len(low))
 
 
 def partition_sketches(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int) -> DataFrame:
-    """(segment, cells, counts): the sketches of each partition's items."""
-    names = ["segment", "cells", "counts"]
+    """(segment, cells, more): the sketches of each partition's items."""
+    names = ["segment", "cells", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -64,28 +75,28 @@ def partition_sketches(df: DataFrame, items_of: Callable[[pa.RecordBatch], Itera
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, "segment int, cells binary, counts binary")
+    return df.mapInArrow(run, "segment int, cells binary, more binary")
 
 
 def merged_bitmaps(sketches: DataFrame) -> DataFrame:
     """(segment, bitmap): a bit for each cell whose counts add up to more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counters = -1, np.zeros(1 << SEGMENT, np.uint16)
+        now, counters = -1, np.zeros(1 << SEGMENT, np.uint8)
 
         def done() -> pa.RecordBatch:
             bits = np.packbits(counters > 1, bitorder="little").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], ["segment", "bitmap"])
 
         for batch in batches:
-            for segment, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for segment, at, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if segment != now:
                     if now >= 0:
                         yield done()
                     now = segment
                     counters[:] = 0
-                where = np.frombuffer(at, np.uint32)
-                counters[where] = np.minimum(counters[where] + np.frombuffer(counts, np.uint8), CAP)
+                where, counts = read_sketch(at, more)
+                counters[where] = np.minimum(counters[where] + counts, CAP)
         if now >= 0:
             yield done()
 

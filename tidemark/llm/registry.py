@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, langid, mpegts, packing, pii, sentencepiece, simhash, substring
+from tidemark.llm import chat, exact, langid, mpegts, packing, pii, repeats, sentencepiece, simhash, substring
 
 QUERIES = (
     mpegts.op1_media_mpegts,
     substring.op2_substring_dedup,
     exact.op3_exact_dedup,
     pii.op4_pii_crf,
+    repeats.op5_suffix_dedup,
     simhash.op6_simhash_components,
     sentencepiece.op7_sentencepiece,
     langid.op8_language_id,
