@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -80,19 +80,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BUCKET_BITS = 32768
 
 
-def key_bitmap(keys: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
+def key_bitmap(keys: DataFrame, key: str | Column, bits: int = 1 << 26) -> np.ndarray:
     """A bitmap of ``bits`` bits (8 MB by default, whatever the input) with the bit of each key's hash set.
 
     It has no false negatives; where keys outnumber the bits, it lets everything through and
     the exact step behind it does all the work. Built by Spark's own bitmap aggregates; the driver
     gets at most ``bits / 8`` bytes.
     """
-    at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     rows = (
-        keys.select((at + 1).alias("at"))
+        keys.select((_bit(key, bits) + 1).alias("at"))
         .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bm"))
-        .collect()
+        .toLocalIterator()
     )
     whole = np.zeros(bits // 8, np.uint8)
     step = _BUCKET_BITS // 8
@@ -102,16 +101,33 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
     return whole
 
 
-def in_bitmap(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose key's bit is set; a superset of the rows whose key was put in."""
+def _bit(key: str | Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(bits))
+
+
+def in_bitmap(df: DataFrame, key: str | Column, bitmap: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose key's bit is set; a superset of the rows whose key was put in. With ``~bitmap``, the others."""
     bits = len(bitmap) * 8
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def held(at):  # noqa: ANN001
-        import pandas as pd
+    @F.arrow_udf("boolean")
+    def held(at: pa.Array) -> pa.Array:
+        where = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((shared.value[where >> 3] >> (where & 7).astype(np.uint8)) & 1 > 0)
+
+    return df.where(held(_bit(key, bits)))
 
-        where = at.to_numpy(np.int64)
-        return pd.Series((shared.value[where >> 3] >> (where & 7).astype(np.uint8)) & 1 > 0)
 
-    return df.where(held(F.pmod(F.xxhash64(F.col(column)), F.lit(bits))))
+def without(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """Rows of ``df`` whose keys equal no row of ``gone`` (null equals null), column by column.
+
+    Rows that a bounded bitmap of ``gone`` rules out stay where they are; only the others are shuffled and compared.
+    """
+    names = [f"gone_{k}_" for k in range(len(keys))]
+    gone = cut(gone.toDF(*names).distinct())
+    bitmap = key_bitmap(gone, F.xxhash64(*names))
+    key = F.xxhash64(*keys)
+    same = keys[0].eqNullSafe(F.col(names[0]))
+    for k, n in zip(keys[1:], names[1:], strict=True):
+        same &= k.eqNullSafe(F.col(n))
+    return in_bitmap(df, key, ~bitmap).union(in_bitmap(df, key, bitmap).join(gone, same, "left_anti"))

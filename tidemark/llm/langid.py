@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import concatenated, map_batches, table
+from tidemark.llm.common import concatenated, table
 from tidemark.llm.windows import chunks
 
 BUCKETS = 1 << 16
@@ -127,43 +127,45 @@ def fit(df: DataFrame, per_language: int = 1500, most_languages: int = 256) -> M
     return Model.fit(_counts(known.where(draw < F.coalesce(F.try_element_at(keep, F.col("lang")), F.lit(0)))))
 
 
-def predict(df: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of every row of (doc_id, text)."""
+def _scored(m: Model, texts: pa.Array, letters: np.ndarray) -> list[pa.Array]:
+    """lang_pred, score and ambiguous of texts, given which have a letter."""
+    names = np.array([*m.languages, "und"], object)
+    body, offs = concatenated(texts)
+    sums = np.zeros((len(texts), m.weights.shape[1]), np.float64)
+    for i, j in chunks(offs):
+        found, starts = grams(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        edges = np.append(starts, len(found))
+        for a in range(0, j - i, 4096):
+            b = min(a + 4096, j - i)
+            first, last = int(edges[a]), int(edges[b])
+            if last > first:
+                where = np.minimum(starts[a:b] - first, last - first - 1)
+                sums[i + a : i + b] = np.add.reduceat(m.weights[found[first:last]], where, axis=0)
+    if m.languages:
+        best, score, unsure = m.decode(sums / np.maximum(np.diff(offs), 1)[:, None])
+    else:
+        best, score, unsure = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
+    best, score = np.where(letters, best, -1), np.where(letters, score, 0.0)
+    return [pa.array(names[best], pa.string()), pa.array(score.astype(np.float64)), pa.array(unsure | ~letters)]
+
+
+def with_language(df: DataFrame, model: Model, out: str = "language") -> DataFrame:
+    """The same rows and columns with a struct (lang_pred, score, ambiguous) for the column ``text``."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights))
 
-    def make():  # noqa: ANN202
-        m = Model(*shared.value)
-        names = np.array([*m.languages, "und"], object)
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def told(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        found = _scored(Model(*shared.value), texts, letters.to_numpy(zero_copy_only=False).astype(bool))
+        return pa.StructArray.from_arrays(found, ["lang_pred", "score", "ambiguous"])
 
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            body, offs = concatenated(batch.column(1))
-            sums = np.zeros((batch.num_rows, m.weights.shape[1]), np.float64)
-            for i, j in chunks(offs):
-                found, starts = grams(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                for at in range(0, j - i, 4096):
-                    part = slice(at, min(at + 4096, j - i))
-                    first, last = int(starts[part][0]), int(starts[part.stop]) if part.stop < j - i else len(found)
-                    if last > first:
-                        where = np.minimum(starts[part] - first, last - first - 1)
-                        sums[i + part.start : i + part.stop] = np.add.reduceat(m.weights[found[first:last]], where, axis=0)
-            if m.languages:
-                best, score, unsure = m.decode(sums / np.maximum(np.diff(offs), 1)[:, None])
-            else:
-                best, score, unsure = np.full(batch.num_rows, -1), np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
-            best, score, unsure = np.where(letters, best, -1), np.where(letters, score, 0.0), unsure | ~letters
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64)), pa.array(unsure)],
-                ["doc_id", "lang_pred", "score", "ambiguous"],
-            )
-
-        return each
-
-    rows = df.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"),
-    )
-    return map_batches(rows, make, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    text = F.col("text").cast("string")
+    return df.withColumn(out, told(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False))))
+
+
+def predict(df: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous) of every row of (doc_id, text)."""
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_language(rows, model).select("doc_id", "language.lang_pred", "language.score", "language.ambiguous")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

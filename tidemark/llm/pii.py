@@ -445,18 +445,14 @@ def redact(df: DataFrame, column: str = "text", field: Field | None = None) -> D
     """The same rows and columns with every span in ``column`` replaced by its kind; null stays null."""
     shared = _broadcast(df, field)
 
-    @F.pandas_udf("string")
-    def clean(parts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        def run() -> Iterator[pd.Series]:
-            tagger = Tagger(Field(*shared.value))
-            for part in parts:
-                texts = [t or "" for t in part]
-                done = [redacted(t, spans) for t, (_, spans) in zip(texts, batch_spans(tagger, texts), strict=True)]
-                yield pd.Series([None if a is None else b for a, b in zip(part, done, strict=True)], dtype=object)
-
-        return run()
+    @F.arrow_udf("string")
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tagger = Tagger(Field(*shared.value))
+        for part in parts:
+            given = part.to_pylist()
+            texts = [t or "" for t in given]
+            done = [redacted(t, spans) for t, (_, spans) in zip(texts, batch_spans(tagger, texts), strict=True)]
+            yield pa.array([None if a is None else b for a, b in zip(given, done, strict=True)], pa.string())
 
     return df.withColumn(column, clean(F.col(column)))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import concatenated, cut, in_bitmap, key_bitmap, map_batches, mix64, table
+from tidemark.llm.common import concatenated, cut, map_batches, mix64, table, without
 from tidemark.llm.countmin import estimated_repeated, repeated_cells
 from tidemark.llm.suffix import SuffixArray
 from tidemark.llm.windows import chunks, powers, rolling, sliding_min
@@ -216,9 +216,7 @@ def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int
     narrow = df.select("doc", "row", F.sha2("text", 256).alias("digest"))
     first = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = cut(narrow.join(first, "digest").where("doc > first").select("row").distinct())
-    held = key_bitmap(copies, "row")
-    maybe = in_bitmap(df, "row", held).join(copies, "row", "left_anti").select("doc", "row", "text")
-    rows = in_bitmap(df, "row", ~held).select("doc", "row", "text").union(maybe)
+    rows = without(df.select("doc", "row", "text"), copies, [F.col("row")])
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, runs in _runs(batch.column(2), window, gram):
