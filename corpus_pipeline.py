@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, in_bitmap, key_bitmap, shared_dir, table, without
+from tidemark.llm.common import KeyBitmap, cut, shared_dir, table, without
 from tidemark.llm.exact import exact_classes
 from tidemark.llm.langid import fit, with_language
 from tidemark.llm.packing import pack_documents, sized
@@ -35,8 +35,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = classes.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256")
     if twice.isEmpty():
         return left
-    bitmap = key_bitmap(twice, F.xxhash64("doc_id", "text_sha256"))
-    return in_bitmap(left, F.xxhash64(*keys), ~bitmap).union(in_bitmap(left, F.xxhash64(*keys), bitmap).dropDuplicates(["doc_id", "text"]))
+    bitmap = KeyBitmap(cut(twice), "doc_id", "text_sha256")
+    return bitmap.others(left, *keys).union(bitmap.held(left, *keys).dropDuplicates(["doc_id", "text"]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

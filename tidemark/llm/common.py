@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,13 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Spark drops a query's shuffle files when it ends, if this is set; otherwise they stay until the driver collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage: write a table into the shared folder and read it back; what was shuffled to make it goes."""
     spark = df.sparkSession
-    where = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -76,46 +85,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Rows and bytes of one bitmap of built-in bitmap aggregates.
-_BUCKET_BITS = 32768
-
+class KeyBitmap:
+    """A bitmap with the bit of each key's hash set, as a broadcast table of 64-bit words: 16 bits a key, but never more than ``most`` bits.
 
-def key_bitmap(keys: DataFrame, key: str | Column, bits: int = 1 << 26) -> np.ndarray:
-    """A bitmap of ``bits`` bits (8 MB by default, whatever the input) with the bit of each key's hash set.
-
-    It has no false negatives; where keys outnumber the bits, it lets everything through and
-    the exact step behind it does all the work. Built by Spark's own bitmap aggregates; the driver
-    gets at most ``bits / 8`` bytes.
+    It has no false negatives; where keys outnumber the bits, it lets everything through and the exact step behind it
+    does all the work. The table has at most ``most / 64`` rows (a million by default), whatever the input. ``keys`` is
+    counted first: give a cut table.
     """
-    rows = (
-        keys.select((_bit(key, bits) + 1).alias("at"))
-        .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bm"))
-        .toLocalIterator()
-    )
-    whole = np.zeros(bits // 8, np.uint8)
-    step = _BUCKET_BITS // 8
-    for row in rows:
-        start = (row["bucket"] - 1) * step
-        whole[start : start + step] = np.frombuffer(bytes(row["bm"]), np.uint8)[: len(whole) - start]
-    return whole
 
+    def __init__(self, keys: DataFrame, *key: str | Column, most: int = 1 << 26) -> None:
+        self.bits = min(most, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+        bit = self._bit(*key)
+        self.words = (
+            keys.select(bit.alias("tm_bit__"))
+            .select(F.shiftright("tm_bit__", 6).alias("tm_word__"), F.expr("shiftleft(1L, cast(tm_bit__ & 63 AS INT))").alias("tm_one__"))
+            .groupBy("tm_word__")
+            .agg(F.bit_or("tm_one__").alias("tm_mask__"))
+        )
+
+    def _bit(self, *key: str | Column) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.bits))
 
-def _bit(key: str | Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(bits))
+    def _tested(self, df: DataFrame, key: tuple, held: bool) -> DataFrame:
+        rows = df.withColumn("tm_bit__", self._bit(*key)).withColumn("tm_at__", F.shiftright("tm_bit__", 6))
+        found = rows.join(F.broadcast(self.words), F.col("tm_at__") == F.col("tm_word__"), "left")
+        bit = F.expr("coalesce(shiftright(tm_mask__, cast(tm_bit__ & 63 AS INT)) & 1L, 0L)")
+        return found.where(bit == int(held)).drop("tm_bit__", "tm_at__", "tm_word__", "tm_mask__")
 
+    def held(self, df: DataFrame, *key: str | Column) -> DataFrame:
+        """Rows of ``df`` whose key's bit is set: a superset of those whose key was put in."""
+        return self._tested(df, key, True)
 
-def in_bitmap(df: DataFrame, key: str | Column, bitmap: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose key's bit is set; a superset of the rows whose key was put in. With ``~bitmap``, the others."""
-    bits = len(bitmap) * 8
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    def others(self, df: DataFrame, *key: str | Column) -> DataFrame:
+        """Rows of ``df`` whose key was surely not put in."""
+        return self._tested(df, key, False)
 
-    @F.arrow_udf("boolean")
-    def held(at: pa.Array) -> pa.Array:
-        where = at.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((shared.value[where >> 3] >> (where & 7).astype(np.uint8)) & 1 > 0)
 
-    return df.where(held(_bit(key, bits)))
+def left_joined(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``df`` left joined with a cut table on one column; rows that a bounded bitmap of its keys rules out are not shuffled."""
+    bitmap = KeyBitmap(found, key)
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != key]
+    alone = bitmap.others(df, key).select(key, *[c for c in df.columns if c != key], *others)
+    return alone.union(bitmap.held(df, key).join(found, key, "left"))
 
 
 def without(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
@@ -125,9 +136,8 @@ def without(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
     """
     names = [f"gone_{k}_" for k in range(len(keys))]
     gone = cut(gone.toDF(*names).distinct())
-    bitmap = key_bitmap(gone, F.xxhash64(*names))
-    key = F.xxhash64(*keys)
+    bitmap = KeyBitmap(gone, *names)
     same = keys[0].eqNullSafe(F.col(names[0]))
     for k, n in zip(keys[1:], names[1:], strict=True):
         same &= k.eqNullSafe(F.col(n))
-    return in_bitmap(df, key, ~bitmap).union(in_bitmap(df, key, bitmap).join(gone, same, "left_anti"))
+    return bitmap.others(df, *keys).union(bitmap.held(df, *keys).join(gone, same, "left_anti"))

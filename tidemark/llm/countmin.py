@@ -4,8 +4,8 @@ A sketch has ``DEPTH`` rows of 2**``width`` counters, cut into segments of 2**``
 segment, the cells it counted and whether more than once (counters saturate at two, as nothing asks for more); a segment's
 sketches merge by addition, one segment at a time in a task. An item's estimate is the least of its counters, so it is never too low: an item that
 occurs twice anywhere has all its cells at two or more. What goes back to the executors is one bit per cell (count above one):
-2**``width`` / 4 bytes, fixed by the parameter and not by the input. With more items than cells, more of them pass as
-repeated and the exact step behind the sketch does more work; none is lost.
+2**``width`` / 4 bytes. The width follows the size of the texts up to a bound given as a parameter (64 MB at the default of 28);
+with more items than cells, more of them pass as repeated and the exact step behind the sketch does more work; none is lost.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64
 
 DEPTH, SEGMENT, CAP = 2, 20, 2
 #: Items that a task gathers before it sends its sketch on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 _SALTS = np.array([0x8BB84B93962EACC9, 0x4B33A62ED433D4A3], np.uint64)
 
 
@@ -103,6 +104,12 @@ def merged_bitmaps(sketches: DataFrame) -> DataFrame:
     return sketches.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, "segment int, bitmap binary")
 
 
+def fitting_width(texts: DataFrame, bytes_per_item: int, most: int) -> int:
+    """log2 of a row's cells: four cells for each item that the texts (column ``text``) will give, from 2**20 up to 2**``most``."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(most, max(SEGMENT, (4 * total // bytes_per_item).bit_length()))
+
+
 def repeated_cells(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int) -> np.ndarray:
     """The merged bitmap of the items of ``df`` on the driver: 2**width / 4 bytes."""
     whole = np.zeros((DEPTH << width) // 8, np.uint8)

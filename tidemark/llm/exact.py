@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, in_bitmap, key_bitmap, map_batches, table
+from tidemark.llm.common import KeyBitmap, cut, map_batches, table
 from tidemark.llm.quotient import SLICE_BITS, QuotientFilter
 
 #: Fingerprints that a task gathers before it sends its filters on.
@@ -96,7 +96,7 @@ def exact_classes(df: DataFrame) -> DataFrame:
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("fp", F.xxhash64("text"))
     repeated = cut(repeated_fingerprints(merged_filters(partition_filters(rows.select("fp")))))
-    routed = in_bitmap(rows, "fp", key_bitmap(repeated, "fp"))
+    routed = KeyBitmap(repeated, "fp").held(rows, "fp")
     classes = (
         routed.groupBy("fp", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

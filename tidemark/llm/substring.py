@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import concatenated, cut, map_batches, mix64, table
-from tidemark.llm.countmin import estimated_repeated, repeated_cells
+from tidemark.llm.common import concatenated, cut, left_joined, map_batches, mix64, table
+from tidemark.llm.countmin import estimated_repeated, fitting_width, repeated_cells
 from tidemark.llm.windows import chunks, powers, rolling, sliding_min, spaced, word_hashes, words_of
 
-WINDOW, GRAM, WIDTH = 35, 8, 27
+WINDOW, GRAM, WIDTH = 35, 8, 28
+#: Bytes of text for each run, about.
+RUN_BYTES = 80
 _RUN_BASE = np.uint64(0xA0761D6478BD642F)
 
 
@@ -39,7 +41,8 @@ class Runs:
         first = np.searchsorted(starts, offsets)  # first word of each text
         hashes = word_hashes(body, starts, ends)
         self.windows = rolling(hashes, window)
-        keys = sliding_min(rolling(hashes, gram), window - gram + 1)
+        self.grams, self.reach = rolling(hashes, gram), window - gram
+        keys = sliding_min(self.grams, window - gram + 1)
         n = len(self.windows)
         inside = np.ones(n, bool)
         for k in range(1, window):  # windows that would reach into the next text
@@ -59,6 +62,16 @@ class Runs:
         self.begin, self.size, self.key, self.text, self.start = (x[which] for x in (self.begin, self.size, self.key, self.text, self.start))
         return self
 
+    def self_similar(self) -> np.ndarray:
+        """Whether a run's key occurs twice in its own words; only then can two of its windows be equal."""
+        spans = self.size + self.reach
+        if not len(spans):
+            return np.zeros(0, bool)
+        first = np.cumsum(spans) - spans
+        within = np.arange(int(spans.sum())) - np.repeat(first, spans)
+        same = self.grams[np.repeat(self.begin, spans) + within] == np.repeat(self.key, spans)
+        return np.add.reduceat(same.astype(np.int64), first) > 1
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Window hashes of all runs end to end, and a hash of each run's sequence."""
         if not len(self.size):
@@ -147,9 +160,9 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, runs in _runs(batch.column(1), window, gram):
             yield runs.key
-            longer = runs.key[runs.size > 1]  # windows of one run may be equal: count such keys as repeated
-            yield longer
+            yield runs.key[runs.self_similar()]
 
+    width = fitting_width(rows, RUN_BYTES, width)
     bitmap = spark.sparkContext.broadcast(repeated_cells(rows, keys, width))
     found = _classes(rows, bitmap, window, gram, width)
     classes = cut(found.groupBy("key", "run").agg(F.sum("n").alias("n"), F.max("windows").alias("windows")))
@@ -164,8 +177,8 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
 def dedup_substrings(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, one row per row of (doc_id, text)."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key())
-    spans = repeated_windows(df, window, gram, width)
-    joined = rows.join(spans, "row", "left").select("doc_id", "text", "spans")
+    spans = cut(repeated_windows(df, window, gram, width))
+    joined = left_joined(rows, spans, "row").select("doc_id", "text", "spans")
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

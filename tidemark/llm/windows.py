@@ -87,7 +87,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes together, a longer text alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
