@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import concatenated, cut, map_batches, mix64, table, without
-from tidemark.llm.countmin import estimated_repeated, repeated_cells
+from tidemark.llm.common import KeyBitmap, concatenated, cut, left_joined, map_batches, mix64, table, without
+from tidemark.llm.countmin import estimated_repeated, fitting_width, repeated_cells
 from tidemark.llm.suffix import SuffixArray
 from tidemark.llm.windows import chunks, powers, rolling, sliding_min
 
@@ -35,6 +35,7 @@ LONGEST, LIMIT, BLOCK = 64, 50_000, 1 << 21
 SPAN = 128
 _LAST = (1 << 63) - 1
 _BASE = np.uint64(0xE7037ED1A0B428DB)
+_CLASS = ["key", "run", "doc", "last", "segment"]
 
 
 class ByteRuns:
@@ -91,7 +92,7 @@ def _binary(flat: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> pa.Arra
 
 
 def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, doc, segment): a batch's distinct candidate runs with their smallest document in it."""
+    """(key, run, doc, last, segment): a batch's distinct candidate runs with their smallest and largest documents in it."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -105,16 +106,15 @@ def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Dat
                 order = np.lexsort((doc, digest, runs.key))
                 new = np.ones(len(order), bool)
                 new[1:] = (runs.key[order][1:] != runs.key[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-                chosen = order[new]
+                at = np.flatnonzero(new)
+                chosen, largest = order[at], doc[order[np.append(at[1:], len(order)) - 1]]
                 first = np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs.key[chosen].view(np.int64)), pa.array(digest[chosen].view(np.int64)), pa.array(doc[chosen]), _binary(flat, lengths[chosen], first[chosen])],
-                    ["key", "run", "doc", "segment"],
-                )
+                columns = (runs.key[chosen].view(np.int64), digest[chosen].view(np.int64), doc[chosen], largest)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), _binary(flat, lengths[chosen], first[chosen])], _CLASS)
 
         return each
 
-    return map_batches(rows.select("doc", "row", "text"), make, "key long, run long, doc long, segment binary")
+    return map_batches(rows.select("doc", "row", "text"), make, "key long, run long, doc long, last long, segment binary")
 
 
 def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
@@ -135,69 +135,106 @@ def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Da
     return map_batches(rows.select("doc", "row", "text"), make, "key long, run long, row long, doc long, place long")
 
 
-def class_marks(keys: np.ndarray, docs: np.ndarray, segments: list[bytes], window: int = WINDOW) -> list[list[int]]:
-    """For each class (key, smallest document, bytes), marks of what also begins in a class with a smaller document, from the maximal repeats."""
-    marks: list[list[int]] = [[] for _ in segments]
-    ids, group, sizes = np.unique(keys, return_inverse=True, return_counts=True)
-    del ids
-    lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-    ends = np.cumsum(lengths)
-    array = SuffixArray(np.frombuffer(b"".join(segments), np.uint8), ends - lengths, ends, group, window)
+def class_marks(keys: np.ndarray, docs: np.ndarray, segments: pa.Array, window: int = WINDOW) -> list[list[int]]:
+    """For each class (key, smallest document, bytes), marks of what also begins in a class with a smaller document, from the maximal repeats.
+
+    Classes that are alone under their key share no window with another and need no place in the suffix array.
+    """
+    marks: list[list[int]] = [[] for _ in range(len(keys))]
+    _, group, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(sizes[group] > 1)
+    if not len(several):
+        return marks
+    body, offs = concatenated(segments.take(pa.array(several)))
+    docs = docs[several]
+    array = SuffixArray(body, offs[:-1], offs[1:], group[several], window)
     for length, texts, offsets in array.maximal_repeats(window):
         least = docs[texts].min()
-        for k in np.flatnonzero(docs[texts] > least).tolist():
-            marks[texts[k]].append(int(offsets[k]) * SPAN + length)
+        later = docs[texts] > least
+        for k, at in zip(several[texts[later]].tolist(), offsets[later].tolist(), strict=True):
+            marks[k].append(at * SPAN + length)
     return marks
 
 
+def _merged(table_: pa.Table) -> pa.Table:
+    """One row for each (key, run) of a sorted table: the smallest and the largest document."""
+    t = table_.combine_chunks()
+    key, run = t["key"].to_numpy(), t["run"].to_numpy()
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+    at = np.flatnonzero(new)
+    docs, last = np.minimum.reduceat(t["doc"].to_numpy(), at), np.maximum.reduceat(t["last"].to_numpy(), at)
+    return pa.table([pa.array(key[at]), pa.array(run[at]), pa.array(docs), pa.array(last), t["segment"].take(pa.array(at)).combine_chunks()], names=_CLASS)
+
+
 def _suffix_stage(classes: DataFrame, window: int, limit: int, block: int) -> DataFrame:
-    """(key, run, doc, marks, segment): classes merged and marked; those of a key over ``limit`` come out with their segment instead of marks."""
-    schema = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("doc", pa.int64()), ("marks", pa.list_(pa.int64())), ("segment", pa.binary())])
+    """(key, run, doc, last, marks, segment): classes that some document loses bytes by, merged and marked.
+
+    Classes of a key with over ``limit`` of them come out with their segments instead, not merged. A task holds ``block``
+    bytes of whole keys, or up to ``limit`` classes of one.
+    """
+    long = pa.int64()
+    schema = pa.schema([("key", long), ("run", long), ("doc", long), ("last", long), ("marks", pa.list_(long)), ("segment", pa.binary())])
+
+    def marked(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = _merged(t)
+        docs, last = t["doc"].to_numpy(), t["last"].to_numpy()
+        marks = class_marks(t["key"].to_numpy(), docs, t["segment"].chunk(0), window)
+        keep = np.flatnonzero((last > docs) | np.fromiter(map(bool, marks), bool, len(marks)))
+        columns = [t[c].to_numpy()[keep] for c in ("key", "run", "doc", "last")]
+        lists = pa.array([marks[k] for k in keep.tolist()], pa.list_(long))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists, pa.nulls(len(keep), pa.binary())], schema=schema)
+
+    def passed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.append_column("marks", pa.nulls(len(t), pa.list_(long))).select(schema.names)
+        yield from t.cast(schema).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole keys
-        group: list[tuple] = []  # the key at hand: (key, run, doc, segment)
-        size, hot, now = 0, False, None
+        held: list[pa.RecordBatch] = []
+        size, hot = 0, None
 
-        def marked() -> pa.RecordBatch:
-            keys, runs, docs, segments = zip(*held, strict=True)
-            marks = class_marks(np.array(keys, np.int64), np.array(docs, np.int64), list(segments), window)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip((keys, runs, docs, marks, [None] * len(keys)), schema.types, strict=True)], schema=schema)
-
-        def passed() -> pa.RecordBatch:
-            keys, runs, docs, segments = zip(*group, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip((keys, runs, docs, [None] * len(keys), segments), schema.types, strict=True)], schema=schema)
+        def split(whole: pa.Table) -> tuple[pa.Table, pa.Table]:
+            """Rows of all keys but the last, and of the last."""
+            key = whole["key"].to_numpy()
+            at = int(np.flatnonzero(key == key[-1])[0])
+            return whole.slice(0, at), whole.slice(at)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != now:
-                    if hot:
-                        if group:
-                            yield passed()
-                    else:
-                        held += group
-                        size += sum(len(g[3]) for g in group)
-                        if size > block:
-                            yield marked()
-                            held, size = [], 0
-                    group, hot, now = [], False, row[0]
-                if group and group[-1][1] == row[1]:
-                    if row[2] < group[-1][2]:
-                        group[-1] = row
+            if not batch.num_rows:
+                continue
+            if hot is not None:
+                more = int((batch.column(0).to_numpy() == hot).sum())
+                if more:
+                    yield from passed(pa.Table.from_batches([batch.slice(0, more)]))
+                    batch = batch.slice(more)
+                if not batch.num_rows:
                     continue
-                if len(group) >= limit:  # one class stays back: its next rows may still follow
-                    hot = True
-                    yield passed()
-                    group = []
-                group.append(row)
-        if hot and group:
-            yield passed()
-        elif group:
-            held += group
-        if held:
-            yield marked()
-
-    return classes.repartition("key").sortWithinPartitions("key", "run").mapInArrow(run, "key long, run long, doc long, marks array<long>, segment binary")
+                hot = None
+            held.append(batch)
+            size += batch.nbytes
+            if size > block:
+                done, rest = split(pa.Table.from_batches(held))
+                if len(done):
+                    yield from marked(done)
+                rest = _merged(rest)
+                if len(rest) > limit:
+                    hot = rest["key"][0].as_py()
+                    yield from passed(rest)
+                    rest = rest.slice(0, 0)
+                held = rest.to_batches()
+                size = rest.nbytes if len(done) else 0  # one key alone: look again after another block
+        if held and sum(b.num_rows for b in held):
+            done, rest = split(pa.Table.from_batches(held))
+            rest = _merged(rest)
+            if len(rest) > limit:
+                if len(done):
+                    yield from marked(done)
+                yield from passed(rest)
+            else:
+                yield from marked(pa.concat_tables([done, rest]))
+
+    out = "key long, run long, doc long, last long, marks array<long>, segment binary"
+    return classes.repartition("key").sortWithinPartitions("key", "run").mapInArrow(run, out)
 
 
 def _hot_marks(hot: DataFrame, window: int) -> DataFrame:
@@ -222,14 +259,13 @@ def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int
         for _, runs in _runs(batch.column(2), window, gram):
             yield runs.key
 
+    width = fitting_width(df, (window - gram) // 2, width)
     bitmap = spark.sparkContext.broadcast(repeated_cells(rows, keys, width))
     staged = cut(_suffix_stage(_classes(rows, bitmap, window, gram, width), window, limit, block))
     marked = staged.where("segment IS NULL").select("key", "run", "doc", "marks")
-    hot = staged.where("segment IS NOT NULL")
-    # pieces of a too common key may hold a run twice
-    hot = hot.groupBy("key", "run").agg(F.min("doc").alias("doc"), F.max("segment").alias("segment"))
+    hot = staged.where("segment IS NOT NULL").groupBy("key", "run").agg(F.min("doc").alias("doc"), F.max("segment").alias("segment"))
     classes = marked.union(_hot_marks(hot, window)).select("key", "run", F.col("doc").alias("first"), "marks")
-    places = _postings(rows, bitmap, window, gram, width).join(classes, ["key", "run"])
+    places = KeyBitmap(staged, "key", "run").held(_postings(rows, bitmap, window, gram, width), "key", "run").join(classes, ["key", "run"])
     moved = F.transform("marks", lambda m: F.expr(f"place div {SPAN} * {SPAN}") + m)
     marks = F.when(F.col("doc") > F.col("first"), F.array("place")).otherwise(moved)
     spans = places.select("row", F.explode(marks).alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks"))
@@ -243,7 +279,7 @@ def dedup_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: in
         "doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text"
     )
     marks = byte_marks(rows.select("doc", "row", "text"), window, gram, width, limit, block)
-    joined = rows.join(marks, "row", "left").select("doc_id", "text", "marks")
+    joined = left_joined(rows, cut(marks), "row").select("doc_id", "text", "marks")
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
