@@ -58,7 +58,10 @@ class Pieces:
         spelt = {k: bytes([b]) for b, k in self.bytes.items()}
         self.spelling = [spelt.get(k, p.replace(MARK, " ").encode() if kinds[k] == "normal" else b"") for k, p in enumerate(pieces)]
         cut = "".join(c for c in "\n\t\r\x0b\x0c" + _LITERAL if not any(c in p and len(p) > 1 for p, _ in normal))
-        words = f"{MARK}*[^{MARK}{re.escape(cut)}]+|{MARK}+|[{re.escape(cut)}]"
+        # letters end before a mark that no piece joins to a letter: words are then the same with and without it
+        apart = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p, _ in normal))
+        letters = rf"{MARK}*[^\W\d_]++(?=[{re.escape(apart)}])|" if apart else ""
+        words = f"{letters}{MARK}*[^{MARK}{re.escape(cut)}]+|{MARK}+|[{re.escape(cut)}]"
         self.words = None if any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in normal) else re.compile(words)
         self.memory: dict[str, bytes] = {}
 
@@ -67,6 +70,12 @@ class Pieces:
         n = len(text)
         best, back = [0.0] + [-1e300] * n, [(0, -1)] * (n + 1)
         singles, unknown, done = self.singles, self.unknown, 0
+        if singles.issuperset(text):  # every position is reached by a piece
+            for last, (size, score, k) in self.automaton.iter(text):
+                total = best[last + 1 - size] + score
+                if total > best[last + 1]:
+                    best[last + 1], back[last + 1] = total, (size, k)
+            return self._walk(text, back)
         for last, (size, score, k) in self.automaton.iter(text):
             for end in range(done, last):  # positions passed without a match, or whose matches are all seen
                 self._cover(text, end, best, back, singles, unknown)
@@ -77,8 +86,12 @@ class Pieces:
                 best[end], back[end] = total, (size, k)
         for end in range(done, n):
             self._cover(text, end, best, back, singles, unknown)
+        return self._walk(text, back)
+
+    def _walk(self, text: str, back: list[tuple[int, int]]) -> list[int]:
+        """Ids of the best path, from the end to the start and turned round."""
         out: list[int] = []
-        at = n
+        at = len(text)
         while at:
             size, k = back[at]
             if k < 0:
