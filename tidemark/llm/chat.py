@@ -26,7 +26,7 @@ PART = "struct<kind: string, text: string, ref: string, width: long, height: lon
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(c: Column) -> Column:
