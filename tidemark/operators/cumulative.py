@@ -16,6 +16,7 @@ def running_sums(df: DataFrame, sums: Sequence[str], order: str = "x", key: str
     A key's rows are cut into buckets at approximate quantiles, so windows hold a share of them each; the bucket
     totals (at most ``buckets`` rows per key) carry the sums over.
     """
+    buckets = max(2, buckets)
     edges = df.groupBy(key).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("edges_"))
     placed = df.join(F.broadcast(edges), key).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e < F.col(order)))).drop("edges_")
     by = F.desc if descending else F.asc
