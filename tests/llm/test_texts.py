@@ -175,8 +175,10 @@ def test_viterbi_equals_the_library():
         for s in {(t or "")[:80], "".join(rng.choice((t or "x")[:300] + "日🙂\n  éß") for _ in range(30))} - {""}:
             if sentencepiece.MARK not in s:
                 ours, theirs = np.frombuffer(pieces.encode(s), "<i4").tolist(), library.nbest_encode(s, nbest_size=2)[0]
-                    assert total(ours) >= total(theirs) and sum(model[2][k] == "byte" for k in ours) == sum(model[2][k] == "byte" for k in theirs), s
-                    same, n = same + (ours == theirs), n + 1
+                assert total(ours) >= total(theirs), s
+                assert sum(model[2][k] == "byte" for k in ours) == sum(model[2][k] == "byte" for k in theirs), s
+                same, n = same + (ours == theirs), n + 1
+    assert same > 0.9 * n
 
 
 @given(st.text(max_size=80))
