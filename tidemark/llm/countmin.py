@@ -32,6 +32,8 @@ def cells(items: np.ndarray, width: int) -> list[np.ndarray]:
 
 def sketch(items: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(segment, cells within it, bits) of the items' sketch: 16 block sizes and the cells' low 16 bits in order; a bit for a count above one."""
+    if not len(items):
+        return
     at = np.sort(np.concatenate(cells(items, width)))
     first = np.concatenate(([True], at[1:] != at[:-1]))
     more = np.diff(np.append(np.flatnonzero(first), len(at))) > 1

@@ -30,7 +30,7 @@ from tidemark.llm.windows import chunks, powers, rolling, sliding_min
 
 WINDOW, GRAM, WIDTH = 50, 16, 28
 #: Windows of a run at most, classes of a key that one task takes, and bytes of classes that one suffix array takes.
-LONGEST, LIMIT, BLOCK = 64, 50_000, 1 << 21
+LONGEST, LIMIT, BLOCK = 35, 50_000, 1 << 21
 #: Marks are one number each: start times ``SPAN`` plus length; -1 stands for the whole text.
 SPAN = 128
 _LAST = (1 << 63) - 1
@@ -135,25 +135,31 @@ def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Da
     return map_batches(rows.select("doc", "row", "text"), make, "key long, run long, row long, doc long, place long")
 
 
-def class_marks(keys: np.ndarray, docs: np.ndarray, segments: pa.Array, window: int = WINDOW) -> list[list[int]]:
+def class_marks(keys: np.ndarray, docs: np.ndarray, segments: pa.Array, window: int = WINDOW) -> pa.ListArray:
     """For each class (key, smallest document, bytes), marks of what also begins in a class with a smaller document, from the maximal repeats.
 
     Classes that are alone under their key share no window with another and need no place in the suffix array.
     """
-    marks: list[list[int]] = [[] for _ in range(len(keys))]
+    counts = np.zeros(len(keys), np.int64)
+    marks = np.zeros(0, np.int64)
     _, group, sizes = np.unique(keys, return_inverse=True, return_counts=True)
     several = np.flatnonzero(sizes[group] > 1)
-    if not len(several):
-        return marks
-    body, offs = concatenated(segments.take(pa.array(several)))
-    docs = docs[several]
-    array = SuffixArray(body, offs[:-1], offs[1:], group[several], window)
-    for length, texts, offsets in array.maximal_repeats(window):
-        least = docs[texts].min()
-        later = docs[texts] > least
-        for k, at in zip(several[texts[later]].tolist(), offsets[later].tolist(), strict=True):
-            marks[k].append(at * SPAN + length)
-    return marks
+    if len(several):
+        body, offs = concatenated(segments.take(pa.array(several)))
+        array = SuffixArray(body, offs[:-1], offs[1:], group[several], window)
+        length, first, last = array.maximal_repeats(window)
+        if len(length):
+            held = np.append(docs[several][array.text], 0)  # one more, so that every end is a place
+            least = np.minimum.reduceat(held, np.stack([first, last + 1], 1).ravel())[::2]
+            n = last - first + 1
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            later = held[at] > np.repeat(least, n)
+            at, length = at[later], np.repeat(length, n)[later]
+            owner = several[array.text[at]]
+            order = np.argsort(owner, kind="stable")
+            marks = (array.offset[at] * SPAN + length)[order]
+            counts = np.bincount(owner, minlength=len(keys))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(marks))
 
 
 def _merged(table_: pa.Table) -> pa.Table:
@@ -180,10 +186,9 @@ def _suffix_stage(classes: DataFrame, window: int, limit: int, block: int) -> Da
         t = _merged(t)
         docs, last = t["doc"].to_numpy(), t["last"].to_numpy()
         marks = class_marks(t["key"].to_numpy(), docs, t["segment"].chunk(0), window)
-        keep = np.flatnonzero((last > docs) | np.fromiter(map(bool, marks), bool, len(marks)))
+        keep = np.flatnonzero((last > docs) | (np.diff(marks.offsets.to_numpy()) > 0))
         columns = [t[c].to_numpy()[keep] for c in ("key", "run", "doc", "last")]
-        lists = pa.array([marks[k] for k in keep.tolist()], pa.list_(long))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists, pa.nulls(len(keep), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks.take(pa.array(keep)), pa.nulls(len(keep), pa.binary())], schema=schema)
 
     def passed(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = t.append_column("marks", pa.nulls(len(t), pa.list_(long))).select(schema.names)

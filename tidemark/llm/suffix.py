@@ -7,8 +7,6 @@ are preceded by different bytes can't be extended to the left and is a maximal r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
 
@@ -28,8 +26,10 @@ class SuffixArray:
         view = np.lib.stride_tricks.sliding_window_view(padded, width)
         rows = view[starts[text] + offset].copy()
         rows[np.arange(width) >= rest[:, None]] = 0
-        keys = rows.view(">u8").astype(np.uint64)
-        order = np.lexsort((rest, *keys.T[::-1], groups[text]))
+        # group, bytes and length as one byte string: numpy sorts those by memory comparison
+        lead, tail = (x.astype(">u4").view(np.uint8).reshape(-1, 4) for x in (groups[text], rest))
+        packed = np.concatenate([lead, rows, tail], 1)
+        order = np.argsort(packed.view(f"S{width + 8}").ravel(), kind="stable")
         self.text, self.offset, self.rest = text[order], offset[order], rest[order]
         rows = rows[order]
         group = groups[self.text]
@@ -44,25 +44,35 @@ class SuffixArray:
         left = np.where(self.offset > 0, padded[np.maximum(before, 0)].astype(np.int64), -1 - np.arange(len(order)))
         self.changes = np.concatenate(([0], np.cumsum(left[1:] != left[:-1]))) if len(left) else np.zeros(0, np.int64)
 
-    def intervals(self, least: int) -> Iterator[tuple[int, int, int]]:
-        """(length, first, last): every interval of the tree with a common prefix of ``least`` or more, inner ones first."""
+    def intervals(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, first, last): every interval of the tree with a common prefix of ``least`` or more, inner ones first, by a stack scan."""
         deep = np.flatnonzero(self.lcp >= least)
         if not len(deep):
-            return
-        for run in np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1):
-            low = int(run[0])
-            stack: list[tuple[int, int]] = []
-            for i, lcp in enumerate([*self.lcp[run].tolist(), 0], low):
-                begin = i - 1
-                while stack and stack[-1][0] > lcp:
-                    length, begin = stack.pop()
-                    yield length, begin, i - 1
-                if lcp >= least and (not stack or stack[-1][0] < lcp):
-                    stack.append((lcp, begin))
+            return (np.zeros(0, np.int64),) * 3
+        ends = deep[np.append(np.diff(deep) > 1, True)] + 1  # a lower prefix closes what is open
+        at = np.concatenate([deep, ends])
+        order = np.argsort(at, kind="stable")
+        values = np.concatenate([self.lcp[deep], np.zeros(len(ends), np.int64)])[order]
+        lengths: list[int] = []
+        firsts: list[int] = []
+        lasts: list[int] = []
+        stack: list[tuple[int, int]] = []
+        for i, lcp in zip(at[order].tolist(), values.tolist(), strict=True):
+            begin = i - 1
+            while stack and stack[-1][0] > lcp:
+                length, begin = stack.pop()
+                lengths.append(length)
+                firsts.append(begin)
+                lasts.append(i - 1)
+            if lcp and (not stack or stack[-1][0] < lcp):
+                stack.append((lcp, begin))
+        return np.array(lengths, np.int64), np.array(firsts, np.int64), np.array(lasts, np.int64)
+
+    def maximal_repeats(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, first, last) of every maximal repeat: its occurrences are preceded by different bytes and followed by different ones.
 
-    def maximal_repeats(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, texts, offsets) of every maximal repeat: all its occurrences, preceded by different bytes and followed by different ones."""
-        changes = self.changes
-        for length, a, b in self.intervals(least):
-            if changes[b] > changes[a]:
-                yield length, self.text[a : b + 1], self.offset[a : b + 1]
+        Occurrences are the suffixes from ``first`` to ``last``, all of them.
+        """
+        length, first, last = self.intervals(least)
+        diverse = self.changes[last] > self.changes[first] if len(length) else np.zeros(0, bool)
+        return length[diverse], first[diverse], last[diverse]
