@@ -165,6 +165,14 @@ def test_types_in_order(spark):
     assert types == {"n": "metadata", "id": "metadata", "m": "time", "cat": "categorical", "rare": "sparse", "city": "high_cardinality", "same": "constant", "num": "numerical", "flag": "categorical"}
 
 
+def test_bounded_cardinality_gives_the_same_types(spark, sf):
+    from dataclasses import replace
+
+    df = spark.read.parquet(f"{sf}/orders.parquet")
+    loose = replace(DEFAULT, cardinality="bounded")
+    assert profile.manifest(profile.profile(df)) == profile.manifest(profile.profile(df, config=loose))
+
+
 def test_quartile_of_zero_counts_as_missing(spark):
     a = spark.createDataFrame([(float(x),) for x in (0, 0, 0, 10)], "x double")
     assert drift.numeric_prescreen(a, a, ["x"]).first()["iqr_gap"] > 0  # its own lower quartile gives way to the mean

@@ -67,6 +67,8 @@ class Config:
     month_order: str = "lexical"  # or "chronological"
     abs_score: bool = False  # rank sparse features by |Z|
     zero_counts_null: bool = True  # nulls count as zeros in the zero rate
+    #: "bounded": a profile counts distinct values exactly only where a sketch comes near a rule's cut-off.
+    cardinality: str = "exact"
     #: Rows up to which quantiles are exact; beyond, a sketch with an error of one in 100,000 bounds memory.
     exact_quantile_rows: int = 20_000_000
 

@@ -74,6 +74,19 @@ def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return F.broadcast(every).join(found, "feature", "left").fillna(0)
 
 
+def bounded_cardinality(df: DataFrame, cols: Sequence[str], rows: int, config: Config = DEFAULT) -> DataFrame:
+    """As ``cardinality``, but exact only for columns whose sketched count is within a tenth of a cut-off of the rules, or small.
+
+    The sketch has fixed memory and shuffles nothing but itself, so unique ids of a huge table are never shuffled.
+    """
+    told = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"a{k}") for k, c in enumerate(cols)], *[F.max(F.col(c).isNull().cast("long")).alias(f"n{k}") for k, c in enumerate(cols)]).first()
+    guess = {c: (told[f"a{k}"] or 0) + (told[f"n{k}"] or 0) for k, c in enumerate(cols)}
+    cuts = (config.high_cardinality, config.int_category_levels, config.int_category_ratio * rows, config.metadata_ratio * rows)
+    near = [c for c in cols if guess[c] < 10_000 or any(abs(guess[c] - x) <= 0.1 * x for x in cuts)]
+    rest = df.sparkSession.createDataFrame([(c, int(guess[c])) for c in cols if c not in near], "feature string, n_unique long")
+    return cardinality(df, near).union(rest) if near else rest
+
+
 def date_parse_rates(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
     """(feature, date_rate) of the text columns: share of the first ``date_probe_rows`` distinct non-null values (in order of a hash) that are dates."""
     from tidemark.operators.frequency import long_form
@@ -113,7 +126,8 @@ def profile(df: DataFrame, roles: dict[str, str] | None = None, config: Config =
     roles = roles or {}
     cols = df.columns
     rows = df.count()
-    told = kinds(df, cols).join(cardinality(df, cols), "feature").join(null_zero_rates(df, cols, config), "feature")
+    distinct = cardinality(df, cols) if config.cardinality == "exact" else bounded_cardinality(df, cols, rows, config)
+    told = kinds(df, cols).join(distinct, "feature").join(null_zero_rates(df, cols, config), "feature")
     numbers, texts = numeric_columns(df), text_columns(df)
     if numbers:
         told = told.join(numeric_stats(df, numbers, config, rows), "feature", "left")

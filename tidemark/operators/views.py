@@ -39,7 +39,8 @@ def category_shares(df: DataFrame, col: str) -> DataFrame:
     """(category, n, share): labels in lower case without outer spaces, null as ``(null)``."""
     label = F.coalesce(F.trim(F.lower(F.col(col).cast("string"))), F.lit("(null)"))
     counts = df.groupBy(label.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = df.agg(F.count(F.lit(1)).alias("rows"))  # one row
+    return counts.join(F.broadcast(total)).select("category", "n", (F.col("n") / F.col("rows")).alias("share"))
 
 
 def top_categories(df: DataFrame, col: str, k: int = 20) -> DataFrame:
