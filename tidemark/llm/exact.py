@@ -29,7 +29,16 @@ from tidemark.llm.quotient import SLICE_BITS, QuotientFilter
 FLUSH = 1 << 20
 
 
-def partition_filters(df: DataFrame, column: str = "fp") -> DataFrame:
+#: Fingerprints of a slice, about: a merged filter then has some 8 MB, however many there are in all.
+SLICE = 1 << 20
+
+
+def slice_bits(rows: int) -> int:
+    """Bits of a fingerprint that name its slice."""
+    return min(24, max(6, (rows // SLICE).bit_length()))
+
+
+def partition_filters(df: DataFrame, column: str = "fp", bits: int = SLICE_BITS) -> DataFrame:
     """(slice, filter): the counting quotient filters of each partition's fingerprints (a long column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,10 +47,10 @@ def partition_filters(df: DataFrame, column: str = "fp") -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = QuotientFilter.of(np.concatenate(held))
-            tops = (whole.keys >> np.uint64(64 - SLICE_BITS)).astype(np.int64)
-            edges = np.searchsorted(tops, np.arange((1 << SLICE_BITS) + 1))
-            slices = np.flatnonzero(edges[1:] > edges[:-1])
-            blobs = [QuotientFilter(whole.keys[a:b], whole.counts[a:b]).to_bytes() for a, b in zip(edges[slices], edges[slices + 1], strict=True)]
+            tops = (whole.keys >> np.uint64(64 - bits)).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.concatenate(([True], tops[1:] != tops[:-1]))), len(tops))
+            slices = tops[edges[:-1]]
+            blobs = [QuotientFilter(whole.keys[a:b], whole.counts[a:b], s=bits).to_bytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "filter"])
 
         for batch in batches:
@@ -95,7 +104,7 @@ def exact_classes(df: DataFrame) -> DataFrame:
     """One row per row of ``df`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("fp", F.xxhash64("text"))
-    repeated = cut(repeated_fingerprints(merged_filters(partition_filters(rows.select("fp")))))
+    repeated = cut(repeated_fingerprints(merged_filters(partition_filters(rows.select("fp"), bits=slice_bits(df.count())))))
     routed = KeyBitmap(repeated, "fp").held(rows, "fp")
     classes = (
         routed.groupBy("fp", "text")

@@ -1,6 +1,6 @@
 """A counting quotient filter in numpy: fingerprints split into quotient and remainder, kept sorted, with exact counts.
 
-A filter covers the fingerprints of one slice (equal top bits). The next ``q`` bits of a fingerprint are its quotient,
+A filter covers the fingerprints of one slice (equal top ``s`` bits). The next ``q`` bits of a fingerprint are its quotient,
 the rest its remainder. Serialised, it is the classic layout without empty slots: one ``occupied`` bit per quotient, one
 ``run end`` bit per stored remainder, the remainders in order, and counters beside the remainders whose ``counted``
 bit is set. Two filters merge losslessly by merging their sorted remainders; counts add.
@@ -12,20 +12,22 @@ import struct
 
 import numpy as np
 
-#: Bits of a fingerprint that name its slice, and those of the quotient within it.
-SLICE_BITS, QUOTIENT_BITS = 8, 12
+#: Bits of a fingerprint that name its slice, if not given; those of the quotient follow the number of fingerprints.
+SLICE_BITS = 8
+_HEAD = "<BBqq"
 
 
 class QuotientFilter:
     """Sorted distinct fingerprints of one slice (all bits kept, so nothing is lost) and how often each was added."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, q: int = QUOTIENT_BITS) -> None:
-        self.keys, self.counts, self.q = keys, counts, q
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, s: int = SLICE_BITS) -> None:
+        self.keys, self.counts, self.s = keys, counts, s
+        self.q = max(3, min(20, len(keys).bit_length()))
 
     @classmethod
-    def of(cls, fingerprints: np.ndarray, q: int = QUOTIENT_BITS) -> QuotientFilter:
+    def of(cls, fingerprints: np.ndarray, s: int = SLICE_BITS) -> QuotientFilter:
         keys, counts = np.unique(fingerprints.astype(np.uint64), return_counts=True)
-        return cls(keys, counts.astype(np.int64), q)
+        return cls(keys, counts.astype(np.int64), s)
 
     def merge(self, other: QuotientFilter) -> QuotientFilter:
         """Both sorted runs into one; equal remainders of equal quotients add their counts."""
@@ -35,7 +37,7 @@ class QuotientFilter:
         if not len(both):
             return self
         first = np.concatenate(([True], both[1:] != both[:-1]))
-        return QuotientFilter(both[first], np.add.reduceat(counts, np.flatnonzero(first)), self.q)
+        return QuotientFilter(both[first], np.add.reduceat(counts, np.flatnonzero(first)), self.s)
 
     def count(self, fingerprint: int) -> int:
         i = int(np.searchsorted(self.keys, np.uint64(fingerprint)))
@@ -46,8 +48,8 @@ class QuotientFilter:
 
     def to_bytes(self) -> bytes:
         """Slice, quotient and remainder bits apart."""
-        n, rest = len(self.keys), 64 - SLICE_BITS - self.q
-        top = int(self.keys[0]) >> (64 - SLICE_BITS) if n else 0
+        n, rest = len(self.keys), 64 - self.s - self.q
+        top = int(self.keys[0]) >> (64 - self.s) if n else 0
         quotients = (self.keys >> np.uint64(rest)).astype(np.int64) & ((1 << self.q) - 1)
         occupied = np.zeros(1 << self.q, bool)
         occupied[quotients] = True
@@ -57,13 +59,13 @@ class QuotientFilter:
         width = -(-rest // 8)
         remainders = (self.keys & np.uint64((1 << rest) - 1)).astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - width :]
         return b"".join(
-            (struct.pack("<BBq", top, self.q, n), np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), np.packbits(more).tobytes(), remainders.tobytes(), self.counts[more].tobytes())
+            (struct.pack(_HEAD, self.s, self.q, top, n), np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), np.packbits(more).tobytes(), remainders.tobytes(), self.counts[more].tobytes())
         )
 
     @classmethod
     def from_bytes(cls, data: bytes) -> QuotientFilter:
-        top, q, n = struct.unpack_from("<BBq", data)
-        rest, at = 64 - SLICE_BITS - q, struct.calcsize("<BBq")
+        s, q, top, n = struct.unpack_from(_HEAD, data)
+        rest, at = 64 - s - q, struct.calcsize(_HEAD)
         width = -(-rest // 8)
 
         def bits(count: int) -> np.ndarray:
@@ -79,7 +81,7 @@ class QuotientFilter:
         at += n * width
         run = np.cumsum(ends) - ends  # the k-th run belongs to the k-th occupied quotient
         quotients = np.flatnonzero(occupied)[run].astype(np.uint64)
-        keys = raw.view(">u8").ravel().astype(np.uint64) | quotients << np.uint64(rest) | np.uint64(top << (64 - SLICE_BITS))
+        keys = raw.view(">u8").ravel().astype(np.uint64) | quotients << np.uint64(rest) | np.uint64(top << (64 - s))
         counts = np.ones(n, np.int64)
         counts[more] = np.frombuffer(data, np.int64, int(more.sum()), at)
-        return cls(keys, counts, q)
+        return cls(keys, counts, s)
