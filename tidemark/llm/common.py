@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = Path(__file__).resolve().parents[2]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither PYTHONPATH nor the working folder does: Spark serves a zip of its sources."""
+    known = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(":"), os.getcwd()] if p]
+    app = spark.sparkContext.applicationId
+    if str(_ROOT) in known or app in _shipped:
+        return
+    path = f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark-sources.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((_ROOT / "tidemark").rglob("*.py")):
+            out.write(file, file.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder, read by Spark alone so that any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
