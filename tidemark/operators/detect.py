@@ -5,6 +5,7 @@ Each phase is a few jobs over all columns of a kind at once; between phases the
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from dataclasses import fields as fields_of
 
@@ -57,6 +58,14 @@ class Verdict:
             self.mitigation = SUGGESTED.get(self.feature_type, "none")
 
 
+def gathered(jobs: dict[str, DataFrame]) -> dict[str, list]:
+    """Rows of several small results (a row per column), their jobs running side by side."""
+    if not jobs:
+        return {}
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return dict(zip(jobs, pool.map(lambda df: df.collect(), jobs.values()), strict=True))
+
+
 @dataclass
 class Detector:
     """detect(train, test) for columns of known types, a month column where there is one."""
@@ -90,42 +99,48 @@ class Detector:
 
     def _prescreen(self, train: DataFrame, test: DataFrame, found: dict[str, Verdict]) -> None:
         c = self.config
-        jobs = []
+        jobs = {}
         if cols := self._names(found, "numerical"):
-            jobs.append(drift.numeric_prescreen(train, test, cols, c).select("feature", "score", "flagged"))
+            jobs["numbers"] = drift.numeric_prescreen(train, test, cols, c).select("feature", "score", "flagged")
         if cols := self._names(found, "sparse"):
-            jobs.append(drift.sparse_prescreen(train, test, cols, c))
+            jobs["sparse"] = drift.sparse_prescreen(train, test, cols, c)
         if cols := self._names(found, "categorical", "high_cardinality"):
-            jobs.append(drift.category_prescreen(*self._frequencies(train, test, cols), c))
-        for job in jobs:
-            for row in job.collect():
+            jobs["categories"] = drift.category_prescreen(*self._frequencies(train, test, cols), c)
+        for rows in gathered(jobs).values():
+            for row in rows:
                 v = found[row["feature"]]
                 v.prescreen_score, v.prescreen_flagged = row["score"], row["flagged"]
 
     def _test(self, train: DataFrame, test: DataFrame, found: dict[str, Verdict]) -> None:
         c = self.config
+        jobs: dict[str, DataFrame] = {}
         if cols := self._names(found, "numerical"):
-            for r in drift.ks(train, test, cols).collect():
-                self._ks_verdict(found[r["feature"]], r["ks"], r["n_train"], r["n_test"])
+            jobs["ks"] = drift.ks(train, test, cols)
         if cols := self._names(found, "categorical"):
             a, b = self._frequencies(train, test, cols)
-            chi = {r["feature"]: (r["chi2"], r["cells"]) for r in drift.chi2(a, b, c).collect()}
-            shift = {r["feature"]: (r["shift"], r["category"]) for r in drift.max_share_shift(a, b).collect()}
-            for r in drift.psi(a, b, c).collect():
-                v, (x, cells) = found[r["feature"]], chi.get(r["feature"], (None, 0))
-                p = None if x is None else chi2_upper(x, cells - 1)
-                ok = r["psi"] >= c.psi.mild and (p is None or p < c.alpha)
-                v.settle("psi_chi2", r["psi"], ok, severity_of(r["psi"], c.psi), "chi2 did not run" if p is None else f"chi2 p={p:.6g}")
-                v._shift = shift[r["feature"]]  # noqa: SLF001
+            jobs |= {"chi2": drift.chi2(a, b, c), "shift": drift.max_share_shift(a, b), "psi": drift.psi(a, b, c)}
         if cols := self._names(found, "high_cardinality"):
-            for r in drift.js(*self._frequencies(train, test, cols), c).collect():
-                level = severity_of(r["js"], c.js)
-                found[r["feature"]].settle("topk_js", r["js"], level != "NONE", level, f"top {c.top_k} and the rest")
+            jobs["js"] = drift.js(*self._frequencies(train, test, cols), c)
         if cols := self._names(found, "sparse"):
-            numbers = [x for x in cols if is_numeric(train, x)]
-            inner = {r["feature"]: r for r in drift.ks(train, test, numbers, nonzero=True).collect()} if numbers else {}
-            for r in drift.proportion_test(train, test, cols).collect():
-                self._sparse_verdict(found[r["feature"]], r["z"], inner.get(r["feature"]))
+            jobs["z"] = drift.proportion_test(train, test, cols)
+            if numbers := [x for x in cols if is_numeric(train, x)]:
+                jobs["inner"] = drift.ks(train, test, numbers, nonzero=True)
+        told = gathered(jobs)
+        of = lambda name: {r["feature"]: r for r in told.get(name, [])}
+        for r in told.get("ks", []):
+            self._ks_verdict(found[r["feature"]], r["ks"], r["n_train"], r["n_test"])
+        chi, shift, inner = of("chi2"), of("shift"), of("inner")
+        for r in told.get("psi", []):
+            v, x = found[r["feature"]], chi.get(r["feature"])
+            p = None if x is None or x["chi2"] is None else chi2_upper(x["chi2"], x["cells"] - 1)
+            ok = r["psi"] >= c.psi.mild and (p is None or p < c.alpha)
+            v.settle("psi_chi2", r["psi"], ok, severity_of(r["psi"], c.psi), "chi2 did not run" if p is None else f"chi2 p={p:.6g}")
+            v._shift = (shift[r["feature"]]["shift"], shift[r["feature"]]["category"])  # noqa: SLF001
+        for r in told.get("js", []):
+            level = severity_of(r["js"], c.js)
+            found[r["feature"]].settle("topk_js", r["js"], level != "NONE", level, f"top {c.top_k} and the rest")
+        for r in told.get("z", []):
+            self._sparse_verdict(found[r["feature"]], r["z"], inner.get(r["feature"]))
 
     def _ks_verdict(self, v: Verdict, d: float, n: int, m: int) -> None:
         c = self.config
@@ -154,22 +169,26 @@ class Detector:
         recent = [r["month"] for r in months.recent_months(train, self.month, c).collect()]
         late = train.where(F.col(self.month).cast("string").isin(recent))
         numbers = [x for x in found if is_numeric(train, x)]
+        others = [x for x in found if x not in numbers]
+        jobs: dict[str, DataFrame] = {}
         if numbers:
             a, b = months.monthly_means(train, numbers, self.month), months.monthly_means(test, numbers, self.month)
-            full = {r["feature"]: r["mean"] for r in months.mean_of_means(a).collect()}
-            then = {r["feature"]: r["mean"] for r in months.mean_of_means(b).collect()}
-            near = late.agg(*[F.avg(F.col(x).cast("double")).alias(f"m{k}") for k, x in enumerate(numbers)]).first()
-            for k, x in enumerate(numbers):
-                self._temporal(found[x], near[k], full.get(x), then.get(x))
-            ranged = [x for x in numbers if found[x].feature_type == "numerical"]
-            for r in months.drifted_months(a, b, c).where(F.col("feature").isin(ranged)).collect():
-                found[r["feature"]].phase_c_segment_stable, found[r["feature"]].phase_c_drifted_months = r["stable"], r["months"]
-        others = [x for x in found if x not in numbers]
+            jobs |= {"full": months.mean_of_means(a), "then": months.mean_of_means(b), "ranges": months.drifted_months(a, b, c)}
+            jobs["near"] = late.agg(*[F.avg(F.col(x).cast("double")).alias(f"m{k}") for k, x in enumerate(numbers)])
         if others:
-            share = lambda df: {r["feature"]: r["s"] for r in category_freq(df, others).groupBy("feature").agg(F.max("freq").alias("s")).collect()}
-            near_, full_, then_ = share(late), share(train), share(test)
-            for x in others:
-                self._temporal(found[x], near_.get(x), full_.get(x), then_.get(x))
+            share = lambda df: category_freq(df, others).groupBy("feature").agg(F.max("freq").alias("mean"))
+            jobs |= {"near_share": share(late), "full_share": share(train), "then_share": share(test)}
+        told = gathered(jobs)
+        of = lambda name: {r["feature"]: r["mean"] for r in told.get(name, [])}
+        full, then = of("full"), of("then")
+        for k, x in enumerate(numbers):
+            self._temporal(found[x], told["near"][0][k], full.get(x), then.get(x))
+        for r in told.get("ranges", []):
+            if found[r["feature"]].feature_type == "numerical":
+                found[r["feature"]].phase_c_segment_stable, found[r["feature"]].phase_c_drifted_months = r["stable"], r["months"]
+        near, full, then = of("near_share"), of("full_share"), of("then_share")
+        for x in others:
+            self._temporal(found[x], near.get(x), full.get(x), then.get(x))
 
     def _temporal(self, v: Verdict, recent: float | None, full: float | None, test: float | None) -> None:
         if None in (recent, full, test):

@@ -42,14 +42,16 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], config
 def numeric_stats(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT, rows: int | None = None) -> DataFrame:
     """(feature, mean, std, p25, p75, skewness): sample deviation, population skewness, exact quartiles."""
     exact = rows is None or rows <= config.exact_quantile_rows
-    at = lambda p: (lambda c: F.percentile(number(F.col(c)), p) if exact else F.percentile_approx(number(F.col(c)), p, 100_000).cast("double"))
-    return _unpivoted(
+    both = [0.25, 0.75]  # one buffer of values for both quartiles
+    quartiles = lambda c: F.percentile(number(F.col(c)), both) if exact else F.percentile_approx(number(F.col(c)), both, 100_000).cast("array<double>")
+    told = _unpivoted(
         df, list(cols),
         {
-            "mean": lambda c: F.avg(number(F.col(c))), "std": lambda c: F.stddev_samp(number(F.col(c))), "p25": at(0.25), "p75": at(0.75),
+            "mean": lambda c: F.avg(number(F.col(c))), "std": lambda c: F.stddev_samp(number(F.col(c))), "q": quartiles,
             "skewness": lambda c: F.skewness(number(F.col(c))),
         },
     )
+    return told.select("feature", "mean", "std", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"), "skewness")
 
 
 def null_zero_rates(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
