@@ -11,14 +11,20 @@ BUCKETS = 64
 
 
 def running_sums(df: DataFrame, sums: Sequence[str], order: str = "x", key: str = "feature", descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` (one row per key and value of ``order``) with ``cum_<c>`` for each c in ``sums``: the sum up to and with this row.
+    """``df`` (one row per key and value of ``order``, none null) with ``cum_<c>`` for each c in ``sums``: the sum up to and with this row.
 
     A key's rows are cut into buckets at approximate quantiles, so windows hold a share of them each; the bucket
     totals (at most ``buckets`` rows per key) carry the sums over.
     """
-    buckets = max(2, buckets)
+    buckets = 1 << max(1, (buckets - 1).bit_length())
     edges = df.groupBy(key).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("edges_"))
-    placed = df.join(F.broadcast(edges), key).withColumn("bucket_", F.size(F.filter("edges_", lambda e: e < F.col(order)))).drop("edges_")
+    placed = df.join(F.broadcast(edges), key).withColumn("bucket_", F.lit(0))
+    step = buckets
+    while step > 1:  # binary search: the number of edges below the value
+        step //= 2
+        below = F.element_at("edges_", F.col("bucket_") + step) < F.col(order)
+        placed = placed.withColumn("bucket_", F.col("bucket_") + F.when(below, step).otherwise(0))
+    placed = placed.drop("edges_")
     by = F.desc if descending else F.asc
     totals = placed.groupBy(key, "bucket_").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
     before = Window.partitionBy(key).orderBy(by("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
