@@ -51,3 +51,12 @@ def test_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert 0 < packed.select("doc_id").distinct().count() < docs.count()
     assert packed.groupBy("bin_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_cuts_can_be_dropped(spark):
+    from tidemark.llm.common import cut, drop_cuts
+
+    drop_cuts(spark)
+    held = cut(table(spark))
+    assert held.count() == len(texts()) and held.schema == table(spark).schema
+    assert drop_cuts(spark) == 1 and drop_cuts(spark) == 0

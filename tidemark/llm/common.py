@@ -55,12 +55,27 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables that each application's cuts have written.
+_cuts: dict[str, list[str]] = {}
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables this application's cuts wrote, and how many; for after the results that rest on them are written."""
+    paths = _cuts.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back; what was shuffled to make it goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
+    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
     try:
         df.write.parquet(path)
     finally:
