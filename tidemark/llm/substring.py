@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import concatenated, cut, left_joined, map_batches, mix64, table
@@ -164,8 +164,12 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
 
     width = fitting_width(rows, RUN_BYTES, width)
     bitmap = spark.sparkContext.broadcast(repeated_cells(rows, keys, width))
-    found = _classes(rows, bitmap, window, gram, width)
-    classes = cut(found.groupBy("key", "run").agg(F.sum("n").alias("n"), F.max("windows").alias("windows")))
+    # dealt by key alone: classes and their keys' totals need no other shuffle, and keys that occur once after all end here
+    found = _classes(rows, bitmap, window, gram, width).repartition("key")
+    merged = found.groupBy("key", "run").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"))
+    total = F.sum("n").over(Window.partitionBy("key"))
+    periodic = F.size(F.array_distinct("windows")) < F.size("windows")
+    classes = cut(merged.withColumn("total", total).where((F.col("total") > 1) | periodic).drop("total"))
     flat = classes.select("key", "run", "n", F.posexplode("windows").alias("at", "window"))
     again = flat.groupBy("key", "window").agg(F.sum("n").alias("times")).where("times > 1").select("key", "window")
     once = flat.where("n = 1").join(again, ["key", "window"], "left_semi").groupBy("key", "run").agg(F.collect_list("at").alias("at"))
