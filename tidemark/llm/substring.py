@@ -52,10 +52,17 @@ class Runs:
         text = np.searchsorted(first, at, "right") - 1
         new = np.ones(len(at), bool)
         new[1:] = (keys[at[1:]] != keys[at[:-1]]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
-        self.begin = at[new]
-        self.size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(at)))
+        longest = self.reach + 1  # longer runs repeat their key: pieces of words that recur are then the same few classes
+        parts = -(-size // longest)
+        if (parts > 1).any():
+            piece = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            size = np.minimum(np.repeat(size, parts) - piece * longest, longest)
+            start = np.repeat(start, parts) + piece * longest
+        self.begin, self.size = at[start], size
         self.key = keys[self.begin]
-        self.text = text[new]
+        self.text = text[start]
         self.start = self.begin - first[self.text]
 
     def keep(self, which: np.ndarray) -> Runs:
