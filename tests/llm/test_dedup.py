@@ -208,3 +208,14 @@ def test_components_of_chains(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {200: 0, 101: 100, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 12, 8])
+def test_key_bitmap_loses_no_key(spark, most):
+    from tidemark.llm.common import KeyBitmap
+
+    keys, rows = spark.range(0, 300, 3), spark.range(300)
+    bitmap = KeyBitmap(keys, "id", most=most)
+    held, others = ({r[0] for r in f(rows, "id").collect()} for f in (bitmap.held, bitmap.others))
+    assert held | others == set(range(300)) and not held & others and held >= set(range(0, 300, 3))
+    assert len(held) < 150 if most > 1 << 12 else held

@@ -125,13 +125,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class KeyBitmap:
     """A bitmap with the bit of each key's hash set, as a broadcast table of 64-bit words: 16 bits a key, but never more than ``most`` bits.
 
-    It has no false negatives; where keys outnumber the bits, it lets everything through and the exact step behind it
+    It has no false negatives; where keys outnumber half the bits, it lets everything through and the exact step behind it
     does all the work. The table has at most ``most / 64`` rows (a million by default), whatever the input. ``keys`` is
     counted first: give a cut table.
     """
 
     def __init__(self, keys: DataFrame, *key: str | Column, most: int = 1 << 26) -> None:
-        self.bits = min(most, max(1 << 12, 1 << (16 * keys.count()).bit_length()))
+        n = keys.count()
+        self.full = 2 * n > most  # hardly a bit would be clear: nothing is built or broadcast, everything passes
+        self.bits = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
         bit = self._bit(*key)
         self.words = (
             keys.select(bit.alias("tm_bit__"))
@@ -144,6 +146,8 @@ class KeyBitmap:
         return F.pmod(F.xxhash64(*key), F.lit(self.bits))
 
     def _tested(self, df: DataFrame, key: tuple, held: bool) -> DataFrame:
+        if self.full:
+            return df if held else df.where(F.lit(False))
         rows = df.withColumn("tm_bit__", self._bit(*key)).withColumn("tm_at__", F.shiftright("tm_bit__", 6))
         found = rows.join(F.broadcast(self.words), F.col("tm_at__") == F.col("tm_word__"), "left")
         bit = F.expr("coalesce(shiftright(tm_mask__, cast(tm_bit__ & 63 AS INT)) & 1L, 0L)")
