@@ -27,4 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.OP3_SQL, "op10_chat_format": chat.OP10_SQL}
+    return {
+        "op2_substring_dedup": substring.OP2_SQL, "op3_exact_dedup": exact.OP3_SQL, "op5_suffix_dedup": repeats.OP5_SQL, "op10_chat_format": chat.OP10_SQL,
+    }

@@ -317,3 +317,17 @@ def dedup_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: in
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's version over the hexadecimal bytes.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS b FROM documents),
+p AS (SELECT r, coalesce(doc_id, 9223372036854775807) AS doc, unnest(range(strlen(b) // 2)) AS i, b FROM d),
+x AS (SELECT r, doc, i, b[2 * i + 1 : 2 * i + 2] AS byte, CASE WHEN 2 * i + 100 <= strlen(b) THEN md5(b[2 * i + 1 : 2 * i + 100]) END AS h FROM p),
+f AS (SELECT r, i, byte, h IS NOT NULL AND doc > min(doc) OVER (PARTITION BY h) AS later FROM x),
+c AS (SELECT *, max(later::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM c)
+SELECT doc_id, (strlen(b) // 2)::BIGINT AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+  sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN e USING (r) GROUP BY r, doc_id, b
+"""

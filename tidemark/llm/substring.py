@@ -225,3 +225,15 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB's version: windows as digests of their words, covered positions by a moving maximum.
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+x AS (SELECT *, CASE WHEN i + 34 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h FROM p),
+f AS (SELECT *, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS again FROM x),
+c AS (SELECT *, max(again::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f)
+SELECT doc_id, len(w)::BIGINT AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (r) GROUP BY r, doc_id, w
+"""
