@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import KeyBitmap, cut, shared_dir, table, without
 from tidemark.llm.exact import exact_classes
+from tidemark.llm.jaccard import near_copies
 from tidemark.llm.langid import fit, with_language
 from tidemark.llm.packing import pack_documents, sized
 from tidemark.llm.pii import redact
-from tidemark.llm.simhash import near_components
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: that with the smallest doc_id; null ids stay."""
-    gone = near_components(docs).where("component_id IS NOT NULL AND doc_id != component_id").select("doc_id")
-    return without(docs, gone, [F.col("doc_id").cast("long")])
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more) stays: that with the smallest doc_id; null ids stay."""
+    return without(docs, near_copies(docs).select("node"), [F.col("doc_id").cast("long")])
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -449,10 +449,12 @@ def redact(df: DataFrame, column: str = "text", field: Field | None = None) -> D
     def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(Field(*shared.value))
         for part in parts:
-            given = part.to_pylist()
-            texts = [t or "" for t in given]
-            done = [redacted(t, spans) for t, (_, spans) in zip(texts, batch_spans(tagger, texts), strict=True)]
-            yield pa.array([None if a is None else b for a, b in zip(given, done, strict=True)], pa.string())
+            done = [pa.array([], pa.string())]
+            for at in range(0, len(part), 512):  # so that few texts at a time are Python strings
+                given = part.slice(at, 512).to_pylist()
+                spans = batch_spans(tagger, [t or "" for t in given])
+                done.append(pa.array([None if t is None else redacted(t, s) for t, (_, s) in zip(given, spans, strict=True)], pa.string()))
+            yield pa.concat_arrays(done)
 
     return df.withColumn(column, clean(F.col(column)))
 
