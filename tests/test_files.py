@@ -34,6 +34,14 @@ def test_empty_file(spark, tmp_path):
     assert readers.read_csv(spark, write(tmp_path / "a.csv", [["a", "b"]])).count() == 0
 
 
+def test_late_values_decide_types(spark, tmp_path):
+    early = 100_000
+    path = write(tmp_path / "a.csv", [["i", "d", "b"], *[["1", "1.5", "true"]] * early, ["2.5", "n/k", "maybe"]])
+    df = readers.read_csv(spark, path)
+    assert [f.dataType for f in df.schema] == [T.DoubleType(), T.StringType(), T.StringType()]
+    assert [tuple(r) for r in df.where("i = 2.5").collect()] == [(2.5, "n/k", "maybe")] and df.where("i IS NOT NULL AND d IS NOT NULL AND b IS NOT NULL").count() == early + 1
+
+
 def test_ingest_needs_the_id(spark, tmp_path):
     a = write(tmp_path / "a.csv", [["CustomerID", "x", "ChurnStatus"], ["1", "2.5", "Yes"]])
     b = write(tmp_path / "b.csv", [["CustomerID", "x"], ["9", "3"]])

@@ -9,9 +9,6 @@ from pyspark.sql import types as T
 from tidemark.config import NULL_TOKENS
 from tidemark.functions.text import null_tokens
 
-#: Rows that decide a column's type.
-PROBE = 100_000
-
 
 def must_exist(spark: SparkSession, path: str) -> str:
     """The path, if there is something at it, in whatever store it names."""
@@ -29,16 +26,15 @@ def raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFram
     return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
-def inferred_types(rows: DataFrame, probe: int = PROBE) -> dict[str, T.DataType]:
-    """Type of each text column: long, double, boolean or string, whichever the first rows' values all fit. One job."""
-    some = rows.limit(probe)
+def inferred_types(rows: DataFrame) -> dict[str, T.DataType]:
+    """Type of each text column: long, double, boolean or string, whichever all rows' values fit. One job, partial aggregates only."""
     tests = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
     asked = []
     for k, c in enumerate(rows.columns):
         x = F.col(f"`{c}`")
         asked.append(F.count(x).alias(f"n{k}"))
         asked += [F.count(x.try_cast(t)).alias(f"{t}{k}") for t in tests]
-    told = some.agg(*asked).first()
+    told = rows.agg(*asked).first()
     return {
         c: next((t for name, t in tests.items() if told[f"n{k}"] and told[f"{name}{k}"] == told[f"n{k}"]), T.StringType()) for k, c in enumerate(rows.columns)
     }
