@@ -237,3 +237,13 @@ def test_every_severity_is_reached(spark):
     test = train.select(*[(F.col(c) + 4000 * s).alias(c) for c, s in (("x", 0.07), ("y", 0.15), ("z", 0.5))], "month")
     got = {r["column"]: r["drift_severity"] for r in detect.Detector({c: "numerical" for c in "xyz"}).detect(train, test).collect()}
     assert got["z"] == "SEVERE" and got["y"] == "MODERATE"
+
+
+def test_date_rates_use_every_distinct_value(spark):
+    n = 1501
+    df = spark.range(n).select(F.when(F.col("id") % 5 < 4, F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")).otherwise(F.concat(F.lit("v"), "id")).alias("x"))
+    dates = sum(k % 5 < 4 for k in range(n))
+    assert one(profile.date_parse_rates(df, ["x"]).select("date_rate")) == pytest.approx(dates / n, abs=1e-12)
+    twice = df.union(df)  # under the share of distinct values that makes a column metadata
+    assert profile.manifest(profile.profile(twice)) == {"x": "time"}
+    assert profile.manifest(profile.profile(twice.union(spark.createDataFrame([("w1",), ("w2",), ("w3",)], "x string")))) == {"x": "high_cardinality"}

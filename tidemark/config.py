@@ -26,7 +26,6 @@ class Config:
     # classifier
     metadata_ratio: float = 0.95
     date_parse_rate: float = 0.80
-    date_probe_rows: int = 500
     sparse_null: float = 0.75
     sparse_zero: float = 0.75
     high_cardinality: int = 100

@@ -89,16 +89,12 @@ def bounded_cardinality(df: DataFrame, cols: Sequence[str], rows: int, config: C
     return cardinality(df, near).union(rest) if near else rest
 
 
-def date_parse_rates(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
-    """(feature, date_rate) of the text columns: share of the first ``date_probe_rows`` distinct non-null values (in order of a hash) that are dates."""
+def date_parse_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, date_rate) of the text columns: share of all distinct non-null values that are dates."""
     from tidemark.operators.frequency import long_form
 
-    from pyspark.sql import Window
-
     values = long_form(df, cols, "value").where("value IS NOT NULL").distinct()
-    w = Window.partitionBy("feature").orderBy(F.xxhash64("value"), "value")
-    probe = values.withColumn("k_", F.row_number().over(w)).where(F.col("k_") <= config.date_probe_rows)
-    return probe.groupBy("feature").agg(F.avg(parses_as_date(F.col("value")).cast("int")).alias("date_rate"))
+    return values.groupBy("feature").agg(F.avg(parses_as_date(F.col("value")).cast("int")).alias("date_rate"))
 
 
 def kinds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -135,7 +131,7 @@ def profile(df: DataFrame, roles: dict[str, str] | None = None, config: Config =
         told = told.join(numeric_stats(df, numbers, config, rows), "feature", "left")
     else:
         told = told.select("*", *[F.lit(None).cast("double").alias(s) for s in STATS])
-    told = told.join(date_parse_rates(df, texts, config), "feature", "left") if texts else told.withColumn("date_rate", F.lit(None).cast("double"))
+    told = told.join(date_parse_rates(df, texts), "feature", "left") if texts else told.withColumn("date_rate", F.lit(None).cast("double"))
     return classify(told.withColumn("n_rows", F.lit(rows)), roles, config)
 
 
