@@ -21,8 +21,14 @@ from tidemark.llm.pii import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that the labels teach (null text, or no letter in it) go; ambiguous ones stay."""
-    return with_language(docs, fit(docs), "language_").where("language_.lang_pred != 'und'").drop("language_")
+    """Only null texts and texts without a letter go: any other is the nearest of the learned languages, however far, and stays.
+
+    Where no language could be learned, texts with a letter stay too.
+    """
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return with_language(docs, model, "language_").where("language_.lang_pred != 'und'").drop("language_")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

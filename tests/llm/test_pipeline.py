@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.cases import table, texts
 from tests.llm.test_dedup import brute_components, brute_fingerprint
 
@@ -60,3 +61,10 @@ def test_cuts_can_be_dropped(spark):
     held = cut(table(spark))
     assert held.count() == len(texts()) and held.schema == table(spark).schema
     assert drop_cuts(spark) == 1 and drop_cuts(spark) == 0
+
+
+def test_texts_with_letters_stay_where_no_language_is_known(spark):
+    docs = table(spark).withColumn("lang", F.lit(None).cast("string"))
+    said = corpus_pipeline.language_id(spark, docs, "")
+    want = Counter((i, t) for i, t in texts() if t and any(c.isalpha() for c in t))
+    assert Counter((r["doc_id"], r["text"]) for r in said.collect()) == want and said.columns == docs.columns
