@@ -340,3 +340,10 @@ def test_sql(spark, sf, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+
+
+def test_more_languages_than_the_bound_are_an_error(spark):
+    docs = spark.createDataFrame([(k, f"some text {k}", f"l{k % 3}") for k in range(60)], "doc_id long, text string, lang string")
+    assert langid.fit(docs, most_languages=3).languages == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError):
+        langid.fit(docs, most_languages=2)

@@ -6,7 +6,7 @@ codeword and takes the least; the score is the winner's share of the softmax of
 is close is flagged as ambiguous.
 
 Training reads whole texts of a stratified sample of labelled rows: about ``per_language`` (a documented bound) of
-each of the ``most_languages`` most frequent languages, picked by a hash of the id. Prediction covers every row.
+each language, picked by a hash of the id; more than ``most_languages`` labels are an error. Prediction covers every row.
 Null texts and texts without a letter are ``und`` with score 0; so is everything where nothing was learned. Rows with a null id
 are never learned from and count as held out. Repeated rows are repeated in the result. Other columns are ignored.
 """
@@ -116,9 +116,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(df: DataFrame, per_language: int = 1500, most_languages: int = 256) -> Model:
-    """Learn from the rows (doc_id, text, lang) that are labelled and not held out."""
+    """Learn from the rows (doc_id, text, lang) that are labelled and not held out; the driver holds the n-gram counts of each label, hence the bound."""
     known = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = known.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"there are more than {most_languages} languages among the labels")
     if not sizes:
         return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32))
     span = 1 << 30
