@@ -69,7 +69,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: SQL can't express the language model, the linked components, the field or the packing; tests hold run() against brute force.
+#: SQL can't express the language model, the linked components, the field or the packing; a test holds run() on a small table against brute force
+#: (which ids stay, words packed of each), and its redaction against the field on one text at a time.
 ORACLE_SQL: str | None = None
 
 

@@ -68,3 +68,28 @@ def test_texts_with_letters_stay_where_no_language_is_known(spark):
     said = corpus_pipeline.language_id(spark, docs, "")
     want = Counter((i, t) for i, t in texts() if t and any(c.isalpha() for c in t))
     assert Counter((r["doc_id"], r["text"]) for r in said.collect()) == want and said.columns == docs.columns
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    from tests.llm.cases import words_of
+    from tests.llm.test_jaccard import brute_labels
+    from tidemark.llm import pii
+
+    secret = "Mail an.na@mail.example.com or 10.1.2.3 please"
+    rows = texts() + [(400, secret), (5, "five again")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    best = {}
+    for i, t in rows:
+        if i is not None and t and any(c.isalpha() for c in t):
+            best[t] = max(best.get(t, i), i)
+    label = brute_labels([(i, t) for t, i in best.items()])
+    field = pii.default_field()
+    one = lambda t: pii.redacted(t, next(iter(pii.batch_spans(pii.Tagger(field), [t])))[1])
+    left = {i: one(t) for t, i in best.items() if label[i] == i}
+    assert left[400] == "Mail [EMAIL] or [IP] please"
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {i: len(words_of(t)) for i, t in left.items()}
+    where = packed.inputFiles()[0].split("/4-pack/")[0]
+    redacted = spark.read.parquet(f"{where}/3-redact_pii")
+    assert {r["doc_id"]: r["text"] for r in redacted.collect()} == left and redacted.count() == len(left)
