@@ -6,8 +6,8 @@ from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from tests.llm.cases import table, texts
-from tests.llm.test_dedup import brute_components, brute_fingerprint
+from tests.llm.cases import table, texts, words
+from tests.llm.test_jaccard import brute_labels
 
 
 def test_stages_on_awkward_rows(spark):
@@ -24,7 +24,7 @@ def test_stages_on_awkward_rows(spark):
             best[t] = max(best.get(t, i), i)
     assert pairs(once) == Counter((i, t) for t, i in best.items()) and once.columns == docs.columns
     near = corpus_pipeline.near_dedup(spark, once, "")
-    label = brute_components([(i, brute_fingerprint(t)) for t, i in best.items()])
+    label = brute_labels([(i, t) for t, i in best.items()])  # five words, similarity 0.8 or more
     assert pairs(near) == Counter((i, t) for t, i in best.items() if label[i] == i)
     clean = corpus_pipeline.redact_pii(spark, near, "")
     assert clean.columns == docs.columns and clean.count() == near.count()
@@ -33,6 +33,34 @@ def test_stages_on_awkward_rows(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in pairs(near)}
 
 
+def test_an_id_with_several_texts_is_several_documents(spark):
+    base = words(5, 100, 3000)
+    a, close, other = " ".join(base), " ".join([*base[:50], "x", *base[51:]]), " ".join(words(6, 100, 3000))
+    docs = table(spark, [(3, a), (5, close), (5, other), (None, other), (7, other + " end")])
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, a), (5, other), (None, other)]) and kept.columns == docs.columns
+
+
+def test_columns_with_the_stages_own_names(spark):
+    docs = table(spark, [(1, "plain words in a row"), (2, None)]).select("*", F.lit("mine").alias("language"), F.lit("too").alias("node"), F.lit(3).alias("Language_"))
+    said = corpus_pipeline.language_id(spark, docs, "")
+    assert said.columns == docs.columns and [(r["doc_id"], r["language"], r["Language_"]) for r in said.collect()] == [(1, "mine", 3)]
+    near = corpus_pipeline.near_dedup(spark, docs, "")
+    assert near.columns == docs.columns and {r["node"] for r in near.collect()} == {"too"}
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
+    import types
+
+    import pytest
+    from tidemark.llm import common
+
+    context = types.SimpleNamespace(master="spark://somewhere:7077", getCheckpointDir=lambda: None)
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+
+
 def test_null_ids_stay(spark):
     docs = table(spark, [(None, "some words here"), (None, "other words there"), (1, "some words here")])
     once = corpus_pipeline.exact_dedup(spark, docs, "")
@@ -52,6 +80,10 @@ def test_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert 0 < packed.select("doc_id").distinct().count() < docs.count()
     assert packed.groupBy("bin_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    import os
+
+    where = packed.inputFiles()[0].split("/4-pack/")[0].removeprefix("file://")
+    assert os.listdir(where) == ["4-pack"]  # what the other stages wrote is gone
 
 
 def test_cuts_can_be_dropped(spark):
@@ -72,7 +104,6 @@ def test_texts_with_letters_stay_where_no_language_is_known(spark):
 
 def test_run_against_brute_force(spark, tmp_path):
     from tests.llm.cases import words_of
-    from tests.llm.test_jaccard import brute_labels
     from tidemark.llm import pii
 
     secret = "Mail an.na@mail.example.com or 10.1.2.3 please"
@@ -87,7 +118,7 @@ def test_run_against_brute_force(spark, tmp_path):
     one = lambda t: pii.redacted(t, next(iter(pii.batch_spans(pii.Tagger(field), [t])))[1])
     left = {i: one(t) for t, i in best.items() if label[i] == i}
     assert left[400] == "Mail [EMAIL] or [IP] please"
-    packed = corpus_pipeline.run(spark, str(tmp_path))
+    packed = corpus_pipeline.run(spark, str(tmp_path), keep_stages=True)
     got = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert got == {i: len(words_of(t)) for i, t in left.items()}
     where = packed.inputFiles()[0].split("/4-pack/")[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,15 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a local one only where none is set (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known
+    """The shared checkpoint folder named by the session.
+
+    Where none is named, a local master (one process, as in tests) gets a folder of its own; on a cluster that is an error, as
+    executors would write to their own disks and later reads would miss what the others wrote.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 #: Spark drops a query's shuffle files when it ends, if this is set; otherwise they stay until the driver collects garbage.
@@ -59,16 +63,27 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cuts: dict[str, list[str]] = {}
 
 
-def drop_cuts(spark: SparkSession) -> int:
-    """Delete the tables this application's cuts wrote, and how many; for after the results that rest on them are written."""
-    paths = _cuts.pop(spark.sparkContext.applicationId, [])
-    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+def cuts_so_far(spark: SparkSession) -> int:
+    """How many tables this application's cuts have written and not dropped: a mark for ``drop_cuts``."""
+    return len(_cuts.get(spark.sparkContext.applicationId, []))
+
+
+def drop_cuts(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables this application's cuts wrote since a mark, and how many; for after the results that rest on them are written."""
+    held = _cuts.get(spark.sparkContext.applicationId, [])
+    paths = held[since:]
+    del held[since:]
     for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        where.getFileSystem(conf).delete(where, True)
+        drop_folder(spark, path)
     return len(paths)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back; what was shuffled to make it goes."""
     spark = df.sparkSession
@@ -83,6 +98,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: a batch of texts then stays small in the executor and its workers.
+BATCH_ROWS, _ROWS = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send fewer rows at a time to Python than its default of 10,000; a setting of the session's own stays."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with one function per task; ``make`` runs once in each task."""
 
@@ -92,12 +117,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
             if batch.num_rows:
                 yield from each(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
-    return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+    return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
 def concatenated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,17 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles: an exact set-similarity join on prefixes.
+"""Near copies by the Jaccard similarity of word shingles: SimHash anchors propose, an exact set-similarity join finds the rest.
 
-Two texts are linked if the sets of their five-word shingles (A to Z lower-cased) have a Jaccard similarity of 4/5 or more. In
-any one order of all shingles, the least shingle that two such sets share is among the first ``n - ceil(4n/5) + 1`` of
-each (n its size): only that prefix of each set is shuffled, and every pair that is similar enough meets by a key.
-The order puts common shingles last. Which ones count as common is estimated, but it is the same for all texts, so that it
-decides about speed alone. Of two sets, that whose prefix ends first has all it shares up to there in both prefixes, so a pair that meets
-by k keys shares at most k and the rest of the set: pairs that could not be similar enough with that go, the others are checked on the whole texts.
+Two texts are linked if the sets of their five-word shingles (A to Z lower-cased) have a Jaccard similarity of 4/5 or more.
+
+1. The SimHash operator (``simhash``, five-word shingles, 3 bits) puts close fingerprints into components through its covering
+   anchors; each member is held against the smallest of its component on the whole texts. That settles large groups of near copies cheaply,
+   but SimHash at 3 bits sees only a small part of the pairs at 4/5, so an exact step follows.
+2. In any one order of all shingles, the least shingle that two such sets share is among the first ``n - ceil(4n/5) + 1`` of
+   each (n its size): only that prefix of each set matters, and every pair that is similar enough meets by a key.
+   The order puts common shingles last. Which ones count as common is estimated, but it is the same for all texts, so that it
+   decides about speed alone. Keys of a single id end in a partial aggregate; only rows of the others, told by a bounded bitmap, are joined.
+   Of two sets, that whose prefix ends first has all it shares up to there in both prefixes, so a pair that meets
+   by k keys shares at most k and the rest of the set: pairs that could not be similar enough with that go, the others are checked on the whole texts.
 
 So that a group of near copies doesn't cost the square of its size, the rows of a key are first compared with its least and
 greatest id alone (whatever that misses comes again); after that all pairs that meet are, but those already in one component.
+No window gathers a key's rows: aggregates and joins do, which Spark splits where a key is hot.
 
-Texts of fewer than five words make one shingle; null texts and texts without a word are alike. Rows with a null doc_id have no
-links. Ids that repeat over different texts are one document. Repeated rows change nothing. Other columns are ignored.
+Texts of fewer than five words make one shingle; null texts and texts without a word are alike. Very long texts are whole, in one task
+each. Rows with a null doc_id have no links. Ids that repeat over different texts are different documents (see ``with_nodes``).
+Repeated rows change nothing. Of pairs at equal similarity all are links. An empty table has none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyBitmap, cut, map_batches, texts_of
+from tidemark.llm.common import KeyBitmap, cut, map_batches, small_batches, texts_of
 from tidemark.llm.components import components
-from tidemark.llm.simhash import shingle_hashes
+from tidemark.llm.simhash import near_components, shingle_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, TOP, BOTTOM = 5, 4, 5
@@ -71,6 +78,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield from flush()
 
+    small_batches(docs.sparkSession)
     told = cut(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 8"))
     total, least = 0, None
     for level, n in sorted(told.groupBy(F.floor(F.log2("n"))).count().collect(), reverse=True):
@@ -157,23 +165,76 @@ def _hopeful(met: DataFrame) -> DataFrame:
     return pairs.where((TOP + BOTTOM) * (F.col("k") + rest) >= TOP * (F.col("n") + F.col("m"))).select("a", "b").distinct()
 
 
+def _proposed(docs: DataFrame) -> DataFrame:
+    """(a, b): each member of a SimHash component with the smallest of it."""
+    found = near_components(docs.select(F.col("id").alias("doc_id"), "text"), SHINGLE)
+    return found.where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, n, lo, hi, part) of the keys whose rows are not all in one component of the links yet."""
+    one = components(links)
+    part = cut(met.join(one, F.col("id") == F.col("node"), "left").select("key", "id", "n", "lo", "hi", F.coalesce("label", "id").alias("part")).distinct())
+    open_ = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    return part.join(open_, "key", "left_semi")
+
+
 def near_copies(df: DataFrame) -> DataFrame:
     """(node, label): for each doc_id of (doc_id, text) that is linked to a smaller one, however far, the smallest such."""
     docs = df.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
-    key = Window.partitionBy("key")
-    ends = _prefixes(docs, _common(docs)).select("*", F.min(F.struct("id", "n")).over(key).alias("lo"), F.max(F.struct("id", "n")).over(key).alias("hi"))
-    met = cut(ends.where("lo.id < hi.id"))
-    low = met.where(F.col("lo.id") < F.col("id")).select(F.col("lo.id").alias("a"), F.col("lo.n").alias("n"), F.col("id").alias("b"), F.col("n").alias("m"))
-    inner = (F.col("lo.id") < F.col("id")) & (F.col("id") < F.col("hi.id"))
-    high = met.where(inner).select(F.col("id").alias("a"), "n", F.col("hi.id").alias("b"), F.col("hi.n").alias("m"))
-    tried = cut(_hopeful(low.union(high).where(_sizes_fit("n", "m"))))
-    links = cut(_checked(tried, docs))
-    one = components(links)
-    part = met.join(one, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("label", "id").alias("part"))
-    apart = part.select("*", F.min("part").over(key).alias("p"), F.max("part").over(key).alias("q")).where("p < q").drop("p", "q")
-    apart = cut(apart.distinct())
-    x, y = (apart.toDF(*[f"{side}_{c}" for c in apart.columns]) for side in "xy")
+    links = cut(_checked(cut(_proposed(docs)), docs))
+    prefixes = _prefixes(docs, _common(docs))
+    ends = cut(prefixes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
+    met = cut(KeyBitmap(ends, "key").held(prefixes, "key").join(ends, "key"))
+    apart = cut(_apart(met, links))
+    low = apart.where("id = lo").select(F.col("key").alias("k"), F.col("id").alias("a"), "n", F.col("part").alias("pa")).distinct()
+    high = apart.where("id = hi").select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb")).distinct()
+    from_low = apart.where("id > lo").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb")).join(low, F.col("key") == F.col("k"))
+    to_high = apart.where("lo < id AND id < hi").select("key", F.col("id").alias("a"), "n", F.col("part").alias("pa")).join(high, F.col("key") == F.col("k"))
+    sides = [x.where("pa != pb").select("a", "n", "b", "m") for x in (from_low, to_high)]
+    tried = cut(_hopeful(sides[0].union(sides[1]).where(_sizes_fit("n", "m"))))
+    links = cut(links.union(_checked(tried, docs)))
+    last = cut(_apart(met, links).select("key", "id", "n", "part"))
+    x, y = (last.toDF(*[f"{side}_{c}" for c in last.columns]) for side in "xy")
     other = (F.col("x_id") < F.col("y_id")) & (F.col("x_part") != F.col("y_part")) & _sizes_fit("x_n", "y_n")
     both = x.join(y, (F.col("x_key") == F.col("y_key")) & other)
     more = _hopeful(both.select(F.col("x_id").alias("a"), F.col("x_n").alias("n"), F.col("y_id").alias("b"), F.col("y_n").alias("m")))
     return components(links.union(_checked(cut(more.join(tried, ["a", "b"], "left_anti")), docs)))
+
+
+def with_nodes(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a long ``name`` that tells its documents apart, and what stands for what where that is not the id itself.
+
+    An id that comes with several texts is several documents: each (id, text) gets a number below all ids. The second result has
+    (node, doc_id, text_sha256) of those, or is None where ids tell all apart. Null ids stay null.
+    """
+    node, digest = F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    narrow = docs.where(node.isNotNull()).groupBy(node.alias("id")).agg(F.min(F.xxhash64(digest)).alias("lo"), F.max(F.xxhash64(digest)).alias("hi"))
+    twice = cut(narrow.where("lo != hi").select("id"))
+    if twice.isEmpty():
+        return docs.withColumn(name, node), None
+    bitmap = KeyBitmap(twice, "id")
+    ids = twice.withColumnRenamed("id", "tm_id__")
+    several = bitmap.held(docs, node).join(ids, node == F.col("tm_id__"), "left_semi").select(node.alias("id"), digest.alias("sha")).distinct()
+    least = docs.agg(F.min(node)).first()[0]
+    if least < -(1 << 62):
+        raise ValueError("ids that repeat over different texts need free numbers below the smallest id")
+    surrogates = cut(several.select((F.lit(least - 1) - F.monotonically_increasing_id()).alias("node"), F.col("id").alias("doc_id"), F.col("sha").alias("text_sha256")))
+    told = F.broadcast(surrogates) if surrogates.count() < 1 << 16 else surrogates
+    told = told.select(F.col("node").alias("tm_node__"), F.col("doc_id").alias("tm_id__"), F.col("text_sha256").alias("tm_sha__"))
+    alone = bitmap.others(docs, node).withColumn(name, node)
+    held = bitmap.held(docs, node).join(told, (node == F.col("tm_id__")) & (digest == F.col("tm_sha__")), "left")
+    held = held.select(*docs.columns, F.coalesce("tm_node__", node).alias(name))
+    return alone.union(held), surrogates
+
+
+def near_gone(docs: DataFrame, node: str, surrogates: DataFrame | None) -> DataFrame:
+    """(node): documents of (``node``, text) that another document of their group stands for: that with the smallest id, then digest."""
+    found = near_copies(docs.select(F.col(node).alias("doc_id"), "text"))
+    if surrogates is None:
+        return found.select("node")
+    found = cut(found)
+    members = found.union(found.select("label", "label")).distinct()
+    told = members.join(surrogates, "node", "left").select("node", "label", F.struct(F.coalesce("doc_id", "node").alias("id"), "text_sha256", "node").alias("who"))
+    best = told.groupBy("label").agg(F.min("who").alias("best"))
+    return told.join(best, "label").where("who != best").select("node")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table
+from tidemark.llm.common import map_batches, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 # ---- base patterns ----
@@ -456,6 +456,7 @@ def redact(df: DataFrame, column: str = "text", field: Field | None = None) -> D
                 done.append(pa.array([None if t is None else redacted(t, s) for t, (_, s) in zip(given, spans, strict=True)], pa.string()))
             yield pa.concat_arrays(done)
 
+    small_batches(df.sparkSession)
     return df.withColumn(column, clean(F.col(column)))
 
 

@@ -6,10 +6,13 @@ length 31 beside one free bit: covering radius 1, so each half has one home anch
 within ``t`` = 1 of each other, y is within 1 + t = 2 of x's home anchor; so every half goes to all anchors within 2 (2 of
 them if it is a code word, else 17) and meets there the halves at home. 2^27 anchors per half keep
 each anchor's company small, and links are checked on all 64 bits inside the join. Copies of a fingerprint
-are one node, so the size of a group of copies does not matter.
+are one node, so the size of a group of copies does not matter. Anchors are fixed, so the company of one grows with the table:
+beyond some 10^9 distinct fingerprints a wider code would be needed.
 
-Null and empty texts have fingerprint zero, linked like any other; fewer than three words make one shingle. Rows
-with a null doc_id get a fingerprint, no links and a null component. Repeated rows are repeated in the result. Other columns are ignored.
+Null and empty texts have fingerprint zero, linked like any other; fewer than three words make one shingle. Very long texts are
+whole, some 16 bytes a word in one task. Fingerprints at equal distance are all linked; of ids the smallest names the component. Rows
+with a null doc_id get a fingerprint, no links and a null component. Repeated rows are repeated in the result; an id that comes with
+several texts ties nothing together: each row has its own text's component. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, map_batches, table, texts_of
-from tidemark.llm.components import components, local_forest
+from tidemark.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -56,12 +59,12 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the fingerprint's bits."""
+def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp): fp as a signed long with the fingerprint's bits, of runs of ``shingle`` words."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            bits = np.array([majority(shingle_hashes(t)) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
+            bits = np.array([majority(shingle_hashes(t, shingle)) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "fp"])
 
         return each
@@ -105,37 +108,38 @@ def near_anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(nodes: DataFrame, home: bool) -> DataFrame:
-    """(key, fp, id): a row for each half at home, or for each half and anchor near it."""
+    """(key, fp): a row for each half at home, or for each half and anchor near it."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            fp, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fp = batch.column(0).to_numpy()
             for half in range(2):
                 x = fp.view(np.uint64) >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)
                 x = x.astype(np.int64)
                 at, anchors = (np.arange(len(x)), home_anchor(x)) if home else near_anchors(x)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors | half << 32), pa.array(fp[at]), pa.array(ids[at])], ["key", "fp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors | half << 32), pa.array(fp[at])], ["key", "fp"])
 
         return each
 
-    return map_batches(nodes.select("fp", "id"), make, "key long, fp long, id long")
+    return map_batches(nodes.select("fp"), make, "key long, fp long")
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: ids of distinct fingerprints (fp, id) at distance ``DISTANCE`` or less; a link may come twice."""
-    x = _anchored(nodes, True).select(F.col("key").alias("x_key"), F.col("fp").alias("x_fp"), F.col("id").alias("a"))
-    y = _anchored(nodes, False).select(F.col("key").alias("y_key"), F.col("fp").alias("y_fp"), F.col("id").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= DISTANCE)
+    """(a, b) with a < b: distinct fingerprints (fp) at distance ``DISTANCE`` or less; a link may come twice."""
+    x = _anchored(nodes, True).select(F.col("key").alias("x_key"), F.col("fp").alias("a"))
+    y = _anchored(nodes, False).select(F.col("key").alias("y_key"), F.col("fp").alias("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
     return x.join(y, (F.col("x_key") == F.col("y_key")) & near).select("a", "b")
 
 
-def near_components(df: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of (doc_id, text)."""
-    prints = cut(fingerprints(df))
+def near_components(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of (doc_id, text): the smallest doc_id that links of fingerprints reach."""
+    prints = cut(fingerprints(df, shingle))
     nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    # Ids that repeat over different texts would tie two nodes together: they are one document, so that is a link.
     found = components(near_links(nodes))
-    named = nodes.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("label", "id").alias("component_id"))
+    linked = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("part"))
+    least = linked.groupBy("part").agg(F.min("id").alias("component_id"))
+    named = linked.join(least, "part").select(F.col("fp").alias("n_fp"), "component_id")
     out = prints.join(named, F.col("fp") == F.col("n_fp"), "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
