@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate dedup, PII redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet into the shared
-checkpoint folder and reads it back as the next one's docs. All stages but the last return the columns of documents.
+checkpoint folder and reads it back as the next one's docs. All stages but the last return the columns of documents, whatever their
+names: columns that a stage adds on its way take names that the table doesn't have.
 """
 
 from __future__ import annotations
@@ -12,14 +13,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyBitmap, cut, shared_dir, table, without
+from tidemark.llm.common import KeyBitmap, cut, cuts_so_far, drop_cuts, drop_folder, shared_dir, table, without
 from tidemark.llm.exact import exact_classes
-from tidemark.llm.jaccard import near_copies
+from tidemark.llm.jaccard import near_gone, with_nodes
 from tidemark.llm.langid import fit, with_language
 from tidemark.llm.packing import pack_documents, sized
 from tidemark.llm.pii import redact
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only null texts and texts without a letter go: any other is the nearest of the learned languages, however far, and stays.
 
@@ -28,7 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs)
     if not model.languages:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    return with_language(docs, model, "language_").where("language_.lang_pred != 'und'").drop("language_")
+    told = free_name(docs, "language")
+    return with_language(docs, model, told).where(F.col(told)["lang_pred"] != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +56,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more) stays: that with the smallest doc_id; null ids stay."""
-    return without(docs, near_copies(docs).select("node"), [F.col("doc_id").cast("long")])
+    """One document of each group of near copies stays: that with the smallest doc_id; null ids stay.
+
+    The SimHash operator proposes groups; links are pairs with a five-word Jaccard similarity of 0.8 or more on the whole texts, and an exact
+    join finds those that fingerprints miss. A document is an id with its text: an id that comes with several texts is several documents.
+    """
+    node = free_name(docs, "node")
+    rows, surrogates = with_nodes(docs, node)
+    return without(rows, near_gone(rows, node, surrogates), [F.col(node)]).drop(node)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,12 +90,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+def run(spark: SparkSession, sf_dir: str, keep_stages: bool = False) -> DataFrame:
+    """All stages over the whole documents table. What stages wrote goes when the next has read it, unless ``keep_stages``; the last one's stays."""
     docs = table(spark, sf_dir, "documents")
     where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{where}/{k}-{name}"
+        path, mark = f"{where}/{k}-{name}", cuts_so_far(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        drop_cuts(spark, mark)
+        if before and not keep_stages:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
