@@ -79,6 +79,31 @@ def test_substrings(spark, width):
     assert got == brute_substrings(texts(), 35)
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_words_are_compared_not_hashes(spark):
+    """Two words that any polynomial of an odd base modulo 2^64 hashes alike."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join([*same, one])), (2, " ".join([*same, other])), (3, " ".join([one] * 36)), (4, " ".join([other] * 35))]
+    got = counted(substring.dedup_substrings(table(spark, rows)), "doc_id", "n_words", "n_removed", "kept")
+    assert got == brute_substrings(rows, 35)
+    assert {(i, n) for i, _, n, _ in got} == {(1, 0), (2, 0), (3, 36), (4, 0)}
+
+
+def test_one_row_many_times(spark):
+    """A row repeated over and over, null ids among them: its spans are a set."""
+    text = " ".join(f"w{k % 50}" for k in range(120))
+    rows = [(None, text)] * 300 + [(7, text)] * 200 + [(8, "alone " + text[:90])]
+    got = counted(substring.dedup_substrings(table(spark, rows)), "doc_id", "n_words", "n_removed", "kept")
+    assert got == brute_substrings(rows, 35)
+    got = counted(repeats.dedup_bytes(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_bytes(rows, 50)
+
+
 def test_substrings_of_nothing(spark):
     assert substring.dedup_substrings(table(spark, [])).count() == 0
     assert counted(substring.dedup_substrings(table(spark, [(1, None), (2, "a")])), "doc_id", "n_words", "n_removed") == Counter({(1, 0, 0): 1, (2, 1, 0): 1})
@@ -118,12 +143,54 @@ def brute_bytes(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("limit", "block"), [(50_000, 1 << 21), (2, 1 << 21), (2, 256), (50_000, 256)])
+@pytest.mark.parametrize(("limit", "block"), [(repeats.LIMIT, repeats.BLOCK), (2, 256), (repeats.LIMIT, 256)])
 def test_bytes(spark, limit, block):
     got = counted(repeats.dedup_bytes(table(spark), limit=limit, block=block), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute_bytes(texts(), 50)
 
 
+def test_bytes_go_by_the_array_alone(spark, monkeypatch):
+    """Without the repeats of the array nothing goes but whole-text copies of at least a window."""
+    empty = lambda self, least: (np.zeros(0, np.int64),) * 3
+    monkeypatch.setattr(suffix.SuffixArray, "maximal_repeats", empty)
+    import pyarrow as pa
+
+    lists = lambda n: pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+    rows = [(1, "a" * 10 + "bcd" * 40), (2, "bcd" * 40), (3, "bcd" * 40)]
+    t = pa.table({"part": [1, 1], "doc": [1, 2], "last": [1, 3], "segment": [b"bcd" * 20, b"x" + b"bcd" * 20]})
+    assert repeats.Repeats(t, 50).marks(2) == (lists(2), lists(2))
+    monkeypatch.undo()
+    assert repeats.Repeats(t, 50).marks(2) != (lists(2), lists(2))
+    got = counted(repeats.dedup_bytes(table(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_bytes(rows, 50)
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    rows = [(i, t) for i, t in texts() if i is not None and 50 <= len(t or "") < 3000]
+    for limit in (repeats.LIMIT, 3):
+        got = repeats.repeat_groups(table(spark, rows), limit=limit).collect()
+        data = defaultdict(set)
+        for i, t in rows:
+            data[i].add(t.encode())
+        groups = defaultdict(set)
+        for r in got:
+            groups[r["group"], r["length"]].add((r["doc_id"], r["start"]))
+        assert groups
+        for (name, length), places in groups.items():
+            found = {t[s : s + length] for i, s in places for t in data[i] if hashlib.blake2b(t[s : s + length], digest_size=16).hexdigest() == name}
+            assert len(found) == 1 and length >= 50
+            one = found.pop()
+            assert places == {(i, s) for i, ts in data.items() for t in ts for s in range(len(t)) if t.startswith(one, s)}
+        covered = {(i, s + k) for (_, length), places in groups.items() for i, s in places for k in range(length)}
+        counts = defaultdict(set)
+        for i, ts in data.items():
+            for t in ts:
+                for k in range(len(t) - 49):
+                    counts[t[k : k + 50]].add((i, k))
+        want = {(i, s + k) for places in counts.values() if len({i for i, _ in places}) > 1 for i, s in places for k in range(50)}
+        assert want <= covered
+
+
 def test_bytes_of_nothing(spark):
     assert repeats.dedup_bytes(table(spark, [])).count() == 0
 

@@ -9,12 +9,12 @@ the text of assistant turns and nothing else.
 
 Null text counts as empty, null role as the empty role, null turn sorts first; turns that tie sort by role, then
 parts. Repeated rows are repeated turns. Rows with null conv_id form one conversation with a null id. An empty table gives an
-empty table; other columns are dropped. A conversation is one row of the result, so its turns meet in one task.
+empty table; other columns are dropped. A conversation is one row of the result, so its turns meet in one task; very long texts are whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
@@ -56,54 +56,37 @@ def format_chat(df: DataFrame) -> DataFrame:
 
     mask: array of (start, length), code points from 0, one for each assistant turn in order. attachments: array of
     (slot, kind, ref, tokens) in the order of their placeholders. Parts of an unknown kind count as text.
+
+    The visitor is a row per part with running sums over the conversation, for slots and for code points, so work grows with the parts
+    and not with their square. All of it is on one partitioning by conversation: one shuffle.
     """
-    kinds = F.array(F.lit("image"), F.lit("audio"), F.lit("document"))
     rows = df.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts"),
     )
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
-    # attachments in order, then each turn's first slot, so that the visitor can number placeholders by position
-    is_media = lambda p: F.array_contains(kinds, F.coalesce(p["kind"], F.lit("")))
-    media = F.flatten(F.transform("turns", lambda t: F.filter(t["parts"], is_media)))
-    counts = F.transform("turns", lambda t: F.size(F.filter(t["parts"], is_media)))
-    turns = turns.withColumn("media", media).withColumn("counts", counts)
-
-    def visit(t: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice("counts", F.lit(1), i), F.lit(0), lambda a, x: a + x)
-
-        def part(p: Column, j: Column) -> Column:
-            slot = before + F.size(F.filter(F.slice(t["parts"], F.lit(1), j), is_media))
-            return F.when(is_media(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), slot.cast("string"), F.lit("|>"))).otherwise(
-                escape(F.coalesce(p["text"], F.lit("")))
-            )
-
-        return F.struct(t["role"].alias("role"), F.array_join(F.transform(t["parts"], part), "").alias("body"))
-
-    visited = turns.select("conv_id", "media", F.transform("turns", visit).alias("turns"))
-    pieces = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"), t["body"].alias("body"), (t["role"] == "assistant").alias("loss")
-        ),
-    )
-    done = visited.select("conv_id", "media", pieces.alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, length: long>>").alias("runs"))
-
-    def advance(a: Column, p: Column) -> Column:
-        at = a["at"] + F.char_length(p["head"])
-        size = F.char_length(p["body"]).cast("long")
-        here = F.array(F.struct(at.alias("start"), size.alias("length")))
-        return F.struct((at + size + len(END)).alias("at"), F.when(p["loss"], F.concat(a["runs"], here)).otherwise(a["runs"]).alias("runs"))
-
+    conversation = Window.partitionBy("conv_id")
+    so_far = lambda *order: conversation.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = rows.withColumn("k", F.row_number().over(conversation.orderBy(F.asc_nulls_first("turn"), "role", "parts")))
+    parts = turns.select("conv_id", "k", "role", F.posexplode_outer("parts").alias("j", "p"))
+    media = F.coalesce(F.col("p")["kind"].isin("image", "audio", "document"), F.lit(False))
+    parts = parts.withColumn("media", media).withColumn("slot", F.sum(F.col("media").cast("int")).over(so_far("k", "j")) - 1)
+    mark = F.concat(F.lit("<|"), F.col("p")["kind"], F.lit(":"), F.col("slot").cast("string"), F.lit("|>"))
+    told = F.when(F.col("media"), mark).otherwise(escape(F.coalesce(F.col("p")["text"], F.lit(""))))
+    held = F.when(F.col("media"), F.struct(F.col("slot").cast("int").alias("slot"), F.col("p")["kind"].alias("kind"), F.col("p")["ref"].alias("ref"), part_tokens(F.col("p")).alias("tokens")))
+    bodies = parts.groupBy("conv_id", "k", "role").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("j", F.lit(0)).alias("j"), told.alias("t")))), lambda x: x["t"]), "").alias("body"),
+        F.array_sort(F.collect_list(held)).alias("held"),
+    )
+    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
+    bodies = bodies.withColumn("head", head).withColumn("size", F.char_length("body").cast("long"))
+    whole = F.char_length("head") + F.col("size") + len(END)
+    bodies = bodies.withColumn("start", F.sum(whole).over(so_far("k")) - F.col("size") - len(END))
+    piece = F.struct("k", F.concat("head", "body", F.lit(END)).alias("text"), "held", F.when(F.col("role") == "assistant", F.struct("start", F.col("size").alias("length"))).alias("run"))
+    done = bodies.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     return done.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("pieces", start, advance)["runs"].alias("mask"),
-        F.transform(
-            "media", lambda p, i: F.struct(i.alias("slot"), p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))
-        ).alias("attachments"),
-    )
+        "conv_id", F.array_join(F.col("pieces")["text"], "").alias("formatted"), F.array_compact(F.col("pieces")["run"]).alias("mask"),
+        F.flatten(F.col("pieces")["held"]).alias("attachments"),
+    )
 
 
 def parse_chat(df: DataFrame) -> DataFrame:

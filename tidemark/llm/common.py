@@ -188,12 +188,16 @@ class KeyBitmap:
         return self._tested(df, key, False)
 
 
-def left_joined(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``df`` left joined with a cut table on one column; rows that a bounded bitmap of its keys rules out are not shuffled."""
-    bitmap = KeyBitmap(found, key)
-    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name != key]
-    alone = bitmap.others(df, key).select(key, *[c for c in df.columns if c != key], *others)
-    return alone.union(bitmap.held(df, key).join(found, key, "left"))
+def left_joined(df: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """``df`` left joined with a cut table on columns of the same names (null equals null); rows that a bounded bitmap of its keys rules out are not shuffled."""
+    bitmap = KeyBitmap(found, *keys)
+    others = [f.name for f in found.schema if f.name not in keys]
+    alone = bitmap.others(df, *keys).select("*", *[F.lit(None).cast(found.schema[n].dataType).alias(n) for n in others])
+    named = found.select(*[F.col(k).alias(f"tm_{k}__") for k in keys], *others)
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"tm_{k}__"))
+    return alone.union(bitmap.held(df, *keys).join(named, same, "left").select(*df.columns, *others))
 
 
 def without(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:

@@ -10,7 +10,8 @@
 
 Null text counts as empty. Of equal texts the largest doc_id stays. Null ids rank below all others; a class of
 null ids alone has a null keep_id and keeps all its rows. Rows that repeat a doc_id count in group_size and
-share their fate: ``drop_copies`` leaves one of them. Other columns are ignored here.
+share their fate. Very long texts are whole, and texts tie only where all bytes are equal. An empty table gives an empty one; other
+columns are ignored here.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import KeyBitmap, cut, map_batches, table
@@ -27,15 +28,22 @@ from tidemark.llm.quotient import SLICE_BITS, QuotientFilter
 
 #: Fingerprints that a task gathers before it sends its filters on.
 FLUSH = 1 << 20
-
-
 #: Fingerprints of a slice, about: a merged filter then has some 8 MB, however many there are in all.
 SLICE = 1 << 20
+#: Bits that name the slices which partitions send, few enough that each filter is worth a row; fingerprints that a task of the first level merges, about.
+COARSE, SHARE = 6, 1 << 24
 
 
 def slice_bits(rows: int) -> int:
     """Bits of a fingerprint that name its slice."""
-    return min(24, max(6, (rows // SLICE).bit_length()))
+    return min(24, max(COARSE, (rows // SLICE).bit_length()))
+
+
+_FILTERS = pa.schema([("slice", pa.int32()), ("filter", pa.binary())])
+
+
+def _sent(parts: list[tuple[int, QuotientFilter]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([f.to_bytes() for _, f in parts], pa.binary())], schema=_FILTERS)
 
 
 def partition_filters(df: DataFrame, column: str = "fp", bits: int = SLICE_BITS) -> DataFrame:
@@ -44,47 +52,61 @@ def partition_filters(df: DataFrame, column: str = "fp", bits: int = SLICE_BITS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            whole = QuotientFilter.of(np.concatenate(held))
-            tops = (whole.keys >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.append(np.flatnonzero(np.concatenate(([True], tops[1:] != tops[:-1]))), len(tops))
-            slices = tops[edges[:-1]]
-            blobs = [QuotientFilter(whole.keys[a:b], whole.counts[a:b], s=bits).to_bytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "filter"])
-
         for batch in batches:
             if batch.num_rows:
                 held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 n += batch.num_rows
             if n >= FLUSH:
-                yield from flush()
+                yield _sent(QuotientFilter.of(np.concatenate(held)).split(bits))
                 held, n = [], 0
         if held:
-            yield from flush()
+            yield _sent(QuotientFilter.of(np.concatenate(held)).split(bits))
 
     return df.select(F.col(column).cast("long")).mapInArrow(run, "slice int, filter binary")
 
 
-def merged_filters(filters: DataFrame) -> DataFrame:
-    """(slice, filter): one filter for each slice. Filters stream in; a task holds the slices it owns, each distinct fingerprint once."""
+def merged_filters(filters: DataFrame, bits: int = 0, *by: Column) -> DataFrame:
+    """(slice, filter): filters of a slice (and of equal ``by``) merge into one, which is split into slices of ``bits`` bits where that is given.
+
+    Filters stream in sorted by slice and are merged many at a time, by their sorted remainders; a task holds one slice's distinct fingerprints.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, None
-        out = pa.schema([("slice", pa.int32()), ("filter", pa.binary())])
+        now: int | None = None
+        held: list[QuotientFilter] = []
+        fresh = 0  # fingerprints that came since the last merge
+
+        def done() -> pa.RecordBatch:
+            whole = QuotientFilter.merged(held)
+            return _sent(whole.split(bits) if bits else [(now, whole)])
+
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = QuotientFilter.from_bytes(blob)
-                if k == now:
-                    held = held.merge(one)
-                    continue
-                if held is not None:
-                    yield pa.RecordBatch.from_pylist([{"slice": now, "filter": held.to_bytes()}], out)
-                now, held = k, one
-        if held is not None:
-            yield pa.RecordBatch.from_pylist([{"slice": now, "filter": held.to_bytes()}], out)
+                if k != now:
+                    if held:
+                        yield done()
+                    now, held, fresh = k, [], 0
+                held.append(QuotientFilter.from_bytes(blob))
+                fresh += len(held[-1].keys)
+                if fresh > max(FLUSH, len(held[0].keys)):  # what came is as much as what is merged: each fingerprint is merged few times
+                    held, fresh = [QuotientFilter.merged(held)], 0
+        if held:
+            yield done()
+
+    return filters.repartition("slice", *by).sortWithinPartitions("slice").mapInArrow(run, "slice int, filter binary")
+
+
+def slice_filters(fingerprints: DataFrame, rows: int) -> DataFrame:
+    """(slice, filter): one filter for each slice of all fingerprints (column ``fp``).
 
-    return filters.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, filter binary")
+    Partitions send coarse slices. With more fingerprints than those should hold, shares of each coarse slice are merged and split into
+    fine slices first, so that no partition sends a row for each of very many slices.
+    """
+    filters, bits = partition_filters(fingerprints, bits=COARSE), slice_bits(rows)
+    if bits > COARSE:
+        shares = max(1, rows // (SHARE << COARSE))
+        filters = merged_filters(filters, bits, F.pmod(F.xxhash64("filter"), F.lit(shares)))
+    return merged_filters(filters)
 
 
 def repeated_fingerprints(filters: DataFrame) -> DataFrame:
@@ -104,7 +126,7 @@ def exact_classes(df: DataFrame) -> DataFrame:
     """One row per row of ``df`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("fp", F.xxhash64("text"))
-    repeated = cut(repeated_fingerprints(merged_filters(partition_filters(rows.select("fp"), bits=slice_bits(df.count())))))
+    repeated = cut(repeated_fingerprints(slice_filters(rows.select("fp"), df.count())))
     routed = KeyBitmap(repeated, "fp").held(rows, "fp")
     classes = (
         routed.groupBy("fp", "text")

@@ -9,8 +9,9 @@ Two texts are linked if the sets of their five-word shingles (A to Z lower-cased
    each (n its size): only that prefix of each set matters, and every pair that is similar enough meets by a key.
    The order puts common shingles last. Which ones count as common is estimated, but it is the same for all texts, so that it
    decides about speed alone. Keys of a single id end in a partial aggregate; only rows of the others, told by a bounded bitmap, are joined.
-   Of two sets, that whose prefix ends first has all it shares up to there in both prefixes, so a pair that meets
-   by k keys shares at most k and the rest of the set: pairs that could not be similar enough with that go, the others are checked on the whole texts.
+   Whatever two sets share comes after the least shingle they share, in both orders: a pair that meets by a key too late in either for what is left to
+   be enough is no pair by that key. Nor is one whose sets differ by more than similarity allows by their parity bitmaps (a bucket's parity differs only
+   if some shingle of one set alone is in it). Both hold for every pair that is similar enough; what passes is checked on the whole texts.
 
 So that a group of near copies doesn't cost the square of its size, the rows of a key are first compared with its least and
 greatest id alone (whatever that misses comes again); after that all pairs that meet are, but those already in one component.
@@ -40,6 +41,8 @@ SHINGLE, TOP, BOTTOM = 5, 4, 5
 FLUSH, MOST_COMMON = 1 << 20, 1 << 18
 #: Rows of texts that a Python worker unpacks at a time.
 SLICE = 256
+#: Words of 64 bits in a set's parity bitmap.
+PARITY = 8
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -94,21 +97,31 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, n): a row for each shingle of each set's prefix; n is the size of the whole set."""
+_BITS = [f"p{k}" for k in range(PARITY)]
+_WIDE = ["key", "id", "n", "i", *_BITS]
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ``PARITY`` buckets: whether an odd number of the hashes is in it."""
+    buckets = (hashes.view(np.uint64) % np.uint64(64 * PARITY)).astype(np.int64)
+    return np.packbits(np.bincount(buckets, minlength=64 * PARITY) & 1, bitorder="little").view("<i8")
+
+
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], wide: bool = False) -> DataFrame:
+    """(key, id): a row for each shingle of each set's prefix. If wide, with n, i, p0, ..: the size of the whole set, the shingle's place in its order from 0, and the set's parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():  # noqa: ANN202
         keys, counts = shared.value
 
-        def prefix(text: bytes) -> tuple[np.ndarray, int]:
+        def prefix(text: bytes) -> tuple[np.ndarray, int, np.ndarray | None]:
             found = _hashes(text)
             n = len(found)
             rank = np.zeros(n, np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                 rank = np.where(keys[at] == found, counts[at], 0)
-            return found[np.lexsort((found, rank))[: n - (TOP * n + BOTTOM - 1) // BOTTOM + 1]], n
+            return found[np.lexsort((found, rank))[: n - (TOP * n + BOTTOM - 1) // BOTTOM + 1]], n, _parity(found) if wide else None
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for at in range(0, batch.num_rows, SLICE):
@@ -116,14 +129,16 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
         def prefixes(some: pa.RecordBatch) -> pa.RecordBatch:
             held = [prefix(t) for t in texts_of(some.column(1))]
-            sizes = [len(x) for x, _ in held]
-            ids = np.repeat(some.column(0).to_numpy(), sizes)
-            n = np.repeat(np.array([n for _, n in held], np.int32), sizes)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in held])), pa.array(ids), pa.array(n)], ["key", "id", "n"])
+            sizes = [len(x) for x, _, _ in held]
+            columns = [np.concatenate([x for x, _, _ in held]), np.repeat(some.column(0).to_numpy(), sizes)]
+            if wide:
+                columns += [np.repeat(np.array([n for _, n, _ in held], np.int32), sizes), np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])]
+                columns += list(np.repeat(np.stack([p for _, _, p in held]), sizes, 0).T)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], _WIDE if wide else _WIDE[:2])
 
         return each
 
-    return map_batches(docs, make, "key long, id long, n int")
+    return map_batches(docs, make, ", ".join(f"{c} {'int' if c in ('n', 'i') else 'long'}" for c in (_WIDE if wide else _WIDE[:2])))
 
 
 def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -154,15 +169,13 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(rows.select("a", "b", "x_text", "y_text"), make, "a long, b long")
 
 
-def _sizes_fit(n: str, m: str) -> Column:
-    return BOTTOM * F.least(n, m) >= TOP * F.greatest(n, m)
-
-
-def _hopeful(met: DataFrame) -> DataFrame:
-    """(a, b) of rows (a, n, b, m), one for each key that a set of size n and one of size m have in both prefixes: pairs that could be similar enough."""
-    rest = F.floor((TOP * F.greatest("n", "m") + BOTTOM - 1) / BOTTOM) - 1
-    pairs = met.groupBy("a", "n", "b", "m").agg(F.count(F.lit(1)).alias("k"))
-    return pairs.where((TOP + BOTTOM) * (F.col("k") + rest) >= TOP * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+def _hopeful() -> Column:
+    """Whether sets x and y could be similar enough if the shingle at x_i and y_i is the least they share: all they share is from there on, and
+    no more shingles are in one of them alone than similarity allows (at least as many as there are buckets whose parity differs)."""
+    sizes, weight = F.col("x_n") + F.col("y_n"), TOP + BOTTOM
+    shared = (weight * (F.col("x_n") - F.col("x_i")) >= TOP * sizes) & (weight * (F.col("y_n") - F.col("y_i")) >= TOP * sizes)
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _BITS), F.lit(0))
+    return shared & (weight * apart <= (BOTTOM - TOP) * sizes)
 
 
 def _proposed(docs: DataFrame) -> DataFrame:
@@ -171,35 +184,34 @@ def _proposed(docs: DataFrame) -> DataFrame:
     return found.where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, n, lo, hi, part) of the keys whose rows are not all in one component of the links yet."""
-    one = components(links)
-    part = cut(met.join(one, F.col("id") == F.col("node"), "left").select("key", "id", "n", "lo", "hi", F.coalesce("label", "id").alias("part")).distinct())
+def _apart(met: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows of ``met`` with their part, of the keys whose rows are not all in one component (node, label) yet."""
+    part = cut(met.join(one, F.col("id") == F.col("node"), "left").select(*_WIDE, "lo", "hi", F.coalesce("label", "id").alias("part")).distinct())
     open_ = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    return part.join(open_, "key", "left_semi")
+    return cut(part.join(open_, "key", "left_semi"))
+
+
+def _met_by(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b), a < b: documents of x and y that meet by a key, are in different parts, and could be similar enough if that is the first they share."""
+    x, y = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in (*_WIDE, "part")]) for side, df in (("x", x), ("y", y)))
+    met = (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_part") != F.col("y_part")) & _hopeful()
+    return x.join(y, met).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_copies(df: DataFrame) -> DataFrame:
     """(node, label): for each doc_id of (doc_id, text) that is linked to a smaller one, however far, the smallest such."""
     docs = df.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
     links = cut(_checked(cut(_proposed(docs)), docs))
-    prefixes = _prefixes(docs, _common(docs))
-    ends = cut(prefixes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    met = cut(KeyBitmap(ends, "key").held(prefixes, "key").join(ends, "key"))
-    apart = cut(_apart(met, links))
-    low = apart.where("id = lo").select(F.col("key").alias("k"), F.col("id").alias("a"), "n", F.col("part").alias("pa")).distinct()
-    high = apart.where("id = hi").select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb")).distinct()
-    from_low = apart.where("id > lo").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("part").alias("pb")).join(low, F.col("key") == F.col("k"))
-    to_high = apart.where("lo < id AND id < hi").select("key", F.col("id").alias("a"), "n", F.col("part").alias("pa")).join(high, F.col("key") == F.col("k"))
-    sides = [x.where("pa != pb").select("a", "n", "b", "m") for x in (from_low, to_high)]
-    tried = cut(_hopeful(sides[0].union(sides[1]).where(_sizes_fit("n", "m"))))
-    links = cut(links.union(_checked(tried, docs)))
-    last = cut(_apart(met, links).select("key", "id", "n", "part"))
-    x, y = (last.toDF(*[f"{side}_{c}" for c in last.columns]) for side in "xy")
-    other = (F.col("x_id") < F.col("y_id")) & (F.col("x_part") != F.col("y_part")) & _sizes_fit("x_n", "y_n")
-    both = x.join(y, (F.col("x_key") == F.col("y_key")) & other)
-    more = _hopeful(both.select(F.col("x_id").alias("a"), F.col("x_n").alias("n"), F.col("y_id").alias("b"), F.col("y_n").alias("m")))
-    return components(links.union(_checked(cut(more.join(tried, ["a", "b"], "left_anti")), docs)))
+    common = _common(docs)
+    ends = cut(_prefixes(docs, common).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
+    met = cut(KeyBitmap(ends, "key").held(_prefixes(docs, common, wide=True), "key").join(ends, "key"))
+    # the proposed links are stars around the smallest of each, no node in two of them: components as they are
+    apart = _apart(met, links.select(F.col("b").alias("node"), F.col("a").alias("label")))
+    tried = cut(_met_by(apart.where("id = lo"), apart).union(_met_by(apart, apart.where("id = hi"))).distinct())
+    one = cut(components(links.union(_checked(tried, docs))))
+    last = _apart(met, one)
+    more = cut(_checked(cut(_met_by(last, last).join(tried, ["a", "b"], "left_anti")), docs))
+    return one if more.isEmpty() else components(one.select(F.col("label").alias("a"), F.col("node").alias("b")).union(more))
 
 
 def with_nodes(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:

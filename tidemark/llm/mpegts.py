@@ -6,8 +6,9 @@ with a presentation timestamp, and a clock reference in an adaptation field. ``m
 a column: it checks sync bytes, table checksums and continuity counters, reassembles the elementary stream and
 keeps (timestamp, packet) of every random-access point. Damaged streams do not raise: what fails is counted.
 
-Null and empty values become a payload of 64 zero bytes. Equal payloads give equal streams. Rows keep their
-order and number; null ids and repeated rows pass through; other columns are dropped, so their names can't clash.
+Null and empty values become a payload of 64 zero bytes. Equal payloads give equal streams, so ties and repeated rows are alike. Very long
+texts are whole streams, some ten times their bytes in one task. Rows keep their order and number; null ids and repeated rows pass
+through; an empty table gives an empty one; other columns are dropped, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -149,11 +150,47 @@ def mux(payload: bytes) -> bytes:
     return out.tobytes()
 
 
+#: Stream ids whose PES packets have no header beyond their length, and that of padding.
+_PLAIN, _PADDING = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF), 0xBE
+
+
+def _sections(bodies: Iterator[tuple[bytes, bool]]) -> Iterator[bytes | None]:
+    """Table sections of one id's payloads, which may go on over packets; None for each that is cut off or too long."""
+    open_ = b""
+    for body, start in bodies:
+        if start:
+            pointer = body[0] if body else 0
+            open_ += body[1 : 1 + pointer] if open_ else b""
+            parts = [open_, body[1 + pointer :]] if open_ else [body[1 + pointer :]]
+        elif open_:
+            parts = [open_ + body]
+        else:
+            continue
+        open_ = b""
+        for k, rest in enumerate(parts):
+            while rest and rest[0] != 0xFF:  # stuffing up to the end
+                size = 3 + ((rest[1] & 0x0F) << 8 | rest[2]) if len(rest) >= 3 else 4096
+                if size > len(rest):
+                    break
+                yield rest[:size]
+                rest = rest[size:]
+            if rest and rest[0] != 0xFF:
+                if k + 1 < len(parts) or len(rest) >= 4096:
+                    yield None  # another section begins where this one should go on
+                else:
+                    open_ = rest
+    if open_:
+        yield None
+
+
 def demux(media: bytes) -> dict:
     """Parse a transport stream. Returns the payload of its first elementary stream and what was found on the way.
 
     payload bytes, packets, sync_errors, table_errors, cc_errors, pmt_pid, es_pid, stream_type, pes (count),
     pes_errors, first_pts, last_pts, access: (timestamp, packet number) of each random-access point.
+
+    A packet may be sent twice (same counter, same payload): the second is left out; a third is an error. A marked
+    discontinuity may jump in the counter. Table sections and PES headers may go on in the next packet; a PES length of 0 means no length.
     """
     whole = len(media) // PACKET
     rows = np.frombuffer(media, np.uint8, whole * PACKET).reshape(whole, PACKET)
@@ -169,27 +206,34 @@ def demux(media: bytes) -> dict:
     control = rows[:, 3] >> 4 & 3
     begin = np.where(control & 2 > 0, 5 + rows[:, 4].astype(np.int64), 4)
     has = control & 1 > 0
+    flags = np.where((control & 2 > 0) & (rows[:, 4] > 0), rows[:, 5], 0)
     bad = begin > PACKET
     begin = np.minimum(begin, PACKET)
     found["sync_errors"] += int(bad.sum())
 
-    def counted(own: np.ndarray) -> int:
-        """Counters that do not follow the one before; only packets with payload count on."""
-        cc = rows[own[has[own]], 3] & 15
-        return int(((cc[1:] - cc[:-1]) & 15 != 1).sum())
+    def in_order(pid: int) -> np.ndarray:
+        """Packets of an id that carry payload, without repeated ones; counters that do not follow the one before are counted."""
+        own = np.flatnonzero((pids == pid) & has)
+        if len(own) < 2:
+            return own
+        step = (rows[own[1:], 3].astype(np.int64) - rows[own[:-1], 3]) & 15
+        again = np.zeros(len(own), bool)
+        for k in np.flatnonzero(step == 0).tolist():
+            a, b = own[k], own[k + 1]
+            again[k + 1] = begin[a] == begin[b] and rows[a, begin[a] :].tobytes() == rows[b, begin[b] :].tobytes()
+        kept = own[~again]
+        thrice = int((again[1:] & again[:-1]).sum())
+        step = (rows[kept[1:], 3].astype(np.int64) - rows[kept[:-1], 3]) & 15
+        found["cc_errors"] += thrice + int(((step != 1) & (flags[kept[1:]] & 0x80 == 0)).sum())
+        return kept
 
     def section(pid: int, kind: int) -> bytes | None:
         out = None
-        own = np.flatnonzero(pids == pid)
-        found["cc_errors"] += counted(own)
-        for k in own[starts[own] & has[own]]:
-            body = rows[k, begin[k] :].tobytes()
-            body = body[1 + body[0] :] if body else body
-            size = 3 + ((body[1] & 0x0F) << 8 | body[2]) if len(body) > 3 else 0
-            if size < 12 or size > len(body) or body[0] != kind or section_crc(body[: size - 4]) != int.from_bytes(body[size - 4 : size], "big"):
+        for body in _sections((rows[k, begin[k] :].tobytes(), bool(starts[k])) for k in in_order(pid).tolist()):
+            if body is None or len(body) < 12 or body[0] != kind or section_crc(body[:-4]) != int.from_bytes(body[-4:], "big"):
                 found["table_errors"] += 1
             elif out is None:
-                out = body[:size]
+                out = body
         return out
 
     pat = section(PAT_PID, 0x00)
@@ -201,37 +245,35 @@ def demux(media: bytes) -> dict:
     i = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11]) if pmt else 0
     if pmt and i + 5 <= len(pmt) - 4:
         found["stream_type"], found["es_pid"] = pmt[i], (pmt[i + 1] & 0x1F) << 8 | pmt[i + 2]
-    own = np.flatnonzero(pids == found["es_pid"])
-    if not len(own):
-        return found
-    found["cc_errors"] += counted(own)
-    own = own[has[own]]
-    data, begin, starts = rows[own], begin[own], starts[own]
-    lead = np.flatnonzero(starts)
-    at = begin[lead]
-    fits = at + HEADER <= PACKET
-    found["pes_errors"] += int((~fits).sum())
-    lead, at = lead[fits], at[fits]
-    code = data[lead, at] == 0
-    for k, byte in ((1, 0), (2, 1)):
-        code &= data[lead, at + k] == byte
-    found["pes_errors"] += int((~code).sum())
-    lead, at = lead[code], at[code]
+    own = in_order(found["es_pid"])
+    lead = np.flatnonzero(starts[own])
     if not len(lead):
         return found
-    length = data[lead, at + 4].astype(np.int64) << 8 | data[lead, at + 5]
-    header = 9 + data[lead, at + 8].astype(np.int64)
-    begin[: lead[0]] = PACKET  # bytes before the first start can't be placed
-    begin[lead] = np.minimum(at + header, PACKET)
-    sizes = np.add.reduceat(PACKET - begin, lead)
-    found["pes_errors"] += int((sizes + header - 6 != length).sum())
-    found["payload"] = data[np.arange(PACKET) >= begin[:, None]].tobytes()
-    found["pes"] = len(lead)
-    stamped = data[lead, at + 7] & 0x80 > 0
-    b = [data[lead, at + 9 + k].astype(np.int64) for k in range(5)]
-    pts = np.where(stamped, (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1, -1)
-    found["first_pts"], found["last_pts"] = int(pts[0]), int(pts[-1])
-    random = (data[lead, 3] & 0x20 > 0) & (data[lead, 4] > 0) & (data[lead, 5] & 0x40 > 0)
+    own = own[lead[0] :]  # bytes before the first start can't be placed
+    lead = lead - lead[0]
+    data = rows[own][np.arange(PACKET) >= begin[own][:, None]]
+    at = (np.cumsum(PACKET - begin[own]) - (PACKET - begin[own]))[lead]  # where each PES packet begins
+    sizes = np.diff(np.append(at, len(data)))
+    wide = np.append(data, np.zeros(14, np.uint8))
+    b = [wide[at + k].astype(np.int64) for k in range(14)]
+    plain = np.isin(b[3], _PLAIN)
+    header = np.where(plain, 6, 9 + b[8])
+    code = (b[0] == 0) & (b[1] == 0) & (b[2] == 1) & (sizes >= header)
+    length = b[4] << 8 | b[5]
+    found["pes_errors"] += int((~code).sum()) + int((code & (length > 0) & (sizes != length + 6)).sum())
+    gone = np.where(~code | (b[3] == _PADDING), sizes, np.minimum(header, sizes))  # bytes of each packet that are no payload
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + gone, -1)
+    found["payload"] = data[np.cumsum(edge[:-1]) == 0].tobytes()
+    keep = np.flatnonzero(code)
+    found["pes"] = len(keep)
+    if not len(keep):
+        return found
+    stamped = ~plain & (b[7] & 0x80 > 0)
+    pts = np.where(stamped, (b[9] >> 1 & 7) << 30 | b[10] << 22 | b[11] >> 1 << 15 | b[12] << 7 | b[13] >> 1, -1)
+    found["first_pts"], found["last_pts"] = int(pts[keep[0]]), int(pts[keep[-1]])
+    random = keep[flags[own[lead[keep]]] & 0x40 > 0]
     found["access"] = list(zip(pts[random].tolist(), numbers[own[lead[random]]].tolist(), strict=True))
     return found
 

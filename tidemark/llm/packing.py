@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are dealt by hash to shards of bounded size; each shard packs on its own, longest piece first. Open bins are
+Documents are dealt by hash to shards of bounded size, equal rows in small lots; each shard packs on its own, longest piece first. Open bins are
 ordered by residual room. A bin carries bitmaps of the sources and duplicate clusters in it; from the tightest bin with
 room the successor search goes on until a compatible one is found, else a bin opens. A piece is compatible if no piece of its
 cluster is in the bin and fewer than ``per_source`` documents of its source are. Texts longer than a bin are cut into full bins
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 CAPACITY, PER_SOURCE, SHARD_ROWS = 2048, 2, 8192
+#: Equal rows that are dealt to a shard together.
+LOT = 16
 
 
 class Bins:
@@ -114,9 +116,14 @@ def pack_documents(df: DataFrame, capacity: int = CAPACITY, per_source: int = PE
         F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0)).alias("length"),
         F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"),
     )
+    names = ["doc_id", "length", "source", "cluster"]
+    # rows that repeat are counted, then dealt out in lots: no shard gets more of them than of others, whatever their number
+    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     shards = max(1, -(-df.count() // shard_rows))
-    # ids, not texts, deal out: copies spread over all shards
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "length"), F.lit(shards)).cast("long"))
+    lots = counted.select(*names, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))).alias("lot"))
+    lots = lots.withColumn("shard", F.pmod(F.xxhash64(*names, "lot"), F.lit(shards)).cast("long"))
+    of_lot = F.sequence(F.lit(1).cast("long"), F.least(F.lit(LOT).cast("long"), F.col("n") - F.col("lot") * LOT))
+    rows = lots.select(*names, "shard", F.explode(of_lot).alias("one")).drop("one")
 
     def run(group: pa.Table) -> pa.Table:
         cols = {n: group.column(n).to_pylist() for n in ("doc_id", "length", "source", "cluster")}

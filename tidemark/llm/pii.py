@@ -2,19 +2,24 @@
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers; each runs in time linear in the text. The
 field adds ``secret`` spans (passwords, access keys, tokens): it is trained on the driver from a small
-labelled table, its features are the shapes of a word and of its neighbours, and Viterbi decodes whole documents in numpy batches,
-all documents of a batch side by side. Base spans always stay; a secret that overlaps one is left out.
+labelled table (``labelled_words.tsv`` beside this module, or any DataFrame by ``train_on``), its features are the shapes of a word and of its
+neighbours, and Viterbi decodes whole documents in numpy batches, all documents of a batch side by side. Base spans always stay; a secret
+that overlaps one is left out. The field's own labels for the base kinds only keep it from taking those words for secrets.
 
-Spans are code points, end exclusive. Null and empty texts have no spans. Rows keep their number; null ids and
-repeated rows pass through; other columns are ignored.
+Spans are code points, end exclusive; spans that start together go by kind as listed. Null and empty texts have no spans. Very long texts
+are whole, some 100 bytes a word in one task. Rows keep their number; null ids and repeated rows pass through; an empty table gives
+an empty one; other columns are ignored (``redact`` keeps them).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -193,63 +198,41 @@ class Field:
         return out
 
 
-def labelled_sentences(n: int = 700, seed: int = 11) -> list[list[tuple[bytes, int]]]:
-    """The small labelled table: invented sentences with personal data, secrets, and numbers that are neither."""
-    rng = np.random.default_rng(seed)
-    pick = lambda options: options[rng.integers(len(options))]
-    syllables = ("an", "er", "th", "ou", "re", "st", "ing", "de", "la", "ch", "ung", "ción", "é", "ü", "o", "mi", "ta", "on", "le", "sh")
-
-    def name(low: int = 1, high: int = 4) -> str:
-        return "".join(pick(syllables) for _ in range(rng.integers(low, high + 1)))
-
-    def digits(k: int) -> str:
-        return "".join(map(str, rng.integers(0, 10, k)))
-
-    def hexes(k: int) -> str:
-        return "".join(pick("0123456789abcdef") for _ in range(k))
-
-    def mixed(k: int, letters: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> str:
-        return "".join(pick(letters + "0123456789") for _ in range(k))
-
-    def plain() -> str:
-        kind = rng.integers(0, 24)
-        if kind == 0:
-            return pick((digits(4), digits(2), f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(1)}.{digits(2)}", f"{digits(1)},{digits(3)}", f"{digits(2)}:{digits(2)}", f"{digits(2)}%"))
-        if kind == 1:
-            return pick((name().upper(), name().capitalize() + digits(1), "x=" + digits(1), name() + "-" + name(), name() + ":", "(" + name() + ")", name().upper() + digits(2), "v" + digits(1) + "." + digits(1), f"http://{name()}.com/{name()}", digits(8), digits(12)))
-        word = name()
-        return word.capitalize() if kind < 5 else word + pick((".", ",", "", "", "", "")) if kind < 12 else word
-
-    def secret() -> list[str]:
-        key = pick(("password", "passwd", "token", "secret", "key", "apikey", "pwd"))
-        return pick((
-            [key + pick("=:") + hexes(rng.integers(10, 40))], [key + "=" + mixed(rng.integers(10, 30), "abcdefghijkmnpqrstuvwxyz")], ["AK" + pick(("IA", "IB")) + mixed(16)],
-            [mixed(rng.integers(18, 24))], [hexes(32)], [hexes(40)], ["sk-" + mixed(rng.integers(20, 40), "abcdefgXYZ")],
-        ))
-
-    def item() -> tuple[list[str], int]:
-        kind = int(rng.integers(1, 6))
-        if kind == 1:
-            return [f"{name()}.{digits(2)}@{name()}{digits(1)}.example.com"], 1
-        if kind == 2:
-            return [".".join(str(x) for x in rng.integers(1, 256, 4))], 2
-        if kind == 3:
-            return pick(([digits(16)], [digits(4) for _ in range(4)], [digits(15)])), 3
-        if kind == 4:
-            return pick((["+" + digits(1), f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}-{digits(3)}-{digits(6)}"], ["+" + digits(11)])), 4
-        return secret(), 5
-
-    out = []
-    for _ in range(n):
-        words: list[tuple[str, int]] = []
-        for _ in range(int(rng.integers(1, 4))):
-            words += [(plain(), 0) for _ in range(rng.integers(1, 8))]
-            if rng.random() < 0.5:
-                got, label = item()
-                words += [(w, label) for w in got]
-        words += [(plain(), 0) for _ in range(rng.integers(0, 5))]
-        out.append([(w.encode(), label) for w, label in words])
-    return out
+#: The small labelled table: invented sentences with personal data, secrets, and numbers that are neither.
+LABELLED = Path(__file__).with_name("labelled_words.tsv")
+#: Sentences that the driver trains on at most.
+MOST_SENTENCES = 5000
+
+
+def labelled_sentences(path: Path = LABELLED) -> list[list[tuple[bytes, int]]]:
+    """Sentences of (word, label) from a file with a word and its label on each line and an empty line after each sentence."""
+    out: list[list[tuple[bytes, int]]] = [[]]
+    for line in path.read_text(encoding="utf-8").splitlines():
+        if line.startswith("# "):
+            continue
+        if not line:
+            out.append([])
+            continue
+        word, _, label = line.rpartition("\t")
+        out[-1].append((word.encode(), LABELS.index(label)))
+    return [s for s in out if s]
+
+
+def train_on(df: DataFrame, most: int = MOST_SENTENCES) -> Field:
+    """A field from a labelled table (sentence, position, word, label): the driver reads at most ``most`` sentences, picked by a hash of their name.
+
+    Words or labels that are null and labels outside ``LABELS`` count as ``O``. An empty table is an error.
+    """
+    ids = df.select("sentence").distinct()
+    some = ids.orderBy(F.xxhash64("sentence"), "sentence").limit(most)
+    rows = df.join(F.broadcast(some), df["sentence"].eqNullSafe(some["sentence"]), "left_semi").select(F.col("sentence").cast("string").alias("s"), "position", "word", "label")
+    held: dict[str | None, list[tuple[int, bytes, int]]] = {}
+    for r in rows.toLocalIterator():
+        label = LABELS.index(r["label"]) if r["label"] in LABELS else 0
+        held.setdefault(r["s"], []).append((r["position"] or 0, (r["word"] or "-").encode(), label))
+    if not held:
+        raise ValueError("the labelled table has no rows")
+    return train([[(w, y) for _, w, y in sorted(held[k])] for k in sorted(held, key=lambda k: (k is not None, k))])
 
 
 def train(sentences: list[list[tuple[bytes, int]]], rounds: int = 60, rate: float = 0.2, decay: float = 1e-4) -> Field:
@@ -364,6 +347,8 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]])
     """Runs of words labelled secret, without marks around them, that no base span overlaps."""
     words = [m.span() for m in _WORD.finditer(text)]
     hit = np.flatnonzero(labels == LABELS.index("secret")).tolist()
+    starts = [s for _, s, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     out, k = [], 0
     while k < len(hit):
         last = k
@@ -374,7 +359,8 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]])
             a += 1
         while a < b and text[b - 1] in _TRIM:
             b -= 1
-        if a < b and not any(s < b and a < e for _, s, e in base):
+        before = bisect_left(starts, b)  # base spans that start before its end
+        if a < b and not (before and reach[before - 1] > a):
             out.append(("secret", a, b))
         k = last + 1
     return out

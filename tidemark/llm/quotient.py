@@ -29,15 +29,28 @@ class QuotientFilter:
         keys, counts = np.unique(fingerprints.astype(np.uint64), return_counts=True)
         return cls(keys, counts.astype(np.int64), s)
 
+    @classmethod
+    def merged(cls, filters: list[QuotientFilter]) -> QuotientFilter:
+        """Any number of sorted runs into one; equal remainders of equal quotients add their counts. A stable sort takes runs as they come."""
+        s = filters[0].s
+        keys, counts = np.concatenate([f.keys for f in filters]), np.concatenate([f.counts for f in filters])
+        if not len(keys):
+            return cls(keys, counts, s)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1]))
+        return cls(keys[first], np.add.reduceat(counts[order], np.flatnonzero(first)), s)
+
     def merge(self, other: QuotientFilter) -> QuotientFilter:
-        """Both sorted runs into one; equal remainders of equal quotients add their counts."""
-        at = np.searchsorted(self.keys, other.keys)
-        both = np.insert(self.keys, at, other.keys)
-        counts = np.insert(self.counts, at, other.counts)
-        if not len(both):
-            return self
-        first = np.concatenate(([True], both[1:] != both[:-1]))
-        return QuotientFilter(both[first], np.add.reduceat(counts, np.flatnonzero(first)), self.s)
+        return self.merged([self, other])
+
+    def split(self, bits: int) -> list[tuple[int, QuotientFilter]]:
+        """(slice, filter) of the finer slices of the top ``bits`` bits."""
+        if not len(self.keys):
+            return []
+        tops = (self.keys >> np.uint64(64 - bits)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.concatenate(([True], tops[1:] != tops[:-1]))), len(tops))
+        return [(int(tops[a]), QuotientFilter(self.keys[a:b], self.counts[a:b], s=bits)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def count(self, fingerprint: int) -> int:
         i = int(np.searchsorted(self.keys, np.uint64(fingerprint)))

@@ -1,16 +1,20 @@
 """Suffix-array deduplication by bytes: strings of 50 bytes that start in a document with a smaller id are cut out.
 
-1. Rows whose whole text is a copy of a smaller document's are found by digest; all their windows repeat, so they leave.
+1. Rows whose whole text is a copy of a smaller document's are found by SHA-256; all their windows repeat, so they leave.
 2. Every 50-byte window is filed under the least hash of its 16-byte grams; neighbouring windows mostly share it, so a
-   text falls into short runs. A sketch of the keys (see ``countmin``) leaves runs whose key may occur twice.
-3. Runs of a key meet in one task, equal ones merged into a class with its smallest document. A suffix array over the
-   classes of a block of keys and the interval tree of its common prefixes give the maximal repeats with all
-   occurrences; an occurrence whose class begins in a later document than the repeat's first is marked in the class.
-   A key with more than ``LIMIT`` classes goes window by window through grouped minima instead: as exact, in no one task's memory.
-4. Where a row has a run, its bytes go if the class has a smaller document, else those marked. Marks return to their rows.
-
-Null and empty texts lose nothing. A null id ranks above all others. Rows that repeat an id are one document to each other. Other
-columns are ignored. An empty table gives an empty result.
+   text falls into short runs. A sketch of the keys (see ``countmin``) leaves runs whose key may occur twice. Equal runs (told by a 128-bit
+   cryptographic digest of their bytes) are one class with its smallest and its largest document, merged by a partial aggregate.
+3. The classes of a key meet in one task, those of several documents as two texts: one of the first document, one of a later one. A
+   suffix array over a block of keys and the interval tree of its common prefixes give the maximal repeats with all occurrences;
+   an occurrence in a later document than the repeat's first is marked. That decides copies of a run and parts of it alike.
+   A key with more than ``limit`` classes is split further, by whole windows, and those go through the same array, in pieces.
+4. Where a row has a run, the marks of its class for the first or for later documents return to the row.
+
+``repeat_groups`` gives the maximal repeats themselves, with all their occurrences in documents.
+
+Null and empty texts lose nothing. A null id ranks above all others. Rows that repeat an id are one document to each other, and of equal
+strings in one document none is first, so none goes for the other. Very long texts are whole: one is a chunk of its own, at some 100 bytes
+of memory a byte in its task. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,18 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyBitmap, concatenated, cut, left_joined, map_batches, mix64, table, without
+from tidemark.llm.common import KeyBitmap, concatenated, cut, left_joined, map_batches, table, without
 from tidemark.llm.countmin import estimated_repeated, fitting_width, repeated_cells
 from tidemark.llm.suffix import SuffixArray
-from tidemark.llm.windows import chunks, powers, rolling, sliding_min
+from tidemark.llm.windows import chunks, rolling, sliding_min
 
 WINDOW, GRAM, WIDTH = 50, 16, 28
-#: Windows of a run at most, classes of a key that one task takes, and bytes of classes that one suffix array takes.
-LONGEST, LIMIT, BLOCK = 35, 50_000, 1 << 21
+#: Windows of a run at most, classes that one suffix array takes of one key, and bytes of classes that it takes of several.
+LONGEST, LIMIT, BLOCK = 35, 8192, 1 << 20
 #: Marks are one number each: start times ``SPAN`` plus length; -1 stands for the whole text.
-SPAN = 128
+SPAN, DIGEST = 128, 16
 _LAST = (1 << 63) - 1
-_BASE = np.uint64(0xE7037ED1A0B428DB)
 _CLASS = ["key", "run", "doc", "last", "segment"]
 
 
@@ -64,17 +67,18 @@ class ByteRuns:
         self.begin, self.size, self.key, self.text, self.start = (x[which] for x in (self.begin, self.size, self.key, self.text, self.start))
         return self
 
-    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The runs' bytes end to end, each run's length in bytes and a hash of them."""
+    def segments(self) -> tuple[np.ndarray, np.ndarray]:
+        """The runs' bytes end to end, and each run's length in bytes."""
         lengths = self.size + self.window - 1
-        if not len(lengths):
-            return self.body[:0], lengths, np.zeros(0, np.uint64)
         first = np.cumsum(lengths) - lengths
         within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        flat = self.body[np.repeat(self.begin, lengths) + within]
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat((flat.astype(np.uint64) + np.uint64(1)) * powers(_BASE, int(lengths.max()))[within], first)
-        return flat, lengths, mix64(total)
+        return self.body[np.repeat(self.begin, lengths) + within], lengths
+
+    def digests(self) -> list[bytes]:
+        """A digest of each run's bytes."""
+        data = self.body.tobytes()
+        ends = self.begin + self.size + self.window - 1
+        return [hashlib.blake2b(data[a:b], digest_size=DIGEST).digest() for a, b in zip(self.begin.tolist(), ends.tolist(), strict=True)]
 
 
 def _runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, ByteRuns]]:
@@ -92,33 +96,33 @@ def _binary(flat: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> pa.Arra
 
 
 def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, doc, last, segment): a batch's distinct candidate runs with their smallest and largest documents in it."""
+    """(key, run, doc, last, segment): a chunk's distinct candidate runs with their smallest and largest documents in it."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             docs = batch.column(0).to_numpy()
             for i, runs in _runs(batch.column(2), window, gram):
                 runs.keep(estimated_repeated(runs.key, bitmap.value, width))
-                flat, lengths, digest = runs.segments()
-                if not len(digest):
+                if not len(runs.key):
                     continue
+                named: dict[bytes, int] = {}
+                of = np.array([named.setdefault(run, len(named)) for run in runs.digests()])
                 doc = docs[i + runs.text]
-                order = np.lexsort((doc, digest, runs.key))
-                new = np.ones(len(order), bool)
-                new[1:] = (runs.key[order][1:] != runs.key[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-                at = np.flatnonzero(new)
+                order = np.lexsort((doc, of))
+                at = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1])))
                 chosen, largest = order[at], doc[order[np.append(at[1:], len(order)) - 1]]
+                flat, lengths = runs.segments()
                 first = np.cumsum(lengths) - lengths
-                columns = (runs.key[chosen].view(np.int64), digest[chosen].view(np.int64), doc[chosen], largest)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), _binary(flat, lengths[chosen], first[chosen])], _CLASS)
+                columns = (pa.array(runs.key[chosen].view(np.int64)), pa.array(list(named), pa.binary()), pa.array(doc[chosen]), pa.array(largest))
+                yield pa.RecordBatch.from_arrays([*columns, _binary(flat, lengths[chosen], first[chosen])], _CLASS)
 
         return each
 
-    return map_batches(rows.select("doc", "row", "text"), make, "key long, run long, doc long, last long, segment binary")
+    return map_batches(rows.select("doc", "row", "text"), make, "key long, run binary, doc long, last long, segment binary")
 
 
 def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, row, doc, place): where candidate runs are; place is start * SPAN + length in bytes."""
+    """(key, run, doc, row, start): where candidate runs are, in bytes."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -126,170 +130,214 @@ def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Da
             for i, runs in _runs(batch.column(2), window, gram):
                 runs.keep(estimated_repeated(runs.key, bitmap.value, width))
                 if len(runs.key):
-                    _, lengths, digest = runs.segments()
-                    columns = (runs.key.view(np.int64), digest.view(np.int64), names[i + runs.text], docs[i + runs.text], runs.start * SPAN + lengths)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "run", "row", "doc", "place"])
+                    columns = (runs.key.view(np.int64), docs[i + runs.text], names[i + runs.text], runs.start)
+                    key, doc, row, start = map(pa.array, columns)
+                    yield pa.RecordBatch.from_arrays([key, pa.array(runs.digests(), pa.binary()), doc, row, start], ["key", "run", "doc", "row", "start"])
 
         return each
 
-    return map_batches(rows.select("doc", "row", "text"), make, "key long, run long, row long, doc long, place long")
+    return map_batches(rows.select("doc", "row", "text"), make, "key long, run binary, doc long, row long, start long")
 
 
-def class_marks(keys: np.ndarray, docs: np.ndarray, segments: pa.Array, window: int = WINDOW) -> pa.ListArray:
-    """For each class (key, smallest document, bytes), marks of what also begins in a class with a smaller document, from the maximal repeats.
+class Repeats:
+    """The maximal repeats of a table of classes (part, doc, last, segment), each found with all its occurrences by one suffix array.
 
-    Classes that are alone under their key share no window with another and need no place in the suffix array.
-    """
-    counts = np.zeros(len(keys), np.int64)
-    marks = np.zeros(0, np.int64)
-    _, group, sizes = np.unique(keys, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(sizes[group] > 1)
-    if len(several):
-        body, offs = concatenated(segments.take(pa.array(several)))
-        array = SuffixArray(body, offs[:-1], offs[1:], group[several], window)
-        length, first, last = array.maximal_repeats(window)
-        if len(length):
-            held = np.append(docs[several][array.text], 0)  # one more, so that every end is a place
-            least = np.minimum.reduceat(held, np.stack([first, last + 1], 1).ravel())[::2]
-            n = last - first + 1
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            later = held[at] > np.repeat(least, n)
-            at, length = at[later], np.repeat(length, n)[later]
-            owner = several[array.text[at]]
-            order = np.argsort(owner, kind="stable")
-            marks = (array.offset[at] * SPAN + length)[order]
-            counts = np.bincount(owner, minlength=len(keys))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(marks))
-
-
-def _merged(table_: pa.Table) -> pa.Table:
-    """One row for each (key, run) of a sorted table: the smallest and the largest document."""
-    t = table_.combine_chunks()
-    key, run = t["key"].to_numpy(), t["run"].to_numpy()
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
-    at = np.flatnonzero(new)
-    docs, last = np.minimum.reduceat(t["doc"].to_numpy(), at), np.maximum.reduceat(t["last"].to_numpy(), at)
-    return pa.table([pa.array(key[at]), pa.array(run[at]), pa.array(docs), pa.array(last), t["segment"].take(pa.array(at)).combine_chunks()], names=_CLASS)
-
-
-def _suffix_stage(classes: DataFrame, window: int, limit: int, block: int) -> DataFrame:
-    """(key, run, doc, last, marks, segment): classes that some document loses bytes by, merged and marked.
-
-    Classes of a key with over ``limit`` of them come out with their segments instead, not merged. A task holds ``block``
-    bytes of whole keys, or up to ``limit`` classes of one.
+    A class with a later document counts as two texts, ``of`` names the class of each text, ``doc`` its document. Classes of different
+    parts are not compared, and those that are alone in their part and document need no place in the array.
     """
-    long = pa.int64()
-    schema = pa.schema([("key", long), ("run", long), ("doc", long), ("last", long), ("marks", pa.list_(long)), ("segment", pa.binary())])
-
-    def marked(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = _merged(t)
-        docs, last = t["doc"].to_numpy(), t["last"].to_numpy()
-        marks = class_marks(t["key"].to_numpy(), docs, t["segment"].chunk(0), window)
-        keep = np.flatnonzero((last > docs) | (np.diff(marks.offsets.to_numpy()) > 0))
-        columns = [t[c].to_numpy()[keep] for c in ("key", "run", "doc", "last")]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks.take(pa.array(keep)), pa.nulls(len(keep), pa.binary())], schema=schema)
 
-    def passed(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.append_column("marks", pa.nulls(len(t), pa.list_(long))).select(schema.names)
-        yield from t.cast(schema).to_batches()
+    def __init__(self, t: pa.Table, window: int) -> None:
+        part, docs, last = (t[c].to_numpy() for c in ("part", "doc", "last"))
+        _, group, sizes = np.unique(part, return_inverse=True, return_counts=True)
+        later = np.flatnonzero(last > docs)
+        firsts = np.flatnonzero((sizes[group] > 1) | (last > docs))
+        self.of = np.concatenate([firsts, later])
+        self.late = np.concatenate([np.zeros(len(firsts), bool), np.ones(len(later), bool)])
+        self.doc = np.concatenate([docs[firsts], last[later]])
+        body, offs = concatenated(t["segment"].combine_chunks().take(pa.array(self.of)))
+        self.array = SuffixArray(body, offs[:-1], offs[1:], group[self.of], window)
+        self.length, first, last_ = self.array.maximal_repeats(window)
+        self.body, self.offs = body, offs
+        n = last_ - first + 1
+        self.sizes, self.first = n, first
+        #: Every occurrence of every repeat, end to end: its place in the array.
+        self.at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+
+    def marks(self, classes: int) -> tuple[pa.ListArray, pa.ListArray]:
+        """For each class the marks of what also begins in a smaller document: in its first document, and in later ones."""
+        if len(self.sizes):
+            held = np.append(self.doc[self.array.text], 0)  # one more, so that every end is a place
+            least = np.minimum.reduceat(held, np.stack([self.first, self.first + self.sizes], 1).ravel())[::2]
+            beyond = held[self.at] > np.repeat(least, self.sizes)
+            at, length = self.at[beyond], np.repeat(self.length, self.sizes)[beyond]
+        else:
+            at = length = np.zeros(0, np.int64)
+        text, start = self.array.text[at], self.array.offset[at]
+        out = []
+        for late in (False, True):
+            mine = self.late[text] == late
+            owner, a, n = self.of[text[mine]], start[mine], length[mine]
+            order = np.lexsort((-n, a, owner))
+            owner, a, n = owner[order], a[order], n[order]
+            reach = np.maximum.accumulate(owner * (2 * SPAN) + a + n) if len(owner) else owner
+            new = np.ones(len(owner), bool)  # what an earlier mark of the class covers says nothing new
+            new[1:] = reach[1:] > np.maximum(reach[:-1], owner[1:] * (2 * SPAN))
+            counts = np.bincount(owner[new], minlength=classes)
+            out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array((a * SPAN + n)[new])))
+        return out[0], out[1]
+
+
+def _in_blocks(parts: DataFrame, each, schema: str, limit: int, block: int) -> DataFrame:  # noqa: ANN001
+    """``each`` (a table of whole parts to record batches) over blocks of (part, .., doc, last, shift, segment), sorted by part and document.
+
+    A block is ``block`` bytes of whole parts. A part with more than ``limit`` rows comes in pieces; of each piece the first
+    row of every distinct segment goes on into the next, so that the smallest document of all of them is there to compare with.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, hot = 0, None
-
-        def split(whole: pa.Table) -> tuple[pa.Table, pa.Table]:
-            """Rows of all keys but the last, and of the last."""
-            key = whole["key"].to_numpy()
-            at = int(np.flatnonzero(key == key[-1])[0])
-            return whole.slice(0, at), whole.slice(at)
-
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if hot is not None:
-                more = int((batch.column(0).to_numpy() == hot).sum())
-                if more:
-                    yield from passed(pa.Table.from_batches([batch.slice(0, more)]))
-                    batch = batch.slice(more)
-                if not batch.num_rows:
-                    continue
-                hot = None
             held.append(batch)
             size += batch.nbytes
-            if size > block:
-                done, rest = split(pa.Table.from_batches(held))
-                if len(done):
-                    yield from marked(done)
-                rest = _merged(rest)
-                if len(rest) > limit:
-                    hot = rest["key"][0].as_py()
-                    yield from passed(rest)
-                    rest = rest.slice(0, 0)
-                held = rest.to_batches()
-                size = rest.nbytes if len(done) else 0  # one key alone: look again after another block
-        if held and sum(b.num_rows for b in held):
-            done, rest = split(pa.Table.from_batches(held))
-            rest = _merged(rest)
-            if len(rest) > limit:
-                if len(done):
-                    yield from marked(done)
-                yield from passed(rest)
-            else:
-                yield from marked(pa.concat_tables([done, rest]))
-
-    out = "key long, run long, doc long, last long, marks array<long>, segment binary"
-    return classes.repartition("key").sortWithinPartitions("key", "run").mapInArrow(run, out)
-
-
-def _hot_marks(hot: DataFrame, window: int) -> DataFrame:
-    """(key, run, doc, marks) of classes with too common keys: the smallest document of each window by grouped minima."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("segment") - (window - 1)), lambda i: F.substring(F.col("segment"), i, F.lit(window))))
-    flat = hot.select("key", "run", "doc", at.alias("at", "bytes"))
-    least = flat.groupBy("key", "bytes").agg(F.min("doc").alias("least"))
-    later = flat.join(least, ["key", "bytes"]).where("doc > least")
-    marks = later.groupBy("key", "run").agg(F.collect_list(F.col("at").cast("long") * SPAN + window).alias("marks"))
-    return hot.select("key", "run", "doc").join(marks, ["key", "run"], "left")
+            if size <= block:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            part = whole["part"].to_numpy()
+            at = int(np.searchsorted(part, part[-1]))  # the last part may go on in the next batch
+            if at:
+                yield from each(whole.slice(0, at).combine_chunks())
+                whole = whole.slice(at).combine_chunks()
+            if len(whole) > limit:
+                yield from each(whole)
+                seen: dict[bytes, int] = {}
+                for k, segment in enumerate(whole["segment"].to_pylist()):
+                    seen.setdefault(segment, k)
+                whole = whole.take(pa.array(sorted(seen.values()))).combine_chunks()
+            held, size = whole.to_batches(), whole.nbytes if at else 0  # one part alone: look again after another block
+        if held:
+            yield from each(pa.Table.from_batches(held).combine_chunks())
+
+    return parts.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(run, schema)
+
+
+def _marked(parts: DataFrame, window: int, limit: int, block: int) -> DataFrame:
+    """(key, run, doc, early, later): classes that some document loses bytes by, with the marks for their first document and for later ones."""
+
+    def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        early, later = Repeats(t, window).marks(len(t))
+        keep = np.flatnonzero((np.diff(early.offsets.to_numpy()) > 0) | (np.diff(later.offsets.to_numpy()) > 0))
+        if len(keep):
+            take = pa.array(keep)
+            names = ["key", "run", "doc", "shift"]
+            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks().take(take) for c in names), early.take(take), later.take(take)], [*names, "early", "later"])
+
+    found = _in_blocks(parts, each, "key long, run binary, doc long, shift long, early array<long>, later array<long>", limit, block)
+    moved = lambda c: F.transform(c, lambda m: m + F.col("shift") * SPAN).alias(c)
+    return found.select("key", "run", "doc", moved("early"), moved("later"))
+
+
+def _parts(rows: DataFrame, bitmap, window: int, gram: int, width: int, limit: int) -> tuple[DataFrame, DataFrame | None]:  # noqa: ANN001
+    """(part, key, run, doc, last, shift, segment) of classes that may share a window: by key, and those of too common keys by whole windows."""
+    found = _classes(rows, bitmap, window, gram, width).groupBy("key", "run")
+    classes = cut(found.agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.first("segment").alias("segment")))
+    # keys within one document lose nothing
+    keys = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("key", "n"))
+    live = KeyBitmap(keys, "key").held(classes, "key")
+    shift, bytes_ = F.lit(0).cast("long").alias("shift"), F.col("segment")
+    hot = cut(keys.where(F.col("n") > limit).select("key"))
+    if hot.isEmpty():
+        return live.select(F.col("key").alias("part"), "key", "run", "doc", "last", shift, bytes_), None
+    cool = without(live, hot, [F.col("key")]).select(F.col("key").alias("part"), "key", "run", "doc", "last", shift, bytes_)
+    warm = KeyBitmap(hot, "key").held(live, "key").join(hot, "key", "left_semi")
+    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("segment") - (window - 1)), lambda i: F.substring(F.col("segment"), i, F.lit(window))))
+    split = warm.select("key", "run", "doc", "last", each.alias("at", "bytes"))
+    return cool, split.select(F.xxhash64("bytes").alias("part"), "key", "run", "doc", "last", F.col("at").cast("long").alias("shift"), F.col("bytes").alias("segment"))
+
+
+def _sketched(rows: DataFrame, window: int, gram: int, width: int) -> tuple:
+    """The broadcast bitmap of keys that may occur twice, and its width."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, runs in _runs(batch.column(2), window, gram):
+            yield runs.key
+
+    width = fitting_width(rows, (window - gram) // 2, width)
+    return rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, keys, width)), width
 
 
 def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """(row, marks) for the rows of (doc, row, text) that lose bytes."""
-    spark = df.sparkSession
+    """(doc, row, marks) for the rows of (doc, row, text) that lose bytes."""
     narrow = df.select("doc", "row", F.sha2("text", 256).alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = cut(narrow.join(first, "digest").where("doc > first").select("row").distinct())
-    rows = without(df.select("doc", "row", "text"), copies, [F.col("row")])
+    first = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final")
+    copies = cut(narrow.join(first, "digest").where("doc > first").select("doc", "row").distinct())
+    rows = without(df.select("doc", "row", "text"), copies, [F.col("doc"), F.col("row")])
+    bitmap, width = _sketched(rows, window, gram, width)
+    cool, warm = _parts(rows, bitmap, window, gram, width, limit)
+    staged = _marked(cool, window, limit, block)
+    if warm is not None:
+        several = _marked(warm, window, limit, block).groupBy("key", "run").agg(*[F.first("doc").alias("doc"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("early", "later")]])
+        staged = staged.union(several)
+    staged = cut(staged)
+    named = staged.select("key", "run", F.col("doc").alias("first"), "early", "later")
+    places = KeyBitmap(staged, "key", "run").held(_postings(rows, bitmap, window, gram, width), "key", "run").join(named, ["key", "run"])
+    marks = F.transform(F.when(F.col("doc") > F.col("first"), F.col("later")).otherwise(F.col("early")), lambda m: F.col("start") * SPAN + m)
+    # a set: rows that repeat say the same
+    spans = places.select("doc", "row", F.explode(marks).alias("mark")).groupBy("doc", "row").agg(F.collect_set("mark").alias("marks"))
+    return spans.union(copies.select("doc", "row", F.array(F.lit(-1).cast("long")).alias("marks")))
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    """(doc_id, doc, row, text): doc ranks null ids last; with it, a hash of the text names a row."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = df.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("row"), "text")
 
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, runs in _runs(batch.column(2), window, gram):
-            yield runs.key
 
-    width = fitting_width(df, (window - gram) // 2, width)
-    bitmap = spark.sparkContext.broadcast(repeated_cells(rows, keys, width))
-    staged = cut(_suffix_stage(_classes(rows, bitmap, window, gram, width), window, limit, block))
-    marked = staged.where("segment IS NULL").select("key", "run", "doc", "marks")
-    hot = staged.where("segment IS NOT NULL").groupBy("key", "run").agg(F.min("doc").alias("doc"), F.max("segment").alias("segment"))
-    classes = marked.union(_hot_marks(hot, window)).select("key", "run", F.col("doc").alias("first"), "marks")
-    places = KeyBitmap(staged, "key", "run").held(_postings(rows, bitmap, window, gram, width), "key", "run").join(classes, ["key", "run"])
-    moved = F.transform("marks", lambda m: F.expr(f"place div {SPAN} * {SPAN}") + m)
-    marks = F.when(F.col("doc") > F.col("first"), F.array("place")).otherwise(moved)
-    spans = places.select("row", F.explode(marks).alias("mark")).groupBy("row").agg(F.collect_list("mark").alias("marks"))
-    return spans.union(copies.select("row", F.array(F.lit(-1).cast("long")).alias("marks")))
+def repeat_groups(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """(group, length, doc_id, start): the maximal repeats of (doc_id, text) over documents, each with all its occurrences, in bytes.
+
+    A repeat is maximal within the runs that its windows fall into, so one of over 84 bytes comes as several that overlap; ``group`` is a digest
+    of its bytes. Repeats within one document alone are left out. Null ids are one document.
+    """
+    rows = _rows(df).select("doc", "row", "text")
+    bitmap, width = _sketched(rows, window, gram, width)
+
+    def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = Repeats(t, window)
+        text, offset = found.array.text[found.at], found.array.offset[found.at]
+        length = np.repeat(found.length, found.sizes)
+        keep = ~found.late[text]  # the second text of a class occurs wherever the first does
+        text, offset, length = text[keep], offset[keep], length[keep]
+        if not len(text):
+            return
+        body, begin = found.body.tobytes(), found.offs[text] + offset
+        group = [hashlib.blake2b(body[a:b], digest_size=DIGEST).digest() for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+        of = pa.array(found.of[text])
+        key, run, shift = (t[c].combine_chunks().take(of) for c in ("key", "run", "shift"))
+        yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary()), pa.array(length), key, run, pa.array(offset + shift.to_numpy())], ["group", "length", "key", "run", "offset"])
+
+    schema = "group binary, length long, key long, run binary, offset long"
+    cool, warm = _parts(rows, bitmap, window, gram, width, limit)
+    found = _in_blocks(cool, each, schema, limit, block)
+    found = cut((found if warm is None else found.union(_in_blocks(warm, each, schema, limit, block))).distinct())
+    places = _postings(rows, bitmap, window, gram, width).join(found, ["key", "run"])
+    doc_id = F.when(F.col("doc") != _LAST, F.col("doc"))
+    return places.select(F.lower(F.hex("group")).alias("group"), "length", doc_id.alias("doc_id"), (F.col("start") + F.col("offset")).alias("start")).distinct()
 
 
 def dedup_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per row of (doc_id, text)."""
-    doc_id = F.col("doc_id").cast("long")
-    rows = df.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text"
-    )
+    rows = _rows(df)
     marks = byte_marks(rows.select("doc", "row", "text"), window, gram, width, limit, block)
-    joined = left_joined(rows, cut(marks), "row").select("doc_id", "text", "marks")
+    joined = left_joined(rows, cut(marks), "doc", "row").select("doc_id", "text", "marks")
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
-            for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for text, found in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
                 data = text.as_py()
                 removed = spans = 0
                 if found.is_valid:

@@ -8,7 +8,8 @@ always spelt in bytes, so decoding gives every text back exactly.
 No piece of the given vocabularies continues past a word's end, so the best path of a text is the best paths of its words
 end to end; words seen before come from a bounded memory. A vocabulary with pieces across words is decoded without cuts.
 
-Null texts count as empty; empty texts have no tokens. Rows with null ids and repeated rows pass through; other columns are ignored.
+Null texts count as empty; empty texts have no tokens. Very long texts are whole; one without spaces takes some 300 bytes of memory a
+character in its task. Rows with null ids and repeated rows pass through; an empty table gives an empty one; other columns are ignored.
 The model file is a parameter; it is read on the driver, and its pieces (a fixed size) go to the executors.
 """
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, table, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, UNKNOWN_COST, REMEMBERED = "▁", 10.0, 1 << 18
+MARK, UNKNOWN_COST = "▁", 10.0
+#: Bytes of words and their ids that a task remembers, about, and characters of a word that is remembered at most.
+REMEMBERED, LONGEST, ENTRY = 48 << 20, 64, 170
 #: Stands for a U+2581 of the text while it is encoded: a lone surrogate, which no UTF-8 text holds.
 _LITERAL = "\ud800"
 
@@ -64,6 +67,7 @@ class Pieces:
         words = f"{letters}{MARK}*[^{MARK}{re.escape(cut)}]+|{MARK}+|[{re.escape(cut)}]"
         self.words = None if any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in normal) else re.compile(words)
         self.memory: dict[str, bytes] = {}
+        self.held = 0
 
     def best_path(self, text: str) -> list[int]:
         """Viterbi over a text whose spaces are marks already."""
@@ -116,14 +120,20 @@ class Pieces:
             text = text.replace(MARK, _LITERAL)
         text = MARK + text.replace(" ", MARK)
         memory = self.memory
-        if len(memory) > REMEMBERED:
+        if self.held > REMEMBERED:
             memory.clear()
+            self.held = 0
         parts = self.words.findall(text) if self.words else [text]
         out = [memory.get(w) for w in parts]
         if None in out:
             for k, w in enumerate(parts):
+                if out[k] is None and (found := memory.get(w)) is None:
+                    found = np.array(self.best_path(w), "<i4").tobytes()
+                    if len(w) <= LONGEST:  # a text without spaces is one word: it goes by once
+                        memory[w] = found
+                        self.held += ENTRY + 2 * len(w) + len(found)
                 if out[k] is None:
-                    out[k] = memory[w] = np.array(self.best_path(w), "<i4").tobytes()
+                    out[k] = found
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
@@ -185,6 +195,9 @@ def decode_ids(df: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded, and decoded again from its ids."""
+    """Every text encoded, and decoded again from its ids.
+
+    The vocabulary's scores are those of merges, so ids are the best sum of them and differ from what its own tokenizer merges.
+    """
     done = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
     return done.withColumn("round_trip", F.col("decoded_sha256") == F.col("text_sha256")).drop("text_sha256")

@@ -1,15 +1,18 @@
 """Substring deduplication by words: windows of 35 words that start more than once anywhere are cut out.
 
 1. Every window is filed under the least hash of its 8-word runs, which equal windows share; neighbouring windows mostly
-   have the same, so a document's windows fall into runs under one key. Partition sketches count the keys and
-   merge; a key's count is at least that of each window under it, so the sketch overestimates window counts.
-2. Only runs whose key is estimated as repeated go on. Equal runs (same windows) become one class with a count,
+   have the same, so a document's windows fall into runs under one key. Partition sketches count the keys of runs (twice where a
+   run may hold equal windows) and merge. If a window starts twice, its key is counted twice at least, so no repeated window is
+   missed; an estimate above one says only that the windows under a key may repeat.
+2. Only runs whose key is estimated as repeated go on. From here on words are compared, not rolling hashes: a run and each of its windows
+   are named by a 128-bit cryptographic digest of their words, one space between each two. Equal runs become one class with a count,
    first within a batch, then by a partial aggregate, so that hot passages shrink before the shuffle. Windows of a class
-   with a count above one are repeated; those of the others are grouped exactly on (key, window hash), 128 bits together.
-3. The flagged windows go back to their rows, and each word covered by one is removed.
+   with a count above one are repeated; those of the others are grouped exactly on their digest.
+3. The flagged windows go back to their rows, named by id and a hash of the text, and each word covered by one is removed.
 
-Null and empty texts have no words; documents shorter than a window lose nothing. Repeated rows count as occurrences like
-any other. Null ids are allowed. Other columns are ignored. An empty table gives an empty result.
+Null and empty texts have no words; documents shorter than a window lose nothing. Very long texts are whole: one is a chunk of its own, at
+some 100 bytes of memory a byte in its task. Repeated rows count as occurrences like any other, and so do ties: all starts of a
+repeated window go, there is no first one that stays. Null ids are allowed. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,17 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import concatenated, cut, left_joined, map_batches, mix64, table
+from tidemark.llm.common import KeyBitmap, concatenated, cut, left_joined, map_batches, table
 from tidemark.llm.countmin import estimated_repeated, fitting_width, repeated_cells
-from tidemark.llm.windows import chunks, powers, rolling, sliding_min, spaced, word_hashes, words_of
+from tidemark.llm.windows import chunks, rolling, single_spaced, sliding_min, spaced, word_hashes, words_of
 
 WINDOW, GRAM, WIDTH = 35, 8, 28
-#: Bytes of text for each run, about.
-RUN_BYTES = 80
-_RUN_BASE = np.uint64(0xA0761D6478BD642F)
+#: Bytes of text for each run, about; bytes of a digest.
+RUN_BYTES, DIGEST = 80, 16
 
 
 class Runs:
@@ -39,11 +41,11 @@ class Runs:
         body, offsets = spaced(body, offsets)
         starts, ends = words_of(body)
         first = np.searchsorted(starts, offsets)  # first word of each text
-        hashes = word_hashes(body, starts, ends)
-        self.windows = rolling(hashes, window)
-        self.grams, self.reach = rolling(hashes, gram), window - gram
+        self.words = (body, starts, ends)
+        self.window = window
+        self.grams, self.reach = rolling(word_hashes(body, starts, ends), gram), window - gram
         keys = sliding_min(self.grams, window - gram + 1)
-        n = len(self.windows)
+        n = len(keys)
         inside = np.ones(n, bool)
         for k in range(1, window):  # windows that would reach into the next text
             edge = first[1:-1] - k
@@ -79,16 +81,29 @@ class Runs:
         same = self.grams[np.repeat(self.begin, spans) + within] == np.repeat(self.key, spans)
         return np.add.reduceat(same.astype(np.int64), first) > 1
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Window hashes of all runs end to end, and a hash of each run's sequence."""
-        if not len(self.size):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        first = np.cumsum(self.size) - self.size
-        within = np.arange(int(self.size.sum())) - np.repeat(first, self.size)
-        flat = self.windows[np.repeat(self.begin, self.size) + within]
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(flat * powers(_RUN_BASE, int(self.size.max()))[within], first)
-        return flat, mix64(total + self.size.astype(np.uint64))
+    def digests(self, which: np.ndarray | None = None) -> list[bytes]:
+        """A digest of the words of each run, and so of the sequence of its windows; of those at ``which`` where given."""
+        text, first = self._text()
+        begin, size = (self.begin, self.size) if which is None else (self.begin[which], self.size[which])
+        ends = first[begin + size + self.window - 1] - 1
+        return [_digest(text[a:b]) for a, b in zip(first[begin].tolist(), ends.tolist(), strict=True)]
+
+    def window_digests(self, which: np.ndarray) -> list[bytes]:
+        """Digests of the windows of the runs at ``which``, end to end."""
+        text, first = self._text()
+        sizes = self.size[which]
+        at = np.repeat(self.begin[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return [_digest(text[a:b]) for a, b in zip(first[at].tolist(), (first[at + self.window] - 1).tolist(), strict=True)]
+
+    def _text(self) -> tuple[bytes, np.ndarray]:
+        if isinstance(self.words[0], np.ndarray):
+            text, first = single_spaced(*self.words)
+            self.words = (text.tobytes(), first)
+        return self.words
+
+
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=DIGEST).digest()
 
 
 def _runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, Runs]]:
@@ -97,44 +112,51 @@ def _runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, Runs]
         yield i, Runs(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
 
 
-def row_key() -> Column:
-    """Names a row by id and text; equal rows share it, and what holds for one holds for the other."""
-    return F.xxhash64("doc_id", "text")
+def row_hash() -> Column:
+    """With the id this names a row; equal rows share it, and what holds for one holds for the other."""
+    return F.xxhash64("text")
+
+
+_BINARY = pa.binary()
 
 
 def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, n, windows): a batch's distinct candidate runs and how often each occurs in it."""
+    """(key, run, n, twice, windows): a chunk's distinct candidate runs, how often each occurs in it, whether a window occurs twice in the run, and their digests."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for _, runs in _runs(batch.column(1), window, gram):
                 runs.keep(estimated_repeated(runs.key, bitmap.value, width))
-                flat, digest = runs.hashes()
-                if not len(digest):
+                if not len(runs.key):
                     continue
-                order = np.lexsort((digest, runs.key))
-                key, digest = runs.key[order], digest[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-                at = np.flatnonzero(new)
-                first = np.cumsum(runs.size) - runs.size
-                chosen = order[at]
-                sizes = runs.size[chosen]
-                ends = np.cumsum(sizes)
-                take = np.repeat(first[chosen] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat[take].view(np.int64)))
-                counts = np.diff(np.append(at, len(order)))
+                seen: dict[bytes, int] = {}
+                counts: list[int] = []
+                chosen: list[int] = []
+                for k, run in enumerate(runs.digests()):
+                    at = seen.setdefault(run, len(counts))
+                    if at == len(counts):
+                        counts.append(0)
+                        chosen.append(k)
+                    counts[at] += 1
+                where = np.array(chosen)
+                ends = np.append(0, np.cumsum(runs.size[where]))
+                windows = runs.window_digests(where)
+                twice = [len(set(windows[a:b])) < b - a for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].view(np.int64)), pa.array(digest[at].view(np.int64)), pa.array(counts), lists], ["key", "run", "n", "windows"]
-                )
+                    [
+                        pa.array(runs.key[where].view(np.int64)), pa.array(list(seen), _BINARY), pa.array(counts, pa.int64()), pa.array(twice, pa.bool_()),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(windows, _BINARY)),
+                    ],
+                    ["key", "run", "n", "twice", "windows"],
+                )
 
         return each
 
-    return map_batches(rows.select("doc_id", "text"), make, "key long, run long, n long, windows array<long>")
+    return map_batches(rows.select("doc_id", "text"), make, "key long, run binary, n long, twice boolean, windows array<binary>")
 
 
 def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, row, start, size): where candidate runs are; start counts words."""
+    """(key, run, doc_id, row, start, size): where candidate runs are; start counts words."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -142,27 +164,25 @@ def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Da
             for i, runs in _runs(batch.column(1), window, gram):
                 runs.keep(estimated_repeated(runs.key, bitmap.value, width))
                 if len(runs.key):
-                    _, digest = runs.hashes()
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(runs.key.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(names[i + runs.text]),
+                            pa.array(runs.key.view(np.int64)), pa.array(runs.digests(), _BINARY), batch.column(0).take(pa.array(i + runs.text)), pa.array(names[i + runs.text]),
                             pa.array(runs.start.astype(np.int32)), pa.array(runs.size.astype(np.int32)),
                         ],
-                        ["key", "run", "row", "start", "size"],
+                        ["key", "run", "doc_id", "row", "start", "size"],
                     )
 
         return each
 
-    return map_batches(rows.select("doc_id", "text", row_key().alias("row")), make, "key long, run long, row long, start int, size int")
+    return map_batches(rows.select("doc_id", "text", "row"), make, "key long, run binary, doc_id long, row long, start int, size int")
 
 
-def repeated_windows(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
-    """(row, spans): for each row (``row_key``) the (start, size, at) of its repeated windows, in words.
+def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
+    """(doc_id, row, spans): for each row of (doc_id, text, row = ``row_hash``) the (start, size, at) of its repeated windows, in words.
 
     ``at`` lists the repeated windows of a run by offset; null means all ``size`` of them.
     """
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = df.sparkSession
+    spark = rows.sparkSession
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, runs in _runs(batch.column(1), window, gram):
@@ -171,29 +191,29 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
 
     width = fitting_width(rows, RUN_BYTES, width)
     bitmap = spark.sparkContext.broadcast(repeated_cells(rows, keys, width))
-    # dealt by key alone: classes and their keys' totals need no other shuffle, and keys that occur once after all end here
-    found = _classes(rows, bitmap, window, gram, width).repartition("key")
-    merged = found.groupBy("key", "run").agg(F.sum("n").alias("n"), F.max("windows").alias("windows"))
-    total = F.sum("n").over(Window.partitionBy("key"))
-    periodic = F.size(F.array_distinct("windows")) < F.size("windows")
-    classes = cut(merged.withColumn("total", total).where((F.col("total") > 1) | periodic).drop("total"))
+    found = _classes(rows, bitmap, window, gram, width).groupBy("key", "run")
+    merged = cut(found.agg(F.sum("n").alias("n"), F.first("twice").alias("twice"), F.first("windows").alias("windows")))
+    # keys that the sketch took for repeated and that occur once after all end here
+    again = cut(merged.groupBy("key").agg(F.sum("n").alias("n"), F.bool_or("twice").alias("twice")).where("n > 1 OR twice").select("key"))
+    classes = KeyBitmap(again, "key").held(merged, "key")
     flat = classes.select("key", "run", "n", F.posexplode("windows").alias("at", "window"))
-    again = flat.groupBy("key", "window").agg(F.sum("n").alias("times")).where("times > 1").select("key", "window")
-    once = flat.where("n = 1").join(again, ["key", "window"], "left_semi").groupBy("key", "run").agg(F.collect_list("at").alias("at"))
+    several = flat.groupBy("key", "window").agg(F.sum("n").alias("times")).where("times > 1").select("key", "window")
+    once = flat.where("n = 1").join(several, ["key", "window"], "left_semi").groupBy("key", "run").agg(F.collect_list("at").alias("at"))
     flagged = classes.where("n > 1").select("key", "run", F.lit(None).cast("array<int>").alias("at")).unionByName(once)
     places = _postings(rows, bitmap, window, gram, width).join(flagged, ["key", "run"])
-    return places.groupBy("row").agg(F.collect_list(F.struct("start", "size", "at")).alias("spans"))
+    # a set: rows that repeat say the same
+    return places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "size", "at")).alias("spans"))
 
 
 def dedup_substrings(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, one row per row of (doc_id, text)."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key())
-    spans = cut(repeated_windows(df, window, gram, width))
-    joined = left_joined(rows, spans, "row").select("doc_id", "text", "spans")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_hash())
+    spans = cut(repeated_windows(rows, window, gram, width))
+    joined = left_joined(rows, spans, "doc_id", "row").select("doc_id", "text", "spans")
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(1).cast(pa.large_binary())
             kept, total, removed = [], [], []
             for text, spans in zip(texts, batch.column(2), strict=True):
                 words = (text.as_py() or b"").split()

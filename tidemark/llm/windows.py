@@ -74,6 +74,16 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(np.add.reduceat(taken, first))
 
 
+def single_spaced(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words end to end with one space after each, and where each begins (one more for the end): equal word sequences are equal bytes."""
+    sizes = ends - starts
+    first = np.concatenate(([0], np.cumsum(sizes + 1)))
+    out = np.full(int(first[-1]), 0x20, np.uint8)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(first[:-1], sizes) + within] = body[np.repeat(starts, sizes) + within]
+    return out, first
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values, by doubling."""
     n = len(values) - width + 1
