@@ -2,13 +2,14 @@
 
 1. Rows whose whole text is a copy of a smaller document's are found by SHA-256; all their windows repeat, so they leave.
 2. Every 50-byte window is filed under the least hash of its 16-byte grams; neighbouring windows mostly share it, so a
-   text falls into short runs. A sketch of the keys (see ``countmin``) leaves runs whose key may occur twice. Equal runs (told by a 128-bit
-   cryptographic digest of their bytes) are one class with its smallest and its largest document, merged by a partial aggregate.
+   text falls into short runs. A sketch of the keys (see ``countmin``) leaves runs whose key may occur twice. Runs of equal bytes are one class
+   with its smallest and its largest document, grouped on their bytes by a partial aggregate.
 3. The classes of a key meet in one task, those of several documents as two texts: one of the first document, one of a later one. A
    suffix array over a block of keys and the interval tree of its common prefixes give the maximal repeats with all occurrences;
    an occurrence in a later document than the repeat's first is marked. That decides copies of a run and parts of it alike.
    A key with more than ``limit`` classes is split further, by whole windows, and those go through the same array, in pieces.
-4. Where a row has a run, the marks of its class for the first or for later documents return to the row.
+4. Where a row has a run, the marks of its class for the first or for later documents return to the row; a class is then named by
+   its key and 128 bits of the SHA-256 of its bytes.
 
 ``repeat_groups`` gives the maximal repeats themselves, with all their occurrences in documents.
 
@@ -24,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import KeyBitmap, concatenated, cut, left_joined, map_batches, table, without
@@ -38,7 +40,7 @@ LONGEST, LIMIT, BLOCK = 35, 8192, 1 << 20
 #: Marks are one number each: start times ``SPAN`` plus length; -1 stands for the whole text.
 SPAN, DIGEST = 128, 16
 _LAST = (1 << 63) - 1
-_CLASS = ["key", "run", "doc", "last", "segment"]
+_CLASS = ["key", "segment", "doc", "last"]
 
 
 class ByteRuns:
@@ -67,18 +69,15 @@ class ByteRuns:
         self.begin, self.size, self.key, self.text, self.start = (x[which] for x in (self.begin, self.size, self.key, self.text, self.start))
         return self
 
-    def segments(self) -> tuple[np.ndarray, np.ndarray]:
-        """The runs' bytes end to end, and each run's length in bytes."""
-        lengths = self.size + self.window - 1
-        first = np.cumsum(lengths) - lengths
-        within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        return self.body[np.repeat(self.begin, lengths) + within], lengths
-
-    def digests(self) -> list[bytes]:
-        """A digest of each run's bytes."""
+    def pieces(self) -> list[bytes]:
+        """The bytes of each run."""
         data = self.body.tobytes()
         ends = self.begin + self.size + self.window - 1
-        return [hashlib.blake2b(data[a:b], digest_size=DIGEST).digest() for a, b in zip(self.begin.tolist(), ends.tolist(), strict=True)]
+        return [data[a:b] for a, b in zip(self.begin.tolist(), ends.tolist(), strict=True)]
+
+
+def _named(segment: bytes) -> bytes:
+    return hashlib.sha256(segment).digest()[:DIGEST]
 
 
 def _runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, ByteRuns]]:
@@ -87,16 +86,8 @@ def _runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, ByteR
         yield i, ByteRuns(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
 
 
-def _binary(flat: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Slices of a byte array as a binary column."""
-    ends = np.cumsum(lengths)
-    take = np.repeat(first - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-    buffers = [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat[take]))]
-    return pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
-
-
 def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, doc, last, segment): a chunk's distinct candidate runs with their smallest and largest documents in it."""
+    """(key, segment, doc, last): a chunk's distinct candidate runs with their smallest and largest documents in it."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -106,19 +97,17 @@ def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Dat
                 if not len(runs.key):
                     continue
                 named: dict[bytes, int] = {}
-                of = np.array([named.setdefault(run, len(named)) for run in runs.digests()])
+                of = np.array([named.setdefault(piece, len(named)) for piece in runs.pieces()])
                 doc = docs[i + runs.text]
                 order = np.lexsort((doc, of))
                 at = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1])))
                 chosen, largest = order[at], doc[order[np.append(at[1:], len(order)) - 1]]
-                flat, lengths = runs.segments()
-                first = np.cumsum(lengths) - lengths
                 columns = (pa.array(runs.key[chosen].view(np.int64)), pa.array(list(named), pa.binary()), pa.array(doc[chosen]), pa.array(largest))
-                yield pa.RecordBatch.from_arrays([*columns, _binary(flat, lengths[chosen], first[chosen])], _CLASS)
+                yield pa.RecordBatch.from_arrays(list(columns), _CLASS)
 
         return each
 
-    return map_batches(rows.select("doc", "row", "text"), make, "key long, run binary, doc long, last long, segment binary")
+    return map_batches(rows.select("doc", "row", "text"), make, "key long, segment binary, doc long, last long")
 
 
 def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
@@ -132,7 +121,7 @@ def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Da
                 if len(runs.key):
                     columns = (runs.key.view(np.int64), docs[i + runs.text], names[i + runs.text], runs.start)
                     key, doc, row, start = map(pa.array, columns)
-                    yield pa.RecordBatch.from_arrays([key, pa.array(runs.digests(), pa.binary()), doc, row, start], ["key", "run", "doc", "row", "start"])
+                    yield pa.RecordBatch.from_arrays([key, pa.array(map(_named, runs.pieces()), pa.binary()), doc, row, start], ["key", "run", "doc", "row", "start"])
 
         return each
 
@@ -223,38 +212,55 @@ def _in_blocks(parts: DataFrame, each, schema: str, limit: int, block: int) -> D
     return parts.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(run, schema)
 
 
+def _owners(t: pa.Table, which: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Key, name and shift of the classes at ``which``: of a whole class its own, of a window those of the class that it is part of."""
+    some = t.select(["part", "key", "run", "shift", "segment"]).take(pa.array(which)).combine_chunks()
+    run = [_named(segment) if run is None else run for run, segment in zip(some["run"].to_pylist(), some["segment"].to_pylist(), strict=True)]
+    return pc.coalesce(some["key"], some["part"]).combine_chunks(), pa.array(run, pa.binary()), some["shift"].to_numpy()
+
+
 def _marked(parts: DataFrame, window: int, limit: int, block: int) -> DataFrame:
-    """(key, run, doc, early, later): classes that some document loses bytes by, with the marks for their first document and for later ones."""
+    """(key, run, doc, early, later): classes that some document loses bytes by, with the marks for their first document and for later ones.
+
+    A class whose windows were parts of their own comes once for each of them that has marks.
+    """
 
     def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
         early, later = Repeats(t, window).marks(len(t))
         keep = np.flatnonzero((np.diff(early.offsets.to_numpy()) > 0) | (np.diff(later.offsets.to_numpy()) > 0))
         if len(keep):
-            take = pa.array(keep)
-            names = ["key", "run", "doc", "shift"]
-            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks().take(take) for c in names), early.take(take), later.take(take)], [*names, "early", "later"])
+            key, run, shift = _owners(t, keep)
+            columns = [key, run, pa.array(t["doc"].to_numpy()[keep]), pa.array(shift), early.take(pa.array(keep)), later.take(pa.array(keep))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "run", "doc", "shift", "early", "later"])
 
     found = _in_blocks(parts, each, "key long, run binary, doc long, shift long, early array<long>, later array<long>", limit, block)
     moved = lambda c: F.transform(c, lambda m: m + F.col("shift") * SPAN).alias(c)
     return found.select("key", "run", "doc", moved("early"), moved("later"))
 
 
-def _parts(rows: DataFrame, bitmap, window: int, gram: int, width: int, limit: int) -> tuple[DataFrame, DataFrame | None]:  # noqa: ANN001
-    """(part, key, run, doc, last, shift, segment) of classes that may share a window: by key, and those of too common keys by whole windows."""
-    found = _classes(rows, bitmap, window, gram, width).groupBy("key", "run")
-    classes = cut(found.agg(F.min("doc").alias("doc"), F.max("last").alias("last"), F.first("segment").alias("segment")))
+def _parts(rows: DataFrame, bitmap, window: int, gram: int, width: int, limit: int) -> DataFrame:  # noqa: ANN001
+    """(part, key, run, doc, last, shift, segment) of classes that may share a window, parted by key; those of keys with over ``limit`` of them window by window.
+
+    key and run are null where they are the part's and the segment's own.
+    """
+    classes = cut(_classes(rows, bitmap, window, gram, width).groupBy("key", "segment").agg(F.min("doc").alias("doc"), F.max("last").alias("last")))
     # keys within one document lose nothing
     keys = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("key", "n"))
     live = KeyBitmap(keys, "key").held(classes, "key")
-    shift, bytes_ = F.lit(0).cast("long").alias("shift"), F.col("segment")
-    hot = cut(keys.where(F.col("n") > limit).select("key"))
-    if hot.isEmpty():
-        return live.select(F.col("key").alias("part"), "key", "run", "doc", "last", shift, bytes_), None
-    cool = without(live, hot, [F.col("key")]).select(F.col("key").alias("part"), "key", "run", "doc", "last", shift, bytes_)
-    warm = KeyBitmap(hot, "key").held(live, "key").join(hot, "key", "left_semi")
-    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("segment") - (window - 1)), lambda i: F.substring(F.col("segment"), i, F.lit(window))))
-    split = warm.select("key", "run", "doc", "last", each.alias("at", "bytes"))
-    return cool, split.select(F.xxhash64("bytes").alias("part"), "key", "run", "doc", "last", F.col("at").cast("long").alias("shift"), F.col("bytes").alias("segment"))
+    whole = F.struct(F.col("key").alias("part"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("run"), F.lit(0).cast("long").alias("shift"), "segment")
+    hot = cut(keys.where(F.col("n") > limit).select(F.col("key").alias("hot")))
+    n = hot.count()
+    if not n:
+        return live.select("doc", "last", whole.alias("p")).select("p.*", "doc", "last")
+    name = F.substring(F.unhex(F.sha2("segment", 256)), 1, DIGEST)
+
+    def piece(i: Column) -> Column:
+        bytes_ = F.substring(F.col("segment"), i, F.lit(window))
+        return F.struct(F.xxhash64(bytes_).alias("part"), F.col("key"), F.col("run"), (i - 1).cast("long").alias("shift"), bytes_.alias("segment"))
+
+    windows = F.transform(F.sequence(F.lit(1), F.length("segment") - (window - 1)), piece)
+    told = live.join(F.broadcast(hot) if n < 1 << 16 else hot, F.col("key") == F.col("hot"), "left").withColumn("run", F.when(F.col("hot").isNotNull(), name))
+    return told.select("doc", "last", F.explode(F.when(F.col("hot").isNull(), F.array(whole)).otherwise(windows)).alias("p")).select("p.*", "doc", "last")
 
 
 def _sketched(rows: DataFrame, window: int, gram: int, width: int) -> tuple:
@@ -275,12 +281,7 @@ def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int
     copies = cut(narrow.join(first, "digest").where("doc > first").select("doc", "row").distinct())
     rows = without(df.select("doc", "row", "text"), copies, [F.col("doc"), F.col("row")])
     bitmap, width = _sketched(rows, window, gram, width)
-    cool, warm = _parts(rows, bitmap, window, gram, width, limit)
-    staged = _marked(cool, window, limit, block)
-    if warm is not None:
-        several = _marked(warm, window, limit, block).groupBy("key", "run").agg(*[F.first("doc").alias("doc"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("early", "later")]])
-        staged = staged.union(several)
-    staged = cut(staged)
+    staged = cut(_marked(_parts(rows, bitmap, window, gram, width, limit), window, limit, block))
     named = staged.select("key", "run", F.col("doc").alias("first"), "early", "later")
     places = KeyBitmap(staged, "key", "run").held(_postings(rows, bitmap, window, gram, width), "key", "run").join(named, ["key", "run"])
     marks = F.transform(F.when(F.col("doc") > F.col("first"), F.col("later")).otherwise(F.col("early")), lambda m: F.col("start") * SPAN + m)
@@ -314,15 +315,12 @@ def repeat_groups(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
         if not len(text):
             return
         body, begin = found.body.tobytes(), found.offs[text] + offset
-        group = [hashlib.blake2b(body[a:b], digest_size=DIGEST).digest() for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-        of = pa.array(found.of[text])
-        key, run, shift = (t[c].combine_chunks().take(of) for c in ("key", "run", "shift"))
-        yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary()), pa.array(length), key, run, pa.array(offset + shift.to_numpy())], ["group", "length", "key", "run", "offset"])
+        group = [_named(body[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+        key, run, shift = _owners(t, found.of[text])
+        yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary()), pa.array(length), key, run, pa.array(offset + shift)], ["group", "length", "key", "run", "offset"])
 
     schema = "group binary, length long, key long, run binary, offset long"
-    cool, warm = _parts(rows, bitmap, window, gram, width, limit)
-    found = _in_blocks(cool, each, schema, limit, block)
-    found = cut((found if warm is None else found.union(_in_blocks(warm, each, schema, limit, block))).distinct())
+    found = cut(_in_blocks(_parts(rows, bitmap, window, gram, width, limit), each, schema, limit, block).distinct())
     places = _postings(rows, bitmap, window, gram, width).join(found, ["key", "run"])
     doc_id = F.when(F.col("doc") != _LAST, F.col("doc"))
     return places.select(F.lower(F.hex("group")).alias("group"), "length", doc_id.alias("doc_id"), (F.col("start") + F.col("offset")).alias("start")).distinct()
