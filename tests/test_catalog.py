@@ -48,3 +48,13 @@ def test_entry(spark):
     found = entry.entry(spark)
     assert {r["column"] for r in found.where("drift_detected").collect()} >= {"shifted", "moved"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_without_what_some_operators_need():
+    """Where a library of the training-data operators is missing, the engine's own queries stay."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert [int(x) for x in told] == [len(catalog.queries()), len(catalog.oracle_sql())]

@@ -30,6 +30,28 @@ def test_damaged_files(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path / "none.csv"))
 
 
+def test_reading_falls_back_and_reports(spark, tmp_path):
+    good = write(tmp_path / "good.csv", [["k", "v"], ["1", "2"]])
+    report = readers.Report()
+    readers.read_csv(spark, good, report=report)
+    assert (report.level, report.damaged, report.misfits) == ("FAILFAST", 0, {})
+    (tmp_path / "bad.csv").write_bytes(b"k,v\n1,2\n2\n3,4,5\n")
+    rows = readers.read_csv(spark, str(tmp_path / "bad.csv"), report=report).collect()
+    assert (report.level, report.damaged) == ("PERMISSIVE", 2) and [r["k"] for r in rows] == [1, 2, 3]
+    lost = readers.Report()
+    test = readers.read_csv(spark, write(tmp_path / "test.csv", [["k", "v"], ["1", "x"], ["NA", "3"]]), {"v": T.LongType(), "k": T.LongType()}, lost)
+    assert lost.misfits == {"v": 1} and [r["v"] for r in test.collect()] == [None, 3]
+
+
+def test_outputs_come_from_the_first_folder_that_has_them(spark, tmp_path):
+    for n, rank in (("a", None), ("b", 1), ("c", 2)):
+        (tmp_path / n).mkdir()
+        if rank:
+            write(tmp_path / n / "feature_importance.csv", [["rank", "feature", "importance"], [rank, "x", 0.5]])
+    found = readers.load_outputs(spark, *(str(tmp_path / n) for n in "abc"))
+    assert set(found) == {"feature_importance"} and found["feature_importance"].first()["rank"] == 1
+
+
 def test_empty_file(spark, tmp_path):
     assert readers.read_csv(spark, write(tmp_path / "a.csv", [["a", "b"]])).count() == 0
 
@@ -46,8 +68,7 @@ def test_ingest_needs_the_id(spark, tmp_path):
     a = write(tmp_path / "a.csv", [["CustomerID", "x", "ChurnStatus"], ["1", "2.5", "Yes"]])
     b = write(tmp_path / "b.csv", [["CustomerID", "x"], ["9", "3"]])
     _, test = readers.ingest(spark, a, b)
-    assert test.columns == ["CustomerID", "x", "ChurnStatus"]
-    assert test.first()["x"] == 3.0 and test.first()["ChurnStatus"] is None
+    assert test.columns == ["CustomerID", "x"] and test.first()["x"] == 3.0  # the target is not made up
     with pytest.raises(ValueError):
         readers.ingest(spark, a, write(tmp_path / "c.csv", [["x"], ["1"]]))
 
@@ -74,4 +95,4 @@ def test_whole_run(spark, tmp_path):
     parts = readers.load_outputs(spark, out)
     assert {"drift_results", "ranked_features", "feature_importance", "prediction", "pipeline_meta"} == set(parts)
     assert parts["pipeline_meta"].first()["n_train"] == 800
-    assert {r["feature"]: r["mitigation"] for r in parts["drift_results"].collect()}["charge"] == "quantile_bin"
+    assert {r["feature"]: r["mitigation"] for r in parts["drift_results"].collect()}["charge"] == "quantile_binning"

@@ -2,8 +2,9 @@
 
 import math
 
+import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -247,3 +248,134 @@ def test_date_rates_use_every_distinct_value(spark):
     twice = df.union(df)  # under the share of distinct values that makes a column metadata
     assert profile.manifest(profile.profile(twice)) == {"x": "time"}
     assert profile.manifest(profile.profile(twice.union(spark.createDataFrame([("w1",), ("w2",), ("w3",)], "x string")))) == {"x": "high_cardinality"}
+
+
+# ---- what the reference's rules ask for where it is easy to be wrong ----
+def test_l1_uses_the_shares_of_whole_tables(spark):
+    """A category among one side's first is held against its share on the other side, however rare it is there."""
+    from dataclasses import replace
+
+    a, b = freq(spark, {"x": 0.5, "y": 0.3, "z": 0.2}), freq(spark, {"z": 0.5, "x": 0.3, "y": 0.2})
+    assert one(drift.l1(a, b, replace(DEFAULT, l1_top=1)).select("l1")) == pytest.approx(0.2 + 0.3)  # x and z
+    assert one(drift.l1(a, b, replace(DEFAULT, l1_top=3)).select("l1")) == pytest.approx(0.2 + 0.1 + 0.3)
+
+
+def test_paired_tables_equal_two_tables(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 1), (None, 2), ("x", 3)], "c string, d int")
+    b = spark.createDataFrame([("x", 1), ("z", 9)], "c string, d int")
+    cols = ["feature", "category", "n_train", "n_test", "p", "q"]
+    two = frequency.aligned(frequency.category_freq(a, ["c", "d"]), frequency.category_freq(b, ["c", "d"]))
+    assert sorted(map(tuple, frequency.paired(a, b, ["c", "d"]).select(*cols).collect())) == sorted(map(tuple, two.select(*cols).collect()))
+    empty = frequency.paired(a, b.where("false"), ["c"]).agg(F.sum("q"), F.sum("p")).first()
+    assert tuple(empty) == (0.0, 1.0)
+
+
+def test_chi_square_without_test_rows_ran_and_confirms_nothing(spark):
+    got = drift.category_tests(frequency.paired(spark.range(100).select((F.col("id") % 2).cast("string").alias("c")), spark.range(20).select(F.lit("other").alias("c")), ["c"])).first()
+    assert math.isnan(got["chi2"]) and got["cells"] == 2
+
+
+def test_temporal_means(spark):
+    train = spark.createDataFrame([("25-Jan", 1.0)] * 6 + [("25-Feb", 4.0), ("25-Feb", None), (None, 10.0)], "m string, x double")
+    test = spark.createDataFrame([("25-May", 2.0)] * 3 + [("25-Jun", 8.0), ("25-Jul", None), (None, 5.0)], "m string, x double")
+    got = months.temporal_means(train, test, ["x"], "m", ["25-Feb"]).first()
+    assert got["full"] == pytest.approx(20 / 8)  # all rows, also those without a month
+    assert got["near"] == 4 and got["then"] == pytest.approx((2 + 8 + 5) / 3)  # a month without values is skipped
+    assert months.temporal_means(train, test, ["x"], "m", ["25-Dec"]).first()["near"] == got["full"]
+    assert {r["month"]: r["mean"] for r in months.monthly_means(test, ["x"], "m").collect()} == {"25-May": 2, "25-Jun": 8, "25-Jul": 0, None: 5}
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5), st.floats(-1e6, 1e6)), max_size=60), st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0, 0.333]), min_size=1, max_size=3))
+@settings(max_examples=15, deadline=None)
+def test_exact_quantiles(spark, values, probs):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+    got = profile.exact_quantiles(df, {"x": F.col("x")}, probs, {"n": F.count})["x"]
+    known = [float(v) for v in values if v is not None]
+    assert got[1] == [len(known)]
+    assert got[0] is None if not known else got[0] == pytest.approx(np.quantile(known, probs).tolist())
+
+
+def test_exact_quantiles_of_many_rows(spark):
+    df = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.lit(5.0)).otherwise(F.col("id")).cast("double").alias("y"), (F.col("id") % 7).alias("z"))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = profile.exact_quantiles(df, {c: F.col(c).cast("double") for c in "xyz"}, probs)
+    rows = df.toPandas()
+    for c in "xyz":
+        assert got[c][0] == pytest.approx(np.quantile(rows[c], probs).tolist())
+
+
+def test_quantiles_where_the_sketch_is_of_no_use(spark, monkeypatch):
+    """Brackets that miss their rank only cost another run."""
+    real = F.percentile_approx
+    monkeypatch.setattr(profile.F, "percentile_approx", lambda c, p, a: real(c, [0.9] * len(p), a))
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    assert profile.exact_quantiles(df, {"x": F.col("x")}, [0.1, 0.5])["x"][0] == pytest.approx([99.9, 499.5])
+
+
+def test_no_task_holds_a_column_for_its_quantiles(spark):
+    import inspect
+
+    assert "F.percentile(" not in inspect.getsource(profile) and "collect_list" not in inspect.getsource(profile)
+
+
+def test_distinct_counts(spark):
+    df = spark.createDataFrame([(1, 0.0, "a", None), (1, -0.0, "b", None), (2, 1.5, None, None), (None, float("nan"), "a", None)], "i int, d double, s string, v string")
+    assert {r["feature"]: r["n_unique"] for r in profile.cardinality(df, df.columns).collect()} == {"i": 3, "d": 3, "s": 3, "v": 1}
+    assert {r["n_unique"] for r in profile.cardinality(df.where("false"), df.columns).collect()} == {0}
+
+
+@pytest.mark.parametrize("levels", [30, 1109])
+def test_trees_take_any_number_of_levels(spark, levels):
+    df = spark.range(4000).select(F.concat(F.lit("city "), (F.col("id") % levels).cast("string")).alias("city"), ((F.col("id") % levels) % 3 == 0).cast("int").alias("y"), (F.col("id") % 50).cast("double").alias("x"))
+    fitted = model.fit(df, ["city", "x"], F.col("y"), trees=3, depth=3)
+    scored = model.score(fitted, df.union(spark.createDataFrame([("never seen", 0, None)], df.schema)), ["city"])
+    assert scored.count() == 4001 and scored.where("probability_score IS NULL OR probability_score NOT BETWEEN 0 AND 1").count() == 0
+    assert bool(fitted.codes) == (levels > model.MOST_LEVELS)
+    assert [r["rank"] for r in model.importance(fitted, spark).collect()] == [1, 2]
+
+
+def test_columns_that_a_split_lacks_are_skipped_not_lost(spark):
+    a, b = spark.range(50).select(F.col("id").cast("double").alias("x"), F.lit("m").alias("k")), spark.range(50).select(F.col("id").cast("double").alias("x"))
+    got = {r["column"]: (r["test_method"], r["notes"]) for r in detect.Detector({"x": "numerical", "k": "categorical", "gone": "sparse"}).detect(a, b).collect()}
+    assert got["k"] == got["gone"] == ("Skipped", "column absent in one dataset") and got["x"][0] == "Pre-Screen Only (fast)"
+
+
+def test_a_failing_third_phase_is_noted(spark, monkeypatch):
+    train = spark.range(200).select(F.col("id").cast("double").alias("x"), F.lit("25-Jan").alias("m"))
+    test = train.select((F.col("x") + 500).alias("x"), "m")
+    monkeypatch.setattr(months, "temporal_means", lambda *a: 1 / 0)
+    got = detect.Detector({"x": "numerical"}, "m").detect(train, test).first()
+    assert got["drift_severity"] == "SEVERE" and got["phase_c_notes"].startswith("phase C error")
+
+
+def test_exact_ks_equals_a_count_of_paths():
+    import itertools
+
+    for n, m in ((3, 4), (5, 2), (4, 4)):
+        gaps = []
+        for chosen in itertools.combinations(range(n + m), n):
+            i = j = 0
+            worst = 0.0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in chosen else (i, j + 1)
+                worst = max(worst, abs(i / n - j / m))
+            gaps.append(worst)
+        for d in sorted(set(gaps)):
+            assert special.ks_two_sample(d, n, m) == pytest.approx(sum(g >= d - 1e-12 for g in gaps) / len(gaps))
+
+
+def test_positive_label_of_the_score_view():
+    assert text.positive_label_of_view(["No", "Yes"]) == "Yes" and text.positive_label_of_view(["stay", "leave"]) == "leave"
+
+
+def test_scores_need_an_id(spark):
+    a = spark.createDataFrame([(1, 0.5)], "k int, p double")
+    with pytest.raises(ValueError, match="need the id"):
+        model.joined_scores(a, a.drop("k"), "k")
+
+
+def test_policies_do_not_multiply_rows_that_share_an_id(spark):
+    raw = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 9.0)], "k int, x double")
+    fitted = mitigate.Mitigator().fit(raw, raw, {"x": "numerical"})
+    assert sorted(r["x"] for r in mitigate.apply_policy("delta", ["x"], raw, raw, fitted).collect()) == [-2.0, 0.0, 5.0]
+    assert sorted(r["x"] for r in mitigate.apply_policy("none", ["x"], raw, raw, fitted).collect()) == [2.0, 4.0, 9.0]

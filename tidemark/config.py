@@ -10,6 +10,15 @@ DATE_FORMATS = ("yy-MMM", "yyyy-MM", "MM/dd/yyyy", "dd-MMM-yyyy", "yyyyMM", "MMM
 POSITIVE_HINTS = ("yes", "1", "true", "y", "churn")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 NULL_LEVEL, OTHER_LEVEL = "__null__", "__OTHER__"
+# Names of tests and treatments in result files, and the short and long names shown for them.
+KS_TEST, PSI_TEST, JS_TEST, Z_TEST = "Kolmogorov-Smirnov", "Population Stability Index", "Jensen-Shannon Divergence", "Two-Proportion Z-Test"
+PRESCREENED, SKIPPED = "Pre-Screen Only (fast)", "Skipped"
+SHORT_TESTS = ((KS_TEST, "KS"), (PSI_TEST, "PSI"), (JS_TEST, "JS"), (Z_TEST, "Z"))
+STABLE, UNTREATED = "no_action (stable)", "no_action (excluded type)"
+TREATMENTS = {
+    "quantile_binning": "Quantile Binning", "robust_scaling": "Robust Scaling", "frequency_encoding": "Frequency Encoding",
+    "target_encoding": "Target Encoding (Laplace, m=10)", "binarise (sparse->binary)": "Binarisation", "drop_feature": "Drop Feature",
+}
 
 
 @dataclass(frozen=True)
@@ -68,8 +77,6 @@ class Config:
     zero_counts_null: bool = True  # nulls count as zeros in the zero rate
     #: "bounded": a profile counts distinct values exactly only where a sketch comes near a rule's cut-off.
     cardinality: str = "exact"
-    #: Rows up to which quantiles are exact; beyond, a sketch with an error of one in 100,000 bounds memory.
-    exact_quantile_rows: int = 20_000_000
 
 
 DEFAULT = Config()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def normal_two_sided(z: float) -> float:
     """P(|N| > |z|)."""
@@ -43,30 +45,38 @@ def chi2_upper(x: float, df: int) -> float:
     return front * h
 
 
+#: Size of the larger sample up to which path counting gives the two-sample p-value; the series is the limit beyond.
+EXACT_KS = 10_000
+
+
 def ks_two_sample(d: float, n: int, m: int) -> float:
-    """Two-sided p-value of a two-sample KS distance: exact path counting for small samples, else the asymptotic series."""
-    if n * m <= 10_000:
+    """Two-sided p-value of a two-sample KS distance: exact path counting up to ``EXACT_KS`` values a side, else the asymptotic series."""
+    if max(n, m) <= EXACT_KS:
         return _ks_exact(d, n, m)
-    t = d * math.sqrt(n * m / (n + m))
+    t = d * math.sqrt(n / (n + m) * m)
     if t < 0.2:
         return 1.0
     return min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * t * t) for j in range(1, 101))))
 
 
 def _ks_exact(d: float, n: int, m: int) -> float:
-    """Share of lattice paths from (0, 0) to (n, m) that touch distance d; equal values ignored."""
+    """Share of lattice paths from (0, 0) to (n, m) that touch distance d; equal values ignored.
+
+    Walks the diagonals i + j = k; ``inside`` has the probability that the first k draws, without replacement, took i of the
+    first sample and never reached d.
+    """
     limit = d - 1e-12
-    # probability to stay inside, path steps drawn without replacement
-    inside = [0.0] * (m + 1)
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if abs(i / n - j / m) >= limit:
-                inside[j] = 0.0
-            elif i == j == 0:
-                inside[j] = 1.0
-            else:
-                left = n - i + m - j + 1  # items undrawn before this step
-                up = inside[j] * (n - i + 1) / left if i else 0.0
-                right = inside[j - 1] * (m - j + 1) / left if j else 0.0
-                inside[j] = up + right
-    return min(1.0, max(0.0, 1 - inside[m]))
+    inside = np.ones(1)
+    low = 0
+    for k in range(1, n + m + 1):
+        first, last = max(0, k - m), min(n, k)
+        i = np.arange(first, last + 1)
+        left = n + m - k + 1  # values not drawn before this step
+        now = np.zeros(len(i))
+        stay = (i >= low) & (i < low + len(inside))  # the k-th draw was of the second sample
+        now[stay] = inside[i[stay] - low] * (m - (k - 1 - i[stay])) / left
+        step = (i - 1 >= low) & (i - 1 < low + len(inside))
+        now[step] += inside[i[step] - 1 - low] * (n - i[step] + 1) / left
+        now[np.abs(i / n - (k - i) / m) >= limit] = 0.0
+        inside, low = now, first
+    return min(1.0, max(0.0, 1 - float(inside[0])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import DATE_FORMATS, MONTHS, NULL_LEVEL, NULL_TOKENS, POSITIVE_HINTS
+from tidemark.config import DATE_FORMATS, MONTHS, NULL_LEVEL, NULL_TOKENS, POSITIVE_HINTS, SHORT_TESTS, STABLE, TREATMENTS, UNTREATED
 
 
 def normalise(c: Column) -> Column:
@@ -52,9 +52,21 @@ def positive_label(labels: list[str]) -> str | None:
     return next((x for hint in POSITIVE_HINTS for x in found if x.lower().startswith(hint)), found[-1])
 
 
+def positive_label_of_view(labels: list[str]) -> str:
+    """The positive label as the score view picks it: the first that is a hint as it stands, whatever the case, else the last one seen."""
+    return next((x for x in labels if x.lower() in POSITIVE_HINTS), labels[-1])
+
+
 def short_test_name(c: Column) -> Column:
     """Test names as charts show them."""
     out = c
-    for long, short in (("two_sample_ks", "KS"), ("psi_chi2", "PSI"), ("topk_js", "JS"), ("two_proportion_z", "Z")):
+    for long, short in SHORT_TESTS:
         out = F.replace(out, F.lit(long), F.lit(short))
     return out
+
+
+def treatment_name(c: Column) -> Column:
+    """Treatments as tables show them; a dash for none."""
+    names = F.create_map(*[F.lit(x) for kv in TREATMENTS.items() for x in kv])
+    told = F.lower(F.trim(c))
+    return F.coalesce(F.try_element_at(names, told), F.when(told.isin("none", STABLE, UNTREATED), "—").otherwise(F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))))

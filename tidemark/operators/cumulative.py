@@ -7,17 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets of a key for each shuffle partition of the session, and at most: the edges of all keys are broadcast.
+SHARE, MOST = 4, 4096
 
 
-def running_sums(df: DataFrame, sums: Sequence[str], order: str = "x", key: str = "feature", descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def running_sums(df: DataFrame, sums: Sequence[str], order: str = "x", key: str = "feature", descending: bool = False, buckets: int | None = None) -> DataFrame:
     """``df`` (one row per key and value of ``order``, none null) with ``cum_<c>`` for each c in ``sums``: the sum up to and with this row.
 
     A key's rows are cut into buckets at approximate quantiles, so windows hold a share of them each; the bucket
-    totals (at most ``buckets`` rows per key) carry the sums over.
+    totals (at most ``buckets`` rows per key) carry the sums over. Buckets follow the session's shuffle partitions, which are set
+    by the size of the data, so that even a single key keeps all of them busy.
     """
+    if buckets is None:
+        buckets = min(MOST, SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = 1 << max(1, (buckets - 1).bit_length())
-    edges = df.groupBy(key).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("edges_"))
+    accuracy = max(1000, 4 * buckets)
+    edges = df.groupBy(key).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], accuracy).alias("edges_"))
     placed = df.join(F.broadcast(edges), key).withColumn("bucket_", F.lit(0))
     step = buckets
     while step > 1:  # binary search: the number of edges below the value

@@ -8,42 +8,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import number, numeric_columns, present, ratio, severity
+from tidemark.functions.scalars import number, present, ratio, severity
 from tidemark.operators.cumulative import running_sums
-from tidemark.operators.frequency import aligned, floored, long_form, rescaled, top, top_other
-from tidemark.operators.profile import numeric_stats
+from tidemark.operators.frequency import aligned, floored, long_form, rescaled, top, top_other_of
+from tidemark.operators.profile import both_stats
 
 
-def psi(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(feature, psi) of two frequency tables: floored shares, not rescaled."""
+def category_tests(pair: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """A row per feature of a paired table (``frequency.paired``), all from one aggregate.
+
+    psi: floored shares, not rescaled. chi2, cells: goodness of fit of the test counts to the train shares over cells with an expectation
+    of 5 or more, rescaled to the same sum; null with fewer than two cells, NaN where those cells have no test rows. category, shift: the
+    category whose share moved most. top_p, top_q: each side's largest share.
+    """
     p, q = floored("p", config.psi_floor), floored("q", config.psi_floor)
-    return aligned(train, test).groupBy("feature").agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
+    o, e = F.col("q") * F.col("rows_test"), F.greatest("p", F.lit(1e-9)) * F.col("rows_test")
+    kept = lambda x: F.sum(F.when(e >= config.chi2_min_expected, x))
+    shift = F.abs(F.col("p") - F.col("q"))
+    told = pair.groupBy("feature").agg(
+        F.sum((q - p) * F.ln(q / p)).alias("psi"), kept(o).alias("so"), kept(e).alias("se"), kept(o * o / e).alias("soe"),
+        F.count_if(e >= config.chi2_min_expected).alias("cells"), F.max_by("category", F.struct(shift, "category")).alias("category"), F.max(shift).alias("shift"),
+        F.max("p").alias("top_p"), F.max("q").alias("top_q"),
+    )
+    # with every expectation times so / se: sum of (o - e)^2 / e = se / so * sum of o^2 / e - so
+    chi2_ = F.coalesce(F.try_divide(F.col("se"), F.col("so")) * F.col("soe") - F.col("so"), F.lit(float("nan")))
+    return told.select("feature", "psi", F.when(F.col("cells") >= 2, chi2_).alias("chi2"), "cells", "category", "shift", "top_p", "top_q")
 
 
-def chi2(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(feature, chi2, cells): goodness of fit of the test counts to the train shares, cells with an expectation of 5 or more, rescaled.
+def _pair(train: DataFrame, test: DataFrame) -> DataFrame:
+    rows = test.groupBy("feature").agg(F.sum("n").alias("rows_test"))  # a row per feature
+    return aligned(train, test).join(F.broadcast(rows), "feature", "left").fillna(0, ["rows_test"])
 
-    Null statistic with fewer than two cells.
-    """
-    n = test.groupBy("feature").agg(F.sum("n").alias("n_test"))
-    cells = aligned(train, test).join(F.broadcast(n), "feature")
-    cells = cells.select("feature", (F.col("q") * F.col("n_test")).alias("o"), (F.greatest("p", F.lit(1e-9)) * F.col("n_test")).alias("e"))
-    cells = cells.where(F.col("e") >= config.chi2_min_expected)
-    total = cells.groupBy("feature").agg(F.sum("o").alias("so"), F.sum("e").alias("se"))
-    e = F.col("e") * F.try_divide(F.col("so"), F.col("se"))
-    told = cells.join(F.broadcast(total), "feature").groupBy("feature").agg(F.sum(F.try_divide((F.col("o") - e) ** 2, e)).alias("chi2"), F.count(F.lit(1)).alias("cells"))
-    return told.select("feature", F.when(F.col("cells") >= 2, F.col("chi2")).alias("chi2"), "cells")
+
+def psi(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(feature, psi) of two frequency tables."""
+    return category_tests(_pair(train, test), config).select("feature", "psi")
+
+
+def chi2(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(feature, chi2, cells) of two frequency tables."""
+    return category_tests(_pair(train, test), config).select("feature", "chi2", "cells")
 
 
 def l1(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(feature, l1): distance of the most frequent categories of either side."""
-    both = aligned(top(train, config.l1_top), top(test, config.l1_top))
-    return both.groupBy("feature").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("l1"))
+    return l1_of(aligned(train, test), config)
+
+
+def l1_of(pair: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(feature, l1): distance of the full tables' shares over the most frequent categories of either side."""
+    kept = top(pair, config.l1_top, "n_train").select("feature", "category").union(top(pair, config.l1_top, "n_test").select("feature", "category")).distinct()
+    shares = pair.join(F.broadcast(kept), ["feature", "category"], "left_semi")  # at most twice ``l1_top`` rows a feature
+    return shares.groupBy("feature").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("l1"))
 
 
 def js(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(feature, js): Jensen-Shannon divergence in bits over the train side's top k and the rest."""
-    return js_of(top_other(train, test, config.top_k), config)
+    return js_of(top_other_of(aligned(train, test), config.top_k), config)
 
 
 def js_of(binned: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -55,8 +75,7 @@ def js_of(binned: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def max_share_shift(train: DataFrame, test: DataFrame) -> DataFrame:
     """(feature, category, shift): the category whose share moved most."""
-    shift = F.abs(F.col("p") - F.col("q"))
-    return aligned(train, test).groupBy("feature").agg(F.max_by("category", F.struct(shift, "category")).alias("category"), F.max(shift).alias("shift"))
+    return category_tests(_pair(train, test)).select("feature", "category", "shift")
 
 
 def two_sample_counts(train: DataFrame, test: DataFrame, cols: Sequence[str], nonzero: bool = False) -> DataFrame:
@@ -104,9 +123,7 @@ def proportion_test(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> D
 
 def numeric_prescreen(train: DataFrame, test: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
     """(feature, shift, iqr_gap, score, flagged) from means, deviations and quartiles; a test quartile of exactly 0 counts as missing."""
-    a = numeric_stats(train, cols, config).select("feature", *[F.col(c).alias(f"a_{c}") for c in ("mean", "std", "p25", "p75")])
-    b = numeric_stats(test, cols, config).select("feature", *[F.col(c).alias(f"b_{c}") for c in ("mean", "p25", "p75")])
-    j = a.join(F.broadcast(b), "feature")
+    j = both_stats(train, test, cols)
     mean = F.coalesce("b_mean", F.lit(0.0))
     lo_a, hi_a = F.coalesce("a_p25", "a_mean"), F.coalesce("a_p75", "a_mean")
     lo_b, hi_b = (F.coalesce(F.nullif(F.col(c), F.lit(0.0)), mean) for c in ("b_p25", "b_p75"))
@@ -117,9 +134,9 @@ def numeric_prescreen(train: DataFrame, test: DataFrame, cols: Sequence[str], co
     return told.select("*", F.greatest("shift", "iqr_gap").alias("score"), ((F.col("shift") > config.shift) | (F.col("iqr_gap") > config.iqr_gap)).alias("flagged"))
 
 
-def category_prescreen(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(feature, score, flagged) from two frequency tables."""
-    return l1(train, test, config).select("feature", F.col("l1").alias("score"), (F.col("l1") > config.l1).alias("flagged"))
+def category_prescreen(pair: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(feature, score, flagged) from a paired table."""
+    return l1_of(pair, config).select("feature", F.col("l1").alias("score"), (F.col("l1") > config.l1).alias("flagged"))
 
 
 def sparse_prescreen(train: DataFrame, test: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
@@ -130,6 +147,3 @@ def sparse_prescreen(train: DataFrame, test: DataFrame, cols: Sequence[str], con
 
 def psi_severity(train: DataFrame, test: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return psi(train, test, config).withColumn("severity", severity(F.col("psi"), config.psi))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "numeric_columns")]

@@ -30,30 +30,40 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return category_freq(df, [col]).drop("feature").orderBy(F.desc("n"), "category")
 
 
-def by_frequency(*partition: str) -> Window:
-    """Most frequent first; ties by category, so that every top k is defined."""
-    return Window.partitionBy(*partition).orderBy(F.desc("n"), "category")
+def top(freq: DataFrame, k: int, n: str = "n") -> DataFrame:
+    """The k most frequent categories of each feature by the count ``n``; Spark keeps k per task before it shuffles."""
+    order = Window.partitionBy("feature").orderBy(F.desc(n), "category")
+    return freq.where(F.col(n) > 0).withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= k).drop("rank_")
 
 
-def top(freq: DataFrame, k: int) -> DataFrame:
-    return freq.withColumn("rank_", F.row_number().over(by_frequency("feature"))).where(F.col("rank_") <= k).drop("rank_")
+def paired(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, category, n_train, n_test, rows_test, p, q): counts and shares of both splits side by side, all columns in one shuffle."""
+    side = lambda df, a: long_form(df, cols).select("feature", level(F.col("category")).alias("category"), F.lit(a).alias("a"), F.lit(1 - a).alias("b"))
+    counts = side(train, 1).union(side(test, 0)).groupBy("feature", "category").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
+    rows = train.agg(F.count(F.lit(1)).alias("rows_train")).join(F.broadcast(test.agg(F.count(F.lit(1)).alias("rows_test"))))  # one row
+    share = lambda n: F.coalesce(F.try_divide(F.col(f"n_{n}").cast("double"), F.col(f"rows_{n}")), F.lit(0.0))
+    return counts.join(F.broadcast(rows)).select("feature", "category", "n_train", "n_test", "rows_test", share("train").alias("p"), share("test").alias("q"))
 
 
 def aligned(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Union of both sides' categories: (feature, category, p, q), a missing side 0."""
-    a = train.select("feature", "category", F.col("freq").alias("p"))
-    b = test.select("feature", "category", F.col("freq").alias("q"))
-    return a.join(b, ["feature", "category"], "full_outer").fillna(0.0, ["p", "q"])
+    """Union of the categories of two frequency tables: (feature, category, n_train, n_test, p, q), a missing side 0."""
+    a = train.select("feature", "category", F.col("n").alias("n_train"), F.col("freq").alias("p"))
+    b = test.select("feature", "category", F.col("n").alias("n_test"), F.col("freq").alias("q"))
+    both = a.join(b, ["feature", "category"], "full_outer").fillna(0.0, ["p", "q"]).fillna(0, ["n_train", "n_test"])
+    return both.select("feature", "category", "n_train", "n_test", "p", "q")
 
 
 def top_other(train: DataFrame, test: DataFrame, k: int) -> DataFrame:
+    return top_other_of(aligned(train, test), k)
+
+
+def top_other_of(pair: DataFrame, k: int) -> DataFrame:
     """(feature, category, p, q) over the train side's top k, all else in one level if it has any mass; each side adds up to one."""
-    kept = top(train, k).select("feature", "category", F.lit(True).alias("kept_"))
-    both = aligned(train, test).join(kept, ["feature", "category"], "left")
+    kept = top(pair, k, "n_train").select("feature", "category", F.lit(True).alias("kept_"))
     name = F.when(F.col("kept_"), F.col("category")).otherwise(F.lit(OTHER_LEVEL))
+    both = pair.select("feature", "category", "p", "q").join(F.broadcast(kept), ["feature", "category"], "left")  # k rows a feature
     binned = both.groupBy("feature", name.alias("category")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    binned = binned.where((F.col("p") > 0) | (F.col("q") > 0))
-    return rescaled(binned)
+    return rescaled(binned.where((F.col("p") > 0) | (F.col("q") > 0)))
 
 
 def rescaled(binned: DataFrame) -> DataFrame:

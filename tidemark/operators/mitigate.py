@@ -18,7 +18,8 @@ ROUTES = {
     "high_cardinality": "frequency", "high_card_cat": "frequency", "categorical": "target", "low_card_cat": "target",
     "numerical": "quantile_bin", "continuous": "quantile_bin", "sparse": "binarise",
 }
-ACTUAL = {"frequency": "frequency_encode", "target": "target_encode", "quantile_bin": "quantile_bin", "binarise": "binarise"}
+#: What result files call each encoder.
+ACTUAL = {"frequency": "frequency_encoding", "target": "target_encoding", "quantile_bin": "quantile_binning", "binarise": "binarise (sparse->binary)"}
 
 
 def positive(target: Column, label: str) -> Column:
@@ -94,11 +95,11 @@ class Fitted:
     warnings: list[str] = field(default_factory=list)
     numeric: set[str] = field(default_factory=set)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """One projection for all expressions, a join for each coded feature; column order stays."""
-        out = {}
+    def transform(self, df: DataFrame, instead: dict[str, Column] | None = None) -> DataFrame:
+        """One projection for all expressions, a join for each coded feature; column order stays. ``instead`` overrides features, pruned ones too."""
+        out = dict(instead or {})
         for c, how in self.route.items():
-            if c not in df.columns:
+            if c not in df.columns or c in out:
                 continue
             if c in self.pruned:
                 out[c] = F.lit(None).cast(df.schema[c].dataType)
@@ -108,7 +109,7 @@ class Fitted:
                 out[c] = present(df, c).cast("tinyint")
         done = df.withColumns(out) if out else df
         for c, codes in self.codes.items():
-            if c not in self.pruned and c in df.columns:
+            if c not in self.pruned and c in df.columns and c not in (instead or {}):
                 done = with_codes(done, c, codes, 0 if self.route[c] == "frequency" else self.rate)
         return done.select(df.columns)
 
@@ -137,7 +138,7 @@ class Mitigator:
         if binned := of("quantile_bin"):
             out.pruned += [r["feature"] for r in iqr_collapse(train, test, binned, c).where("collapsed").collect()]
             probs = [k / c.bins for k in range(1, c.bins)]
-            out.breaks = {r["feature"]: distinct_breaks(r["q"]) for r in quantiles(train, binned, probs, c).collect()}
+            out.breaks = {r["feature"]: distinct_breaks(r["q"]) for r in quantiles(train, binned, probs).collect()}
         if self.target and self.target in train.columns:
             out.rate = global_rate(train, self.target, self.label)
         for name in coded if coded else []:
@@ -155,13 +156,18 @@ def policy_features(ranked: DataFrame) -> list[str]:
     return [r["feature"] for r in ranked.where(kind & sev).select("feature").collect()]
 
 
-def apply_policy(policy: str, features: Sequence[str], raw_train: DataFrame, raw: DataFrame, encoded: DataFrame, key: str) -> DataFrame:
-    """Overrides of the encoded features: ``binning`` and ``robust`` keep them, ``none`` restores raw values, ``delta`` subtracts train's median."""
+def policy_columns(policy: str, features: Sequence[str], raw_train: DataFrame) -> dict[str, Column]:
+    """What stands in for the encoders of these features: nothing under ``binning`` and ``robust``, raw values under ``none``, the distance from train's median under ``delta``."""
     if policy in ("binning", "robust") or not features:
-        return encoded
+        return {}
     if policy not in ("none", "delta"):
         raise ValueError(f"unknown policy {policy}")
-    middle = {r["feature"]: r["q"][0] for r in quantiles(raw_train, features, [0.5]).collect()} if policy == "delta" else {}
-    moved = raw.select(F.col(key).alias("tm_key__"), *[(number(F.col(f)) - (middle[f] or 0.0) if middle else F.col(f)).alias(f"tm_{f}__") for f in features])
-    joined = encoded.join(moved, F.col(key) == F.col("tm_key__"), "left")
-    return joined.select(*[F.col(f"tm_{c}__").alias(c) if c in features else F.col(c) for c in encoded.columns])
+    if policy == "none":
+        return {f: F.col(f) for f in features}
+    middle = {r["feature"]: (r["q"] or [0.0])[0] for r in quantiles(raw_train, features, [0.5]).collect()}
+    return {f: number(F.col(f)) - middle[f] for f in features}
+
+
+def apply_policy(policy: str, features: Sequence[str], raw_train: DataFrame, raw: DataFrame, fitted: Fitted) -> DataFrame:
+    """``raw`` encoded, with the policy's overrides of these features: an expression each, no join, so that repeated ids do no harm."""
+    return fitted.transform(raw, policy_columns(policy, features, raw_train))

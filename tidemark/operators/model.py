@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import number, numeric_columns, ratio, text_columns
 from tidemark.functions.text import normalise
 from tidemark.operators.cumulative import running_sums
+from tidemark.operators.mitigate import with_codes
+from tidemark.operators.profile import cardinality
 
 
 def dead_columns(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -31,36 +34,75 @@ def prepared(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*[out.get(c, F.col(c)).alias(c) for c in [*features, *keep]])
 
 
-def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 20, depth: int = 5, most_levels: int = 512) -> PipelineModel:
+#: Text features of up to so many levels are nominal to the trees; beyond, a level is the number of train rows that have it.
+MOST_LEVELS, LEAST_BINS = 512, 64
+
+
+@dataclass
+class Trained:
+    """Trees with what their inputs are made of. ``codes``: (level, code) of each text feature with too many levels to be nominal."""
+
+    pipeline: PipelineModel
+    features: list[str]
+    codes: dict[str, DataFrame]
+
+    def inputs(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        rows = prepared(df, self.features, keep)
+        for c, codes in self.codes.items():
+            rows = with_codes(rows, c, codes, 0.0)
+        return rows
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        for k, c in enumerate(self.codes):
+            self.codes[c].write.mode("overwrite").parquet(f"{path}/codes-{k}")
+        spark = next(iter(self.codes.values())).sparkSession if self.codes else None
+        if spark:
+            spark.createDataFrame([(k, c) for k, c in enumerate(self.codes)], "k int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/codes")
+
+
+def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 20, depth: int = 5, most_levels: int = MOST_LEVELS) -> Trained:
     """Gradient-boosted trees, classes balanced by weight, seed 42; rows without a label are dropped.
 
-    Text levels are indexed by frequency, levels beyond train's become a level of their own; features with more than ``most_levels`` are ordered numbers to the trees.
+    Text levels are indexed by frequency, levels beyond train's become a level of their own. A text feature with more than
+    ``most_levels`` levels becomes a number, its level's rows in train (0 for unseen ones), so that neither the trees' bins nor the
+    driver have to hold its levels.
     """
     rows = train.withColumn("tm_label__", label.cast("double")).where("tm_label__ IS NOT NULL")
     told = rows.agg(F.avg("tm_label__")).first()[0] or 0.0
     weight = F.when(F.col("tm_label__") == 1, 0.5 / max(told, 1e-9)).otherwise(0.5 / max(1 - told, 1e-9))
-    rows = prepared(rows.withColumn("tm_weight__", weight), features, ["tm_label__", "tm_weight__"])
-    texts = text_columns(rows, features)
+    keep = ["tm_label__", "tm_weight__"]
+    ready = prepared(rows.withColumn("tm_weight__", weight), features, keep)
+    texts = text_columns(ready, features)
+    levels = {r["feature"]: r["n_unique"] for r in cardinality(ready, texts).collect()} if texts else {}
+    codes = {c: ready.groupBy(F.col(c).alias("level")).agg(F.count(F.lit(1)).cast("double").alias("code")) for c in texts if levels[c] > most_levels}
+    texts = [c for c in texts if c not in codes]
+    trained = Trained(None, list(features), codes)
+    ready = trained.inputs(rows.withColumn("tm_weight__", weight), keep)
     stages: list = []
     if texts:
         stages.append(StringIndexer(inputCols=texts, outputCols=[f"tm_ix_{c}" for c in texts], handleInvalid="keep"))
     inputs = [f"tm_ix_{c}" if c in texts else c for c in features]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="tm_features__"))
-    stages.append(GBTClassifier(featuresCol="tm_features__", labelCol="tm_label__", weightCol="tm_weight__", seed=42, maxIter=trees, maxDepth=depth, maxBins=most_levels + 8))
-    return Pipeline(stages=stages).fit(rows)
+    bins = max([LEAST_BINS, *(levels[c] + 2 for c in texts)])
+    stages.append(GBTClassifier(featuresCol="tm_features__", labelCol="tm_label__", weightCol="tm_weight__", seed=42, maxIter=trees, maxDepth=depth, maxBins=bins))
+    trained.pipeline = Pipeline(stages=stages).fit(ready)
+    return trained
 
 
-def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(*keep, probability_score)."""
-    done = model.transform(prepared(df, features, keep))
-    return done.select(*keep, vector_to_array("probability")[1].alias("probability_score"))
+def score(model: Trained, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(*keep, probability_score); kept columns may be features, their own values are kept."""
+    held = [f"tm_keep_{k}__" for k in range(len(keep))]
+    rows = df.withColumns({h: F.col(c) for h, c in zip(held, keep, strict=True)})
+    done = model.pipeline.transform(model.inputs(rows, held))
+    return done.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], vector_to_array("probability")[1].alias("probability_score"))
 
 
-def importance(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
+def importance(model: Trained, spark: SparkSession) -> DataFrame:
     """(rank, feature, importance), largest first: a row per feature."""
-    gains = model.stages[-1].featureImportances.toArray().tolist()
-    rows = sorted(zip(features, gains, strict=True), key=lambda x: (-x[1], x[0]))
-    return df.sparkSession.createDataFrame([(k, f, float(g)) for k, (f, g) in enumerate(rows, 1)], "rank int, feature string, importance double")
+    gains = model.pipeline.stages[-1].featureImportances.toArray().tolist()
+    rows = sorted(zip(model.features, gains, strict=True), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(k, f, float(g)) for k, (f, g) in enumerate(rows, 1)], "rank int, feature string, importance double")
 
 
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -80,19 +122,31 @@ def confusion(df: DataFrame, y: str, p: str, threshold: float | None = None, con
 
 
 def confusion_curve(df: DataFrame, y: str, p: str, thresholds: Sequence[float]) -> DataFrame:
-    """A row of cells and metrics for each threshold, all from one aggregate."""
-    pos, hit = F.col(y) == 1, lambda t: F.col(p) >= F.lit(float(t))
-    cells = {"tp": lambda t: pos & hit(t), "fp": lambda t: ~pos & hit(t), "fn": lambda t: pos & ~hit(t), "tn": lambda t: ~pos & ~hit(t)}
-    wide = df.agg(*[F.count_if(e(t)).alias(f"{n}_{k}") for k, t in enumerate(thresholds) for n, e in cells.items()])
-    pairs = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), *[F.col(f"{n}_{k}").alias(n) for n in cells]) for k, t in enumerate(thresholds)])
-    rows = wide.select(F.explode(pairs).alias("c")).select("c.*")
-    tp, fp, fn, tn = (F.col(c) for c in cells)
-    return rows.select(
+    """A row of cells and metrics for each threshold: scores are counted between neighbouring thresholds and added up, one pass for any number of them.
+
+    Rows whose score is null are hits of no threshold and misses of none, those without a label count nowhere.
+    """
+    steps = sorted({float(t) for t in thresholds})
+    passed = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col(p)))  # how many thresholds the score reaches
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    counts = rows.groupBy(passed.alias("k")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    grid = df.sparkSession.createDataFrame(list(enumerate([float("-inf"), *steps])), "k int, threshold double")
+    full = F.broadcast(grid).join(counts, "k", "left").fillna(0, ["pos", "neg"])  # a row per threshold
+    from_here = Window.partitionBy(F.lit(0)).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.sum(c).over(from_here).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))] + [F.coalesce(F.sum(c).over(below), F.lit(0)).alias(n) for c, n in (("pos", "fn"), ("neg", "tn"))]
+    cells = full.select("k", "threshold", *sums).where("k > 0").drop("k")
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return cells.select(
         "*", ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tn, tn + fp).alias("specificity"),
     )
 
 
+#: The score view's slider: 0.10 to 0.90 in steps of a hundredth.
+SWEEP = tuple(k / 100 for k in range(10, 91))
+
+
 def classes(df: DataFrame, y: str) -> int:
     """Distinct labels; scores need two."""
     return df.agg(F.count_distinct(F.col(y))).first()[0]
@@ -104,7 +158,3 @@ def joined_scores(predictions: DataFrame, labels: DataFrame, key: str) -> DataFr
         raise ValueError(f"both sides need the id {key}")
     as_text = lambda df: df.withColumn(key, F.col(key).cast("string"))
     return as_text(predictions).join(as_text(labels), key)
-
-
-def ranked_share(c: str) -> Column:
-    return F.cume_dist().over(Window.orderBy(c))

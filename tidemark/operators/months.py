@@ -51,18 +51,37 @@ def recency_factor(df: DataFrame, month: str, config: Config = DEFAULT) -> DataF
     return recency_weights(df, month, config).agg(F.coalesce(F.sum(F.col("fraction") ** 2), F.lit(0.0)).alias("recency_factor"))
 
 
-def monthly_means(df: DataFrame, cols: Sequence[str], month: str) -> DataFrame:
-    """(feature, month, mean): all columns in one grouping; a month without values has mean 0."""
-    wide = df.where(F.col(month).isNotNull()).groupBy(F.col(month).cast("string").alias("month")).agg(*[F.avg(number(F.col(c))).alias(f"m{k}") for k, c in enumerate(cols)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(f"m{k}", F.lit(0.0)).alias("mean")) for k, c in enumerate(cols)])
-    return wide.select("month", F.explode(pairs).alias("p")).select("p.feature", "month", "p.mean")
+def month_sums(df: DataFrame, cols: Sequence[str], month: str) -> DataFrame:
+    """(feature, month, total, n): sums and numbers of values, all columns in one grouping; rows without a month are a month of their own."""
+    x = [number(F.col(c)) for c in cols]
+    wide = df.groupBy(F.col(month).cast("string").alias("month")).agg(*[F.sum(v).alias(f"s{k}") for k, v in enumerate(x)], *[F.count(v).alias(f"n{k}") for k, v in enumerate(x)])
+    triples = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s{k}").alias("total"), F.col(f"n{k}").alias("n")) for k, c in enumerate(cols)])
+    return wide.select("month", F.explode(triples).alias("p")).select("p.feature", "month", "p.total", "p.n")
+
+
+def monthly_means(df: DataFrame, cols: Sequence[str], month: str, empty: float | None = 0.0) -> DataFrame:
+    """(feature, month, mean): a month without values has the mean ``empty``."""
+    return month_sums(df, cols, month).select("feature", "month", F.coalesce(F.try_divide(F.col("total"), F.col("n")), F.lit(empty)).alias("mean"))
 
 
 def mean_of_means(means: DataFrame) -> DataFrame:
-    """(feature, mean): every month weighs the same."""
+    """(feature, mean): every month with values weighs the same; give means whose empty months are null."""
     return means.groupBy("feature").agg(F.avg("mean").alias("mean"))
 
 
+def temporal_means(train: DataFrame, test: DataFrame, cols: Sequence[str], month: str, recent: Sequence[str]) -> DataFrame:
+    """(feature, near, full, then): train's mean over its recent months and over all rows, and the mean of test's monthly means.
+
+    near falls back on full, the others on 0.
+    """
+    late = lambda x: F.sum(F.when(F.col("month").isin(*recent), F.col(x)))
+    mean = lambda total, n: F.try_divide(total, n.cast("double"))
+    a = month_sums(train, cols, month).groupBy("feature").agg(mean(late("total"), late("n")).alias("near"), mean(F.sum("total"), F.sum("n")).alias("full"))
+    b = mean_of_means(monthly_means(test, cols, month, None)).select("feature", F.col("mean").alias("then"))
+    told = a.join(F.broadcast(b), "feature", "left")
+    return told.select("feature", F.coalesce("near", "full", F.lit(0.0)).alias("near"), F.coalesce("full", F.lit(0.0)).alias("full"), F.coalesce("then", F.lit(0.0)).alias("then"))
+
+
 def segment_ranges(means: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(feature, low, high) of the train months, two at least: their range widened by the tolerance."""
     told = means.groupBy("feature").agg(
@@ -76,7 +95,7 @@ def drifted_months(train_means: DataFrame, test_means: DataFrame, config: Config
     """(feature, stable, months): test months outside the train months' range, in order; features with a range only."""
     ranges = F.broadcast(segment_ranges(train_means, config))
     out = (F.col("mean") < F.col("low")) | (F.col("mean") > F.col("high"))
-    months = F.array_join(F.array_sort(F.collect_list(F.when(out, F.col("month")))), ",")
+    months = F.array_join(F.array_sort(F.collect_list(F.when(out, F.coalesce("month", F.lit("None"))))), ",")
     return test_means.join(ranges, "feature").groupBy("feature").agg((F.count_if(out) == 0).alias("stable"), months.alias("months"))
 
 

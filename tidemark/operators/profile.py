@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ from tidemark.functions.text import parses_as_date
 
 #: Aggregate expressions in one job: wide tables go in pieces, so that generated methods stay small.
 PIECE = 200
-STATS = ("mean", "std", "p25", "p75", "skewness")
+STATS = ("mean", "std", "p25", "p75", "skewness")  # in the order of all tables of statistics
 
 
 def _unpivoted(df: DataFrame, cols: Sequence[str], exprs: dict[str, callable]) -> DataFrame:
@@ -32,26 +33,124 @@ def _unpivoted(df: DataFrame, cols: Sequence[str], exprs: dict[str, callable]) -
     return out
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], config: Config = DEFAULT, rows: int | None = None) -> DataFrame:
-    """(feature, q): exact quantiles with linear interpolation; beyond ``exact_quantile_rows`` a sketch of bounded memory."""
-    exact = rows is None or rows <= config.exact_quantile_rows
-    one = lambda c: F.percentile(number(F.col(c)), list(probs)) if exact else F.percentile_approx(number(F.col(c)), list(probs), 100_000)
-    return _unpivoted(df, list(cols), {"q": one})
-
-
-def numeric_stats(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT, rows: int | None = None) -> DataFrame:
-    """(feature, mean, std, p25, p75, skewness): sample deviation, population skewness, exact quartiles."""
-    exact = rows is None or rows <= config.exact_quantile_rows
-    both = [0.25, 0.75]  # one buffer of values for both quartiles
-    quartiles = lambda c: F.percentile(number(F.col(c)), both) if exact else F.percentile_approx(number(F.col(c)), both, 100_000).cast("array<double>")
-    told = _unpivoted(
-        df, list(cols),
-        {
-            "mean": lambda c: F.avg(number(F.col(c))), "std": lambda c: F.stddev_samp(number(F.col(c))), "q": quartiles,
-            "skewness": lambda c: F.skewness(number(F.col(c))),
-        },
+#: Columns whose sketches one task holds at a time, and their accuracy: ranks are known to within one in so many.
+SKETCHED, ACCURACY = 64, 10_000
+
+
+def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[float], extras: dict[str, Callable[[Column], Column]] | None = None) -> dict[str, tuple[list[float] | None, list]]:
+    """{name: (quantiles, extras)}: exact quantiles with linear interpolation of many number columns, and other aggregates of them.
+
+    Two jobs whatever the size: sketches bracket each wanted rank (and give the extras), then one scan counts the values below
+    each bracket and groups the few values within, and running sums pick the wanted ranks. No task holds a column's values.
+    Where a bracket misses its rank the job runs again without bounds for that one, so the result is exact in any case.
+    """
+    extras, out, open_ = extras or {}, {}, set()
+    names = list(values)
+    for at in range(0, len(names), SKETCHED):
+        some = names[at : at + SKETCHED]
+        margin = 4 / ACCURACY
+        asked = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+        told = df.agg(
+            *[F.count(values[c]).alias(f"n{k}") for k, c in enumerate(some)], *[F.percentile_approx(values[c], asked, ACCURACY).alias(f"q{k}") for k, c in enumerate(some)],
+            *[e(values[c]).alias(f"e{k}_{n}") for k, c in enumerate(some) for n, e in extras.items()],
+        ).first()
+        found = {c: [told[f"e{k}_{n}"] for n in extras] for k, c in enumerate(some)}
+        wanted = {}
+        for k, c in enumerate(some):
+            n, edges = told[f"n{k}"], told[f"q{k}"]
+            if not n:
+                out[c] = (None, found[c])
+                continue
+            for i, p in enumerate(probs):
+                lo = edges[i] if p > margin else None
+                hi = edges[len(probs) + i] if p < 1 - margin else None
+                rank = (n - 1) * p
+                wanted[c, i] = (lo, hi, math.floor(rank), rank - math.floor(rank))
+        picked: dict[tuple[str, int], float] = {}
+        while wanted:
+            got = _picked(df, values, wanted)
+            picked |= got
+            wanted = {key: (None, None, *w[2:]) for key, w in wanted.items() if key not in got}
+            if open_ & set(wanted):
+                raise RuntimeError(f"no value has the rank wanted of {sorted(wanted)}: the data changed between two reads")
+            open_ = set(wanted)
+        for c in some:
+            if c not in out:
+                out[c] = ([picked[c, i] for i in range(len(probs))], found[c])
+    return out
+
+
+def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], tuple]) -> dict[tuple[str, int], float]:
+    """Interpolated values at the wanted ranks, of {(name, index): (low, high, rank, fraction)}; left out where the bracket misses."""
+    keys = list(wanted)
+    parts = []
+    for at in range(0, len(keys), PIECE // 2):
+        some = range(at, min(len(keys), at + PIECE // 2))
+        x = {k: values[keys[k][0]] for k in some}
+        below, within, above = {}, {}, {}
+        for k in some:
+            lo, hi = wanted[keys[k]][:2]
+            below[k] = F.lit(False) if lo is None else x[k] < F.lit(lo)
+            above[k] = F.lit(False) if hi is None else x[k] > F.lit(hi)
+            within[k] = x[k].isNotNull() & ~below[k] & ~above[k]
+        told = df.agg(*[F.count_if(below[k]).alias(f"b{k}") for k in some], *[F.min(F.when(above[k], x[k])).alias(f"a{k}") for k in some])
+        sides = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"b{k}").alias("below"), F.col(f"a{k}").alias("next")) for k in some])
+        sides = told.select(F.explode(sides).alias("s")).select("s.*")
+        any_ = within[some[0]]
+        for k in some[1:]:
+            any_ = any_ | within[k]
+        inner = df.where(any_).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.when(within[k], x[k]).alias("x")) for k in some])).alias("s"))
+        inner = inner.select("s.*").where("x IS NOT NULL").groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"))
+        parts.append((inner, sides))
+    inner, sides = parts[0]
+    for more, other in parts[1:]:
+        inner, sides = inner.union(more), sides.union(other)
+    ranks = F.array(*[F.lit(w[2]).cast("long") for w in wanted.values()])
+    rank = F.element_at(ranks, F.col("key") + 1)
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = inner.withColumn("cum", before).join(F.broadcast(sides), "key").withColumn("cum", F.col("cum") + F.col("below"))
+    told = joined.groupBy("key").agg(
+        F.first("below").alias("below"), F.first("next").alias("next"), F.max("cum").alias("upto"),
+        F.min(F.when(F.col("cum") > rank, F.col("x"))).alias("v0"), F.min(F.when(F.col("cum") > rank + 1, F.col("x"))).alias("v1"),
     )
-    return told.select("feature", "mean", "std", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"), "skewness")
+    out = {}
+    for r in told.collect():
+        _, _, want, part = wanted[keys[r["key"]]]
+        v1 = r["v1"] if r["v1"] is not None else r["next"]
+        if r["below"] <= want < r["upto"] and (not part or v1 is not None):
+            out[keys[r["key"]]] = r["v0"] if not part else r["v0"] * (1 - part) + v1 * part
+    return out
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(feature, q): exact quantiles with linear interpolation, null where a column has no values. A row per column."""
+    found = exact_quantiles(df, {c: number(F.col(c)) for c in cols}, probs)
+    return df.sparkSession.createDataFrame([(c, found[c][0]) for c in cols], "feature string, q array<double>")
+
+
+_MOMENTS: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "std": F.stddev_samp, "skewness": F.skewness}
+
+
+def _stats_rows(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple]:
+    found = exact_quantiles(df, values, [0.25, 0.75], _MOMENTS)
+    return {c: (e[0], e[1], *(q or (None, None)), e[2]) for c, (q, e) in found.items()}
+
+
+def numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, mean, std, p25, p75, skewness): sample deviation, population skewness, exact quartiles. A row per column."""
+    found = _stats_rows(df, {c: number(F.col(c)) for c in cols})
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in cols], "feature string, mean double, std double, p25 double, p75 double, skewness double")
+
+
+def both_stats(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, a_mean, .., b_mean, ..): ``numeric_stats`` of train and test side by side, both in the same jobs."""
+    x = [number(F.col(c)) for c in cols]
+    none = F.lit(None).cast("double")
+    side = lambda df, a: df.select(*[(v if a else none).alias(f"a{k}") for k, v in enumerate(x)], *[(none if a else v).alias(f"b{k}") for k, v in enumerate(x)])
+    both = side(train, True).union(side(test, False))
+    found = _stats_rows(both, {c: F.col(c) for c in both.columns})
+    names = ", ".join(f"{s}_{n} double" for s in "ab" for n in STATS)
+    return train.sparkSession.createDataFrame([(c, *found[f"a{k}"], *found[f"b{k}"]) for k, c in enumerate(cols)], f"feature string, {names}")
 
 
 def null_zero_rates(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
@@ -68,12 +167,21 @@ def null_zero_rates(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT
 
 
 def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, n_unique): exact distinct counts with null as a value, all columns in one shuffle of distinct values."""
-    from tidemark.operators.frequency import long_form
+    """(feature, n_unique): distinct counts with null as a value, all columns in one shuffle of distinct values, as two 64-bit hashes each.
+
+    128 bits tell values apart at any size that can be stored; a value's text is never shuffled.
+    """
+
+    def seen(k: int, c: str) -> Column:
+        x = F.col(f"`{c}`")
+        x = x + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x  # minus zero is zero
+        x = F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(k), x, F.lit(1)).alias("g")))
+        return F.struct(F.lit(k).alias("k"), x["h"].alias("h"), x["g"].alias("g"))
 
-    found = long_form(df, cols, "value").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
-    every = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
-    return F.broadcast(every).join(found, "feature", "left").fillna(0)
+    rows = df.select(F.explode(F.array(*[seen(k, c) for k, c in enumerate(cols)])).alias("p")).select("p.k", "p.h", "p.g")
+    found = rows.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_unique"))
+    every = df.sparkSession.createDataFrame(list(enumerate(cols)), "k int, feature string")
+    return F.broadcast(every).join(found, "k", "left").select("feature", "n_unique").fillna(0)
 
 
 def bounded_cardinality(df: DataFrame, cols: Sequence[str], rows: int, config: Config = DEFAULT) -> DataFrame:
@@ -128,7 +236,7 @@ def profile(df: DataFrame, roles: dict[str, str] | None = None, config: Config =
     told = kinds(df, cols).join(distinct, "feature").join(null_zero_rates(df, cols, config), "feature")
     numbers, texts = numeric_columns(df), text_columns(df)
     if numbers:
-        told = told.join(numeric_stats(df, numbers, config, rows), "feature", "left")
+        told = told.join(numeric_stats(df, numbers), "feature", "left")
     else:
         told = told.select("*", *[F.lit(None).cast("double").alias(s) for s in STATS])
     told = told.join(date_parse_rates(df, texts), "feature", "left") if texts else told.withColumn("date_rate", F.lit(None).cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import cut, number
+from tidemark.functions.scalars import cut, number, ratio
 from tidemark.operators.cumulative import running_sums
 from tidemark.operators.drift import two_sample_counts
 from tidemark.operators.profile import quantiles
@@ -35,6 +35,15 @@ def hist_quantile_edges(train: DataFrame, test: DataFrame, col: str, bins: int =
     return rows.select("split", at.cast("int").alias("bin")).where("bin IS NOT NULL").groupBy("split", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hist_occupancy(train: DataFrame, test: DataFrame, col: str, bins: int = 10) -> DataFrame:
+    """(split, bin, n, share): how full each of train's equal-frequency bins is in either split, of all its rows with a value; empty bins too."""
+    counts = hist_quantile_edges(train, test, col, bins)
+    rows = _splits(train, test, col).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    grid = train.sparkSession.createDataFrame([(s, k) for s in ("train", "test") for k in range(bins)], "split string, bin int")
+    told = F.broadcast(grid).join(counts, ["split", "bin"], "left").join(F.broadcast(rows), "split", "left")
+    return told.select("split", "bin", F.coalesce("n", F.lit(0)).alias("n"), ratio(F.coalesce("n", F.lit(0)), F.col("rows")).alias("share"))
+
+
 def category_shares(df: DataFrame, col: str) -> DataFrame:
     """(category, n, share): labels in lower case without outer spaces, null as ``(null)``."""
     label = F.coalesce(F.trim(F.lower(F.col(col).cast("string"))), F.lit("(null)"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.config import DEFAULT, DATE_FORMATS, NULL_TOKENS
 from tidemark.functions import text
 from tidemark.functions.scalars import cut, linspace, midpoints, number, numeric_columns, present, safe_float, text_columns
 from tidemark.operators import detect, drift, frequency, mitigate, model, months, profile, rank, views
+from tidemark.plans import report
 from tidemark.plans.fixtures import ITEMS_SQL, ITEMS_TEST, ITEMS_TRAIN, ORDERS_SQL, TEST, TRAIN, item_splits, items, orders, rounded, splits, table
 from tidemark.sources import readers, writers
 
@@ -165,9 +167,19 @@ def classify_columns(spark, sf):
     return profile.profile(df.select(*_TYPED)).select("name", "feature_type", "n_unique")
 
 
-@query("SELECT 'iso' AS feature, 1.0::DOUBLE AS date_rate UNION ALL SELECT 'label', 1.0 UNION ALL SELECT 'word', 0.0")
+_DATED = """SELECT strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%y-%b') AS label, o_orderpriority AS word,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'order ' || o_orderkey ELSE strftime(o_orderdate, '%d/%m/%Y') END AS mixed FROM orders"""
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg((try_strptime(v, ['%y-%b', '%Y-%m', '%m/%d/%Y', '%d-%b-%Y', '%b-%y', '%Y-%m-%d', '%d/%m/%Y']) IS NOT NULL)::INT), 6) AS date_rate FROM (SELECT DISTINCT {c} AS v FROM ({_DATED}))"
+        for c in ("iso", "label", "word", "mixed")
+    )
+)
 def date_parse_rate(spark, sf):
-    df = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "yy-MMM").alias("label"), F.col("o_orderpriority").alias("word"))
+    mixed = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("order "), "o_orderkey")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    df = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "yy-MMM").alias("label"), F.col("o_orderpriority").alias("word"), mixed.alias("mixed"))
     return profile.date_parse_rates(df, df.columns)
 
 
@@ -210,7 +222,8 @@ def value_counts(spark, sf):
 @query(f"SELECT feature, category, round(p, 6) AS p, round(q, 6) AS q FROM {_both('moved', 'status')}")
 def outer_aligned_shares(spark, sf):
     a, b = splits(spark, sf)
-    return frequency.aligned(frequency.category_freq(a, ["moved", "status"]), frequency.category_freq(b, ["moved", "status"]))
+    both = frequency.aligned(frequency.category_freq(a, ["moved", "status"]), frequency.category_freq(b, ["moved", "status"]))
+    return both.select("feature", "category", "p", "q")
 
 
 @query(f"SELECT DISTINCT {_level('status')} AS category FROM {TRAIN} UNION SELECT DISTINCT {_level('status')} FROM {TEST}")
@@ -238,6 +251,15 @@ def psi_severity(spark, sf):
     return drift.psi_severity(*_freqs(spark, sf, *_CATEGORIES))
 
 
+@query(
+    f"""SELECT feature, round(psi, 6) AS psi, round(top_p, 6) AS top_p, round(top_q, 6) AS top_q FROM ({_psi(*_CATEGORIES)})
+    JOIN (SELECT feature, max(p) AS top_p, max(q) AS top_q FROM {_both(*_CATEGORIES)} GROUP BY feature) USING (feature)"""
+)
+def category_tests(spark, sf):
+    """All statistics of categories from one aggregate over one paired table."""
+    return drift.category_tests(frequency.paired(*splits(spark, sf), _CATEGORIES)).select("feature", "psi", "top_p", "top_q")
+
+
 @query(
     f"""WITH n AS (SELECT count(*) AS n FROM {TEST}), c AS (SELECT feature, q * n AS o, greatest(p, 1e-9) * n AS e FROM {_both(*_CATEGORIES)}, n),
     k AS (SELECT * FROM c WHERE e >= 5), t AS (SELECT feature, sum(o) AS so, sum(e) AS se FROM k GROUP BY feature)
@@ -253,12 +275,12 @@ def _top(source: str, k: int, *cols: str) -> str:
 
 
 @query(
-    f"""SELECT coalesce(a.feature, b.feature) AS feature, round(sum(abs(coalesce(a.freq, 0) - coalesce(b.freq, 0))), 6) AS l1
-    FROM {_top(ITEMS_TRAIN, 30, 'brand_type')} a FULL JOIN {_top(ITEMS_TEST, 30, 'brand_type')} b ON a.feature = b.feature AND a.category = b.category GROUP BY 1"""
+    f"""SELECT feature, round(sum(abs(p - q)), 6) AS l1 FROM {_both('brand_type', train=ITEMS_TRAIN, test=ITEMS_TEST)}
+    WHERE category IN (SELECT category FROM {_top(ITEMS_TRAIN, 30, 'brand_type')}) OR category IN (SELECT category FROM {_top(ITEMS_TEST, 30, 'brand_type')}) GROUP BY feature"""
 )
 def l1_prescreen(spark, sf):
-    a, b = item_splits(spark, sf)
-    return drift.l1(frequency.category_freq(a, ["brand_type"]), frequency.category_freq(b, ["brand_type"]))
+    """Categories among either side's first 30; their shares are those of the whole tables."""
+    return drift.l1_of(frequency.paired(*item_splits(spark, sf), ["brand_type"]))
 
 
 _SCREENED = ("o_totalprice", "shifted")
@@ -426,9 +448,42 @@ def monthly_means(spark, sf):
     return months.monthly_means(splits(spark, sf)[0], ["o_totalprice", "sparse_price"], "month")
 
 
-@query(f"SELECT feature, round(avg(mean), 4) AS mean FROM {_monthly(TRAIN, 'month', 'o_totalprice', 'sparse_price')} GROUP BY feature", digits=4)
+#: Values of some months only, so that others have none; and rows without a month.
+_GAPPY = "(SELECT *, CASE WHEN month LIKE '%-J%' THEN NULL ELSE o_totalprice END AS gappy, CASE WHEN o_orderkey % 13 <> 0 THEN month END AS some_month FROM {})"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg(mean), 4) AS mean FROM (SELECT avg({c}) AS mean FROM {_GAPPY.format(TRAIN)} GROUP BY some_month)" for c in ("o_totalprice", "sparse_price", "gappy")
+    ),
+    digits=4,
+)
 def mean_of_monthly_means(spark, sf):
-    return months.mean_of_means(months.monthly_means(splits(spark, sf)[0], ["o_totalprice", "sparse_price"], "month"))
+    """Months without values are skipped; rows without a month are a month of their own."""
+    return months.mean_of_means(months.monthly_means(_gappy(splits(spark, sf)[0]), ["o_totalprice", "sparse_price", "gappy"], "some_month", None))
+
+
+def _gappy(df):
+    return df.withColumn("gappy", F.when(~F.col("month").contains("-J"), F.col("o_totalprice"))).withColumn("some_month", F.when(F.col("o_orderkey") % 13 != 0, F.col("month")))
+
+
+_GAPPY_TRAIN, _GAPPY_TEST = _GAPPY.format(TRAIN), _GAPPY.format(TEST)
+_RECENT = f"(SELECT DISTINCT some_month FROM {_GAPPY_TRAIN} WHERE some_month IS NOT NULL ORDER BY 1 DESC LIMIT 3)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(coalesce((SELECT avg({c}) FROM {_GAPPY_TRAIN} WHERE some_month IN {_RECENT}), (SELECT avg({c}) FROM {_GAPPY_TRAIN})), 4) AS near,
+        round((SELECT avg({c}) FROM {_GAPPY_TRAIN}), 4) AS full, round((SELECT avg(m) FROM (SELECT avg({c}) AS m FROM {_GAPPY_TEST} GROUP BY some_month)), 4) AS "then" """
+        for c in ("o_totalprice", "gappy", "o_custkey")
+    ),
+    digits=4,
+)
+def temporal_means(spark, sf):
+    """What the temporal flag compares: train's recent months and all its rows, and the mean of test's monthly means."""
+    a, b = map(_gappy, splits(spark, sf))
+    recent = [r["month"] for r in months.recent_months(a, "some_month").collect()]
+    return months.temporal_means(a, b, ["o_totalprice", "gappy", "o_custkey"], "some_month", recent)
 
 
 _RANGES = f"""(SELECT feature, min(mean) - w AS low, max(mean) + w AS high FROM (SELECT *, CASE WHEN avg(mean) OVER t = 0 THEN greatest(stddev_pop(mean) OVER t, 1e-6)
@@ -450,68 +505,175 @@ def segment_range_check(spark, sf):
     return months.drifted_months(months.monthly_means(a, cols, "month"), months.monthly_means(b, cols, "month"))
 
 
-# ---- ranking ----
-_VERDICTS = (
-    ("price", "numerical", "two_sample_ks", 0.31, "SEVERE"), ("contract", "categorical", "psi_chi2", 0.18, "MILD"), ("city", "high_cardinality", "topk_js", 0.12, "MODERATE"),
-    ("refunds", "sparse", "two_proportion_z", -6.5, "SEVERE"), ("fee", "numerical", "two_sample_ks", 0.07, "MILD"), ("extra", "sparse", "two_proportion_z", 4.0, "MODERATE"),
+# ---- the detector ----
+#: Columns of all kinds: a city with more than a hundred levels, new ones among them in test; one that no split has.
+_TYPES = {
+    "o_orderkey": "metadata", "month": "time", "target": "target", "o_totalprice": "numerical", "shifted": "numerical", "o_orderpriority": "categorical", "variant": "categorical",
+    "status": "categorical", "moved": "categorical", "sparse_price": "sparse", "city": "high_cardinality", "rare": "sparse", "absent": "numerical",
+}
+_CITY = """(SELECT *, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey % 4 = 0 THEN 'New-City ' || o_custkey % 40 ELSE 'city_' || o_custkey % 150 END AS city,
+  CASE WHEN o_orderkey % (CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 4 ELSE 10 END) = 0 THEN o_orderstatus END AS rare FROM {})"""
+_D_TRAIN, _D_TEST = _CITY.format(TRAIN), _CITY.format(TEST)
+
+
+def _with_city(df):
+    late = F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
+    new = F.concat(F.lit("New-City "), (F.col("o_custkey") % 40).cast("string"))
+    old = F.concat(F.lit("city_"), (F.col("o_custkey") % 150).cast("string"))
+    rare = F.when(F.col("o_orderkey") % F.when(late, 4).otherwise(10) == 0, F.col("o_orderstatus"))
+    return df.withColumn("city", F.when(late & (F.col("o_orderkey") % 4 == 0), new).otherwise(old)).withColumn("rare", rare)
+
+
+def _detect_sql() -> str:
+    """The detector's rules over the same columns, from the statistics above; p-values as critical values at 0.05."""
+    numbers, words, city = ("o_totalprice", "shifted"), ("o_orderpriority", "variant", "status", "moved"), ("city",)
+    all_words = (*words, *city, "rare")
+    sides = {"tr": _D_TRAIN, "te": _D_TEST}
+    both = _both(*all_words, train=_D_TRAIN, test=_D_TEST)
+    kept = " OR ".join(f"(feature, category) IN (SELECT (feature, category) FROM {_top(x, 30, *words, *city)})" for x in sides.values())
+    binned = f"""(WITH kept AS (SELECT feature, category, true AS kept FROM {_top(_D_TRAIN, 50, *city)}), b AS (SELECT f.feature, CASE WHEN kept THEN f.category ELSE '__OTHER__' END AS category, sum(p) AS p, sum(q) AS q
+      FROM (SELECT * FROM both_ WHERE feature = 'city') f LEFT JOIN kept USING (feature, category) GROUP BY 1, 2) SELECT feature, category, p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM b)"""
+    recent = f"(SELECT DISTINCT month FROM {_D_TRAIN} ORDER BY month DESC LIMIT 3)"
+    means = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, (SELECT avg({c}) FROM {_D_TRAIN} WHERE month IN {recent}) AS near, (SELECT avg({c}) FROM {_D_TRAIN}) AS whole, (SELECT avg(m) FROM (SELECT avg({c}) AS m FROM {_D_TEST} GROUP BY month)) AS later"
+        for c in (*numbers, "sparse_price")
+    )
+    shares = " UNION ALL ".join(
+        f"SELECT '{c}', (SELECT max(n) / sum(n)::DOUBLE FROM (SELECT count(*) AS n FROM {_D_TRAIN} WHERE month IN {recent} GROUP BY {_level(c)})), (SELECT max(p) FROM both_ WHERE feature = '{c}'), (SELECT max(q) FROM both_ WHERE feature = '{c}')"
+        for c in all_words
+    )
+    critical = "CASE cells - 1 WHEN 1 THEN 3.841458820694124 WHEN 2 THEN 5.991464547107979 WHEN 3 THEN 7.814727903251179 WHEN 4 THEN 9.487729036781154 WHEN 5 THEN 11.070497693516351 WHEN 6 THEN 12.591587243743977 END"
+    sure = "ks > 0.05 AND ks * sqrt(n_train * n_test / (n_train + n_test)::DOUBLE) > 1.3580986393225505"  # the 0.95 quantile of Kolmogorov's distribution
+    level = lambda x: f"list_position(['NONE', 'MILD', 'MODERATE', 'SEVERE'], {x})"
+    sparse = {"sparse_price": "coalesce(sparse_price, 0) <> 0", "rare": "rare IS NOT NULL"}
+    presence = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_z('pos_a', 'n_a', 'pos_b', 'n_b')} AS z, abs(pos_a / n_a::DOUBLE - pos_b / n_b::DOUBLE) AS score FROM ({_presence(_D_TRAIN, 'a', e)}), ({_presence(_D_TEST, 'b', e)})" for c, e in sparse.items())
+    monthly = lambda source: " UNION ALL ".join(f"SELECT '{c}' AS feature, month, coalesce(avg({c}), 0) AS mean FROM {source} GROUP BY 2" for c in numbers)
+    return f"""(WITH both_ AS (SELECT * FROM {both}), nt AS (SELECT count(*) AS n FROM {_D_TEST}),
+    stats AS (SELECT a.feature, a.mean AS am, a.std AS astd, a.p25 AS al, a.p75 AS ah, b.mean AS bm, coalesce(nullif(b.p25, 0), b.mean) AS bl, coalesce(nullif(b.p75, 0), b.mean) AS bh
+      FROM {_stats(_D_TRAIN, *numbers)} a JOIN {_stats(_D_TEST, *numbers)} b USING (feature)),
+    gaps AS (SELECT feature, abs(am - bm) / (astd + 1e-9) AS shift, CASE WHEN ah - al > 1e-9 THEN 1 - greatest(0, least(ah, bh) - greatest(al, bl)) / (ah - al) ELSE 0 END AS gap FROM stats),
+    presence AS ({presence}),
+    pre AS (SELECT feature, 'numerical' AS kind, greatest(shift, gap) AS score, shift > 0.1 OR gap > 0.3 AS flagged FROM gaps
+      UNION ALL SELECT feature, CASE WHEN feature = 'city' THEN 'high_cardinality' ELSE 'categorical' END, sum(abs(p - q)), sum(abs(p - q)) > 0.1 FROM both_ WHERE {kept} GROUP BY feature
+      UNION ALL SELECT feature, 'sparse', score, score > 0.05 FROM presence),
+    cells AS (SELECT feature, q * n AS o, greatest(p, 1e-9) * n AS e FROM both_, nt WHERE greatest(p, 1e-9) * n >= 5),
+    sums AS (SELECT feature, sum(o) AS so, sum(e) AS se, count(*) AS cells FROM cells GROUP BY feature),
+    chi AS (SELECT feature, any_value(cells) AS cells, sum((o - e * so / se) ** 2 / (e * so / se)) AS chi2 FROM cells JOIN sums USING (feature) GROUP BY feature),
+    psi AS (SELECT feature, sum((greatest(q, 1e-6) - greatest(p, 1e-6)) * ln(greatest(q, 1e-6) / greatest(p, 1e-6))) AS psi, max(abs(p - q)) AS moved FROM both_ GROUP BY feature),
+    lifted AS (SELECT feature, greatest(p, 1e-9) AS p, greatest(q, 1e-9) AS q FROM {binned}),
+    even AS (SELECT feature, p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM lifted),
+    js AS (SELECT feature, sum(p * ln(p / ((p + q) / 2)) / 2 + q * ln(q / ((p + q) / 2)) / 2) / ln(2) AS js FROM even GROUP BY feature),
+    ks AS (SELECT * FROM {_ks(_D_TRAIN, _D_TEST, {c: c for c in numbers})}), inner_ks AS (SELECT * FROM {_ks(_D_TRAIN, _D_TEST, {'sparse_price': 'sparse_price'}, 'x <> 0')}),
+    tests AS (SELECT feature, 'Kolmogorov-Smirnov' AS method, ks AS stat, {sure} AS ok, {_severity('ks', 0.05, 0.1, 0.2)} AS sev FROM ks WHERE least(n_train, n_test) >= 30
+      UNION ALL SELECT feature, 'Population Stability Index', psi, psi >= 0.1 AND (coalesce(cells, 0) < 2 OR chi2 > {critical}), {_severity('psi', 0.1, 0.25, 0.5)} FROM psi LEFT JOIN chi USING (feature) WHERE feature NOT IN ('city', 'rare')
+      UNION ALL SELECT feature, 'Jensen-Shannon Divergence', js, js >= 0.05, {_severity('js', 0.05, 0.1, 0.2)} FROM js
+      UNION ALL SELECT p.feature, 'Two-Proportion Z-Test', CASE WHEN least(n_train, n_test) >= 30 THEN ks ELSE z END, abs(z) >= 2 OR least(n_train, n_test) >= 30 AND {sure},
+        CASE WHEN least(n_train, n_test) >= 30 AND {level(_severity('ks', 0.05, 0.1, 0.2))} > {level(_severity('abs(z)', 2.0, 3.5, 5.0))} THEN {_severity('ks', 0.05, 0.1, 0.2)} ELSE {_severity('abs(z)', 2.0, 3.5, 5.0)} END FROM presence p LEFT JOIN inner_ks k ON p.feature = k.feature),
+    times AS (SELECT feature, abs(near - later) < abs(whole - later) AS temporal FROM ({means} UNION ALL {shares})),
+    monthly AS (SELECT 'a' AS side, * FROM ({monthly(_D_TRAIN)}) UNION ALL SELECT 'b', * FROM ({monthly(_D_TEST)})),
+    spread AS (SELECT feature, min(mean) AS lo, max(mean) AS hi, CASE WHEN avg(mean) = 0 THEN greatest(stddev_pop(mean), 1e-6) ELSE greatest(stddev_pop(mean), 0.05 * abs(avg(mean))) END AS w FROM monthly WHERE side = 'a' GROUP BY feature HAVING count(*) >= 2),
+    segments AS (SELECT feature, count(*) FILTER (mean < lo - w OR mean > hi + w) = 0 AS stable, coalesce(string_agg(month, ',' ORDER BY month) FILTER (mean < lo - w OR mean > hi + w), '') AS months FROM monthly JOIN spread USING (feature) WHERE side = 'b' GROUP BY feature),
+    told AS (SELECT pre.*, method, stat, coalesce(flagged AND ok, false) AS drifted, CASE WHEN flagged AND ok THEN sev ELSE 'NONE' END AS severity, coalesce(flagged AND kind = 'categorical' AND moved > 0.1, false) AS sub, flagged AND temporal AS temporal, stable, months
+      FROM pre LEFT JOIN tests USING (feature) LEFT JOIN psi USING (feature) LEFT JOIN times USING (feature) LEFT JOIN segments USING (feature))
+    SELECT feature AS "column", kind AS feature_type, score AS prescreen_score, flagged AS prescreen_flagged, CASE WHEN flagged THEN method ELSE 'Pre-Screen Only (fast)' END AS test_method,
+      CASE WHEN flagged THEN stat END AS test_statistic, drifted OR sub AS drift_detected, CASE WHEN drifted THEN severity WHEN sub THEN 'MILD' ELSE 'NONE' END AS drift_severity,
+      CASE WHEN NOT (drifted OR sub) THEN 'no_action (stable)' WHEN kind = 'numerical' THEN 'quantile_binning' WHEN kind = 'categorical' THEN 'frequency_encoding' WHEN kind = 'sparse' THEN 'binarise (sparse->binary)' ELSE 'drop_feature' END AS mitigation,
+      sub AS phase_c_drift_detected, temporal AS phase_c_drift_is_temporal, CASE WHEN flagged THEN stable END AS phase_c_segment_stable, coalesce(CASE WHEN flagged THEN months END, '') AS phase_c_drifted_months FROM told
+    UNION ALL SELECT c, t, 0.0, false, 'Skipped', NULL, false, 'NONE', CASE WHEN t = 'numerical' THEN 'none' ELSE 'no_action (excluded type)' END, false, false, NULL, ''
+      FROM (VALUES ('o_orderkey', 'metadata'), ('month', 'time'), ('target', 'target'), ('absent', 'numerical')) v(c, t))"""
+
+
+_DETECT = _detect_sql()
+_DECIDED = (
+    "column", "feature_type", "prescreen_score", "prescreen_flagged", "test_method", "test_statistic", "drift_detected", "drift_severity", "mitigation",
+    "phase_c_drift_detected", "phase_c_drift_is_temporal", "phase_c_segment_stable", "phase_c_drifted_months",
 )
-_RANK_IN = "(VALUES " + ", ".join(f"('{f}', '{t}', '{m}', {s}::DOUBLE, '{v}')" for f, t, m, s, v in _VERDICTS) + ") v(feature, col_type, test_used, raw_score, drift_severity)"
 
 
-def _verdicts(spark):
-    return spark.createDataFrame(list(_VERDICTS), "feature string, col_type string, test_used string, raw_score double, drift_severity string")
+@lru_cache(4)
+def _verdict_rows(app: str, sf: str) -> list:
+    """Verdicts of one input, a row per column, kept for the queries that look at them."""
+    a, b = map(_with_city, splits(SparkSession.active(), sf))
+    return detect.Detector(_TYPES, "month").detect(a, b).collect()
 
 
-@query(
-    f"""WITH w AS (SELECT v.*, raw_score * CASE drift_severity WHEN 'SEVERE' THEN 3 WHEN 'MODERATE' THEN 2 WHEN 'MILD' THEN 1 ELSE 0 END * (SELECT sum(fraction ** 2) FROM {_WEIGHTS}) AS w FROM {_RANK_IN})
-    SELECT feature, col_type, test_used, raw_score, round(w, 6) AS weighted_score, (row_number() OVER (ORDER BY w DESC, feature))::INT AS drift_rank, drift_severity FROM w"""
-)
+def _verdicts(spark, sf):
+    return spark.createDataFrame(_verdict_rows(spark.sparkContext.applicationId, sf), detect.VERDICT)
+
+
+@query("SELECT \"column\", feature_type, round(prescreen_score, 6) AS prescreen_score, prescreen_flagged, test_method, round(test_statistic, 6) AS test_statistic, " + ", ".join(_DECIDED[6:]) + f" FROM {_DETECT}")
+def detect_all(spark, sf):
+    """Verdicts of all orders columns, before and after 2000."""
+    a, b = map(_with_city, splits(spark, sf))
+    return detect.Detector(_TYPES, "month").detect(a, b).select(*_DECIDED)
+
+
+@query()
+def detect_notes(spark, sf):
+    """What the verdicts say in words, p-values among them."""
+    return _verdicts(spark, sf).select("column", "notes", "phase_c_notes")
+
+
+# ---- ranking, and the tables that show verdicts ----
+_RANK_IN = f"(SELECT \"column\" AS feature, feature_type AS col_type, test_method AS test_used, coalesce(test_statistic, 0) AS raw_score, drift_severity FROM {_DETECT} WHERE drift_detected)"
+_RANKED = f"""(WITH w AS (SELECT v.*, raw_score * CASE drift_severity WHEN 'SEVERE' THEN 3 WHEN 'MODERATE' THEN 2 WHEN 'MILD' THEN 1 ELSE 0 END * (SELECT sum(fraction ** 2) FROM {_WEIGHTS}) AS w FROM {_RANK_IN} v)
+    SELECT feature, col_type, test_used, round(raw_score, 6) AS raw_score, round(w, 6) AS weighted_score, (row_number() OVER (ORDER BY w DESC, feature))::INT AS drift_rank, drift_severity FROM w)"""
+
+
+@query(f"SELECT * FROM {_RANKED}")
 def rank_drift(spark, sf):
-    return rank.rank_drift(_verdicts(spark), splits(spark, sf)[1], "month")
+    return rank.rank_drift(detect.rank_input(_verdicts(spark, sf)), splits(spark, sf)[1], "month")
 
 
-@query(f"SELECT feature FROM {_RANK_IN} WHERE lower(col_type) IN ('numerical', 'continuous') AND upper(drift_severity) IN ('MILD', 'MODERATE')")
-def policy_features(spark, sf):
-    return spark.createDataFrame([(f,) for f in mitigate.policy_features(_verdicts(spark))], "feature string")
+@query(f"SELECT * FROM {_RANKED}")
+def detect_and_rank(spark, sf):
+    """The detector and the ranking in one go."""
+    a, b = map(_with_city, splits(spark, sf))
+    return rank.rank_drift(detect.rank_input(detect.Detector(_TYPES, "month").detect(a, b)), b, "month")
 
 
-def _as_verdicts(spark):
-    return _verdicts(spark).select(F.col("feature").alias("column"), F.col("col_type").alias("feature_type"), F.col("test_used").alias("test_method"), F.col("raw_score").alias("test_statistic"),
-        "drift_severity", (F.col("feature") != "fee").alias("drift_detected"), F.lit(True).alias("prescreen_flagged"), (F.col("feature") == "city").alias("phase_c_drift_is_temporal"),
-        (F.col("feature") == "contract").alias("phase_c_drift_detected"), F.lit(True).alias("phase_c_segment_stable"), F.lit("").alias("phase_c_drifted_months"))
+@query(f"SELECT feature FROM {_RANK_IN} WHERE lower(col_type) IN ('numerical', 'continuous') AND upper(drift_severity) IN ('MILD', 'MODERATE')")
+def policy_features(spark, sf):
+    return spark.createDataFrame([(f,) for f in mitigate.policy_features(detect.rank_input(_verdicts(spark, sf)))], "feature string")
 
 
-@query(f"SELECT CASE WHEN feature = 'fee' THEN 'STABLE' ELSE drift_severity END AS severity, count(*) AS n FROM {_RANK_IN} GROUP BY 1")
+@query(f"SELECT CASE WHEN drift_detected THEN drift_severity ELSE 'STABLE' END AS severity, count(*) AS n FROM {_DETECT} GROUP BY 1")
 def severity_counts(spark, sf):
-    return views.severity_counts(_as_verdicts(spark))
+    return views.severity_counts(_verdicts(spark, sf))
 
 
-@query("SELECT 6::BIGINT AS tested, 6::BIGINT AS flagged, 5::BIGINT AS confirmed, 1::BIGINT AS temporal, 1::BIGINT AS upgraded")
+@query(
+    f"""SELECT count(*) AS tested, count(*) FILTER (prescreen_flagged) AS flagged, count(*) FILTER (drift_detected) AS confirmed, count(*) FILTER (phase_c_drift_is_temporal) AS temporal,
+    count(*) FILTER (phase_c_drift_detected) AS upgraded FROM {_DETECT}"""
+)
 def phase_counts(spark, sf):
-    return views.phase_counts(_as_verdicts(spark))
+    return views.phase_counts(_verdicts(spark, sf))
 
 
-@query(f"SELECT feature AS \"column\" FROM {_RANK_IN} WHERE feature LIKE '%e%' AND lower(feature) LIKE '%re%'")
+@query(f"SELECT \"column\" FROM {_DETECT} WHERE lower(\"column\") LIKE '%pri%'")
 def feature_search(spark, sf):
-    return views.matching(_as_verdicts(spark), "RE").select("column")
+    return views.matching(_verdicts(spark, sf), "PRI").select("column")
 
 
-@query("SELECT 'city' AS \"column\"")
+@query(f"SELECT \"column\" FROM {_DETECT} WHERE contains(lower(\"column\"), 'price') OR contains('price', lower(\"column\")) ORDER BY lower(\"column\") <> 'price', \"column\" LIMIT 1")
 def feature_lookup(spark, sf):
-    return views.find_feature(_as_verdicts(spark), "CityName").select("column")
+    return views.find_feature(_verdicts(spark, sf), "Price").select("column")
 
 
-@query(f"SELECT feature AS \"column\" FROM {_RANK_IN} ORDER BY feature LIMIT 2 OFFSET 2")
+@query(f"SELECT \"column\" FROM {_DETECT} ORDER BY \"column\" LIMIT 5 OFFSET 5")
 def verdict_page(spark, sf):
-    return views.page(_as_verdicts(spark), 1, "column", 2).select("column")
+    return views.page(_verdicts(spark, sf), 1, "column", 5).select("column")
+
 
+_WORST = "CASE drift_severity WHEN 'SEVERE' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'MILD' THEN 2 ELSE 3 END, test_statistic DESC NULLS LAST"
 
-@query(f"SELECT feature AS \"column\", drift_severity FROM {_RANK_IN} WHERE drift_severity = 'SEVERE' ORDER BY raw_score DESC LIMIT 1")
+
+@query(f"SELECT \"column\", drift_severity FROM {_DETECT} ORDER BY {_WORST}, \"column\" LIMIT 4")
 def worst_first(spark, sf):
-    return views.by_severity(_as_verdicts(spark)).limit(1).select("column", "drift_severity")
+    return views.by_severity(_verdicts(spark, sf)).limit(4).select("column", "drift_severity")
 
 
-_IMPORTANCE = (("price", 0.4), ("month_no", 0.2), ("city", 0.15), ("fee", 0.1), ("contract", 0.08), ("extra", 0.04), ("refunds", 0.02), ("rest", 0.01))
+_IMPORTANCE = (("shifted", 0.4), ("month_no", 0.2), ("city", 0.15), ("moved", 0.1), ("status", 0.08), ("sparse_price", 0.04), ("o_totalprice", 0.02), ("rare", 0.01))
 _IMPORTANCE_SQL = "(VALUES " + ", ".join(f"({k}, '{f}', {g}::DOUBLE)" for k, (f, g) in enumerate(_IMPORTANCE, 1)) + ") i(rank, feature, importance)"
 
 
@@ -519,33 +681,45 @@ def _importance(spark):
     return spark.createDataFrame([(k, f, g) for k, (f, g) in enumerate(_IMPORTANCE, 1)], "rank int, feature string, importance double")
 
 
-@query(f"SELECT rank, i.feature, importance, coalesce(CASE WHEN i.feature <> 'fee' THEN drift_severity END, 'STABLE') AS drift_severity FROM {_IMPORTANCE_SQL} LEFT JOIN {_RANK_IN} ON v.feature = i.feature ORDER BY rank LIMIT 5")
+@query(f"SELECT rank, i.feature, importance, coalesce(drift_severity, 'STABLE') AS drift_severity FROM {_IMPORTANCE_SQL} LEFT JOIN {_RANK_IN} v ON v.feature = i.feature ORDER BY rank LIMIT 5")
 def importance_severity(spark, sf):
-    return views.importance_severity(_importance(spark), _as_verdicts(spark), 5).select("rank", "feature", "importance", "drift_severity")
+    return views.importance_severity(_importance(spark), _verdicts(spark, sf), 5).select("rank", "feature", "importance", "drift_severity")
 
 
-@query(f"SELECT count(*) AS n FROM {_IMPORTANCE_SQL} JOIN {_RANK_IN} ON v.feature = i.feature WHERE rank <= 7 AND drift_severity IN ('SEVERE', 'MODERATE') AND v.feature <> 'fee'")
+@query(f"SELECT count(*) AS n FROM {_IMPORTANCE_SQL} JOIN {_RANK_IN} v ON v.feature = i.feature WHERE rank <= 7 AND drift_severity IN ('SEVERE', 'MODERATE')")
 def drifted_among_top(spark, sf):
-    return views.drifted_among_top(_importance(spark), _as_verdicts(spark))
+    return views.drifted_among_top(_importance(spark), _verdicts(spark, sf))
+
+
+_ACTUAL = "CASE feature_type WHEN 'numerical' THEN 'quantile_binning' WHEN 'categorical' THEN 'target_encoding' WHEN 'high_cardinality' THEN 'frequency_encoding' ELSE 'binarise (sparse->binary)' END"
 
 
 @query(
-    """SELECT feature, col_type AS feature_type, drift_severity, test_used, raw_score AS test_statistic,
-    CASE col_type WHEN 'numerical' THEN 'quantile_bin' WHEN 'categorical' THEN 'target_encode' WHEN 'high_cardinality' THEN 'frequency_encode' ELSE 'binarise' END AS mitigation,
-    true AS phase_c_segment_stable, '' AS phase_c_drifted_months FROM """ + _RANK_IN + " WHERE feature <> 'fee'"
+    f"""SELECT "column" AS feature, feature_type, drift_severity, test_method AS test_used, round(test_statistic, 6) AS test_statistic, {_ACTUAL} AS mitigation, phase_c_segment_stable, phase_c_drifted_months
+    FROM {_DETECT} WHERE drift_detected"""
 )
 def drift_results_table(spark, sf):
-    return writers.drift_results(_as_verdicts(spark))
+    return writers.drift_results(_verdicts(spark, sf))
 
 
-@query(f"SELECT feature, replace(replace(replace(replace(test_used, 'two_sample_ks', 'KS'), 'psi_chi2', 'PSI'), 'topk_js', 'JS'), 'two_proportion_z', 'Z') AS short FROM {_RANK_IN}")
+@query(
+    f"""SELECT "column", feature_type, drift_severity, replace(replace(replace(replace({_ACTUAL}, 'quantile_binning', 'Quantile Binning'), 'target_encoding', 'Target Encoding (Laplace, m=10)'),
+    'frequency_encoding', 'Frequency Encoding'), 'binarise (sparse->binary)', 'Binarisation') AS treatment,
+    CASE WHEN phase_c_segment_stable THEN 'stable in all months' WHEN phase_c_drifted_months <> '' THEN phase_c_drifted_months ELSE '—' END AS segment FROM {_DETECT} WHERE drift_detected"""
+)
+def drift_report(spark, sf):
+    """The console's table of drifted columns, without its sentences."""
+    return report.drift_summary(_verdicts(spark, sf)).drop("description")
+
+
+@query(f"SELECT \"column\" AS feature, replace(replace(replace(replace(test_method, 'Kolmogorov-Smirnov', 'KS'), 'Population Stability Index', 'PSI'), 'Jensen-Shannon Divergence', 'JS'), 'Two-Proportion Z-Test', 'Z') AS short FROM {_DETECT}")
 def test_names(spark, sf):
-    return _verdicts(spark).select("feature", text.short_test_name(F.col("test_used")).alias("short"))
+    return _verdicts(spark, sf).select(F.col("column").alias("feature"), text.short_test_name(F.col("test_method")).alias("short"))
 
 
-@query(f"SELECT feature AS name, drift_severity AS severity FROM {_RANK_IN}")
+@query(f"SELECT \"column\" AS name, drift_severity AS severity FROM {_DETECT}")
 def synonym_columns(spark, sf):
-    return views.with_synonyms(_verdicts(spark), {"name": ["column", "feature"], "severity": ["drift_severity"]}).select("name", "severity")
+    return views.with_synonyms(_verdicts(spark, sf), {"name": ["feature", "column"], "severity": ["drift_severity"]}).select("name", "severity")
 
 
 # ---- encoders ----
@@ -634,8 +808,18 @@ def robust_scale(spark, sf):
 @query(f"SELECT o_orderkey, round(shifted - (SELECT median(shifted) FROM {TRAIN}), 4) AS shifted FROM {TEST}", digits=4)
 def delta_policy(spark, sf):
     a, b = splits(spark, sf)
-    some = b.select("o_orderkey", "shifted")
-    return mitigate.apply_policy("delta", ["shifted"], a, b, some, "o_orderkey")
+    fitted = mitigate.Mitigator().fit(a, b, {"shifted": "numerical"})
+    return mitigate.apply_policy("delta", ["shifted"], a, b, fitted).select("o_orderkey", "shifted")
+
+
+@query(f"SELECT o_orderkey, shifted AS raw, len(list_filter({_DECILES}, lambda b: b < shifted))::TINYINT AS binned FROM {TEST}")
+def none_and_binning_policies(spark, sf):
+    """Raw values under one policy, bins under the other; under ``robust`` bins too."""
+    a, b = splits(spark, sf)
+    fitted = mitigate.Mitigator().fit(a, b, {"shifted": "numerical"})
+    raw = mitigate.apply_policy("none", ["shifted"], a, b, fitted).select("o_orderkey", F.col("shifted").alias("raw"))
+    kept = mitigate.apply_policy("binning", ["shifted"], a, b, fitted).select("o_orderkey", F.col("shifted").alias("binned"))
+    return raw.join(kept, "o_orderkey")
 
 
 @query(f"SELECT o_orderkey, coalesce(f.code, 0) AS brandlike, len(list_filter({_DECILES}, lambda b: b < shifted))::TINYINT AS shifted, (coalesce(sparse_price, 0) <> 0)::TINYINT AS sparse_price, round(coalesce(k.code, {_RATE}), 6) AS status FROM {TEST} t LEFT JOIN {_CODES} k ON {_level('t.status')} = k.level LEFT JOIN (SELECT {_level('o_orderpriority')} AS level, count(*) AS code FROM {TRAIN} GROUP BY 1) f ON {_level('t.o_orderpriority')} = f.level")
@@ -648,10 +832,11 @@ def mitigate_all(spark, sf):
 # ---- projections, sources, sinks ----
 
 
-@query("SELECT o_orderkey, NULL::VARCHAR AS target, NULL::DOUBLE AS fee FROM orders")
+@query("SELECT o_orderkey, NULL::DOUBLE AS fee FROM orders")
 def align_missing_columns(spark, sf):
+    """A feature that the test split lacks is filled with nulls; a target is not made up."""
     df = table(spark, sf, "orders").select("o_orderkey")
-    return readers.aligned(df.withColumns({"target": F.lit("x"), "fee": F.lit(1.0)}), df)
+    return readers.aligned(df.withColumns({"target": F.lit("x"), "fee": F.lit(1.0)}), df, ("o_orderkey", "target"))
 
 
 _TOKENS = ", ".join(f"'{t}'" for t in NULL_TOKENS)
@@ -664,7 +849,7 @@ def null_token_map(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.null_tokens(x).alias("x"))
 
 
-@query("SELECT 'Yes' AS label")
+@query(f"SELECT target AS label FROM (SELECT DISTINCT target FROM ({ORDERS_SQL}) WHERE target IS NOT NULL) WHERE lower(target) LIKE 'yes%'")
 def label_detect(spark, sf):
     found = [r[0] for r in orders(spark, sf).where("target IS NOT NULL").select("target").distinct().collect()]
     return spark.createDataFrame([(text.positive_label(found),)], "label string")
@@ -680,28 +865,41 @@ def drop_null_target(spark, sf):
     return orders(spark, sf).where(F.col("target").isNotNull()).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT 'gone' AS feature")
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature FROM (SELECT count({a}) AS n FROM {TRAIN}) x, (SELECT count({b}) AS n FROM {TEST}) y WHERE least(x.n, y.n) = 0"
+        for c, a, b in (("o_totalprice", "o_totalprice", "o_totalprice"), ("gone", "status", "nullif(status, status)"), ("status", "status", "status"))
+    )
+)
 def all_null_columns(spark, sf):
     a, b = splits(spark, sf)
     names = model.dead_columns(a.withColumn("gone", F.col("status")), b.withColumn("gone", F.lit(None).cast("string")), ["o_totalprice", "gone", "status"])
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-@query("SELECT unnest(['o_totalprice', 'shifted', 'sparse_price']) AS numbers")
+@query(f"SELECT column_name AS numbers FROM (DESCRIBE SELECT o_totalprice, status, shifted, sparse_price, moved FROM ({ORDERS_SQL})) WHERE column_type IN ('DOUBLE', 'BIGINT', 'INTEGER')")
 def columns_by_type(spark, sf):
     df = orders(spark, sf).select("o_totalprice", "status", "shifted", "sparse_price", "moved")
     assert text_columns(df) == ["status", "moved"]
     return spark.createDataFrame([(c,) for c in numeric_columns(df)], "numbers string")
 
 
-@query("SELECT count(*) AS n, count(o_orderkey) AS keys FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders)")
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
 def pruned_read(spark, sf):
-    return readers.pruned(table(spark, sf, "orders"), "o_orderkey", "target").agg(F.count(F.lit(1)).alias("n"), F.count("o_orderkey").alias("keys"))
+    """Id and target alone; where there is no target column, the id."""
+    df = table(spark, sf, "orders")
+    assert readers.pruned(df, "o_orderkey", "no such column").columns == ["o_orderkey"]
+    return readers.pruned(df, "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS keys FROM orders")
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, true AS real FROM (SELECT o_orderkey FROM orders LIMIT 100)")
 def sample_rows(spark, sf):
-    return readers.sample_rows(table(spark, sf, "orders"), "o_orderkey", 100).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    """A hundred rows, each once and each a row of the table; the same ones every time (by hash, which only Spark has)."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    some = readers.sample_rows(df, "o_orderkey", 100)
+    again = readers.sample_rows(df.repartition(3), "o_orderkey", 100).select("o_orderkey", F.lit(True).alias("again"))
+    told = some.join(again, "o_orderkey", "left").join(df.withColumnRenamed("o_totalprice", "price"), "o_orderkey", "left")
+    return told.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.bool_and(F.coalesce(F.col("again"), F.lit(False)) & (F.col("price") == F.col("o_totalprice"))).alias("real"))
 
 
 @query("SELECT k, k / 4.0::DOUBLE AS edge, k / 4.0::DOUBLE + 0.125 AS middle FROM range(4) t(k)")
@@ -748,12 +946,10 @@ def confusion_metrics(spark, sf):
     return model.confusion(_scored(spark, sf), "y", "p")
 
 
-_STEPS = (0.1, 0.3, 0.5, 0.7, 0.9)
-
-
-@query(_metrics(" UNION ALL ".join(map(_cells, _STEPS))))
+@query(_metrics(" UNION ALL ".join(map(_cells, model.SWEEP))))
 def confusion_curve(spark, sf):
-    return model.confusion_curve(_scored(spark, sf), "y", "p", _STEPS)
+    """All 81 thresholds of the slider."""
+    return model.confusion_curve(_scored(spark, sf), "y", "p", model.SWEEP)
 
 
 @query(f"SELECT count(DISTINCT y) AS classes FROM ({_SCORED})")
@@ -790,6 +986,20 @@ def hist_quantile_edges(spark, sf):
     return views.hist_quantile_edges(*splits(spark, sf), "shifted")
 
 
+_TENTHS = f"(SELECT quantile_cont(shifted, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM {TRAIN})"
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS split, k::INT AS bin, (SELECT count(*) FROM {source} WHERE shifted <= e[k + 2] AND (shifted > e[k + 1] OR k = 0 AND shifted = e[1])) AS n,
+        round((SELECT count(*) FROM {source} WHERE shifted <= e[k + 2] AND (shifted > e[k + 1] OR k = 0 AND shifted = e[1])) / (SELECT count(shifted) FROM {source})::DOUBLE, 6) AS share FROM {_TENTHS}, range(10) t(k)"""
+        for name, source in (("train", TRAIN), ("test", TEST))
+    )
+)
+def hist_occupancy(spark, sf):
+    return views.hist_occupancy(*splits(spark, sf), "shifted")
+
+
 @query(f"SELECT coalesce(trim(lower(status)), '(null)') AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM ({ORDERS_SQL}) GROUP BY 1")
 def category_shares(spark, sf):
     return views.category_shares(orders(spark, sf), "status")
@@ -826,40 +1036,22 @@ def ecdf_gap(spark, sf):
     return views.ecdf_gap(*splits(spark, sf), "shifted")
 
 
-@query("SELECT 5::BIGINT AS features")
+@query(f"SELECT count(*) AS features FROM ({' UNION ALL '.join(_classified(c, kind) for c, (_, kind) in _TYPED.items())}) WHERE feature_type NOT IN ('metadata', 'time', 'target')")
 def feature_count(spark, sf):
-    n = views.feature_count({"id": "metadata", "m": "time", "y": "target", "a": "numerical", "b": "constant", "c": "sparse", "d": "categorical", "e": "high_cardinality"})
-    return spark.createDataFrame([(n,)], "features long")
-
-
-# ---- the whole detector, models and files: no SQL twin ----
-_TYPES = {
-    "o_orderkey": "metadata", "month": "time", "target": "target", "o_totalprice": "numerical", "shifted": "numerical", "o_orderpriority": "categorical", "variant": "categorical",
-    "status": "categorical", "moved": "categorical", "sparse_price": "sparse",
-}
-
-
-@query()
-def detect_all(spark, sf):
-    """Verdicts of all orders columns, before and after 2000."""
-    return detect.Detector(_TYPES, "month").detect(*splits(spark, sf))
+    """Of the classified columns, those that are features: constant ones count."""
+    types = {r["name"]: r["feature_type"] for r in classify_columns(spark, sf).collect()}
+    return spark.createDataFrame([(views.feature_count(types),)], "features long")
 
 
-@query()
-def detect_and_rank(spark, sf):
-    a, b = splits(spark, sf)
-    return rank.rank_drift(detect.rank_input(detect.Detector(_TYPES, "month").detect(a, b)), b, "month")
-
-
-_FEATURES = ["o_totalprice", "sparse_price", "o_orderpriority", "status"]
+# ---- models, files and streams ----
+_FEATURES = ["o_totalprice", "sparse_price", "o_orderpriority", "status", "customer"]
 
 
 @query()
 def gbt_scores(spark, sf):
-    """Test rows with the model's probability."""
-    a, b = splits(spark, sf)
-    fitted = model.fit(a, _FEATURES, mitigate.positive(F.col("target"), "Yes"), trees=5, depth=3)
-    return model.score(fitted, b, _FEATURES, ["o_orderkey"])
+    """Test rows with the probability that trees of the default size give them; ``customer`` has more levels than trees take as nominal."""
+    a, b = (df.withColumn("customer", F.concat(F.lit("customer "), "o_custkey")) for df in splits(spark, sf))
+    return model.score(model.fit(a, _FEATURES, mitigate.positive(F.col("target"), "Yes")), b, ["o_orderkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, CASE WHEN l_quantity > 45 THEN l_returnflag END AS flag FROM lineitem")
@@ -873,25 +1065,36 @@ def csv_roundtrip(spark, sf):
     return readers.read_csv(spark, path)
 
 
-@query("SELECT 11326::BIGINT AS n_train, 2::BIGINT AS n_features, 0.123457::DOUBLE AS au_prc_train, 1.5::DOUBLE AS runtime_seconds")
+@query(f"SELECT (SELECT count(*) FROM {TRAIN}) AS n_train, (SELECT count(*) FROM {TEST}) AS n_test, 10::BIGINT AS n_features, 0.123457::DOUBLE AS au_prc_train, 1.5::DOUBLE AS runtime_seconds")
 def meta_roundtrip(spark, sf):
-    """The run's figures, written as JSON and read back."""
+    """The run's figures, rounded, written as JSON and read back."""
     from tidemark.plans.pipeline import scratch
 
     path = f"{scratch(spark)}/pipeline_meta.json"
-    writers.meta(spark, 11326, 1, 2, 0.1234567, 1.499).write.mode("overwrite").json(path)
-    return readers.read_table(spark, path).select("n_train", "n_features", "au_prc_train", "runtime_seconds")
+    a, b = splits(spark, sf)
+    writers.meta(spark, a.count(), b.count(), views.feature_count(_TYPES), 0.1234567, 1.499).write.mode("overwrite").json(path)
+    return readers.read_table(spark, path).select("n_train", "n_test", "n_features", "au_prc_train", "runtime_seconds")
 
 
-@query()
+_EVENT = _freq("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15')", "event_type")
+
+
+@query(
+    f"""WITH r AS (SELECT category, freq AS p FROM {_EVENT}), d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {_level('event_type')} AS category, count(*) AS n FROM events GROUP BY 1, 2),
+    t AS (SELECT day, sum(n) AS total FROM d GROUP BY day), g AS (SELECT day, total, category, p FROM t, r),
+    b AS (SELECT coalesce(g.day, d.day) AS day, greatest(coalesce(p, 0), 1e-6) AS p, greatest(coalesce(n / t.total::DOUBLE, 0), 1e-6) AS q FROM g FULL JOIN d ON g.day = d.day AND g.category = d.category LEFT JOIN t ON t.day = coalesce(g.day, d.day)),
+    x AS (SELECT day, sum((q - p) * ln(q / p)) AS psi FROM b GROUP BY day)
+    SELECT day, round(psi, 6) AS psi, {_severity('psi', 0.1, 0.25, 0.5)} AS severity FROM x"""
+)
 def stream_window_psi(spark, sf):
-    """Extension: PSI of each day's event types against the first two weeks, by a stream that runs what is there."""
+    """Extension: PSI of each day's event types against the first two weeks, by a stream that runs what is there; the last day too."""
     from tidemark.plans.pipeline import scratch
-    from tidemark.streaming.drift_stream import monitor
+    from tidemark.streaming.drift_stream import latest_counts, monitor, window_psi
 
     events = table(spark, sf, "events")
     reference = frequency.category_freq(events.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), ["event_type"])
     where = scratch(spark)
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    monitor(stream, reference, "ts", "event_type", lambda df, epoch: df.write.mode("append").parquet(f"{where}/psi"), f"{where}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{where}/psi")
+    monitor(stream, "ts", "event_type", f"{where}/counts", f"{where}/checkpoint").awaitTermination()
+    told = window_psi(latest_counts(spark, f"{where}/counts"), reference)
+    return told.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "psi", "severity")

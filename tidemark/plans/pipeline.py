@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.text import positive_label
 from tidemark.operators import detect, mitigate, model, profile, rank, views
+from tidemark.plans import report
 from tidemark.sources import readers, writers
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder below the session's shared checkpoint folder; one of its own where none is set and the master is local (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def stored(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as Parquet below ``folder``: what many jobs read is parsed once, and column by column after that."""
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 @dataclass
@@ -34,6 +45,8 @@ class Run:
     au_prc_train: float
     au_prc_test: float | None
     meta: DataFrame
+    cells: DataFrame | None
+    chosen: list[str]
 
 
 def run(
@@ -47,24 +60,30 @@ def run(
     verdicts = detect.Detector(types, month, config).detect(train, test)
     labels = [r[0] for r in train.where(F.col(target).isNotNull()).select(F.col(target).cast("string")).distinct().limit(3).collect()]
     label = positive_label(labels)
-    ranked = rank.rank_drift(detect.rank_input(verdicts), test, month, config)
+    ranked = rank.rank_drift(detect.rank_input(verdicts), test, month, config).persist()  # a row per drifted column, read again and again
     drifted = {r["feature"]: r["col_type"] for r in ranked.collect()}
     fitted = mitigate.Mitigator(target, label, config).fit(train, test, drifted)
     chosen = mitigate.policy_features(ranked)
-    a, b = (mitigate.apply_policy(policy, chosen, train, raw, fitted.transform(raw), key) for raw in (train, test))
-    features = [c for c in profile.of_type(types, "numerical", "categorical", "high_cardinality", "sparse") if c not in model.dead_columns(a, b, list(types))]
+    a, b = (mitigate.apply_policy(policy, chosen, train, raw, fitted) for raw in (train, test))
+    tested = [c for c in profile.of_type(types, "numerical", "categorical", "high_cardinality", "sparse") if c in a.columns and c in b.columns]
+    gone = model.dead_columns(a, b, tested)
+    features = [c for c in tested if c not in gone]
     y = mitigate.positive(F.col(target), label)
     fit = model.fit(a, features, y)
-    prc = lambda df: model.average_precision(model.score(fit, df.withColumn("tm_y__", y), features, ["tm_y__"]), "tm_y__", "probability_score").first()[0] or 0.0
+    keep = ["tm_y__"]
+    scores = lambda df: model.score(fit, df.withColumn("tm_y__", y), keep)
+    prc = lambda df: model.average_precision(scores(df), "tm_y__", "probability_score").first()[0] or 0.0
     train_prc = prc(a)
-    test_prc = prc(b) if model.classes(b, target) >= 2 else None
-    scored = writers.predictions(model.score(fit, b, features, [key]), key)
+    labelled = target in b.columns and model.classes(b, target) >= 2
+    test_prc = prc(b) if labelled else None
+    cells = model.confusion(scores(b), "tm_y__", "probability_score", config=config) if labelled else None
+    scored = writers.predictions(model.score(fit, b, [key]), key)
     figures = writers.meta(spark, train.count(), test.count(), views.feature_count(types), train_prc, time.time() - began, test_prc)
-    importance = model.importance(fit, features, a)
+    importance = model.importance(fit, spark)
     if out:
         writers.export(out, verdicts, ranked, figures, importance, scored)
         writers.save_model(fit, f"{out}/model")
-    return Run(verdicts, ranked, importance, scored, train_prc, test_prc, figures)
+    return Run(verdicts, ranked, importance, scored, train_prc, test_prc, figures, cells, chosen)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -75,10 +94,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--policy", choices=("binning", "robust", "none", "delta"), default="binning")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
-    done = run(spark, *readers.ingest(spark, args.train, args.test), policy=args.policy, out=args.out)
-    views.by_severity(done.verdicts).show(1000, truncate=False)
-    done.ranked.show(1000, truncate=False)
-    done.meta.show(truncate=False)
+    began, folder = time.time(), scratch(spark)
+    both = (stored(spark, df, f"{folder}/{n}") for n, df in zip(("train", "test"), readers.ingest(spark, args.train, args.test), strict=True))
+    done = run(spark, *both, policy=args.policy, out=args.out)
+    tables = (
+        report.drift_summary(done.verdicts), done.ranked, report.policy_summary(spark, args.policy, done.chosen), report.score_table(spark, done.au_prc_train, done.au_prc_test),
+        done.cells, done.importance, done.meta, report.runtime(spark, time.time() - began),
+    )
+    for shown in tables:
+        if shown is not None:
+            shown.show(1000, truncate=False)
 
 
 if __name__ == "__main__":

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.config import NULL_TOKENS
 from tidemark.functions.text import null_tokens
 
+_log = logging.getLogger(__name__)
+
 
 def must_exist(spark: SparkSession, path: str) -> str:
     """The path, if there is something at it, in whatever store it names."""
@@ -19,13 +24,30 @@ def must_exist(spark: SparkSession, path: str) -> str:
     return path
 
 
-def raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text with null tokens as null. Malformed lines are kept as far as they go; bytes that are no text become U+FFFD."""
+#: How damaged files are read, one after the other until one works: as they should be, with what is legible of each line, without bad lines.
+LEVELS = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
+_DAMAGED = "tm_damaged__"
+
+
+def raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", mode: str = "PERMISSIVE") -> DataFrame:
+    """All columns as text with null tokens as null. Bytes that are no text become U+FFFD.
+
+    Under PERMISSIVE malformed lines are kept as far as they go, under FAILFAST they are an error, under DROPMALFORMED they go.
+    """
     must_exist(spark, path)
-    rows = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", encoding=encoding, escape='"', multiLine=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False, mode=mode, encoding=encoding, escape='"', multiLine=False)
     return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
+def damaged_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> int:
+    """Lines with too few or too many fields."""
+    names = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, escape='"').columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _DAMAGED]])
+    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=_DAMAGED, encoding=encoding, escape='"', enforceSchema=True)
+    # all columns take part, or Spark would not parse them and see no damage
+    return rows.agg(F.count_if(F.col(_DAMAGED).isNotNull()), *[F.count(F.col(f"`{c}`")) for c in names]).first()[0]
+
+
 def inferred_types(rows: DataFrame) -> dict[str, T.DataType]:
     """Type of each text column: long, double, boolean or string, whichever all rows' values fit. One job, partial aggregates only."""
     tests = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
@@ -40,31 +62,62 @@ def inferred_types(rows: DataFrame) -> dict[str, T.DataType]:
     }
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None) -> DataFrame:
-    """A CSV file with inferred types, or the given ones for the columns they name; values that do not fit become null.
+@dataclass
+class Report:
+    """What a read met: the level that worked, malformed lines, and values that fit a given type no better than as null, by column."""
+
+    level: str = LEVELS[0]
+    damaged: int = 0
+    misfits: dict[str, int] = field(default_factory=dict)
 
-    Falls back to a lenient encoding where the file is not valid UTF-8 (Spark replaces such bytes).
+
+def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None, report: Report | None = None) -> DataFrame:
+    """A CSV file with inferred types, or the given ones for the columns they name; values that do not fit those become null.
+
+    Reads strictly first and falls back level by level (``LEVELS``). Damage and misfits go into ``report`` and the log.
     """
-    rows = raw_csv(spark, path)
-    found = inferred_types(rows) | {c: t for c, t in (types or {}).items() if c in rows.columns}
+    report = Report() if report is None else report
+    for report.level in LEVELS:
+        rows = raw_csv(spark, path, mode=report.level)
+        given = {c: t for c, t in (types or {}).items() if c in rows.columns}
+        try:
+            found, report.misfits = inferred_types(rows), misfits(rows, given)
+            break
+        except Exception as e:  # noqa: BLE001
+            if report.level == LEVELS[-1] or "MALFORMED" not in str(e).upper() and "FAILFAST" not in str(e).upper():
+                raise
+    if report.level != LEVELS[0]:
+        report.damaged = damaged_rows(spark, path)
+        _log.warning("%s: %d malformed lines, read as %s", path, report.damaged, report.level)
+    if report.misfits:
+        _log.warning("%s: values that do not fit their columns became null: %s", path, report.misfits)
+    found |= given
     return rows.select(*[F.col(f"`{c}`").try_cast(found[c]).alias(c) for c in rows.columns])
 
 
-def aligned(train: DataFrame, test: DataFrame) -> DataFrame:
-    """``test`` with the columns it lacks as typed nulls, train's columns first."""
-    missing = [f for f in train.schema if f.name not in test.columns]
+def misfits(rows: DataFrame, types: dict[str, T.DataType]) -> dict[str, int]:
+    """Numbers of values that a cast to the given types makes null, for columns that have any."""
+    if not types:
+        return {}
+    lost = rows.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"m{k}") for k, (c, t) in enumerate(types.items())]).first()
+    return {c: n for c, n in zip(types, lost, strict=True) if n}
+
+
+def aligned(train: DataFrame, test: DataFrame, structural: Sequence[str] = ()) -> DataFrame:
+    """``test`` with the columns it lacks as typed nulls, train's columns first; structural columns are never made up."""
+    missing = [f for f in train.schema if f.name not in test.columns and f.name not in structural]
     out = test.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
-    return out.select(*train.columns, *[c for c in out.columns if c not in train.columns])
+    return out.select(*[c for c in train.columns if c in out.columns], *[c for c in out.columns if c not in train.columns])
 
 
 def ingest(spark: SparkSession, train_path: str, test_path: str, key: str = "CustomerID", structural: tuple[str, ...] = ("CustomerID", "Month", "ChurnStatus")) -> tuple[DataFrame, DataFrame]:
-    """Both splits: test with train's types except for the structural columns, the id required, columns aligned."""
+    """Both splits: test with train's types and missing columns except for the structural ones; the id is required."""
     train = read_csv(spark, train_path)
     types = {f.name: f.dataType for f in train.schema if f.name not in structural}
     test = read_csv(spark, test_path, types)
     if key not in test.columns:
         raise ValueError(f"the test file lacks the column {key}")
-    return train, aligned(train, test)
+    return train, aligned(train, test, structural)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -84,15 +137,14 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
 
 
-def load_outputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """What ``writers.export`` wrote, by name; parts that are not there are left out."""
+def load_outputs(spark: SparkSession, *folders: str) -> dict[str, DataFrame]:
+    """What ``writers.export`` wrote, by name, each from the first folder that has it; parts that are nowhere are left out."""
     out = {}
     for name in ("drift_results.csv", "ranked_features.csv", "feature_importance.csv", "prediction.csv", "pipeline_meta.json"):
-        try:
-            out[name.split(".")[0]] = read_table(spark, must_exist(spark, f"{folder}/{name}"))
-        except FileNotFoundError:
-            continue
+        for folder in folders:
+            try:
+                out[name.split(".")[0]] = read_table(spark, must_exist(spark, f"{folder}/{name}"))
+                break
+            except FileNotFoundError:
+                continue
     return out
-
-
-__all__ = ["NULL_TOKENS", "aligned", "inferred_types", "ingest", "load_outputs", "must_exist", "pruned", "raw_csv", "read_csv", "read_table", "sample_rows"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.mitigate import ACTUAL, ROUTES
+from tidemark.operators.model import Trained
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -24,7 +24,7 @@ def drift_results(verdicts: DataFrame) -> DataFrame:
     pairs = F.create_map(*[F.lit(x) for kind, how in ROUTES.items() for x in (kind, ACTUAL[how])])
     return verdicts.where("drift_detected").select(
         F.col("column").alias("feature"), "feature_type", "drift_severity", F.col("test_method").alias("test_used"), "test_statistic",
-        F.coalesce(F.try_element_at(pairs, F.lower("feature_type")), F.lit("none")).alias("mitigation"), "phase_c_segment_stable", "phase_c_drifted_months",
+        F.coalesce(F.try_element_at(pairs, F.lower("feature_type")), "mitigation").alias("mitigation"), "phase_c_segment_stable", "phase_c_drifted_months",
     )
 
 
@@ -37,8 +37,8 @@ def meta(spark: SparkSession, n_train: int, n_test: int, n_features: int, au_prc
     return spark.createDataFrame([tuple(out.values())], kinds)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Trained, path: str) -> None:
+    model.save(path)
 
 
 def export(folder: str, verdicts: DataFrame, ranked: DataFrame, figures: DataFrame, importance: DataFrame | None = None, scored: DataFrame | None = None) -> None:

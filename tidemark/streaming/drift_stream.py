@@ -1,10 +1,8 @@
-"""An extension beyond batch: category histograms of event-time windows, compared with a fixed reference as they close."""
+"""An extension beyond batch: category histograms of event-time windows, compared with a fixed reference."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +12,7 @@ from tidemark.functions.text import level
 
 
 def windowed_counts(stream: DataFrame, time: str, col: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """(window_start, category, n): append-mode counts of closed windows; rows later than ``late`` are left out."""
+    """(window_start, category, n): counts of event-time windows; rows later than ``late`` are left out."""
     at = F.window(time, window)
     rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return rows.groupBy(at.alias("w"), level(F.col(col)).alias("category")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "category", "n")
@@ -31,8 +29,20 @@ def window_psi(counts: DataFrame, reference: DataFrame, config: Config = DEFAULT
     return told.withColumn("severity", severity(F.col("psi"), config.psi))
 
 
-def monitor(stream: DataFrame, reference: DataFrame, time: str, col: str, sink: Callable[[DataFrame, int], None], checkpoint: str, window: str = "1 day", late: str = "1 hour") -> StreamingQuery:
-    """Runs what is available: each batch of closed windows goes to ``sink`` with its PSI. Restart with the same checkpoint goes on where it stopped."""
+def monitor(stream: DataFrame, time: str, col: str, counts_dir: str, checkpoint: str, window: str = "1 day", late: str = "1 hour") -> StreamingQuery:
+    """Runs what is available and writes the counts that changed, each batch into a folder of its own below ``counts_dir``.
+
+    A batch that runs again overwrites its folder, so nothing is counted twice. Restart with the same checkpoint goes on where it stopped.
+    """
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{counts_dir}/epoch={epoch}")
+
     counts = windowed_counts(stream, time, col, window, late)
-    told = lambda batch, epoch: sink(window_psi(batch, reference), epoch)
-    return counts.writeStream.outputMode("append").foreachBatch(told).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, counts_dir: str) -> DataFrame:
+    """(window_start, category, n) after all batches: the last count of each window and category, windows that are still open among them."""
+    rows = spark.read.parquet(counts_dir)
+    return rows.groupBy("window_start", "category").agg(F.max_by("n", "epoch").alias("n"))
