@@ -277,7 +277,8 @@ def _sketched(rows: DataFrame, window: int, gram: int, width: int) -> tuple:
 def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """(doc, row, marks) for the rows of (doc, row, text) that lose bytes."""
     narrow = df.select("doc", "row", F.sha2("text", 256).alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final")
+    # a table of its own: the join's sides are then both dealt anew, and Spark can split a digest that very many rows have
+    first = cut(narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final"))
     copies = cut(narrow.join(first, "digest").where("doc > first").select("doc", "row").distinct())
     rows = without(df.select("doc", "row", "text"), copies, [F.col("doc"), F.col("row")])
     bitmap, width = _sketched(rows, window, gram, width)
