@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -127,7 +128,8 @@ def confusion_curve(df: DataFrame, y: str, p: str, thresholds: Sequence[float])
     Rows whose score is null are hits of no threshold and misses of none, those without a label count nowhere.
     """
     steps = sorted({float(t) for t in thresholds})
-    passed = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col(p)))  # how many thresholds the score reaches
+    x = F.col(p).cast("double")
+    passed = reduce(lambda a, t: a + (x >= F.lit(t)).cast("int"), steps, F.lit(0))  # how many thresholds the score reaches
     rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     counts = rows.groupBy(passed.alias("k")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     grid = df.sparkSession.createDataFrame(list(enumerate([float("-inf"), *steps])), "k int, threshold double")
