@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -430,6 +431,8 @@ def test_language_against_a_slow_twin(spark, n):
     say = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9)))
     rows = [(k, say(alphabets[k % n]), f"l{k % n}") for k in range(60 * n)]
     rows += [(10_000 + k, say(alphabets[k % n] + rng.choice(alphabets)), None) for k in range(80)] + [(20_000, "x" * 5000, None), (20_001, "a", None)]
+    rows += [(30_000 + k, " ".join(say(alphabets[(k + d) % n]) for d in range(2)), None) for k in range(80)]  # two languages each
+    rows += [(40_000 + k, t, None) for k, t in enumerate(["e", "f g", "ge fe", "kl", "k l", "l", "u u", "uw", "w", "x w", "a", "ab", "ζ", "ψω ξ"])]  # letters that two languages share, or none has
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     learned: dict = {}
@@ -511,11 +514,12 @@ def test_packed_table(spark):
 
 def test_rows_that_repeat_are_dealt_to_all_shards(spark):
     rows = [(None, "same words here")] * 900 + [(7, "same words here")] * 300 + [(k, f"text {k}") for k in range(100)]
-    done = packing.pack_documents(packing.sized(table(spark, rows)), shard_rows=100).collect()
+    docs = table(spark, rows)
+    done = packing.pack_documents(packing.sized(docs), shard_rows=100).collect()
     assert Counter(r["doc_id"] for r in done) == Counter(i for i, _ in rows)
     per_shard = Counter(r["shard"] for r in done)
     assert len(per_shard) == 13 and max(per_shard.values()) < 250
-    again = packing.pack_documents(packing.sized(table(spark, rows[::-1]).repartition(5)), shard_rows=100).collect()
+    again = packing.pack_documents(packing.sized(docs.orderBy(F.desc("row")).repartition(5)), shard_rows=100).collect()  # the same rows, source included
     assert Counter((r["shard"], r["doc_id"], r["length"]) for r in done) == Counter((r["shard"], r["doc_id"], r["length"]) for r in again)
 
 
@@ -585,6 +589,23 @@ def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
 
 
+def test_a_prediction_does_not_depend_on_the_texts_beside_it(spark):
+    rng = random.Random(31)
+    say = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 5))) for _ in range(n))
+    learned = [(k, say(("abcdef", "defghi", "hijkla")[k % 3], 8), f"l{k % 3}") for k in range(120)]
+    texts_ = [say(rng.choice(("abcdef", "defghi", "hijkla", "acegik")), rng.randint(1, 3)) for _ in range(300)] + ["", None, "a", "a", "é", "", None]
+    df = spark.createDataFrame(learned, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    letters = np.array([bool(t) for t in texts_])
+    together = [x.to_pylist() for x in langid._scored(model, pa.array(texts_, pa.string()), letters)]
+    for k, t in enumerate(texts_):
+        alone = [x.to_pylist()[0] for x in langid._scored(model, pa.array([t], pa.string()), letters[k : k + 1])]
+        assert alone[0] == together[0][k] and alone[1] == pytest.approx(together[1][k], abs=1e-9) and alone[2] == together[2][k]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts_)], "doc_id long, text string")
+    told = [{r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(d, model).collect()} for d in (rows.coalesce(1), rows.orderBy(F.rand(5)), rows.repartition(7))]
+    assert told[0] == told[1] == told[2] and told[0] == {k: (a, round(b, 9)) for k, (a, b) in enumerate(zip(*together[:2], strict=True))}
+
+
 def test_more_languages_than_the_bound_are_an_error(spark):
     docs = spark.createDataFrame([(k, f"some text {k}", f"l{k % 3}") for k in range(60)], "doc_id long, text string, lang string")
     assert langid.fit(docs, most_languages=3).languages == ["l0", "l1", "l2"]

@@ -34,14 +34,18 @@ STEEP, CLEAR = 4.0, 0.6
 
 
 def grams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all byte trigrams of texts (each between two spaces), and where each text's begin; a text of n bytes has n."""
+    """Buckets of all byte trigrams of texts (each between two spaces), and where each text's begin; a text of n bytes has n.
+
+    No trigram reaches into the next text, so that a text's trigrams do not depend on its neighbours.
+    """
     n, sizes = len(offsets) - 1, np.diff(offsets)
     held = np.full(int(offsets[-1]) + n + 2, 32, np.uint8)
     held[np.arange(int(offsets[-1])) + np.repeat(np.arange(n) + 1, sizes)] = _FOLD[body]
     wide = held.astype(np.uint32)
     triples = (wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
-    # text i's bytes start at offsets[i] + i + 1; its trigrams start one before
-    return (triples >> np.uint32(16)).astype(np.int64), offsets[:-1] + np.arange(n)
+    own = np.ones(len(triples), bool)
+    own[offsets[1:] + np.arange(n)] = False  # (last byte, space, first byte of the next text)
+    return (triples[own] >> np.uint32(16)).astype(np.int64), offsets[:-1]
 
 
 def codewords(n: int) -> np.ndarray:
@@ -142,9 +146,9 @@ def _scored(m: Model, texts: pa.Array, letters: np.ndarray) -> list[pa.Array]:
         for a in range(0, j - i, 4096):
             b = min(a + 4096, j - i)
             first, last = int(edges[a]), int(edges[b])
-            if last > first:
-                where = np.minimum(starts[a:b] - first, last - first - 1)
-                sums[i + a : i + b] = np.add.reduceat(m.weights[found[first:last]], where, axis=0)
+            full = np.flatnonzero(np.diff(edges[a : b + 1]))  # an empty text has no trigram, and reduceat would give it its neighbour's
+            if len(full):
+                sums[i + a + full] = np.add.reduceat(m.weights[found[first:last]], starts[a:b][full] - first, axis=0)
     if m.languages:
         best, score, unsure = m.decode(sums / np.maximum(np.diff(offs), 1)[:, None])
     else:
