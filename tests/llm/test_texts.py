@@ -578,7 +578,7 @@ def test_chat_plan_is_native(spark, sf):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in want.description]
@@ -586,7 +586,7 @@ def test_sql(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_a_prediction_does_not_depend_on_the_texts_beside_it(spark):

@@ -7,11 +7,10 @@ import math
 import random
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 
-from tidemark.llm import lloyd, registry, whitening
+from tidemark.llm import lloyd, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, digest string, q int, n long, cluster int, x string, vector int, z int"
 
@@ -86,14 +85,6 @@ def test_clusters_of_no_vectors_and_of_too_large_ones(spark):
         lloyd.cluster_vectors(table(spark, [(1, [1e30] * 4)]), 4).collect()
 
 
-def test_clusters_by_sql(spark, sf):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
-    want = con.execute(registry.oracle_sql()["op11_centroid_clustering"])
-    names = [d[0] for d in want.description]
-    assert Counter(want.fetchall()) == Counter(tuple(r) for r in registry.queries()["op11_centroid_clustering"](spark, sf).select(*names).collect())
-
-
 # ---- whitening ----
 def slow_whitening(vectors, dims, most):
     own = kept(vectors, dims)

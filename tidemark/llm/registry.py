@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, langid, lloyd, mpegts, packing, pii, repeats, sentencepiece, simhash, substring, whitening
+from tidemark.llm import chat, exact, langid, lloyd, mpegts, packing, pii, quality, repeats, sentencepiece, simhash, substring, whitening
 
 QUERIES = (
     mpegts.op1_media_mpegts,
@@ -20,6 +20,7 @@ QUERIES = (
     packing.op9_bestfit_packing,
     chat.op10_chat_format,
     lloyd.op11_centroid_clustering,
+    quality.op12_quality_rules,
     whitening.op13_embedding_whitening,
 )
 
@@ -31,5 +32,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring.OP2_SQL, "op3_exact_dedup": exact.OP3_SQL, "op5_suffix_dedup": repeats.OP5_SQL, "op10_chat_format": chat.OP10_SQL,
-        "op11_centroid_clustering": lloyd.OP11_SQL,
+        "op11_centroid_clustering": lloyd.OP11_SQL, "op12_quality_rules": quality.OP12_SQL,
     }
