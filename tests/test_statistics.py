@@ -73,6 +73,37 @@ def test_tails():
     assert special.ks_two_sample(1.36 * math.sqrt(2 / 5000), 5000, 5000) == pytest.approx(0.049, abs=0.002)
 
 
+def test_finite_sample_law_has_published_values():
+    """Marsaglia, Tsang and Wang (2003) give the first four, tables of critical values the others."""
+    for d, n, want in ((0.274, 10, 0.6284796154565), (0.04, 2000, 0.99676943191713676985), (0.06, 2000, 0.99999893956930568118), (0.016, 16000, 0.99945234913828052085)):
+        assert 1 - special.kolmogorov_upper(d, n) == pytest.approx(want, abs=1e-9)
+    for n, d, p in ((5, 0.56328, 0.05), (10, 0.40925, 0.05), (20, 0.29408, 0.05), (100, 0.13403, 0.05), (10, 0.48893, 0.01), (20, 0.35241, 0.01)):
+        assert special.kolmogorov_upper(d, n) == pytest.approx(p, abs=2e-5)
+
+
+def test_ways_to_the_finite_sample_law_agree():
+    """Matrix against expansion, matrix against the tail, and the law against all orders of a few values."""
+    for t in (0.45, 0.7, 1.0, 1.36, 1.7, 1.95):
+        assert special._pelz_good(t / 50, 2500) == pytest.approx(special._durbin(t / 50, 2500), abs=5e-8)
+    for n in (30, 3000):
+        assert 2 * special._smirnov_upper(2 / math.sqrt(n), n) == pytest.approx(1 - special._durbin(2 / math.sqrt(n), n), rel=1e-8)
+    assert 2 * special._smirnov_upper(2.2e-3, 10**6) == pytest.approx(1 - special._pelz_good(2.2e-3, 10**6), rel=1e-6)
+    for n in (1, 2, 7, 40):
+        values = [special.kolmogorov_upper(k / 200, n) for k in range(201)]
+        assert values == sorted(values, reverse=True) and values[0] == 1 and values[-1] == 0
+    rng = np.random.default_rng(2)
+    for n in (3, 8):
+        u = np.sort(rng.random((200_000, n)), 1)
+        far = np.maximum((np.arange(1, n + 1) / n - u).max(1), (u - np.arange(n) / n).max(1))
+        for d in (0.1, 0.25, 0.4, 0.6, 0.9):
+            assert special.kolmogorov_upper(d, n) == pytest.approx((far >= d).mean(), abs=0.005)
+
+
+def test_large_samples_use_the_finite_law():
+    assert special.ks_two_sample(0.3, 20_000, 30) == special.kolmogorov_upper(0.3, 30)
+    assert special.ks_two_sample(0.01, 10**12, 10**12) == 0 and 0 < special.ks_two_sample(1e-6, 10**12, 10**12) < 1
+
+
 @given(st.integers(2, 12), st.integers(2, 12))
 def test_exact_ks_is_a_probability(n, m):
     values = [special.ks_two_sample(k / 10, n, m) for k in range(1, 11)]

@@ -30,7 +30,7 @@ SUGGESTED = {"numerical": "quantile_binning", "categorical": "frequency_encoding
 VERDICT = (
     "column string, feature_type string, prescreen_score double, prescreen_flagged boolean, test_method string, test_statistic double, drift_detected boolean,"
     " drift_severity string, mitigation string, notes string, phase_c_drift_detected boolean, phase_c_drift_is_temporal boolean, phase_c_notes string,"
-    " phase_c_segment_stable boolean, phase_c_drifted_months string"
+    " phase_c_segment_stable boolean, phase_c_drifted_months string, p_value double, inner_p_value double"
 )
 
 
@@ -53,6 +53,9 @@ class Verdict:
     phase_c_notes: str = ""
     phase_c_segment_stable: bool | None = None
     phase_c_drifted_months: str = ""
+    #: Of the test named; of a sparse column's values that are not zero.
+    p_value: float | None = None
+    inner_p_value: float | None = None
 
     def settle(self, method: str, statistic: float | None, confirmed: bool, level: str, note: str) -> None:
         self.test_method, self.test_statistic, self.notes = method, statistic, note
@@ -150,6 +153,7 @@ class Detector:
             p = None if r["chi2"] is None else chi2_upper(r["chi2"], r["cells"] - 1)
             ok = r["psi"] >= c.psi.mild and (p is None or p < c.alpha)
             found[x].settle(PSI_TEST, r["psi"], ok, severity_of(r["psi"], c.psi), "chi2 did not run" if p is None else f"chi2 p={p:.6g}")
+            found[x].p_value = p
         for r in told.get("js", []):
             level = severity_of(r["js"], c.js)
             found[r["feature"]].settle(JS_TEST, r["js"], level != "NONE", level, f"top {c.top_k} and the rest")
@@ -162,17 +166,18 @@ class Detector:
         if min(n, m) < c.min_obs:
             v.notes = "too few values"
             return
-        p = ks_two_sample(d, n, m)
+        v.p_value = p = ks_two_sample(d, n, m)
         v.settle(KS_TEST, d, p < c.alpha and d > c.ks.mild, severity_of(d, c.ks), f"p={p:.6g}")
 
     def _sparse_verdict(self, v: Verdict, z: float, inner) -> None:  # noqa: ANN001
         """Presence by Z, then values that are not zero by KS; either confirms, the larger raw severity counts."""
         c = self.config
-        level, confirmed = severity_of(abs(z), c.z), normal_two_sided(z) < c.alpha and abs(z) >= c.z.mild
+        v.p_value = normal_two_sided(z)
+        level, confirmed = severity_of(abs(z), c.z), v.p_value < c.alpha and abs(z) >= c.z.mild
         statistic, note = z, f"z={z:.6g}"
         if inner is not None and min(inner["n_train"], inner["n_test"]) >= c.min_obs:
             d = inner["ks"]
-            p = ks_two_sample(d, inner["n_train"], inner["n_test"])
+            v.inner_p_value = p = ks_two_sample(d, inner["n_train"], inner["n_test"])
             statistic, note = d, f"{note}, ks p={p:.6g}"
             level = max(level, severity_of(d, c.ks), key=LEVELS.index)
             confirmed = confirmed or (p < c.alpha and d > c.ks.mild)

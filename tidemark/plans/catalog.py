@@ -524,8 +524,8 @@ def _with_city(df):
     return df.withColumn("city", F.when(late & (F.col("o_orderkey") % 4 == 0), new).otherwise(old)).withColumn("rare", rare)
 
 
-def _detect_sql() -> str:
-    """The detector's rules over the same columns, from the statistics above; p-values as critical values at 0.05."""
+def _detect_sql(p_values: bool = False) -> str:
+    """The detector's rules over the same columns, from the statistics above; p-values as critical values at 0.05. Or the p-values of categories and of presence."""
     numbers, words, city = ("o_totalprice", "shifted"), ("o_orderpriority", "variant", "status", "moved"), ("city",)
     all_words = (*words, *city, "rare")
     sides = {"tr": _D_TRAIN, "te": _D_TEST}
@@ -548,7 +548,7 @@ def _detect_sql() -> str:
     sparse = {"sparse_price": "coalesce(sparse_price, 0) <> 0", "rare": "rare IS NOT NULL"}
     presence = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_z('pos_a', 'n_a', 'pos_b', 'n_b')} AS z, abs(pos_a / n_a::DOUBLE - pos_b / n_b::DOUBLE) AS score FROM ({_presence(_D_TRAIN, 'a', e)}), ({_presence(_D_TEST, 'b', e)})" for c, e in sparse.items())
     monthly = lambda source: " UNION ALL ".join(f"SELECT '{c}' AS feature, month, coalesce(avg({c}), 0) AS mean FROM {source} GROUP BY 2" for c in numbers)
-    return f"""(WITH both_ AS (SELECT * FROM {both}), nt AS (SELECT count(*) AS n FROM {_D_TEST}),
+    rules = f"""WITH both_ AS (SELECT * FROM {both}), nt AS (SELECT count(*) AS n FROM {_D_TEST}),
     stats AS (SELECT a.feature, a.mean AS am, a.std AS astd, a.p25 AS al, a.p75 AS ah, b.mean AS bm, coalesce(nullif(b.p25, 0), b.mean) AS bl, coalesce(nullif(b.p75, 0), b.mean) AS bh
       FROM {_stats(_D_TRAIN, *numbers)} a JOIN {_stats(_D_TEST, *numbers)} b USING (feature)),
     gaps AS (SELECT feature, abs(am - bm) / (astd + 1e-9) AS shift, CASE WHEN ah - al > 1e-9 THEN 1 - greatest(0, least(ah, bh) - greatest(al, bl)) / (ah - al) ELSE 0 END AS gap FROM stats),
@@ -574,7 +574,12 @@ def _detect_sql() -> str:
     spread AS (SELECT feature, min(mean) AS lo, max(mean) AS hi, CASE WHEN avg(mean) = 0 THEN greatest(stddev_pop(mean), 1e-6) ELSE greatest(stddev_pop(mean), 0.05 * abs(avg(mean))) END AS w FROM monthly WHERE side = 'a' GROUP BY feature HAVING count(*) >= 2),
     segments AS (SELECT feature, count(*) FILTER (mean < lo - w OR mean > hi + w) = 0 AS stable, coalesce(string_agg(month, ',' ORDER BY month) FILTER (mean < lo - w OR mean > hi + w), '') AS months FROM monthly JOIN spread USING (feature) WHERE side = 'b' GROUP BY feature),
     told AS (SELECT pre.*, method, stat, coalesce(flagged AND ok, false) AS drifted, CASE WHEN flagged AND ok THEN sev ELSE 'NONE' END AS severity, coalesce(flagged AND kind = 'categorical' AND moved > 0.1, false) AS sub, flagged AND temporal AS temporal, stable, months
-      FROM pre LEFT JOIN tests USING (feature) LEFT JOIN psi USING (feature) LEFT JOIN times USING (feature) LEFT JOIN segments USING (feature))
+      FROM pre LEFT JOIN tests USING (feature) LEFT JOIN psi USING (feature) LEFT JOIN times USING (feature) LEFT JOIN segments USING (feature))"""
+    upper = lambda x, a: "CASE WHEN {x} > 1000 THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(3000), lambda i: exp((i + {a}) * ln({x} / 2) - {x} / 2 - lgamma(i + {a} + 1))))) END".format(x=x, a=a)  # noqa: E731  the lower gamma series, in logarithms
+    if p_values:
+        return f"""{rules} SELECT feature AS "column", method AS test_method, round(CASE WHEN kind = 'sparse' THEN {upper('z * z', '0.5::DOUBLE')} WHEN cells >= 2 THEN {upper('chi2', '((cells - 1) / 2.0)')} END, 6) AS p_value
+          FROM told LEFT JOIN chi USING (feature) LEFT JOIN (SELECT feature, z FROM presence) USING (feature) WHERE flagged AND kind IN ('categorical', 'sparse')"""
+    return f"""({rules}
     SELECT feature AS "column", kind AS feature_type, score AS prescreen_score, flagged AS prescreen_flagged, CASE WHEN flagged THEN method ELSE 'Pre-Screen Only (fast)' END AS test_method,
       CASE WHEN flagged THEN stat END AS test_statistic, drifted OR sub AS drift_detected, CASE WHEN drifted THEN severity WHEN sub THEN 'MILD' ELSE 'NONE' END AS drift_severity,
       CASE WHEN NOT (drifted OR sub) THEN 'no_action (stable)' WHEN kind = 'numerical' THEN 'quantile_binning' WHEN kind = 'categorical' THEN 'frequency_encoding' WHEN kind = 'sparse' THEN 'binarise (sparse->binary)' ELSE 'drop_feature' END AS mitigation,
@@ -614,6 +619,37 @@ def detect_notes(spark, sf):
     return _verdicts(spark, sf).select("column", "notes", "phase_c_notes")
 
 
+_ITEMS = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount", "scaled_tax": "CASE WHEN l_shipdate >= TIMESTAMP '2000-01-01' THEN l_tax * 1.03 ELSE l_tax END"}
+_EARLY, _LATE = "(SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01')", "(SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01')"
+
+@query(
+    f"""WITH k AS (SELECT feature, ks, round(n_train * n_test / (n_train + n_test)::DOUBLE) AS n, ks * sqrt(round(n_train * n_test / (n_train + n_test)::DOUBLE)) AS z FROM {_ks(_EARLY, _LATE, _ITEMS)}),
+    w AS (SELECT *, list_sum(list_transform(range(1, 60), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * k * k * z * z) * (1 - 2 * k * k * z / (3 * sqrt(n))
+      - (k * k - k % 2 - 4 * (k * k - k % 2 + 3) * k * k * z * z + 8 * k ** 4 * z ** 4) / (18 * n)
+      + k * k * z / (27 * n ** 1.5) * ((5 * k * k + 22 - 15 * (k % 2)) ** 2 / 5.0 - 4 * (5 * k * k + 67 - 15 * (k % 2)) * k * k * z * z / 15.0 + 8 * k ** 4 * z ** 4)))) AS p FROM k)
+    SELECT feature, round(ks, 6) AS ks, n::BIGINT AS n, round(least(1, greatest(0, p)), 4) AS p FROM w"""
+)
+def ks_p_values(spark, sf):
+    """The finite-sample law over items shipped before and after 2000; in SQL the alternating series with corrections for the sample's size (Li-Chien)."""
+    from tidemark.functions.special import kolmogorov_upper
+
+    items = table(spark, sf, "lineitem")
+    late = F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")
+    items = items.withColumn("scaled_tax", F.when(late, F.col("l_tax") * 1.03).otherwise(F.col("l_tax")))
+    told = []
+    for r in drift.ks(items.where(~late), items.where(late), list(_ITEMS)).collect():
+        n = round(r["n_train"] / (r["n_train"] + r["n_test"]) * r["n_test"])
+        told.append((r["feature"], r["ks"], n, round(kolmogorov_upper(r["ks"], n), 4)))
+    return spark.createDataFrame(told, "feature string, ks double, n long, p double")
+
+
+@query(_detect_sql(p_values=True))
+def verdict_p_values(spark, sf):
+    """P-values of the verdicts of categories (chi-square) and of presence (normal), as numbers."""
+    told = _verdicts(spark, sf).where("feature_type = 'categorical' OR feature_type = 'sparse'").where("prescreen_flagged")
+    return told.select("column", "test_method", "p_value")
+
+
 # ---- ranking, and the tables that show verdicts ----
 _RANK_IN = f"(SELECT \"column\" AS feature, feature_type AS col_type, test_method AS test_used, coalesce(test_statistic, 0) AS raw_score, drift_severity FROM {_DETECT} WHERE drift_detected)"
 _RANKED = f"""(WITH w AS (SELECT v.*, raw_score * CASE drift_severity WHEN 'SEVERE' THEN 3 WHEN 'MODERATE' THEN 2 WHEN 'MILD' THEN 1 ELSE 0 END * (SELECT sum(fraction ** 2) FROM {_WEIGHTS}) AS w FROM {_RANK_IN} v)
@@ -1057,7 +1093,7 @@ def gbt_scores(spark, sf):
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, CASE WHEN l_quantity > 45 THEN l_returnflag END AS flag FROM lineitem")
 def csv_roundtrip(spark, sf):
     """Written as CSV with NA for null, read back with inferred types."""
-    from tidemark.plans.pipeline import scratch
+    from tidemark.sources.store import scratch
 
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_quantity") > 45, F.col("l_returnflag")).otherwise("NA").alias("flag"))
     path = f"{scratch(spark)}/items.csv"
@@ -1065,10 +1101,23 @@ def csv_roundtrip(spark, sf):
     return readers.read_csv(spark, path)
 
 
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'first' || chr(10) || 'said "' || l_returnflag || '", ' || chr(10) || chr(10) || 'last' ELSE l_returnflag END AS note FROM lineitem""")
+def csv_line_breaks(spark, sf):
+    """Quoted fields with line breaks, quotes and commas, written as CSV and read back in splits that end anywhere in them."""
+    from tidemark.sources.store import scratch
+
+    note = F.concat(F.lit('first\nsaid "'), "l_returnflag", F.lit('", \n\nlast'))
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_linenumber") % 3 == 0, note).otherwise(F.col("l_returnflag")).alias("note"))
+    path = f"{scratch(spark)}/items.csv"
+    writers.write_csv(items, path)
+    return readers.read_csv(spark, path)
+
+
 @query(f"SELECT (SELECT count(*) FROM {TRAIN}) AS n_train, (SELECT count(*) FROM {TEST}) AS n_test, 10::BIGINT AS n_features, 0.123457::DOUBLE AS au_prc_train, 1.5::DOUBLE AS runtime_seconds")
 def meta_roundtrip(spark, sf):
     """The run's figures, rounded, written as JSON and read back."""
-    from tidemark.plans.pipeline import scratch
+    from tidemark.sources.store import scratch
 
     path = f"{scratch(spark)}/pipeline_meta.json"
     a, b = splits(spark, sf)
@@ -1088,7 +1137,7 @@ _EVENT = _freq("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15')", "even
 )
 def stream_window_psi(spark, sf):
     """Extension: PSI of each day's event types against the first two weeks, by a stream that runs what is there; the last day too."""
-    from tidemark.plans.pipeline import scratch
+    from tidemark.sources.store import scratch
     from tidemark.streaming.drift_stream import latest_counts, monitor, window_psi
 
     events = table(spark, sf, "events")

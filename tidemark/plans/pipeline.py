@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import argparse
-import tempfile
 import time
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,22 +14,7 @@ from tidemark.functions.text import positive_label
 from tidemark.operators import detect, mitigate, model, profile, rank, views
 from tidemark.plans import report
 from tidemark.sources import readers, writers
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder; one of its own where none is set and the master is local (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
-def stored(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
-    """``df`` as Parquet below ``folder``: what many jobs read is parsed once, and column by column after that."""
-    df.write.mode("overwrite").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+from tidemark.sources.store import scratch, stored
 
 
 @dataclass

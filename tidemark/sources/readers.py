@@ -6,11 +6,12 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import null_tokens
+from tidemark.sources import records
 
 _log = logging.getLogger(__name__)
 
@@ -24,13 +25,13 @@ def must_exist(spark: SparkSession, path: str) -> str:
     return path
 
 
-#: How damaged files are read, one after the other until one works: as they should be, with what is legible of each line, without bad lines.
-LEVELS = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
+#: How files are read, one after the other until one fits: as they should be, with bytes that are no text replaced, with what is legible of each record.
+LEVELS = ("FAILFAST", "LOSSY", "PERMISSIVE")
 _DAMAGED = "tm_damaged__"
 
 
 def raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", mode: str = "PERMISSIVE") -> DataFrame:
-    """All columns as text with null tokens as null. Bytes that are no text become U+FFFD.
+    """All columns as text with null tokens as null. Bytes that are no text become U+FFFD; every line is a record.
 
     Under PERMISSIVE malformed lines are kept as far as they go, under FAILFAST they are an error, under DROPMALFORMED they go.
     """
@@ -39,68 +40,89 @@ def raw_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", mode: str =
     return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
-def damaged_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> int:
-    """Lines with too few or too many fields."""
-    names = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, escape='"').columns
+def parsed_csv(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """All columns as text with null tokens as null, then ``tm_damaged__`` with malformed records; and the number of lines that are no UTF-8.
+
+    Where no line has an odd number of quotes, every line is a record and Spark's own reader parses them; otherwise records are
+    cut first (``records``), across splits too.
+    """
+    must_exist(spark, path)
+    rows = records.lines(spark, path)
+    survey = [(r["file"], r["start"], r["odd"], r["no_text"]) for r in records.surveyed(rows).collect()]
+    no_text, odd = sum(r[3] for r in survey), any(r[2] for r in survey)
+    how = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _DAMAGED}
+    names = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=odd).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _DAMAGED]])
-    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=_DAMAGED, encoding=encoding, escape='"', enforceSchema=True)
-    # all columns take part, or Spark would not parse them and see no damage
-    return rows.agg(F.count_if(F.col(_DAMAGED).isNotNull()), *[F.count(F.col(f"`{c}`")) for c in names]).first()[0]
+    if not odd:
+        rows = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, **how)
+    else:
+        text = F.regexp_replace(F.make_valid_utf8(F.col("record").cast("string")), "\\r$", "")
+        cut = records.records(rows, [r[:3] for r in survey]).where(~F.col("first")).select(text.alias("record")).where(F.trim("record") != "")
+        ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+        rows = cut.select(F.from_csv("record", ddl, {**how, "multiLine": "true"}).alias("r")).select("r.*")
+    return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in names], _DAMAGED), no_text
 
 
-def inferred_types(rows: DataFrame) -> dict[str, T.DataType]:
-    """Type of each text column: long, double, boolean or string, whichever all rows' values fit. One job, partial aggregates only."""
-    tests = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
-    asked = []
-    for k, c in enumerate(rows.columns):
-        x = F.col(f"`{c}`")
-        asked.append(F.count(x).alias(f"n{k}"))
-        asked += [F.count(x.try_cast(t)).alias(f"{t}{k}") for t in tests]
-    told = rows.agg(*asked).first()
+#: Types that a column can have, and a cheap test of text that a cast to them might take: only what passes is cast, as failing casts are slow.
+_TESTS = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _taken(x: Column) -> dict[str, Column]:
+    """For each type, whether a text can be cast to it."""
+    number = F.substring(F.ltrim(x), 1, 1).isin(*"0123456789+-.nNiI")
+    whole = number & x.try_cast("bigint").isNotNull()
     return {
-        c: next((t for name, t in tests.items() if told[f"n{k}"] and told[f"{name}{k}"] == told[f"n{k}"]), T.StringType()) for k, c in enumerate(rows.columns)
-    }
+        "bigint": whole, "double": F.when(whole, True).when(number, x.try_cast("double").isNotNull()).otherwise(False),
+        "boolean": F.when(F.length(F.trim(x)) <= 5, x.try_cast("boolean").isNotNull()).otherwise(False),
+    }
+
+
+def inferred_types(rows: DataFrame, given: dict[str, T.DataType] | None = None) -> tuple[dict[str, T.DataType], dict[str, int], int]:
+    """Type of each text column: long, double, boolean or string, whichever all rows' values fit; then, for columns with given
+    types, how many values do not fit those; and the number of damaged rows. One job, partial aggregates only.
+    """
+    given, asked = given or {}, []
+    names = [c for c in rows.columns if c != _DAMAGED]
+    for k, c in enumerate(names):
+        x = F.col(f"`{c}`")
+        if c in given:
+            asked.append(F.count_if(x.isNotNull() & x.try_cast(given[c]).isNull()).alias(f"m{k}"))
+            continue
+        asked += [F.count(x).alias(f"n{k}"), *[F.count_if(x.isNotNull() & ok).alias(f"{t}{k}") for t, ok in _taken(x).items()]]
+    damaged = F.count(_DAMAGED) if _DAMAGED in rows.columns else F.lit(0)
+    told = rows.agg(damaged.alias("damaged"), *asked).first()
+    fitting = lambda k: next((t for name, t in _TESTS.items() if told[f"n{k}"] and told[f"{name}{k}"] == told[f"n{k}"]), T.StringType())
+    types = {c: given.get(c) or fitting(k) for k, c in enumerate(names)}
+    lost = {c: told[f"m{k}"] for k, c in enumerate(names) if c in given and told[f"m{k}"]}
+    return types, lost, told["damaged"]
 
 
 @dataclass
 class Report:
-    """What a read met: the level that worked, malformed lines, and values that fit a given type no better than as null, by column."""
+    """What a read met: the level that it took, malformed records, lines that are no UTF-8, and values that fit a given type no better than as null, by column."""
 
     level: str = LEVELS[0]
     damaged: int = 0
+    no_text: int = 0
     misfits: dict[str, int] = field(default_factory=dict)
 
 
 def read_csv(spark: SparkSession, path: str, types: dict[str, T.DataType] | None = None, report: Report | None = None) -> DataFrame:
     """A CSV file with inferred types, or the given ones for the columns they name; values that do not fit those become null.
 
-    Reads strictly first and falls back level by level (``LEVELS``). Damage and misfits go into ``report`` and the log.
+    Quoted fields may hold line breaks. A file that is UTF-8 and has as many fields in each record as in its header is read as it is; bytes
+    that are no text are counted and replaced by U+FFFD; records with too few or too many fields are counted and kept as far as they go
+    (``LEVELS``). All of it goes into ``report`` and, unless it is nothing, the log.
     """
     report = Report() if report is None else report
-    for report.level in LEVELS:
-        rows = raw_csv(spark, path, mode=report.level)
-        given = {c: t for c, t in (types or {}).items() if c in rows.columns}
-        try:
-            found, report.misfits = inferred_types(rows), misfits(rows, given)
-            break
-        except Exception as e:  # noqa: BLE001
-            if report.level == LEVELS[-1] or "MALFORMED" not in str(e).upper() and "FAILFAST" not in str(e).upper():
-                raise
+    rows, report.no_text = parsed_csv(spark, path)
+    found, report.misfits, report.damaged = inferred_types(rows, {c: t for c, t in (types or {}).items() if c in rows.columns})
+    report.level = LEVELS[2] if report.damaged else LEVELS[1] if report.no_text else LEVELS[0]
     if report.level != LEVELS[0]:
-        report.damaged = damaged_rows(spark, path)
-        _log.warning("%s: %d malformed lines, read as %s", path, report.damaged, report.level)
+        _log.warning("%s: %d malformed records, %d lines that are no UTF-8, read as %s", path, report.damaged, report.no_text, report.level)
     if report.misfits:
         _log.warning("%s: values that do not fit their columns became null: %s", path, report.misfits)
-    found |= given
-    return rows.select(*[F.col(f"`{c}`").try_cast(found[c]).alias(c) for c in rows.columns])
-
-
-def misfits(rows: DataFrame, types: dict[str, T.DataType]) -> dict[str, int]:
-    """Numbers of values that a cast to the given types makes null, for columns that have any."""
-    if not types:
-        return {}
-    lost = rows.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"m{k}") for k, (c, t) in enumerate(types.items())]).first()
-    return {c: n for c, n in zip(types, lost, strict=True) if n}
+    return rows.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in found.items()])
 
 
 def aligned(train: DataFrame, test: DataFrame, structural: Sequence[str] = ()) -> DataFrame:

@@ -10,8 +10,8 @@ from tidemark.operators.model import Trained
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with a header; one file only for tables with a row per column or month."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
+    """CSV with a header, quotes doubled; one file only for tables with a row per column or month."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def predictions(scored: DataFrame, key: str) -> DataFrame:
