@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
+from collections import Counter
+
+from tidemark.llm import langid
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names the operators use inside.
@@ -44,3 +49,35 @@ def table(spark, rows=None):
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text or "")
+
+
+def slow_language(texts_by_language, text):
+    """The classifiers, the decoding and the score one trigram and one bit at a time; (language, score, ambiguous, fit)."""
+    def buckets(t):
+        folded = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in t.encode()) + b" "
+        n = len(t.encode())
+        return [((folded[k] | folded[k + 1] << 8 | folded[k + 2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for k in range(n)]
+
+    names = sorted(texts_by_language)
+    counts = {x: Counter(b for t in texts_by_language[x] for b in buckets(t)) for x in names}
+    share = lambda x, b: (counts[x][b] + 0.1) / (counts[x].total() + 0.1 * 65536)
+    code = langid.codewords(len(names)).tolist()
+    margins = []
+    for bit in range(len(code[0])):
+        plus, minus = [x for x, c in zip(names, code, strict=True) if c[bit] > 0], [x for x, c in zip(names, code, strict=True) if c[bit] < 0]
+        odds = [math.log(sum(share(x, b) for x in plus) / len(plus)) - math.log(sum(share(x, b) for x in minus) / len(minus)) for b in buckets(text)]
+        margins.append(sum(odds) / max(1, len(odds)))
+    losses = [sum(math.log1p(math.exp(-4.0 * m * bit)) for m, bit in zip(margins, word, strict=True)) for word in code]
+    best = min(range(len(names)), key=lambda k: losses[k])
+    score = 1 / sum(math.exp(losses[best] - x) for x in losses)
+    fit = sum(math.log(share(names[best], b) * 65536) for b in buckets(text)) / max(1, len(buckets(text)))
+    return names[best], score, score < 0.6, fit
+
+
+def in_a_language(rows):
+    """The rows of (doc_id, text) that the pipeline's first stage keeps of ``table(spark, rows)``: with a letter, and likelier in the language predicted than by chance."""
+    learned: dict = {}
+    for k, (i, t) in enumerate(rows):
+        if k % 3 < 2 and i is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            learned.setdefault(("en", "de")[k % 3], []).append(t)
+    return [(i, t) for i, t in rows if t and any(c.isalpha() for c in t) and slow_language(learned, t)[3] > 0]

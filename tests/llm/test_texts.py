@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.cases import table, texts
+from tests.llm.cases import slow_language, table, texts
 from tidemark.llm import chat, langid, mpegts, packing, pii, registry, sentencepiece
 
 
@@ -400,30 +400,6 @@ def test_language_cases(spark):
     assert langid.predict(df.where("false"), langid.fit(df)).count() == 0
 
 
-def slow_language(texts_by_language, text):
-    """The classifiers, the decoding and the score one trigram and one bit at a time; (language, score, ambiguous)."""
-    import math
-
-    def buckets(t):
-        folded = b" " + bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in t.encode()) + b" "
-        n = len(t.encode())
-        return [((folded[k] | folded[k + 1] << 8 | folded[k + 2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for k in range(n)]
-
-    names = sorted(texts_by_language)
-    counts = {x: Counter(b for t in texts_by_language[x] for b in buckets(t)) for x in names}
-    share = lambda x, b: (counts[x][b] + 0.1) / (counts[x].total() + 0.1 * 65536)
-    code = langid.codewords(len(names)).tolist()
-    margins = []
-    for bit in range(len(code[0])):
-        plus, minus = [x for x, c in zip(names, code, strict=True) if c[bit] > 0], [x for x, c in zip(names, code, strict=True) if c[bit] < 0]
-        odds = [math.log(sum(share(x, b) for x in plus) / len(plus)) - math.log(sum(share(x, b) for x in minus) / len(minus)) for b in buckets(text)]
-        margins.append(sum(odds) / max(1, len(odds)))
-    losses = [sum(math.log1p(math.exp(-4.0 * m * bit)) for m, bit in zip(margins, word, strict=True)) for word in code]
-    best = min(range(len(names)), key=lambda k: losses[k])
-    score = 1 / sum(math.exp(losses[best] - x) for x in losses)
-    return names[best], score, score < 0.6
-
-
 @pytest.mark.parametrize("n", [2, 4, 7])
 def test_language_against_a_slow_twin(spark, n):
     rng = random.Random(n)
@@ -442,9 +418,10 @@ def test_language_against_a_slow_twin(spark, n):
     got = {r["doc_id"]: r for r in langid.predict(df, langid.fit(df)).collect()}
     unsure = 0
     for i, t, _ in rows[60 * n - 40 :]:
-        name, score, ambiguous = slow_language(learned, t)
+        name, score, ambiguous, fit = slow_language(learned, t)
         assert got[i]["lang_pred"] == name and got[i]["score"] == pytest.approx(score, abs=1e-4)
         assert got[i]["ambiguous"] == ambiguous or abs(score - 0.6) < 1e-4
+        assert got[i]["fit"] == pytest.approx(fit, abs=1e-4)
         unsure += ambiguous
     assert unsure or n == 2
 
@@ -534,6 +511,23 @@ def test_word_memory_is_bounded_by_bytes():
     assert pieces.encode("some words some words") and len(pieces.memory) == 2
 
 
+def test_labelled_table_is_read_from_a_zipped_package(tmp_path):
+    """As ``--py-files`` ships it: the folder is not there."""
+    import subprocess
+    import sys
+    import zipfile
+    from pathlib import Path
+
+    root = Path(pii.__file__).parents[2]
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as out:
+        for f in (root / "tidemark").rglob("*"):
+            if f.suffix in (".py", ".tsv"):
+                out.write(f, f.relative_to(root))
+    code = f"import sys; sys.path.insert(0, r'{tmp_path / 'p.zip'}'); from tidemark.llm import pii; assert '.zip' in pii.__file__; print(len(pii.labelled_sentences()))"
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert told.returncode == 0 and int(told.stdout) == len(pii.labelled_sentences()), told.stderr
+
+
 # ---- chat ----
 def test_a_conversation_of_very_many_turns(spark):
     n = 20_000

@@ -3,7 +3,8 @@
 Each language gets a codeword; one binary n-gram classifier (smoothed log-odds of hashed byte trigrams) learns each
 bit. A text's margin for a bit is its mean log-odds. Decoding adds the logistic loss of every bit's margin against each
 codeword and takes the least; the score is the winner's share of the softmax of the losses, and a text whose runner-up
-is close is flagged as ambiguous.
+is close is flagged as ambiguous. Codewords only tell languages apart, so every text also gets an absolute fit: its mean log-likelihood a
+trigram in the language predicted, against one of equally likely trigrams. Below zero the text is in none of the learned languages.
 
 Training reads whole texts of a stratified sample of labelled rows: about ``per_language`` (a documented bound) of
 each language, picked by a hash of the id; more than ``most_languages`` labels are an error. Prediction covers every row.
@@ -70,17 +71,22 @@ class Model:
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
+    #: (buckets, languages): the logarithm of a trigram's share, times the number of buckets.
+    logs: np.ndarray
 
     @classmethod
     def fit(cls, counts: dict[str, np.ndarray]) -> Model:
         """From n-gram counts by language."""
         languages = sorted(counts)
         code = codewords(len(languages))
-        if len(languages) < 2:
-            return cls(languages, code, np.zeros((BUCKETS, 1), np.float32))
+        if not languages:
+            return cls(languages, code, np.zeros((BUCKETS, 1), np.float32), np.zeros((BUCKETS, 0), np.float32))
         share = np.stack([(counts[x] + 0.1) / (counts[x].sum() + 0.1 * BUCKETS) for x in languages])
+        logs = np.log(share.T * BUCKETS).astype(np.float32)
+        if len(languages) < 2:
+            return cls(languages, code, np.zeros((BUCKETS, 1), np.float32), logs)
         sides = [(share[c > 0].mean(0), share[c < 0].mean(0)) for c in code.T]
-        return cls(languages, code, np.stack([np.log(a) - np.log(b) for a, b in sides], 1).astype(np.float32))
+        return cls(languages, code, np.stack([np.log(a) - np.log(b) for a, b in sides], 1).astype(np.float32), logs)
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """(texts, languages): the logistic loss of all bits against each codeword."""
@@ -128,7 +134,7 @@ def fit(df: DataFrame, per_language: int = 1500, most_languages: int = 256) -> M
     if len(sizes) > most_languages:
         raise ValueError(f"there are more than {most_languages} languages among the labels")
     if not sizes:
-        return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32))
+        return Model.fit({})
     span = 1 << 30
     keep = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, per_language / r["count"]) * span))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(span))
@@ -136,46 +142,46 @@ def fit(df: DataFrame, per_language: int = 1500, most_languages: int = 256) -> M
 
 
 def _scored(m: Model, texts: pa.Array, letters: np.ndarray) -> list[pa.Array]:
-    """lang_pred, score and ambiguous of texts, given which have a letter."""
+    """lang_pred, score, ambiguous and fit of texts, given which have a letter."""
     names = np.array([*m.languages, "und"], object)
     body, offs = concatenated(texts)
-    sums = np.zeros((len(texts), m.weights.shape[1]), np.float64)
+    n = len(texts)
+    best, score, unsure, fit = np.full(n, -1), np.zeros(n), np.ones(n, bool), np.zeros(n)
     for i, j in chunks(offs):
         found, starts = grams(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         edges = np.append(starts, len(found))
-        for a in range(0, j - i, 4096):
+        for a in range(0, j - i, 4096) if m.languages else ():
             b = min(a + 4096, j - i)
-            first, last = int(edges[a]), int(edges[b])
-            full = np.flatnonzero(np.diff(edges[a : b + 1]))  # an empty text has no trigram, and reduceat would give it its neighbour's
+            own, sizes = found[edges[a] : edges[b]], np.diff(edges[a : b + 1])
+            full = np.flatnonzero(sizes)  # an empty text has no trigram, and reduceat would give it its neighbour's
             if len(full):
-                sums[i + a + full] = np.add.reduceat(m.weights[found[first:last]], starts[a:b][full] - first, axis=0)
-    if m.languages:
-        best, score, unsure = m.decode(sums / np.maximum(np.diff(offs), 1)[:, None])
-    else:
-        best, score, unsure = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
-    best, score = np.where(letters, best, -1), np.where(letters, score, 0.0)
-    return [pa.array(names[best], pa.string()), pa.array(score.astype(np.float64)), pa.array(unsure | ~letters)]
+                at, where = starts[a:b][full] - edges[a], i + a + full
+                mean = lambda x: np.add.reduceat(x, at, axis=0).astype(np.float64)  # noqa: B023, E731
+                best[where], score[where], unsure[where] = m.decode(mean(m.weights[own]) / sizes[full, None])
+                fit[where] = mean(m.logs[own, np.repeat(best[where], sizes[full])]) / sizes[full]
+    best, score, fit = np.where(letters, best, -1), np.where(letters, score, 0.0), np.where(letters, fit, 0.0)
+    return [pa.array(names[best], pa.string()), pa.array(score), pa.array(unsure | ~letters), pa.array(fit)]
 
 
 def with_language(df: DataFrame, model: Model, out: str = "language") -> DataFrame:
-    """The same rows and columns with a struct (lang_pred, score, ambiguous) for the column ``text``."""
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights))
+    """The same rows and columns with a struct (lang_pred, score, ambiguous, fit) for the column ``text``."""
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights, model.logs))
 
-    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean, fit: double>")
     def told(texts: pa.Array, letters: pa.Array) -> pa.Array:
         found = _scored(Model(*shared.value), texts, letters.to_numpy(zero_copy_only=False).astype(bool))
-        return pa.StructArray.from_arrays(found, ["lang_pred", "score", "ambiguous"])
+        return pa.StructArray.from_arrays(found, ["lang_pred", "score", "ambiguous", "fit"])
 
     text = F.col("text").cast("string")
     return df.withColumn(out, told(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False))))
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, ambiguous) of every row of (doc_id, text)."""
+    """(doc_id, lang_pred, score, ambiguous, fit) of every row of (doc_id, text)."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_language(rows, model).select("doc_id", "language.lang_pred", "language.score", "language.ambiguous")
+    return with_language(rows, model).select("doc_id", "language.lang_pred", "language.score", "language.ambiguous", "language.fit")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous", "fit")

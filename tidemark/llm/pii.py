@@ -19,6 +19,8 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from importlib import resources
+from importlib.resources.abc import Traversable
 from pathlib import Path
 
 import numpy as np
@@ -199,12 +201,12 @@ class Field:
 
 
 #: The small labelled table: invented sentences with personal data, secrets, and numbers that are neither.
-LABELLED = Path(__file__).with_name("labelled_words.tsv")
+LABELLED = resources.files("tidemark.llm") / "labelled_words.tsv"  # there in a zip of the package, too
 #: Sentences that the driver trains on at most.
 MOST_SENTENCES = 5000
 
 
-def labelled_sentences(path: Path = LABELLED) -> list[list[tuple[bytes, int]]]:
+def labelled_sentences(path: Path | Traversable = LABELLED) -> list[list[tuple[bytes, int]]]:
     """Sentences of (word, label) from a file with a word and its label on each line and an empty line after each sentence."""
     out: list[list[tuple[bytes, int]]] = [[]]
     for line in path.read_text(encoding="utf-8").splitlines():
