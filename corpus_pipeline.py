@@ -30,15 +30,16 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only null texts and texts without a letter go: any other is the nearest of the learned languages, however far, and stays.
+    """Texts go that are in none of the learned languages: their trigrams, all of them however long the text, are no likelier in the language
+    predicted than if all trigrams were equally likely. Null texts and texts without a letter go too; a tie at zero goes, repeated rows fare alike.
 
-    Where no language could be learned, texts with a letter stay too.
+    Where no language could be learned, texts with a letter stay.
     """
     model = fit(docs)
     if not model.languages:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     told = free_name(docs, "language")
-    return with_language(docs, model, told).where(F.col(told)["lang_pred"] != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_language(docs, model, told).where((F.col(told)["lang_pred"] != "und") & (F.col(told)["fit"] > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,13 +68,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """E-mail and IP addresses, card and phone numbers and secrets become their kind in brackets; n_chars follows."""
+    """E-mail and IP addresses, card and phone numbers and secrets become their kind in brackets; n_chars follows.
+
+    Null texts stay null, very long ones are redacted whole, rows that repeat are redacted alike.
+    """
     done = redact(docs)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 2048 words: a row for each piece of each document that is left."""
+    """Bins of 2048 words: a row for each piece of each document that is left.
+
+    A longer text comes in several pieces, a text without words (null, too) as one piece of length zero. Ties and repeated rows are as ``tidemark.llm.packing`` states.
+    """
     return pack_documents(sized(docs))
 
 
