@@ -343,6 +343,51 @@ def test_quantiles_where_the_sketch_is_of_no_use(spark, monkeypatch):
     assert profile.exact_quantiles(df, {"x": F.col("x")}, [0.1, 0.5])["x"][0] == pytest.approx([99.9, 499.5])
 
 
+def test_large_brackets_are_cut_down(spark, monkeypatch):
+    """10^7 distinct values, and a value that nearly all rows share beside many that they do not, with few values a task."""
+    monkeypatch.setattr(profile, "BRACKET", 4000)
+    n = 10_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % 10_000_019).cast("double").alias("x"))
+    jobs = []
+    real = profile._narrowed
+    monkeypatch.setattr(profile, "_narrowed", lambda d, v, w, large: jobs.append(len(large)) or real(d, v, w, large))
+    got = profile.exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5])["x"][0]
+    values = np.sort(np.arange(n, dtype=np.int64) * 7919 % 10_000_019)
+    assert got == pytest.approx(np.quantile(values, [0.25, 0.5]).tolist()) and jobs == [2]
+
+
+@pytest.mark.parametrize("limit", [20, 300])
+def test_narrowing_passes_ties(spark, monkeypatch, limit):
+    monkeypatch.setattr(profile, "BRACKET", limit)
+    monkeypatch.setattr(profile, "ACCURACY", 40)
+    n = 60_000
+    rng = np.random.default_rng(limit)
+    tied = np.where(rng.random(n) < 0.9, 5.0, 5 + rng.random(n))
+    twice = np.where(rng.random(n) < 0.45, 0.0, np.where(rng.random(n) < 0.8, 1.0, rng.random(n)))
+    df = spark.createDataFrame(zip(tied.tolist(), twice.tolist(), rng.normal(size=n).round(2).tolist(), strict=True), "x double, y double, z double").repartition(4)
+    probs = [0.0, 0.3, 0.5, 0.899, 0.95, 1.0]
+    got = profile.exact_quantiles(df, {c: F.col(c) for c in "xyz"}, probs)
+    rows = df.toPandas()
+    for c in "xyz":
+        assert got[c][0] == pytest.approx(np.quantile(rows[c], probs).tolist())
+
+
+def test_date_shapes_let_all_dates_pass(spark):
+    """What any format parses has its shape; shapes alone decide nothing."""
+    from datetime import date, timedelta
+
+    from tidemark.config import DATE_FORMATS
+
+    days = [date(1, 1, 1), date(1999, 12, 31), date(2024, 2, 29), date(9999, 9, 9)] + [date(2000, 1, 1) + timedelta(days=37 * k) for k in range(40)]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    said = df.select(F.explode(F.array(*[F.date_format("d", f) for f in DATE_FORMATS])).alias("t"))
+    odd = ["+12345-01", "-2020-01", "2024-13", "31/31/2024", "99-Foo", "24-sep", "SEP-24", "20241", "20240101", "2024-1", " 2024-01", "2024-01 ", "1-URGENT", "", "x", "٢٠٢٤-٠١", "2024-01-01T00:00"]
+    every = said.union(spark.createDataFrame([(t,) for t in odd], "t string"))
+    plain = F.coalesce(*[F.try_to_date("t", f) for f in DATE_FORMATS]).isNotNull()
+    rows = every.select("t", plain.alias("want"), text.parses_as_date(F.col("t")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in rows) and {r["got"] for r in rows} == {True, False}
+
+
 def test_no_task_holds_a_column_for_its_quantiles(spark):
     import inspect
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +29,21 @@ def null_tokens(c: Column) -> Column:
     return F.when(~c.isin(*NULL_TOKENS), c)
 
 
+def date_shape(pattern: str) -> str:
+    """A regular expression that all text of a date pattern matches: digits, dashes and letters by position."""
+    parts = {"yyyy": "[+-]?[0-9]{4,}", "yy": "[0-9]{2}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}", "dd": "[0-9]{2}"}
+    return re.sub("yyyy|yy|MMM|MM|dd", lambda m: parts[m[0]], pattern)
+
+
 def parses_as_date(c: Column) -> Column:
-    """Whether a string parses under any of the known formats."""
-    return F.coalesce(*[F.try_to_date(c, f) for f in DATE_FORMATS]).isNotNull()
+    """Whether a string parses under any of the known formats: one test of its shape, then only the formats of that shape."""
+    shapes: dict[str, list[str]] = {}
+    for f in DATE_FORMATS:
+        shapes.setdefault(date_shape(f), []).append(f)
+    tried = F.lit(False)
+    for shape, formats in shapes.items():
+        tried = F.when(c.rlike(f"^{shape}$"), F.coalesce(*[F.try_to_date(c, f) for f in formats]).isNotNull()).otherwise(tried)
+    return F.when(c.rlike(f"^(?:{'|'.join(shapes)})$"), tried).otherwise(False)
 
 
 def month_number(label: Column) -> Column:

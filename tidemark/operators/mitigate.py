@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import cut, is_numeric, number, present
 from tidemark.functions.text import level, normalise
-from tidemark.operators.profile import quantiles
+from tidemark.operators.profile import both_quantiles, quantiles
 
 #: Encoder by column type; the names on the left are also accepted as aliases.
 ROUTES = {
@@ -73,8 +73,8 @@ def unseen_rates(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> Data
 
 def iqr_collapse(train: DataFrame, test: DataFrame, cols: Sequence[str], config: Config = DEFAULT) -> DataFrame:
     """(feature, iqr_train, iqr_test, collapsed)."""
-    side = lambda df, n: quantiles(df, cols, [0.25, 0.75]).select("feature", (F.col("q")[1] - F.col("q")[0]).alias(n))
-    both = side(train, "iqr_train").join(F.broadcast(side(test, "iqr_test")), "feature")
+    width = lambda q: F.col(q)[1] - F.col(q)[0]
+    both = both_quantiles(train, test, cols, [0.25, 0.75]).select("feature", width("a_q").alias("iqr_train"), width("b_q").alias("iqr_test"))
     gone = (F.col("iqr_train") > config.prune_iqr_min) & (F.col("iqr_test") < config.prune_iqr_ratio * F.col("iqr_train"))
     return both.withColumn("collapsed", F.coalesce(gone, F.lit(False)))
 

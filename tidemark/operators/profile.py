@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,16 +36,56 @@ def _unpivoted(df: DataFrame, cols: Sequence[str], exprs: dict[str, callable]) -
 
 #: Columns whose sketches one task holds at a time, and their accuracy: ranks are known to within one in so many.
 SKETCHED, ACCURACY = 64, 10_000
+#: Distinct values of a bracket that one task sorts at most, and the parts that a further scan cuts a larger bracket into.
+BRACKET, CUTS = 1 << 18, 64
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Where a wanted rank lies: between two values, each of them in it unless ``open``; None is unbounded."""
+
+    rank: int
+    part: float
+    lo: float | None = None
+    hi: float | None = None
+    lo_open: bool = False
+    hi_open: bool = False
+
+    def below(self, x: Column) -> Column:
+        return F.lit(False) if self.lo is None else (x <= F.lit(self.lo) if self.lo_open else x < F.lit(self.lo))
+
+    def above(self, x: Column) -> Column:
+        return F.lit(False) if self.hi is None else (x >= F.lit(self.hi) if self.hi_open else x > F.lit(self.hi))
+
+    def within(self, x: Column) -> Column:
+        return x.isNotNull() & ~self.below(x) & ~self.above(x)
+
+    def narrowed(self, below: int, inside: int, at_lo: int, at_hi: int, grid: list[float]) -> Bracket:
+        """A smaller bracket, from the rows below and inside this one, those at its ends, and ``CUTS`` parts of the rows inside."""
+        at = (self.rank - below) / inside * CUTS
+        first, last = math.floor(at) - 1, math.ceil(at) + 1
+        lo = grid[first] if first >= 0 else self.lo
+        hi = grid[last] if last <= CUTS else self.hi
+        new = replace(self, lo=lo, hi=hi, lo_open=self.lo_open and lo == self.lo, hi_open=self.hi_open and hi == self.hi)
+        if new != self:
+            return new
+        # many rows share an end: either the rank is among them, or they leave
+        if at_lo and self.rank < below + at_lo:
+            return replace(self, hi=self.lo, hi_open=False)
+        if at_hi and self.rank >= below + inside - at_hi:
+            return replace(self, lo=self.hi, lo_open=False)
+        return replace(self, lo_open=self.lo is not None, hi_open=self.hi is not None)
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[float], extras: dict[str, Callable[[Column], Column]] | None = None) -> dict[str, tuple[list[float] | None, list]]:
     """{name: (quantiles, extras)}: exact quantiles with linear interpolation of many number columns, and other aggregates of them.
 
-    Two jobs whatever the size: sketches bracket each wanted rank (and give the extras), then one scan counts the values below
-    each bracket and groups the few values within, and running sums pick the wanted ranks. No task holds a column's values.
-    Where a bracket misses its rank the job runs again without bounds for that one, so the result is exact in any case.
+    Sketches bracket each wanted rank (and give the extras). A bracket that may hold more than ``BRACKET`` distinct values is cut down by further
+    scans, some sixteen times each, until it does not. Then one scan counts the values below each bracket and groups the few within, and
+    running sums pick the wanted ranks: two jobs up to some 10^8 rows, one more for each factor of sixteen, and no task ever sorts more than
+    ``BRACKET`` values of a rank. Where a bracket misses its rank, that one starts anew without bounds, so the result is exact in any case.
     """
-    extras, out, open_ = extras or {}, {}, set()
+    extras, out = extras or {}, {}
     names = list(values)
     for at in range(0, len(names), SKETCHED):
         some = names[at : at + SKETCHED]
@@ -55,7 +96,7 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[fl
             *[e(values[c]).alias(f"e{k}_{n}") for k, c in enumerate(some) for n, e in extras.items()],
         ).first()
         found = {c: [told[f"e{k}_{n}"] for n in extras] for k, c in enumerate(some)}
-        wanted = {}
+        wanted, rows = {}, {}
         for k, c in enumerate(some):
             n, edges = told[f"n{k}"], told[f"q{k}"]
             if not n:
@@ -65,34 +106,59 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: Sequence[fl
                 lo = edges[i] if p > margin else None
                 hi = edges[len(probs) + i] if p < 1 - margin else None
                 rank = (n - 1) * p
-                wanted[c, i] = (lo, hi, math.floor(rank), rank - math.floor(rank))
+                wanted[c, i] = Bracket(math.floor(rank), rank - math.floor(rank), lo, hi)
+                rows[c, i] = math.ceil(2 * (margin + 1 / ACCURACY) * n)  # ties aside, which are one value
         picked: dict[tuple[str, int], float] = {}
+        anew: set[tuple[str, int]] = set()
         while wanted:
+            wanted = _narrowed(df, values, wanted, {key for key in wanted if rows[key] > BRACKET})
             got = _picked(df, values, wanted)
             picked |= got
-            wanted = {key: (None, None, *w[2:]) for key, w in wanted.items() if key not in got}
-            if open_ & set(wanted):
-                raise RuntimeError(f"no value has the rank wanted of {sorted(wanted)}: the data changed between two reads")
-            open_ = set(wanted)
+            left = set(wanted) - set(got)
+            if left & anew:
+                raise RuntimeError(f"no value has the rank wanted of {sorted(left & anew)}: the data changed between two reads")
+            anew = left
+            wanted = {key: Bracket(wanted[key].rank, wanted[key].part) for key in left}
+            rows |= {key: told[f"n{some.index(key[0])}"] for key in left}
         for c in some:
             if c not in out:
                 out[c] = ([picked[c, i] for i in range(len(probs))], found[c])
     return out
 
 
-def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], tuple]) -> dict[tuple[str, int], float]:
-    """Interpolated values at the wanted ranks, of {(name, index): (low, high, rank, fraction)}; left out where the bracket misses."""
+def _narrowed(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], Bracket], large: set[tuple[str, int]]) -> dict[tuple[str, int], Bracket]:
+    """The brackets, with those in ``large`` cut down until they hold at most ``BRACKET`` distinct values; a rank that is outside its bracket keeps it."""
+    wanted = dict(wanted)
+    grid = [i / CUTS for i in range(CUTS + 1)]
+    while large:
+        keys, told = sorted(large), {}
+        for at in range(0, len(keys), PIECE // 6):
+            asked = []
+            for k, key in enumerate(keys[at : at + PIECE // 6]):
+                b, x = wanted[key], values[key[0]]
+                inner = F.when(b.within(x), x)
+                ends = [F.count_if(inner == F.lit(e)) if e is not None else F.lit(0) for e in (b.lo, b.hi)]
+                stats = [F.count_if(b.below(x)), F.count(inner), F.approx_count_distinct(inner, 0.02), *ends, F.percentile_approx(inner, grid, 1000)]
+                asked += [a.alias(f"s{k}_{i}") for i, a in enumerate(stats)]
+            row = df.agg(*asked).first()
+            told |= {key: [row[f"s{k}_{i}"] for i in range(6)] for k, key in enumerate(keys[at : at + PIECE // 6])}
+        for key in keys:
+            below, inside, distinct, at_lo, at_hi, parts = told[key]
+            if distinct <= BRACKET or not below <= wanted[key].rank < below + inside:
+                large = large - {key}
+            else:
+                wanted[key] = wanted[key].narrowed(below, inside, at_lo, at_hi, parts)
+    return wanted
+
+
+def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
+    """Interpolated values at the wanted ranks; left out where the bracket misses."""
     keys = list(wanted)
     parts = []
-    for at in range(0, len(keys), PIECE // 2):
-        some = range(at, min(len(keys), at + PIECE // 2))
+    for at in range(0, len(keys), PIECE // 5):
+        some = range(at, min(len(keys), at + PIECE // 5))
         x = {k: values[keys[k][0]] for k in some}
-        below, within, above = {}, {}, {}
-        for k in some:
-            lo, hi = wanted[keys[k]][:2]
-            below[k] = F.lit(False) if lo is None else x[k] < F.lit(lo)
-            above[k] = F.lit(False) if hi is None else x[k] > F.lit(hi)
-            within[k] = x[k].isNotNull() & ~below[k] & ~above[k]
+        below, above, within = ({k: getattr(wanted[keys[k]], side)(x[k]) for k in some} for side in ("below", "above", "within"))
         told = df.agg(*[F.count_if(below[k]).alias(f"b{k}") for k in some], *[F.min(F.when(above[k], x[k])).alias(f"a{k}") for k in some])
         sides = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"b{k}").alias("below"), F.col(f"a{k}").alias("next")) for k in some])
         sides = told.select(F.explode(sides).alias("s")).select("s.*")
@@ -105,7 +171,7 @@ def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, in
     inner, sides = parts[0]
     for more, other in parts[1:]:
         inner, sides = inner.union(more), sides.union(other)
-    ranks = F.array(*[F.lit(w[2]).cast("long") for w in wanted.values()])
+    ranks = F.array(*[F.lit(w.rank).cast("long") for w in wanted.values()])
     rank = F.element_at(ranks, F.col("key") + 1)
     before = F.sum("n").over(Window.partitionBy("key").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = inner.withColumn("cum", before).join(F.broadcast(sides), "key").withColumn("cum", F.col("cum") + F.col("below"))
@@ -115,10 +181,10 @@ def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, in
     )
     out = {}
     for r in told.collect():
-        _, _, want, part = wanted[keys[r["key"]]]
+        want = wanted[keys[r["key"]]]
         v1 = r["v1"] if r["v1"] is not None else r["next"]
-        if r["below"] <= want < r["upto"] and (not part or v1 is not None):
-            out[keys[r["key"]]] = r["v0"] if not part else r["v0"] * (1 - part) + v1 * part
+        if r["below"] <= want.rank < r["upto"] and (not want.part or v1 is not None):
+            out[keys[r["key"]]] = r["v0"] if not want.part else r["v0"] * (1 - want.part) + v1 * want.part
     return out
 
 
@@ -136,6 +202,21 @@ def _stats_rows(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple]:
     return {c: (e[0], e[1], *(q or (None, None)), e[2]) for c, (q, e) in found.items()}
 
 
+def _sides(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Both splits as one table with columns a<k> for train's numbers and b<k> for test's, so that jobs read both at once."""
+    x = [number(F.col(c)) for c in cols]
+    none = F.lit(None).cast("double")
+    side = lambda df, a: df.select(*[(v if a else none).alias(f"a{k}") for k, v in enumerate(x)], *[(none if a else v).alias(f"b{k}") for k, v in enumerate(x)])
+    return side(train, True).union(side(test, False))
+
+
+def both_quantiles(train: DataFrame, test: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(feature, a_q, b_q): ``quantiles`` of train and test side by side, both in the same jobs."""
+    both = _sides(train, test, cols)
+    found = exact_quantiles(both, {c: F.col(c) for c in both.columns}, probs)
+    return train.sparkSession.createDataFrame([(c, found[f"a{k}"][0], found[f"b{k}"][0]) for k, c in enumerate(cols)], "feature string, a_q array<double>, b_q array<double>")
+
+
 def numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, mean, std, p25, p75, skewness): sample deviation, population skewness, exact quartiles. A row per column."""
     found = _stats_rows(df, {c: number(F.col(c)) for c in cols})
@@ -144,10 +225,7 @@ def numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def both_stats(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, a_mean, .., b_mean, ..): ``numeric_stats`` of train and test side by side, both in the same jobs."""
-    x = [number(F.col(c)) for c in cols]
-    none = F.lit(None).cast("double")
-    side = lambda df, a: df.select(*[(v if a else none).alias(f"a{k}") for k, v in enumerate(x)], *[(none if a else v).alias(f"b{k}") for k, v in enumerate(x)])
-    both = side(train, True).union(side(test, False))
+    both = _sides(train, test, cols)
     found = _stats_rows(both, {c: F.col(c) for c in both.columns})
     names = ", ".join(f"{s}_{n} double" for s in "ab" for n in STATS)
     return train.sparkSession.createDataFrame([(c, *found[f"a{k}"], *found[f"b{k}"]) for k, c in enumerate(cols)], f"feature string, {names}")
@@ -166,43 +244,49 @@ def null_zero_rates(df: DataFrame, cols: Sequence[str], config: Config = DEFAULT
     return _unpivoted(df, list(cols), {"null_rate": null, "zero_rate": zero}).fillna(0.0)
 
 
-def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, n_unique): distinct counts with null as a value, all columns in one shuffle of distinct values, as two 64-bit hashes each.
+def distinct_values(df: DataFrame, cols: Sequence[str], texts: Sequence[str] = ()) -> DataFrame:
+    """(feature, n_unique, date_rate): distinct counts with null as a value, and for ``texts`` the share of distinct non-null values that are dates.
 
-    128 bits tell values apart at any size that can be stored; a value's text is never shuffled.
+    All columns in one shuffle of distinct values, as two 64-bit hashes each and whether it is a date: 128 bits tell values apart at any
+    size that can be stored, and a value's text is never shuffled.
     """
 
     def seen(k: int, c: str) -> Column:
         x = F.col(f"`{c}`")
         x = x + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else x  # minus zero is zero
+        date = F.when(x.isNotNull(), parses_as_date(x)) if c in texts else F.lit(None)
         x = F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(k), x, F.lit(1)).alias("g")))
-        return F.struct(F.lit(k).alias("k"), x["h"].alias("h"), x["g"].alias("g"))
+        return F.struct(F.lit(k).alias("k"), x["h"].alias("h"), x["g"].alias("g"), date.cast("tinyint").alias("date"))
 
-    rows = df.select(F.explode(F.array(*[seen(k, c) for k, c in enumerate(cols)])).alias("p")).select("p.k", "p.h", "p.g")
-    found = rows.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_unique"))
+    rows = df.select(F.explode(F.array(*[seen(k, c) for k, c in enumerate(cols)])).alias("p")).select("p.*")
+    found = rows.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_unique"), F.avg("date").alias("date_rate"))
     every = df.sparkSession.createDataFrame(list(enumerate(cols)), "k int, feature string")
-    return F.broadcast(every).join(found, "k", "left").select("feature", "n_unique").fillna(0)
+    return F.broadcast(every).join(found, "k", "left").select("feature", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "date_rate")
+
+
+def cardinality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, n_unique): distinct counts with null as a value."""
+    return distinct_values(df, cols).select("feature", "n_unique")
 
 
-def bounded_cardinality(df: DataFrame, cols: Sequence[str], rows: int, config: Config = DEFAULT) -> DataFrame:
-    """As ``cardinality``, but exact only for columns whose sketched count is within a tenth of a cut-off of the rules, or small.
+def bounded_cardinality(df: DataFrame, cols: Sequence[str], rows: int, config: Config = DEFAULT, texts: Sequence[str] = ()) -> DataFrame:
+    """(feature, n_unique, date_rate) as ``distinct_values``, but exact only for columns whose sketched count is within a tenth of a cut-off of the rules, or
+    small, and for texts that are not surely near-unique; of those the date rate is not asked, as an earlier rule settles them.
 
     The sketch has fixed memory and shuffles nothing but itself, so unique ids of a huge table are never shuffled.
     """
     told = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"a{k}") for k, c in enumerate(cols)], *[F.max(F.col(c).isNull().cast("long")).alias(f"n{k}") for k, c in enumerate(cols)]).first()
     guess = {c: (told[f"a{k}"] or 0) + (told[f"n{k}"] or 0) for k, c in enumerate(cols)}
     cuts = (config.high_cardinality, config.int_category_levels, config.int_category_ratio * rows, config.metadata_ratio * rows)
-    near = [c for c in cols if guess[c] < 10_000 or any(abs(guess[c] - x) <= 0.1 * x for x in cuts)]
-    rest = df.sparkSession.createDataFrame([(c, int(guess[c])) for c in cols if c not in near], "feature string, n_unique long")
-    return cardinality(df, near).union(rest) if near else rest
+    unique = {c for c in cols if guess[c] > 1.04 * config.metadata_ratio * rows}  # four deviations of the sketch
+    near = [c for c in cols if c not in unique and (guess[c] < 10_000 or c in texts or any(abs(guess[c] - x) <= 0.1 * x for x in cuts))]
+    rest = df.sparkSession.createDataFrame([(c, int(guess[c]), None) for c in cols if c not in near], "feature string, n_unique long, date_rate double")
+    return distinct_values(df, near, [c for c in texts if c in near]).union(rest) if near else rest
 
 
 def date_parse_rates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, date_rate) of the text columns: share of all distinct non-null values that are dates."""
-    from tidemark.operators.frequency import long_form
-
-    values = long_form(df, cols, "value").where("value IS NOT NULL").distinct()
-    return values.groupBy("feature").agg(F.avg(parses_as_date(F.col("value")).cast("int")).alias("date_rate"))
+    """(feature, date_rate) of the text columns: share of all distinct non-null values that are dates; columns without values are left out."""
+    return distinct_values(df, cols, cols).select("feature", "date_rate").where("date_rate IS NOT NULL")
 
 
 def kinds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -232,14 +316,13 @@ def profile(df: DataFrame, roles: dict[str, str] | None = None, config: Config =
     roles = roles or {}
     cols = df.columns
     rows = df.count()
-    distinct = cardinality(df, cols) if config.cardinality == "exact" else bounded_cardinality(df, cols, rows, config)
-    told = kinds(df, cols).join(distinct, "feature").join(null_zero_rates(df, cols, config), "feature")
     numbers, texts = numeric_columns(df), text_columns(df)
+    distinct = distinct_values(df, cols, texts) if config.cardinality == "exact" else bounded_cardinality(df, cols, rows, config, texts)
+    told = kinds(df, cols).join(distinct, "feature").join(null_zero_rates(df, cols, config), "feature")
     if numbers:
         told = told.join(numeric_stats(df, numbers), "feature", "left")
     else:
         told = told.select("*", *[F.lit(None).cast("double").alias(s) for s in STATS])
-    told = told.join(date_parse_rates(df, texts), "feature", "left") if texts else told.withColumn("date_rate", F.lit(None).cast("double"))
     return classify(told.withColumn("n_rows", F.lit(rows)), roles, config)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from tidemark.functions.scalars import cut, linspace, midpoints, number, numeric
 from tidemark.operators import detect, drift, frequency, mitigate, model, months, profile, rank, views
 from tidemark.plans import report
 from tidemark.plans.fixtures import ITEMS_SQL, ITEMS_TEST, ITEMS_TRAIN, ORDERS_SQL, TEST, TRAIN, item_splits, items, orders, rounded, splits, table
-from tidemark.sources import readers, writers
+from tidemark.sources import readers, store, writers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -595,15 +594,14 @@ _DECIDED = (
 )
 
 
-@lru_cache(4)
-def _verdict_rows(app: str, sf: str) -> list:
-    """Verdicts of one input, a row per column, kept for the queries that look at them."""
-    a, b = map(_with_city, splits(SparkSession.active(), sf))
-    return detect.Detector(_TYPES, "month").detect(a, b).collect()
+def _verdicts(spark, sf):
+    """Verdicts of one input, made once for the queries that look at them, and again where its files change."""
 
+    def make():
+        a, b = map(_with_city, splits(spark, sf))
+        return detect.Detector(_TYPES, "month").detect(a, b).coalesce(1)
 
-def _verdicts(spark, sf):
-    return spark.createDataFrame(_verdict_rows(spark.sparkContext.applicationId, sf), detect.VERDICT)
+    return store.kept(spark, "verdicts", [f"{sf}/orders.parquet"], (_TYPES, DEFAULT), make)
 
 
 @query("SELECT \"column\", feature_type, round(prescreen_score, 6) AS prescreen_score, prescreen_flagged, test_method, round(test_statistic, 6) AS test_statistic, " + ", ".join(_DECIDED[6:]) + f" FROM {_DETECT}")
@@ -1090,13 +1088,84 @@ def gbt_scores(spark, sf):
     return model.score(model.fit(a, _FEATURES, mitigate.positive(F.col("target"), "Yes")), b, ["o_orderkey"])
 
 
+#: What one tree is grown on: (name, SQL, whether it is a number); ``gap`` misses values.
+_GROWN = (("o_totalprice", "o_totalprice", True), ("status", "status", False), ("o_orderpriority", "o_orderpriority", False), ("gap", "CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END", True))
+
+
+def _tree_sql(depth: int, bins: int = 64) -> str:
+    """One boosted tree of a depth, level by level: histograms, running sums, the best split of each node, and the side every row goes to."""
+    numbers, texts = [k for k, f in enumerate(_GROWN) if f[2]], [k for k, f in enumerate(_GROWN) if not f[2]]
+    norm = "regexp_replace(regexp_replace(regexp_replace(lower({}), '^\\s+|\\s+$', '', 'g'), '[-_]', ' ', 'g'), '\\s+', ' ', 'g')"
+    probs = "[" + ", ".join(f"{k}::DOUBLE / {bins}" for k in range(1, bins)) + "]"
+    source = ", ".join(f"{e}::DOUBLE AS x{k}" if n else f"{norm.format(e)} AS b{k}" for k, (_, e, n) in enumerate(_GROWN))
+    binned = ", ".join(f"CASE WHEN x{k} IS NOT NULL THEN len(list_filter((SELECT q{k} FROM edges), lambda e: e < x{k})) END AS b{k}" if k in numbers else f"b{k}" for k in range(len(_GROWN)))
+    parts = [
+        f"""source AS (SELECT o_orderkey, is_train, CASE WHEN target = 'Yes' THEN 1 WHEN target IS NOT NULL THEN 0 END AS y, {source}
+  FROM (SELECT *, true AS is_train FROM {TRAIN} UNION ALL SELECT *, false FROM {TEST}))""",
+        "edges AS (SELECT " + ", ".join(f"list_distinct(quantile_cont(x{k}, {probs})) AS q{k}" for k in numbers) + " FROM source WHERE is_train AND y IS NOT NULL)",
+        "shares AS (SELECT avg(y) AS s FROM source WHERE is_train AND y IS NOT NULL)",
+        f"""r0 AS MATERIALIZED (SELECT o_orderkey, is_train AND y IS NOT NULL AS learns, CASE WHEN y = 1 THEN 0.5 / s ELSE 0.5 / (1 - s) END * (0.5 - y) AS g,
+  CASE WHEN y = 1 THEN 0.5 / s ELSE 0.5 / (1 - s) END * 0.25 AS h, 1 AS node, 0.0::DOUBLE AS v, NOT is_train AS tested, {binned} FROM source, shares)""",
+    ]
+    gain = "{0} * {0} / ({1} + 1)"
+    for d in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, {k} AS f, {'b%d' % k if k in numbers else 'NULL::BIGINT'} AS num, {'b%d' % k if k in texts else 'NULL::VARCHAR'} AS lev, g, h FROM r{d} WHERE learns AND node > 0" for k in range(len(_GROWN)))
+        level_of = "CASE b.f " + " ".join(f"WHEN {k} THEN r.b{k}" for k in texts) + " END"
+        number_of = "CASE b.f " + " ".join(f"WHEN {k} THEN r.b{k}" for k in numbers) + " END"
+        parts += [
+            f"hist{d} AS (SELECT node, f, num, lev, sum(g) AS g, sum(h) AS h, count(*) AS n FROM ({long}) GROUP BY ALL)",
+            f"""sums{d} AS (SELECT *, CASE WHEN f IN ({', '.join(map(str, texts))}) THEN g / (h + 10) ELSE num END AS o, num IS NULL AND lev IS NULL AS missing,
+  sum(g) OVER e AS ga, sum(h) OVER e AS ha, sum(n) OVER e AS na FROM hist{d} WINDOW e AS (PARTITION BY node, f))""",
+            f"""lost{d} AS (SELECT node, f, g AS gm, h AS hm, n AS nm FROM sums{d} WHERE missing)""",
+            f"""upto{d} AS MATERIALIZED (SELECT s.*, coalesce(gm, 0) AS gm, coalesce(hm, 0) AS hm, coalesce(nm, 0) AS nm, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, row_number() OVER w AS at
+  FROM sums{d} s LEFT JOIN lost{d} USING (node, f) WHERE NOT missing WINDOW w AS (PARTITION BY node, f ORDER BY o, lev ROWS UNBOUNDED PRECEDING))""",
+            f"""sides{d} AS (SELECT node, f, num, at, ga, ha, na, false AS ml, gl AS g, hl AS h, nl AS n FROM upto{d} UNION ALL SELECT node, f, num, at, ga, ha, na, true, gl + gm, hl + hm, nl + nm FROM upto{d} WHERE nm > 0)""",
+            f"""best{d} AS MATERIALIZED (SELECT *, {gain.format('g', 'h')} + {gain.format('(ga - g)', '(ha - h)')} - {gain.format('ga', 'ha')} AS gain FROM sides{d}
+  WHERE least(n, na - n) >= 20 AND least(h, ha - h) >= 0.001 AND {gain.format('g', 'h')} + {gain.format('(ga - g)', '(ha - h)')} - {gain.format('ga', 'ha')} > 1e-9
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, at, ml) = 1)""",
+            f"listed{d} AS (SELECT u.node, u.lev FROM upto{d} u JOIN best{d} b ON u.node = b.node AND u.f = b.f AND u.at <= b.at WHERE u.lev IS NOT NULL)",
+            f"""went{d} AS (SELECT r.*, b.node IS NOT NULL AS splits, coalesce(CASE WHEN b.f IN ({', '.join(map(str, texts))}) THEN CASE WHEN {level_of} IS NOT NULL THEN l.lev IS NOT NULL END ELSE {number_of} <= b.num END, b.ml) AS goes_left,
+  b.g AS bg, b.h AS bh, b.ga, b.ha FROM r{d} r LEFT JOIN best{d} b ON r.node = b.node LEFT JOIN listed{d} l ON l.node = r.node AND l.lev = {level_of})""",
+            f"""r{d + 1} AS MATERIALIZED (SELECT * EXCLUDE (splits, goes_left, bg, bh, ga, ha) REPLACE (CASE WHEN NOT splits THEN -abs(node) WHEN goes_left THEN 2 * node ELSE 2 * node + 1 END AS node,
+  CASE WHEN NOT splits THEN v WHEN goes_left THEN -0.1 * bg / (bh + 1) ELSE -0.1 * (ga - bg) / (ha - bh + 1) END AS v) FROM went{d})""",
+        ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT o_orderkey, round(1 / (1 + exp(-v)), 6) AS probability_score FROM r{depth} WHERE tested"
+
+
+def _one_tree(spark, sf, depth: int):
+    from tidemark.operators import boost
+
+    a, b = (df.withColumn("gap", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))) for df in splits(spark, sf))
+    grown = boost.fit(a, [f[0] for f in _GROWN], mitigate.positive(F.col("target"), "Yes"), trees=1, depth=depth)
+    return boost.score(grown, b, ["o_orderkey"])
+
+
+@query(_tree_sql(1))
+def boosted_stump(spark, sf):
+    """Test rows with the probability of one split."""
+    return _one_tree(spark, sf, 1)
+
+
+@query(_tree_sql(2))
+def boosted_depth_two(spark, sf):
+    """Test rows with the probability of one tree of depth two."""
+    return _one_tree(spark, sf, 2)
+
+
+@query()
+def boosted_scores(spark, sf):
+    """Test rows with the probability that boosted trees of the default size give them; ``customer`` has a level for each customer."""
+    from tidemark.operators import boost
+
+    a, b = (df.withColumn("customer", F.concat(F.lit("customer "), "o_custkey")) for df in splits(spark, sf))
+    return boost.score(boost.fit(a, _FEATURES, mitigate.positive(F.col("target"), "Yes")), b, ["o_orderkey"])
+
+
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, CASE WHEN l_quantity > 45 THEN l_returnflag END AS flag FROM lineitem")
 def csv_roundtrip(spark, sf):
     """Written as CSV with NA for null, read back with inferred types."""
-    from tidemark.sources.store import scratch
-
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_quantity") > 45, F.col("l_returnflag")).otherwise("NA").alias("flag"))
-    path = f"{scratch(spark)}/items.csv"
+    path = f"{store.scratch(spark)}/items.csv"
     writers.write_csv(df, path)
     return readers.read_csv(spark, path)
 
@@ -1105,11 +1174,9 @@ def csv_roundtrip(spark, sf):
   CASE WHEN l_linenumber % 3 = 0 THEN 'first' || chr(10) || 'said "' || l_returnflag || '", ' || chr(10) || chr(10) || 'last' ELSE l_returnflag END AS note FROM lineitem""")
 def csv_line_breaks(spark, sf):
     """Quoted fields with line breaks, quotes and commas, written as CSV and read back in splits that end anywhere in them."""
-    from tidemark.sources.store import scratch
-
     note = F.concat(F.lit('first\nsaid "'), "l_returnflag", F.lit('", \n\nlast'))
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_linenumber") % 3 == 0, note).otherwise(F.col("l_returnflag")).alias("note"))
-    path = f"{scratch(spark)}/items.csv"
+    path = f"{store.scratch(spark)}/items.csv"
     writers.write_csv(items, path)
     return readers.read_csv(spark, path)
 
@@ -1117,9 +1184,7 @@ def csv_line_breaks(spark, sf):
 @query(f"SELECT (SELECT count(*) FROM {TRAIN}) AS n_train, (SELECT count(*) FROM {TEST}) AS n_test, 10::BIGINT AS n_features, 0.123457::DOUBLE AS au_prc_train, 1.5::DOUBLE AS runtime_seconds")
 def meta_roundtrip(spark, sf):
     """The run's figures, rounded, written as JSON and read back."""
-    from tidemark.sources.store import scratch
-
-    path = f"{scratch(spark)}/pipeline_meta.json"
+    path = f"{store.scratch(spark)}/pipeline_meta.json"
     a, b = splits(spark, sf)
     writers.meta(spark, a.count(), b.count(), views.feature_count(_TYPES), 0.1234567, 1.499).write.mode("overwrite").json(path)
     return readers.read_table(spark, path).select("n_train", "n_test", "n_features", "au_prc_train", "runtime_seconds")
@@ -1137,13 +1202,57 @@ _EVENT = _freq("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15')", "even
 )
 def stream_window_psi(spark, sf):
     """Extension: PSI of each day's event types against the first two weeks, by a stream that runs what is there; the last day too."""
-    from tidemark.sources.store import scratch
     from tidemark.streaming.drift_stream import latest_counts, monitor, window_psi
 
     events = table(spark, sf, "events")
     reference = frequency.category_freq(events.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), ["event_type"])
-    where = scratch(spark)
+    where = store.scratch(spark)
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     monitor(stream, "ts", "event_type", f"{where}/counts", f"{where}/checkpoint").awaitTermination()
     told = window_psi(latest_counts(spark, f"{where}/counts"), reference)
     return told.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "psi", "severity")
+
+
+def _event_stream(spark, sf):
+    return spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query(
+    """WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS s FROM events)
+    SELECT strftime(s, '%Y-%m-%d %H') AS window_start, event_type AS category, count(*) AS n FROM w GROUP BY ALL"""
+)
+def stream_sliding_counts(spark, sf):
+    """Extension: event types by day windows that begin every twelve hours."""
+    from tidemark.streaming.drift_stream import latest_counts, monitor
+
+    where = store.scratch(spark)
+    monitor(_event_stream(spark, sf), "ts", "event_type", f"{where}/counts", f"{where}/checkpoint", slide="12 hours").awaitTermination()
+    return latest_counts(spark, f"{where}/counts").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "category", "n")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS category, count(*) AS n FROM events GROUP BY ALL")
+def stream_without_repeats(spark, sf):
+    """Extension: every event sent twice counts once."""
+    from tidemark.streaming.drift_stream import latest_counts, monitor
+
+    where = store.scratch(spark)
+    twice = _event_stream(spark, sf).union(_event_stream(spark, sf))
+    monitor(twice, "ts", "event_type", f"{where}/counts", f"{where}/checkpoint", ids=["event_id"]).awaitTermination()
+    return latest_counts(spark, f"{where}/counts").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "category", "n")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL '6 hours' AS apart FROM events),
+    s AS (SELECT user_id, ts, sum(coalesce(apart, true)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+    x AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL '6 hours' AS b, count(*) AS n FROM s GROUP BY user_id, k)
+    SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS session_end, n FROM x
+    WHERE b <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL '1 hour'"""
+)
+def stream_sessions(spark, sf):
+    """Extension: users' sessions, apart by six hours without an event, that the watermark has closed."""
+    from tidemark.streaming.drift_stream import closed_sessions
+
+    where = store.scratch(spark)
+    closed_sessions(_event_stream(spark, sf), "ts", "user_id", f"{where}/sessions", f"{where}/checkpoint", gap="6 hours").awaitTermination()
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.parquet(f"{where}/sessions").select("user_id", shown("session_start"), shown("session_end"), "n")
