@@ -105,7 +105,19 @@ def test_quality_beside_sparks_trees(spark):
     rows = list(rows_of(21, 6000))
     a, b = (spark.createDataFrame(part, "id long, x double, c string, z double, y int") for part in (rows[:4000], rows[4000:]))
     names = ["x", "c", "z"]
-    ours = boost.score(boost.fit(a, names, F.col("y"), trees=8, depth=3, rate=0.3), b, ["y"])  # their first tree counts whole
-    theirs = model.score(model.fit(a, names, F.col("y"), trees=8, depth=3), b, ["y"])
+    ours = boost.score(boost.fit(a, names, F.col("y"), trees=12, depth=3, rate=0.3), b, ["y"])  # their first tree counts whole
+    theirs = model.score(model.fit(a, names, F.col("y"), trees=12, depth=3), b, ["y"])
     ap = [model.average_precision(s, "y", "probability_score").first()[0] for s in (ours, theirs)]
     assert ap[0] > ap[1] - 0.01 and not math.isnan(ap[0])
+
+
+def test_sparks_trees_load_again(spark, tmp_path):
+    """With coded levels (more than the bound) and without."""
+    df = spark.createDataFrame(list(rows_of(9, 200)), "id long, x double, c string, z double, y int")
+    for most in (2, 512):
+        fit = model.fit(df, ["x", "c", "z"], F.col("y"), trees=2, depth=2, most_levels=most)
+        fit.save(str(tmp_path / f"m{most}"), spark)
+        again = model.Trained.load(str(tmp_path / f"m{most}"), spark)
+        assert bool(again.codes) == (most == 2)
+        same = lambda m: {r["id"]: r["probability_score"] for r in model.score(m, df, ["id"]).collect()}
+        assert same(again) == same(fit)

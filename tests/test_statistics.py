@@ -101,6 +101,7 @@ def test_ways_to_the_finite_sample_law_agree():
 
 def test_large_samples_use_the_finite_law():
     assert special.ks_two_sample(0.3, 20_000, 30) == special.kolmogorov_upper(0.3, 30)
+    assert all(type(special.kolmogorov_upper(t / math.sqrt(n), n)) is float for t in (0.5, 1.0, 2.5) for n in (3, 400, 30_000, 10**7))  # rows take no other numbers
     assert special.ks_two_sample(0.01, 10**12, 10**12) == 0 and 0 < special.ks_two_sample(1e-6, 10**12, 10**12) < 1
 
 

@@ -82,7 +82,7 @@ def kolmogorov_upper(d: float, n: int) -> float:
         return 2 * (1 - d) ** n
     if n * d * d >= ONE_SIDED or d >= 0.5:
         return min(1.0, 2 * _smirnov_upper(d, n))
-    inside = _durbin(d, n) if n <= MATRIX else _pelz_good(d, n)
+    inside = _durbin(d, n) if n <= MATRIX else float(_pelz_good(d, n))
     return min(1.0, max(0.0, 1 - inside))
 
 

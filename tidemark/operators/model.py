@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +20,7 @@ from tidemark.functions.text import normalise
 from tidemark.operators.cumulative import running_sums
 from tidemark.operators.mitigate import with_codes
 from tidemark.operators.profile import cardinality
+from tidemark.sources.store import scratch, stored
 
 
 def dead_columns(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -53,13 +55,18 @@ class Trained:
             rows = with_codes(rows, c, codes, 0.0)
         return rows
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark: SparkSession) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         for k, c in enumerate(self.codes):
             self.codes[c].write.mode("overwrite").parquet(f"{path}/codes-{k}")
-        spark = next(iter(self.codes.values())).sparkSession if self.codes else None
-        if spark:
-            spark.createDataFrame([(k, c) for k, c in enumerate(self.codes)], "k int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/codes")
+        about = json.dumps({"features": self.features, "coded": list(self.codes)})
+        spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Trained:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        codes = {c: spark.read.parquet(f"{path}/codes-{k}") for k, c in enumerate(about["coded"])}
+        return cls(PipelineModel.load(f"{path}/pipeline"), about["features"], codes)
 
 
 def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 20, depth: int = 5, most_levels: int = MOST_LEVELS) -> Trained:
@@ -76,10 +83,12 @@ def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 2
     ready = prepared(rows.withColumn("tm_weight__", weight), features, keep)
     texts = text_columns(ready, features)
     levels = {r["feature"]: r["n_unique"] for r in cardinality(ready, texts).collect()} if texts else {}
-    codes = {c: ready.groupBy(F.col(c).alias("level")).agg(F.count(F.lit(1)).cast("double").alias("code")) for c in texts if levels[c] > most_levels}
+    spark, where = train.sparkSession, scratch(train.sparkSession)
+    coded = lambda c: ready.groupBy(F.col(c).alias("level")).agg(F.count(F.lit(1)).cast("double").alias("code"))
+    codes = {c: stored(spark, coded(c), f"{where}/codes-{k}") for k, c in enumerate(texts) if levels[c] > most_levels}
     texts = [c for c in texts if c not in codes]
     trained = Trained(None, list(features), codes)
-    ready = trained.inputs(rows.withColumn("tm_weight__", weight), keep)
+    ready = stored(spark, trained.inputs(rows.withColumn("tm_weight__", weight), keep), f"{where}/inputs")  # encoded once, read by every job of the trees
     stages: list = []
     if texts:
         stages.append(StringIndexer(inputCols=texts, outputCols=[f"tm_ix_{c}" for c in texts], handleInvalid="keep"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, DATE_FORMATS, NULL_TOKENS
 from tidemark.functions import text
 from tidemark.functions.scalars import cut, linspace, midpoints, number, numeric_columns, present, safe_float, text_columns
-from tidemark.operators import detect, drift, frequency, mitigate, model, months, profile, rank, views
+from tidemark.operators import cube, detect, drift, frequency, mitigate, model, months, profile, rank, views
 from tidemark.plans import report
 from tidemark.plans.fixtures import ITEMS_SQL, ITEMS_TEST, ITEMS_TRAIN, ORDERS_SQL, TEST, TRAIN, item_splits, items, orders, rounded, splits, table
 from tidemark.sources import readers, store, writers
@@ -1049,6 +1049,52 @@ def category_rates(spark, sf):
     return views.category_rates(orders(spark, sf).withColumn("y", mitigate.positive(F.col("target"), "Yes")), "status", "y")
 
 
+def _cube(spark, sf):
+    """The cube of the orders' charts: made once for the queries below, and again where the files change."""
+
+    def make():
+        a, b = (df.withColumn("y", mitigate.positive(F.col("target"), "Yes")) for df in splits(spark, sf))
+        return cube.chart_cube(a, b, ["shifted", "o_totalprice"], ["status", "moved"], "month", "y")
+
+    return store.kept(spark, "cube", [f"{sf}/orders.parquet"], cube.BINS, make)
+
+
+@query(_SQL["hist_equal_width"])
+def cube_equal_width(spark, sf):
+    return cube.histogram(_cube(spark, sf), "shifted", "width")
+
+
+@query(_SQL["hist_quantile_edges"])
+def cube_quantile_edges(spark, sf):
+    return cube.histogram(_cube(spark, sf), "shifted", "rank").drop("share")
+
+
+@query(f"SELECT split, bin, n, round(n / sum(n) OVER (PARTITION BY split)::DOUBLE, 6) AS share FROM ({_SQL['hist_occupancy']}) WHERE n > 0")
+def cube_occupancy(spark, sf):
+    """Shares are of the rows within the bins, empty bins are left out."""
+    return cube.histogram(_cube(spark, sf), "shifted", "tenth")
+
+
+@query(_SQL["category_shares"])
+def cube_category_shares(spark, sf):
+    return cube.levels(_cube(spark, sf), "status").drop("rate")
+
+
+@query(_SQL["category_rates"])
+def cube_category_rates(spark, sf):
+    return cube.levels(_cube(spark, sf), "status").drop("share")
+
+
+@query(
+    f"""WITH r AS (SELECT moved FROM {TRAIN} WHERE month IN (SELECT DISTINCT month FROM {TRAIN} ORDER BY month DESC LIMIT 3))
+    SELECT trim(lower(moved)) AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM r GROUP BY 1"""
+)
+def cube_recent_months(spark, sf):
+    """Categories of train's three recent months."""
+    recent = [r["month"] for r in months.recent_months(splits(spark, sf)[0], "month").collect()]
+    return cube.of_months(_cube(spark, sf), "moved", "train", recent)
+
+
 @query(
     f"SELECT 'train' AS split, round(median(shifted), 4) AS median, round({_iqr(TRAIN, 'shifted')}, 4) AS iqr FROM {TRAIN} UNION ALL SELECT 'test', round(median(shifted), 4), round({_iqr(TEST, 'shifted')}, 4) FROM {TEST}", digits=4
 )
@@ -1117,13 +1163,13 @@ def _tree_sql(depth: int, bins: int = 64) -> str:
             f"""sums{d} AS (SELECT *, CASE WHEN f IN ({', '.join(map(str, texts))}) THEN g / (h + 10) ELSE num END AS o, num IS NULL AND lev IS NULL AS missing,
   sum(g) OVER e AS ga, sum(h) OVER e AS ha, sum(n) OVER e AS na FROM hist{d} WINDOW e AS (PARTITION BY node, f))""",
             f"""lost{d} AS (SELECT node, f, g AS gm, h AS hm, n AS nm FROM sums{d} WHERE missing)""",
-            f"""upto{d} AS MATERIALIZED (SELECT s.*, coalesce(gm, 0) AS gm, coalesce(hm, 0) AS hm, coalesce(nm, 0) AS nm, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, row_number() OVER w AS at
+            f"""upto{d} AS MATERIALIZED (SELECT s.*, coalesce(gm, 0) AS gm, coalesce(hm, 0) AS hm, coalesce(nm, 0) AS nm, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, row_number() OVER w AS pos
   FROM sums{d} s LEFT JOIN lost{d} USING (node, f) WHERE NOT missing WINDOW w AS (PARTITION BY node, f ORDER BY o, lev ROWS UNBOUNDED PRECEDING))""",
-            f"""sides{d} AS (SELECT node, f, num, at, ga, ha, na, false AS ml, gl AS g, hl AS h, nl AS n FROM upto{d} UNION ALL SELECT node, f, num, at, ga, ha, na, true, gl + gm, hl + hm, nl + nm FROM upto{d} WHERE nm > 0)""",
+            f"""sides{d} AS (SELECT node, f, num, pos, ga, ha, na, false AS ml, gl AS g, hl AS h, nl AS n FROM upto{d} UNION ALL SELECT node, f, num, pos, ga, ha, na, true, gl + gm, hl + hm, nl + nm FROM upto{d} WHERE nm > 0)""",
             f"""best{d} AS MATERIALIZED (SELECT *, {gain.format('g', 'h')} + {gain.format('(ga - g)', '(ha - h)')} - {gain.format('ga', 'ha')} AS gain FROM sides{d}
   WHERE least(n, na - n) >= 20 AND least(h, ha - h) >= 0.001 AND {gain.format('g', 'h')} + {gain.format('(ga - g)', '(ha - h)')} - {gain.format('ga', 'ha')} > 1e-9
-  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, at, ml) = 1)""",
-            f"listed{d} AS (SELECT u.node, u.lev FROM upto{d} u JOIN best{d} b ON u.node = b.node AND u.f = b.f AND u.at <= b.at WHERE u.lev IS NOT NULL)",
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, pos, ml) = 1)""",
+            f"listed{d} AS (SELECT u.node, u.lev FROM upto{d} u JOIN best{d} b ON u.node = b.node AND u.f = b.f AND u.pos <= b.pos WHERE u.lev IS NOT NULL)",
             f"""went{d} AS (SELECT r.*, b.node IS NOT NULL AS splits, coalesce(CASE WHEN b.f IN ({', '.join(map(str, texts))}) THEN CASE WHEN {level_of} IS NOT NULL THEN l.lev IS NOT NULL END ELSE {number_of} <= b.num END, b.ml) AS goes_left,
   b.g AS bg, b.h AS bh, b.ga, b.ha FROM r{d} r LEFT JOIN best{d} b ON r.node = b.node LEFT JOIN listed{d} l ON l.node = r.node AND l.lev = {level_of})""",
             f"""r{d + 1} AS MATERIALIZED (SELECT * EXCLUDE (splits, goes_left, bg, bh, ga, ha) REPLACE (CASE WHEN NOT splits THEN -abs(node) WHEN goes_left THEN 2 * node ELSE 2 * node + 1 END AS node,

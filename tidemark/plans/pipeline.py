@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.text import positive_label
-from tidemark.operators import detect, mitigate, model, profile, rank, views
+from tidemark.operators import boost, detect, mitigate, model, profile, rank, views
 from tidemark.plans import report
 from tidemark.sources import readers, writers
 from tidemark.sources.store import scratch, stored
@@ -34,9 +34,12 @@ class Run:
 
 def run(
     spark: SparkSession, train: DataFrame, test: DataFrame, key: str = "CustomerID", month: str = "Month", target: str = "ChurnStatus",
-    policy: str = "binning", config: Config = DEFAULT, out: str | None = None,
+    policy: str = "binning", config: Config = DEFAULT, out: str | None = None, learner: str = "histogram",
 ) -> Run:
-    """All stages on two aligned splits; results go to ``out`` where one is given."""
+    """All stages on two aligned splits; results go to ``out`` where one is given.
+
+    ``learner``: "histogram" are the package's own boosted trees (missing values learn a direction, any number of levels), "spark" those of Spark.
+    """
     began = time.time()
     profiles = profile.profile(train, {key: "metadata", month: "time", target: "target"}, config)
     types = profile.manifest(profiles)
@@ -52,20 +55,24 @@ def run(
     gone = model.dead_columns(a, b, tested)
     features = [c for c in tested if c not in gone]
     y = mitigate.positive(F.col(target), label)
-    fit = model.fit(a, features, y)
-    keep = ["tm_y__"]
-    scores = lambda df: model.score(fit, df.withColumn("tm_y__", y), keep)
-    prc = lambda df: model.average_precision(scores(df), "tm_y__", "probability_score").first()[0] or 0.0
-    train_prc = prc(a)
+    trees = {"histogram": boost, "spark": model}[learner]
+    fit, folder = trees.fit(a, features, y), scratch(spark)
+    label_ = "tm_y__"
+    # each split is scored once
+    of_train, of_test = (stored(spark, trees.score(fit, df.withColumn(label_, y_), keep), f"{folder}/{n}") for n, df, y_, keep in (
+        ("train", a, y, [label_]), ("test", b, y if target in b.columns else F.lit(None).cast("int"), [key, label_]),
+    ))
+    prc = lambda scores: model.average_precision(scores, label_, "probability_score").first()[0] or 0.0
+    train_prc = prc(of_train)
     labelled = target in b.columns and model.classes(b, target) >= 2
-    test_prc = prc(b) if labelled else None
-    cells = model.confusion(scores(b), "tm_y__", "probability_score", config=config) if labelled else None
-    scored = writers.predictions(model.score(fit, b, [key]), key)
+    test_prc = prc(of_test) if labelled else None
+    cells = model.confusion(of_test, label_, "probability_score", config=config) if labelled else None
+    scored = writers.predictions(of_test, key)
     figures = writers.meta(spark, train.count(), test.count(), views.feature_count(types), train_prc, time.time() - began, test_prc)
-    importance = model.importance(fit, spark)
+    importance = trees.importance(fit, spark)
     if out:
         writers.export(out, verdicts, ranked, figures, importance, scored)
-        writers.save_model(fit, f"{out}/model")
+        writers.save_model(fit, f"{out}/model", spark)
     return Run(verdicts, ranked, importance, scored, train_prc, test_prc, figures, cells, chosen)
 
 
@@ -74,12 +81,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--train", required=True)
     parser.add_argument("--test", required=True)
     parser.add_argument("--out", required=True)
+    parser.add_argument("--learner", choices=("histogram", "spark"), default="histogram")
     parser.add_argument("--policy", choices=("binning", "robust", "none", "delta"), default="binning")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     began, folder = time.time(), scratch(spark)
     both = (stored(spark, df, f"{folder}/{n}") for n, df in zip(("train", "test"), readers.ingest(spark, args.train, args.test), strict=True))
-    done = run(spark, *both, policy=args.policy, out=args.out)
+    done = run(spark, *both, policy=args.policy, out=args.out, learner=args.learner)
     tables = (
         report.drift_summary(done.verdicts), done.ranked, report.policy_summary(spark, args.policy, done.chosen), report.score_table(spark, done.au_prc_train, done.au_prc_test),
         done.cells, done.importance, done.meta, report.runtime(spark, time.time() - began),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.mitigate import ACTUAL, ROUTES
+from tidemark.operators.boost import Boosted
 from tidemark.operators.model import Trained
 
 
@@ -37,8 +38,9 @@ def meta(spark: SparkSession, n_train: int, n_test: int, n_features: int, au_prc
     return spark.createDataFrame([tuple(out.values())], kinds)
 
 
-def save_model(model: Trained, path: str) -> None:
-    model.save(path)
+def save_model(model: Trained | Boosted, path: str, spark: SparkSession) -> None:
+    """What ``load`` of the model's class reads again."""
+    model.save(path, spark)
 
 
 def export(folder: str, verdicts: DataFrame, ranked: DataFrame, figures: DataFrame, importance: DataFrame | None = None, scored: DataFrame | None = None) -> None:
