@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.cases import table, texts, words_of
 from tidemark.llm import countmin, exact, repeats, simhash, substring, suffix
@@ -286,3 +287,11 @@ def test_key_bitmap_loses_no_key(spark, most):
     held, others = ({r[0] for r in f(rows, "id").collect()} for f in (bitmap.held, bitmap.others))
     assert held | others == set(range(300)) and not held & others and held >= set(range(0, 300, 3))
     assert len(held) < 150 if most > 1 << 12 else held
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark):
+    """Spark takes them for as small as their files: both sides of their joins are dealt out all the same."""
+    nodes = spark.range(64).select(F.xxhash64("id").alias("fp"), "id")
+    links = simhash.near_links(nodes)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "BroadcastHashJoin" not in simhash.near_components(table(spark))._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001

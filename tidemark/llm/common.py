@@ -148,6 +148,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that Spark deals out by key, both sides, instead of sending one whole to the driver and everywhere.
+
+    For tables that grow with the documents: Spark takes a table for as small as its files, but numbers pack tightly in Parquet and Python may make many rows of one.
+    """
+    return df.hint("merge")
+
+
 class KeyBitmap:
     """A bitmap with the bit of each key's hash set, as a broadcast table of 64-bit words: 16 bits a key, but never more than ``most`` bits.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, dealt
 
 #: Links that a task holds before it sends on their forest.
 FLUSH = 1 << 19
@@ -77,8 +77,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         both = now.union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt(least), F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        near = large.join(least, F.col("u") == F.col("w"))
+        near = large.join(dealt(least), F.col("u") == F.col("w"))
         now = cut(near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("w", "m")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

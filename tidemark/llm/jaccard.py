@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyBitmap, cut, map_batches, small_batches, texts_of
+from tidemark.llm.common import KeyBitmap, cut, dealt, map_batches, small_batches, texts_of
 from tidemark.llm.components import components
 from tidemark.llm.simhash import near_components, shingle_hashes
 
@@ -148,7 +148,7 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     x = texts.select(F.col("id").alias("x_id"), F.col("text").alias("x_text"))
     y = texts.select(F.col("id").alias("y_id"), F.col("text").alias("y_text"))
     # a last: a text that is compared with many comes in rows that follow each other
-    rows = pairs.join(y, F.col("b") == F.col("y_id")).join(x, F.col("a") == F.col("x_id"))
+    rows = dealt(dealt(pairs).join(y, F.col("b") == F.col("y_id"))).join(x, F.col("a") == F.col("x_id"))
 
     def make():  # noqa: ANN202
         last: tuple[bytes | None, set[bytes]] = (None, set())
@@ -186,16 +186,16 @@ def _proposed(docs: DataFrame) -> DataFrame:
 
 def _apart(met: DataFrame, one: DataFrame) -> DataFrame:
     """Rows of ``met`` with their part, of the keys whose rows are not all in one component (node, label) yet."""
-    part = cut(met.join(one, F.col("id") == F.col("node"), "left").select(*_WIDE, "lo", "hi", F.coalesce("label", "id").alias("part")).distinct())
+    part = cut(met.join(dealt(one), F.col("id") == F.col("node"), "left").select(*_WIDE, "lo", "hi", F.coalesce("label", "id").alias("part")).distinct())
     open_ = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    return cut(part.join(open_, "key", "left_semi"))
+    return cut(part.join(dealt(open_), "key", "left_semi"))
 
 
 def _met_by(x: DataFrame, y: DataFrame) -> DataFrame:
     """(a, b), a < b: documents of x and y that meet by a key, are in different parts, and could be similar enough if that is the first they share."""
     x, y = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in (*_WIDE, "part")]) for side, df in (("x", x), ("y", y)))
     met = (F.col("x_key") == F.col("y_key")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_part") != F.col("y_part")) & _hopeful()
-    return x.join(y, met).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    return x.join(dealt(y), met).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_copies(df: DataFrame) -> DataFrame:
@@ -204,13 +204,13 @@ def near_copies(df: DataFrame) -> DataFrame:
     links = cut(_checked(cut(_proposed(docs)), docs))
     common = _common(docs)
     ends = cut(_prefixes(docs, common).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    met = cut(KeyBitmap(ends, "key").held(_prefixes(docs, common, wide=True), "key").join(ends, "key"))
+    met = cut(KeyBitmap(ends, "key").held(_prefixes(docs, common, wide=True), "key").join(dealt(ends), "key"))
     # the proposed links are stars around the smallest of each, no node in two of them: components as they are
     apart = _apart(met, links.select(F.col("b").alias("node"), F.col("a").alias("label")))
     tried = cut(_met_by(apart.where("id = lo"), apart).union(_met_by(apart, apart.where("id = hi"))).distinct())
     one = cut(components(links.union(_checked(tried, docs))))
     last = _apart(met, one)
-    more = cut(_checked(cut(_met_by(last, last).join(tried, ["a", "b"], "left_anti")), docs))
+    more = cut(_checked(cut(_met_by(last, last).join(dealt(tried), ["a", "b"], "left_anti")), docs))
     return one if more.isEmpty() else components(one.select(F.col("label").alias("a"), F.col("node").alias("b")).union(more))
 
 

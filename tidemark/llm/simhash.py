@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_batches, table, texts_of
+from tidemark.llm.common import cut, dealt, map_batches, table, texts_of
 from tidemark.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -129,7 +129,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     x = _anchored(nodes, True).select(F.col("key").alias("x_key"), F.col("fp").alias("a"))
     y = _anchored(nodes, False).select(F.col("key").alias("y_key"), F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return x.join(y, (F.col("x_key") == F.col("y_key")) & near).select("a", "b")
+    return x.join(dealt(y), (F.col("x_key") == F.col("y_key")) & near).select("a", "b")
 
 
 def near_components(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -137,10 +137,10 @@ def near_components(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     prints = cut(fingerprints(df, shingle))
     nodes = cut(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = components(near_links(nodes))
-    linked = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("part"))
+    linked = nodes.join(dealt(found), F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("part"))
     least = linked.groupBy("part").agg(F.min("id").alias("component_id"))
-    named = linked.join(least, "part").select(F.col("fp").alias("n_fp"), "component_id")
-    out = prints.join(named, F.col("fp") == F.col("n_fp"), "left")
+    named = linked.join(dealt(least), "part").select(F.col("fp").alias("n_fp"), "component_id")
+    out = prints.join(dealt(named), F.col("fp") == F.col("n_fp"), "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
