@@ -949,7 +949,12 @@ def safe_float_and_cut(spark, sf):
 
 
 # ---- scores ----
-_SCORED = "SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, least(1.0, round(o_totalprice / 400000, 2))::DOUBLE AS p FROM orders"
+def _half_up(x: str, digits: int) -> str:
+    """Spark's rounding: ties of the number's shortest decimal go up. DuckDB's round() of a double scales it in binary first, which leaves ties to chance (0.285 gives 0.28)."""
+    return f"round(({x})::DOUBLE::VARCHAR::DECIMAL(38, 20), {digits})::DOUBLE"
+
+
+_SCORED = f"SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, least(1.0, {_half_up('o_totalprice / 400000', 2)})::DOUBLE AS p FROM orders"
 
 
 def _scored(spark, sf):
@@ -970,7 +975,7 @@ def _cells(t: float) -> str:
 
 
 def _metrics(cells: str) -> str:
-    r = lambda a, b: f"round(coalesce({a} / nullif({b}, 0)::DOUBLE, 0), 6)"
+    r = lambda a, b: _half_up(f"coalesce({a} / nullif({b}, 0)::DOUBLE, 0)", 6)
     return f"""SELECT *, {r('(tp + tn)', '(tp + fp + fn + tn)')} AS accuracy, {r('tp', '(tp + fp)')} AS precision, {r('tp', '(tp + fn)')} AS recall,
       {r('2 * tp', '(2 * tp + fp + fn)')} AS f1, {r('tn', '(tn + fp)')} AS specificity FROM ({cells})"""
 
