@@ -121,3 +121,14 @@ def test_sparks_trees_load_again(spark, tmp_path):
         assert bool(again.codes) == (most == 2)
         same = lambda m: {r["id"]: r["probability_score"] for r in model.score(m, df, ["id"]).collect()}
         assert same(again) == same(fit)
+
+
+def test_a_level_needs_one_job_with_the_levels_listed(spark):
+    """The split of a text comes with the levels on its shorter end; tables of sums are not kept for a second look."""
+    hist = spark.createDataFrame([(1, 0, k, float(k - 50), 30.0, 30) for k in range(100)], "node int, f int, bin long, g double, h double, n long")
+    best = {r["node"]: r for r in boost.best_splits(hist, [0]).collect()}[1]
+    order = sorted(range(100), key=lambda k: (k - 50) / 40)
+    at = best["at"]
+    assert at <= boost.LISTED or best["m"] - at <= boost.LISTED
+    assert sorted(best["listed"]) == sorted(order[:at] if at <= boost.LISTED else order[at:])
+    assert boost.best_splits(hist, []).first()["listed"] is None

@@ -15,7 +15,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import cut, number, text_columns
@@ -97,62 +97,57 @@ class Boosted:
         return cls(told["features"], told["breaks"], [tree(t) for t in told["trees"]])
 
 
-def _score(g: Column | str, h: Column | str) -> Column:
-    g, h = (F.col(x) if isinstance(x, str) else x for x in (g, h))
-    return g * g / (h + PENALTY)
+def _score(g: str, h: str) -> str:
+    return f"({g}) * ({g}) / (({h}) + {PENALTY}D)"
 
 
 def _ordered(hist: DataFrame, texts: Sequence[int]) -> DataFrame:
     """Known bins of a histogram with running sums in each feature's order, and the sums of missing and of all rows."""
-    every = Window.partitionBy("node", "f")
-    missing = lambda c: F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col(c))).over(every), F.lit(0)).alias(f"{c}_missing")
-    order = F.when(F.col("f").isin(*texts), F.col("g") / (F.col("h") + SMOOTH)).otherwise(F.col("bin").cast("double")) if texts else F.col("bin").cast("double")
-    told = hist.select("*", order.alias("o"), *[missing(c) for c in "ghn"], *[F.sum(c).over(every).alias(f"{c}_all") for c in "ghn"], F.count("bin").over(every).alias("m")).where("bin IS NOT NULL")
-    upto = every.orderBy("o", "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return told.select("*", *[F.sum(c).over(upto).alias(f"{c}_left") for c in "ghn"], F.row_number().over(every.orderBy("o", "bin")).alias("at"))
+    every = "PARTITION BY node, f"
+    order = f"CASE WHEN f IN ({', '.join(map(str, texts))}) THEN g / (h + {SMOOTH}D) ELSE cast(bin AS double) END" if texts else "cast(bin AS double)"
+    missing = [f"coalesce(sum(CASE WHEN bin IS NULL THEN {c} END) OVER ({every}), 0) AS {c}_missing" for c in "ghn"]
+    told = hist.selectExpr("*", f"{order} AS o", *missing, *[f"sum({c}) OVER ({every}) AS {c}_all" for c in "ghn"], f"count(bin) OVER ({every}) AS m").where("bin IS NOT NULL")
+    by = f"{every} ORDER BY o, bin"
+    return told.selectExpr("*", *[f"sum({c}) OVER ({by} ROWS UNBOUNDED PRECEDING) AS {c}_left" for c in "ghn"], f"row_number() OVER ({by}) AS at")
 
 
 def best_splits(hist: DataFrame, texts: Sequence[int]) -> DataFrame:
-    """The best split of each node of (node, f, bin, g, h, n), with the sums of its left side and of the node; nodes without one are left out."""
-    rows = _ordered(hist, texts)
-    if texts:
-        rows = rows.where(~F.col("f").isin(*texts) | (F.col("at") <= LISTED) | (F.col("m") - F.col("at") <= LISTED))
-    side = lambda left: F.struct(F.lit(left).alias("missing_left"), *[(F.col(f"{c}_left") + (F.col(f"{c}_missing") if left else F.lit(0))).alias(c) for c in "ghn"])
-    both = F.when(F.col("n_missing") > 0, F.array(side(False), side(True))).otherwise(F.array(side(False)))
-    told = rows.select("node", "f", "bin", "at", "m", *[f"{c}_all" for c in "ghn"], F.explode(both).alias("s")).select("*", "s.*").drop("s")
-    g, h, n = (F.col(f"{c}_all") - F.col(c) for c in "ghn")
-    fits = (F.least(F.col("n"), n) >= LEAST_ROWS) & (F.least(F.col("h"), h) >= LEAST_CURVE)
-    told = told.where(fits).withColumn("gain", _score("g", "h") + _score(g, h) - _score("g_all", "h_all")).where("gain > 1e-9")
-    first = F.struct("gain", -F.col("f"), -F.col("at"), (~F.col("missing_left")).cast("int"))
-    return told.groupBy("node").agg(F.max_by(F.struct(*[c for c in told.columns if c != "node"]), first).alias("b")).select("node", "b.*")
+    """The best split of each node of (node, f, bin, g, h, n), with the sums of its left side and of the node; nodes without one are left out.
+
+    ``listed`` has the levels that a split of a text lists: those up to ``at``, or those behind it where they are fewer; null for numbers.
+    Expressions are SQL: a tree plans a job for each of its levels, and they would be hundreds of calls into the JVM otherwise.
+    """
+    text = f"f IN ({', '.join(map(str, texts))})" if texts else "false"
+    rows = _ordered(hist, texts).where(f"NOT {text} OR at <= {LISTED} OR m - at <= {LISTED}")
+    side = lambda left: f"struct({str(left).lower()} AS missing_left, " + ", ".join(f"{c}_left{f' + {c}_missing' if left else ''} AS {c}" for c in "ghn") + ")"
+    both = f"explode(CASE WHEN n_missing > 0 THEN array({side(False)}, {side(True)}) ELSE array({side(False)}) END) AS s"
+    told = rows.selectExpr("node", "f", "bin", "at", "m", *[f"{c}_all" for c in "ghn"], both).selectExpr("*", "s.*").drop("s")
+    told = told.selectExpr("*", f"{_score('g', 'h')} + {_score('g_all - g', 'h_all - h')} - {_score('g_all', 'h_all')} AS gain")
+    # rows without ``good`` are no split, but may be listed
+    fits = f"least(n, n_all - n) >= {LEAST_ROWS} AND least(h, h_all - h) >= {LEAST_CURVE}D AND gain > 1e-9D"
+    good = f"CASE WHEN {fits} THEN struct(gain, -at, cast(NOT missing_left AS int)) END"
+    held = ", ".join(c for c in told.columns if c not in ("node", "f"))
+    ends = [f"collect_list(CASE WHEN {text} AND NOT missing_left AND {met} THEN struct(at, bin) END) AS {c}" for c, met in (("head", f"at <= {LISTED}"), ("tail", f"m - at < {LISTED}"))]
+    # a feature's rows are together already: only its best split goes on, with the levels at both ends
+    per = told.groupBy("node", "f").agg(F.expr(f"max_by(struct({held}), {good}) AS b"), *map(F.expr, ends)).where("b IS NOT NULL").selectExpr("node", "f", "b.*", "head", "tail")
+    listed = f"CASE WHEN {text} THEN transform(CASE WHEN at <= {LISTED} THEN filter(head, e -> e.at <= at) ELSE filter(tail, e -> e.at > at) END, e -> e.bin) END AS listed"
+    per = per.selectExpr("node", "f", *told.drop("node", "f").columns, listed)
+    best = ", ".join(c for c in per.columns if c != "node")
+    return per.groupBy("node").agg(F.expr(f"max_by(struct({best}), struct(gain, -f)) AS b")).selectExpr("node", "b.*")
 
 
 def _grown(rows: DataFrame, texts: Sequence[int], depth: int, rate: float) -> Tree:
-    """One tree over (y, w, bins, margin)."""
+    """One tree over (y, w, bins, margin), one job a level."""
     tree, open_ = Tree(), [1]
-    p = 1 / (1 + F.exp(-F.col("margin")))
-    pulled = rows.select("bins", (F.col("w") * (p - F.col("y"))).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
+    p = "1 / (1 + exp(-margin))"
+    pulled = rows.selectExpr("bins", f"w * ({p} - y) AS g", f"w * ({p}) * (1 - {p}) AS h")
     leaf = lambda g, h: -rate * g / (h + PENALTY)
     for _ in range(depth):
-        long = pulled.select(tree.node().cast("int").alias("node"), "g", "h", "bins").where(F.col("node").isin(*open_)).select("node", "g", "h", F.posexplode("bins").alias("f", "bin"))
-        hist = long.groupBy("node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).persist()
-        try:
-            best = {r["node"]: r for r in best_splits(hist, texts).collect()}
-            named = [r for r in best.values() if r["f"] in texts]
-            listed: dict[int, list[int]] = {}
-            if named:
-                of = lambda r: (F.col("node") == r["node"]) & (F.col("f") == r["f"])
-                chosen, taken = F.lit(False), F.lit(False)
-                for r in named:
-                    chosen = chosen | of(r)
-                    taken = taken | (of(r) & ((F.col("at") <= r["at"]) if r["at"] <= LISTED else (F.col("at") > r["at"])))
-                for r in _ordered(hist.where(chosen), texts).where(taken).select("node", "bin").collect():  # ``LISTED`` rows a node at most
-                    listed.setdefault(r["node"], []).append(r["bin"])
-        finally:
-            hist.unpersist()
+        long = pulled.selectExpr(f"cast({tree.sql(str)} AS int) AS node", "g", "h", "bins").where(f"node IN ({', '.join(map(str, open_))})").selectExpr("node", "g", "h", "posexplode(bins) AS (f, bin)")
+        hist = long.groupBy("node", "f", "bin").agg(F.expr("sum(g) AS g"), F.expr("sum(h) AS h"), F.expr("count(1) AS n"))
         open_ = []
-        for node, r in sorted(best.items()):
-            levels = tuple(sorted(listed.get(node, ())))
+        for r in sorted(best_splits(hist, texts).collect(), key=lambda r: r["node"]):
+            node, levels = r["node"], tuple(sorted(r["listed"] or ()))
             tree.splits[node] = Split(r["f"], None if levels else r["bin"], levels, r["at"] <= LISTED, r["missing_left"], r["gain"])
             tree.values |= {2 * node: leaf(r["g"], r["h"]), 2 * node + 1: leaf(r["g_all"] - r["g"], r["h_all"] - r["h"])}
             open_ += [2 * node, 2 * node + 1]
