@@ -456,3 +456,18 @@ def test_policies_do_not_multiply_rows_that_share_an_id(spark):
     fitted = mitigate.Mitigator().fit(raw, raw, {"x": "numerical"})
     assert sorted(r["x"] for r in mitigate.apply_policy("delta", ["x"], raw, raw, fitted).collect()) == [-2.0, 0.0, 5.0]
     assert sorted(r["x"] for r in mitigate.apply_policy("none", ["x"], raw, raw, fitted).collect()) == [2.0, 4.0, 9.0]
+
+
+def test_quantiles_scan_few_times(spark):
+    """Three scans at most, however many ranks are wanted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x")).mapInArrow(watched, "x double")
+    probs = [k / 64 for k in range(1, 64)]
+    found, _ = profile.exact_quantiles(df, {"x": F.col("x")}, probs)["x"]
+    assert found == pytest.approx([999 * p for p in probs]) and seen.value <= 3000

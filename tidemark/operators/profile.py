@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import is_numeric, number, numeric_columns, text_columns
+from tidemark.functions.scalars import cut, is_numeric, number, numeric_columns, text_columns
 from tidemark.functions.text import parses_as_date
 
 #: Aggregate expressions in one job: wide tables go in pieces, so that generated methods stay small.
@@ -152,25 +152,33 @@ def _narrowed(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str,
 
 
 def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
-    """Interpolated values at the wanted ranks; left out where the bracket misses."""
-    keys = list(wanted)
-    parts = []
-    for at in range(0, len(keys), PIECE // 5):
-        some = range(at, min(len(keys), at + PIECE // 5))
-        x = {k: values[keys[k][0]] for k in some}
-        below, above, within = ({k: getattr(wanted[keys[k]], side)(x[k]) for k in some} for side in ("below", "above", "within"))
-        told = df.agg(*[F.count_if(below[k]).alias(f"b{k}") for k in some], *[F.min(F.when(above[k], x[k])).alias(f"a{k}") for k in some])
-        sides = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"b{k}").alias("below"), F.col(f"a{k}").alias("next")) for k in some])
-        sides = told.select(F.explode(sides).alias("s")).select("s.*")
-        any_ = within[some[0]]
-        for k in some[1:]:
-            any_ = any_ | within[k]
-        inner = df.where(any_).select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.when(within[k], x[k]).alias("x")) for k in some])).alias("s"))
-        inner = inner.select("s.*").where("x IS NOT NULL").groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"))
-        parts.append((inner, sides))
-    inner, sides = parts[0]
-    for more, other in parts[1:]:
-        inner, sides = inner.union(more), sides.union(other)
+    """Interpolated values at the wanted ranks; left out where the bracket misses.
+
+    The ends of a column's brackets cut its values into cells, numbered by 2 for each end below, and 1 more at an end. A row is looked up once, however
+    many ranks are wanted; cells are counted, and those within a bracket keep their distinct values. One scan and one shuffle give both.
+    """
+    keys, names = list(wanted), list(dict.fromkeys(c for c, _ in wanted))
+    ends = {c: sorted({e for (name, _), b in wanted.items() if name == c for e in (b.lo, b.hi) if e is not None}) for c in names}
+    cells = {c: {e: 2 * k + 1 for k, e in enumerate(ends[c])} for c in names}
+    rows, inside = [], {k: set() for k in range(len(names))}
+    for k, (c, i) in enumerate(keys):
+        b = wanted[c, i]
+        lo = 0 if b.lo is None else cells[c][b.lo] + b.lo_open
+        hi = 2 * len(ends[c]) if b.hi is None else cells[c][b.hi] - b.hi_open
+        rows.append((k, names.index(c), lo, hi))
+        inside[names.index(c)] |= set(range(lo, hi + 1))
+    at = [F.array(*map(F.lit, ends[c])).cast("array<double>") for c in names]
+    kept = [F.array(*map(F.lit, sorted(inside[k]))).cast("array<int>") for k in range(len(names))]
+    one = [F.struct(F.lit(k).alias("c"), values[c].alias("x")) for k, c in enumerate(names)]
+    long = df.select(F.explode(F.array(*one)).alias("s")).select("s.*").where("x IS NOT NULL")
+    of = lambda arrays: F.element_at(F.array(*arrays), F.col("c") + 1)
+    long = long.withColumn("cell", 2 * cut(F.col("x"), of(at)) + F.array_contains(of(at), F.col("x")).cast("int"))
+    long = long.withColumn("v", F.when(F.array_contains(of(kept), F.col("cell")), F.col("x")))
+    counted = long.groupBy("c", "cell", "v").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x")).persist()
+    brackets = F.broadcast(df.sparkSession.createDataFrame(rows, "key int, b int, lo int, hi int"))
+    told = counted.join(brackets, F.col("c") == F.col("b"))
+    sides = told.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("cell") < F.col("lo"), F.col("n"))), F.lit(0)).alias("below"), F.min(F.when(F.col("cell") > F.col("hi"), F.col("x"))).alias("next"))
+    inner = told.where("cell BETWEEN lo AND hi").select("key", "x", "n")
     ranks = F.array(*[F.lit(w.rank).cast("long") for w in wanted.values()])
     rank = F.element_at(ranks, F.col("key") + 1)
     before = F.sum("n").over(Window.partitionBy("key").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -179,8 +187,12 @@ def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, in
         F.first("below").alias("below"), F.first("next").alias("next"), F.max("cum").alias("upto"),
         F.min(F.when(F.col("cum") > rank, F.col("x"))).alias("v0"), F.min(F.when(F.col("cum") > rank + 1, F.col("x"))).alias("v1"),
     )
+    try:
+        found = told.collect()
+    finally:
+        counted.unpersist()
     out = {}
-    for r in told.collect():
+    for r in found:
         want = wanted[keys[r["key"]]]
         v1 = r["v1"] if r["v1"] is not None else r["next"]
         if r["below"] <= want.rank < r["upto"] and (not want.part or v1 is not None):
