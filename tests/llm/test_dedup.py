@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.cases import table, texts, words_of
-from tidemark.llm import countmin, exact, repeats, simhash, substring, suffix
+from tidemark.llm import countmin, exact, keybits, repeats, simhash, substring, suffix
 from tidemark.llm.components import components
 from tidemark.llm.quotient import QuotientFilter
 
@@ -124,6 +124,18 @@ def test_sketch_never_underestimates(values):
     assert all(r for v, r in zip(values, repeated, strict=True) if counts[v] > 1)
 
 
+def test_keys_that_come_once_take_no_room_in_a_bitmap(spark):
+    df = spark.range(3_000_000).union(spark.range(1000))
+    items = np.arange(3_000_000, dtype=np.uint64)
+    let = keybits.passed(items, keybits.key_bits(df, keybits.long_keys, 20, least=2))  # a bit for three keys
+    assert let[:1000].all() and let[1000:].mean() < 0.01
+    cells = countmin.repeated_cells(df, keybits.long_keys, 20)
+    assert countmin.estimated_repeated(items, cells, 20)[1000:].mean() > 0.8  # what op5 went by before
+    let = keybits.passed(items, keybits.key_bits(df.where("id >= 2990000"), keybits.long_keys, 20))
+    assert let[2990000:].all() and let[:2990000].mean() < 0.01
+    assert not keybits.key_bits(df.where("id < 0"), keybits.long_keys, 20).any()
+
+
 # ---- suffix arrays ----
 def brute_bytes(rows, window):
     order = lambda i: (i is None, i or 0)

@@ -68,11 +68,11 @@ def cuts_so_far(spark: SparkSession) -> int:
     return len(_cuts.get(spark.sparkContext.applicationId, []))
 
 
-def drop_cuts(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables this application's cuts wrote since a mark, and how many; for after the results that rest on them are written."""
+def drop_cuts(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the tables this application's cuts wrote since a mark, up to another, and how many; for after the results that rest on them are written."""
     held = _cuts.get(spark.sparkContext.applicationId, [])
-    paths = held[since:]
-    del held[since:]
+    paths = held[since:until]
+    del held[since:until]
     for path in paths:
         drop_folder(spark, path)
     return len(paths)
@@ -92,7 +92,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark.conf.set(_CLEAN, "true")
     _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

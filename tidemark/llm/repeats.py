@@ -1,13 +1,13 @@
 """Suffix-array deduplication by bytes: strings of 50 bytes that start in a document with a smaller id are cut out.
 
 1. Rows whose whole text is a copy of a smaller document's are found by SHA-256; all their windows repeat, so they leave.
-2. Every 50-byte window is filed under the least hash of its 16-byte grams; neighbouring windows mostly share it, so a
-   text falls into short runs. A sketch of the keys (see ``countmin``) leaves runs whose key may occur twice. Runs of equal bytes are one class
-   with its smallest and its largest document, grouped on their bytes by a partial aggregate.
-3. The classes of a key meet in one task, those of several documents as two texts: one of the first document, one of a later one. A
+2. Every 50-byte window is filed under the least hash of its 24-byte grams; neighbouring windows mostly share it, so a
+   text falls into short runs. A bitmap of the keys that occur twice (see ``keybits``) leaves runs whose key may do so.
+3. The runs of a key are shuffled once and meet in one task; those of equal bytes are one class with its smallest and its largest document. Classes
+   of several documents count as two texts: one of the first document, one of a later one. A
    suffix array over a block of keys and the interval tree of its common prefixes give the maximal repeats with all occurrences;
    an occurrence in a later document than the repeat's first is marked. That decides copies of a run and parts of it alike.
-   A key with more than ``limit`` classes is split further, by whole windows, and those go through the same array, in pieces.
+   A key with more than ``limit`` runs is split further, by whole windows, and those go through the same array, in pieces.
 4. Where a row has a run, the marks of its class for the first or for later documents return to the row; a class is then named by
    its key and 128 bits of the SHA-256 of its bytes.
 
@@ -29,18 +29,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyBitmap, concatenated, cut, left_joined, map_batches, table, without
-from tidemark.llm.countmin import estimated_repeated, fitting_width, repeated_cells
+from tidemark.llm.common import KeyBitmap, concatenated, cut, cuts_so_far, drop_cuts, left_joined, map_batches, table, without
+from tidemark.llm.keybits import key_bits, passed, width_for
 from tidemark.llm.suffix import SuffixArray
 from tidemark.llm.windows import chunks, rolling, sliding_min
 
-WINDOW, GRAM, WIDTH = 50, 16, 28
+#: The gram is long enough for few runs to share one without sharing a window, however many texts there are; bitmaps have 2**``WIDTH`` bits at most.
+WINDOW, GRAM, WIDTH = 50, 24, 29
 #: Windows of a run at most, classes that one suffix array takes of one key, and bytes of classes that it takes of several.
 LONGEST, LIMIT, BLOCK = 35, 8192, 1 << 20
 #: Marks are one number each: start times ``SPAN`` plus length; -1 stands for the whole text.
 SPAN, DIGEST = 128, 16
 _LAST = (1 << 63) - 1
 _CLASS = ["key", "segment", "doc", "last"]
+_PART = ["part", "key", "run", "shift", "segment"]
 
 
 class ByteRuns:
@@ -86,14 +88,14 @@ def _runs(column: pa.Array, window: int, gram: int) -> Iterator[tuple[int, ByteR
         yield i, ByteRuns(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
 
 
-def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
+def _classes(rows: DataFrame, bitmap, window: int, gram: int) -> DataFrame:  # noqa: ANN001
     """(key, segment, doc, last): a chunk's distinct candidate runs with their smallest and largest documents in it."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             docs = batch.column(0).to_numpy()
             for i, runs in _runs(batch.column(2), window, gram):
-                runs.keep(estimated_repeated(runs.key, bitmap.value, width))
+                runs.keep(passed(runs.key, bitmap.value))
                 if not len(runs.key):
                     continue
                 named: dict[bytes, int] = {}
@@ -110,18 +112,26 @@ def _classes(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> Dat
     return map_batches(rows.select("doc", "row", "text"), make, "key long, segment binary, doc long, last long")
 
 
-def _postings(rows: DataFrame, bitmap, window: int, gram: int, width: int) -> DataFrame:  # noqa: ANN001
-    """(key, run, doc, row, start): where candidate runs are, in bytes."""
+def _told(keys: np.ndarray, names: pa.Array) -> np.ndarray:
+    """A hash of each class by its key and the first half of its name."""
+    return keys.view(np.uint64) ^ np.ascontiguousarray(concatenated(names)[0]).view(np.uint64)[:: DIGEST // 8]
+
+
+def _postings(rows: DataFrame, bitmap, window: int, gram: int, asked) -> DataFrame:  # noqa: ANN001
+    """(key, run, doc, row, start): where candidate runs are, in bytes, of the classes that the bitmap ``asked`` lets through."""
 
     def make():  # noqa: ANN202
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             docs, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, runs in _runs(batch.column(2), window, gram):
-                runs.keep(estimated_repeated(runs.key, bitmap.value, width))
-                if len(runs.key):
+                runs.keep(passed(runs.key, bitmap.value))
+                run = pa.array(map(_named, runs.pieces()), pa.binary())
+                which = np.flatnonzero(passed(_told(runs.key, run), asked.value))
+                if len(which):
+                    runs.keep(which)
                     columns = (runs.key.view(np.int64), docs[i + runs.text], names[i + runs.text], runs.start)
                     key, doc, row, start = map(pa.array, columns)
-                    yield pa.RecordBatch.from_arrays([key, pa.array(map(_named, runs.pieces()), pa.binary()), doc, row, start], ["key", "run", "doc", "row", "start"])
+                    yield pa.RecordBatch.from_arrays([key, run.take(pa.array(which)), doc, row, start], ["key", "run", "doc", "row", "start"])
 
         return each
 
@@ -179,6 +189,7 @@ class Repeats:
 def _in_blocks(parts: DataFrame, each, schema: str, limit: int, block: int) -> DataFrame:  # noqa: ANN001
     """``each`` (a table of whole parts to record batches) over blocks of (part, .., doc, last, shift, segment), sorted by part and document.
 
+    Equal rows but for documents become one class first, where the part is: one shuffle takes them there.
     A block is ``block`` bytes of whole parts. A part with more than ``limit`` rows comes in pieces; of each piece the first
     row of every distinct segment goes on into the next, so that the smallest document of all of them is there to compare with.
     """
@@ -209,7 +220,8 @@ def _in_blocks(parts: DataFrame, each, schema: str, limit: int, block: int) -> D
         if held:
             yield from each(pa.Table.from_batches(held).combine_chunks())
 
-    return parts.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(run, schema)
+    classes = parts.repartition("part").groupBy(*_PART).agg(F.min("doc").alias("doc"), F.max("last").alias("last"))
+    return classes.sortWithinPartitions("part", "doc").mapInArrow(run, schema)
 
 
 def _owners(t: pa.Table, which: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -238,12 +250,12 @@ def _marked(parts: DataFrame, window: int, limit: int, block: int) -> DataFrame:
     return found.select("key", "run", "doc", moved("early"), moved("later"))
 
 
-def _parts(rows: DataFrame, bitmap, window: int, gram: int, width: int, limit: int) -> DataFrame:  # noqa: ANN001
-    """(part, key, run, doc, last, shift, segment) of classes that may share a window, parted by key; those of keys with over ``limit`` of them window by window.
+def _parts(rows: DataFrame, bitmap, window: int, gram: int, limit: int) -> DataFrame:  # noqa: ANN001
+    """(part, key, run, doc, last, shift, segment) of runs that may share a window, parted by key; those of keys with over ``limit`` of them window by window.
 
-    key and run are null where they are the part's and the segment's own.
+    key and run are null where they are the part's and the segment's own. A class comes as often as chunks of texts have it.
     """
-    classes = cut(_classes(rows, bitmap, window, gram, width).groupBy("key", "segment").agg(F.min("doc").alias("doc"), F.max("last").alias("last")))
+    classes = cut(_classes(rows, bitmap, window, gram))
     # keys within one document lose nothing
     keys = cut(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("key", "n"))
     live = KeyBitmap(keys, "key").held(classes, "key")
@@ -263,15 +275,25 @@ def _parts(rows: DataFrame, bitmap, window: int, gram: int, width: int, limit: i
     return told.select("doc", "last", F.explode(F.when(F.col("hot").isNull(), F.array(whole)).otherwise(windows)).alias("p")).select("p.*", "doc", "last")
 
 
-def _sketched(rows: DataFrame, window: int, gram: int, width: int) -> tuple:
-    """The broadcast bitmap of keys that may occur twice, and its width."""
+def _repeated(df: DataFrame, rows: DataFrame, window: int, gram: int, width: int):  # noqa: ANN202
+    """The broadcast bitmap of keys of ``rows`` that may occur twice, two bits for each run that the texts of ``df`` will give."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, runs in _runs(batch.column(2), window, gram):
+        for _, runs in _runs(batch.column(0), window, gram):
             yield runs.key
 
-    width = fitting_width(rows, (window - gram) // 2, width)
-    return rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, keys, width)), width
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = width_for(2 * total // max(1, (window - gram + 2) // 2), width)
+    return df.sparkSession.sparkContext.broadcast(key_bits(rows.select("text"), keys, bits, least=2))
+
+
+def _asked(staged: DataFrame, width: int):  # noqa: ANN202
+    """The broadcast bitmap of the classes (key, run) of a cut table."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _told(batch.column(0).to_numpy(), batch.column(1))
+
+    return staged.sparkSession.sparkContext.broadcast(key_bits(staged.select("key", "run"), keys, width_for(16 * staged.count(), width)))
 
 
 def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
@@ -281,10 +303,14 @@ def byte_marks(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int
     first = cut(narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final"))
     copies = cut(narrow.join(first, "digest").where("doc > first").select("doc", "row").distinct())
     rows = without(df.select("doc", "row", "text"), copies, [F.col("doc"), F.col("row")])
-    bitmap, width = _sketched(rows, window, gram, width)
-    staged = cut(_marked(_parts(rows, bitmap, window, gram, width, limit), window, limit, block))
+    bitmap = _repeated(df, rows, window, gram, width)
+    mark = cuts_so_far(df.sparkSession)
+    parts = _marked(_parts(rows, bitmap, window, gram, limit), window, limit, block)
+    until = cuts_so_far(df.sparkSession)
+    staged = cut(parts)
+    drop_cuts(df.sparkSession, mark, until)
     named = staged.select("key", "run", F.col("doc").alias("first"), "early", "later")
-    places = KeyBitmap(staged, "key", "run").held(_postings(rows, bitmap, window, gram, width), "key", "run").join(named, ["key", "run"])
+    places = _postings(rows, bitmap, window, gram, _asked(staged, width)).join(named, ["key", "run"])
     marks = F.transform(F.when(F.col("doc") > F.col("first"), F.col("later")).otherwise(F.col("early")), lambda m: F.col("start") * SPAN + m)
     # a set: rows that repeat say the same
     spans = places.select("doc", "row", F.explode(marks).alias("mark")).groupBy("doc", "row").agg(F.collect_set("mark").alias("marks"))
@@ -301,11 +327,11 @@ def _rows(df: DataFrame) -> DataFrame:
 def repeat_groups(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """(group, length, doc_id, start): the maximal repeats of (doc_id, text) over documents, each with all its occurrences, in bytes.
 
-    A repeat is maximal within the runs that its windows fall into, so one of over 84 bytes comes as several that overlap; ``group`` is a digest
+    A repeat is maximal within the runs that its windows fall into, so one of over 76 bytes comes as several that overlap; ``group`` is a digest
     of its bytes. Repeats within one document alone are left out. Null ids are one document.
     """
     rows = _rows(df).select("doc", "row", "text")
-    bitmap, width = _sketched(rows, window, gram, width)
+    bitmap = _repeated(rows, rows, window, gram, width)
 
     def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
         found = Repeats(t, window)
@@ -321,8 +347,8 @@ def repeat_groups(df: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
         yield pa.RecordBatch.from_arrays([pa.array(group, pa.binary()), pa.array(length), key, run, pa.array(offset + shift)], ["group", "length", "key", "run", "offset"])
 
     schema = "group binary, length long, key long, run binary, offset long"
-    found = cut(_in_blocks(_parts(rows, bitmap, window, gram, width, limit), each, schema, limit, block).distinct())
-    places = _postings(rows, bitmap, window, gram, width).join(found, ["key", "run"])
+    found = cut(_in_blocks(_parts(rows, bitmap, window, gram, limit), each, schema, limit, block).distinct())
+    places = _postings(rows, bitmap, window, gram, _asked(found, width)).join(found, ["key", "run"])
     doc_id = F.when(F.col("doc") != _LAST, F.col("doc"))
     return places.select(F.lower(F.hex("group")).alias("group"), "length", doc_id.alias("doc_id"), (F.col("start") + F.col("offset")).alias("start")).distinct()
 
