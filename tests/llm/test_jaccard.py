@@ -7,7 +7,7 @@ import random
 import corpus_pipeline
 import numpy as np
 from tests.llm.cases import table, texts, words
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, keybits
 
 
 def brute_shingles(text: str | None) -> set[tuple[bytes, ...]]:
@@ -94,3 +94,13 @@ def test_the_stage_on_the_small_table(spark, sf):
     want = brute_labels([(r["doc_id"], r["text"]) for r in docs.collect()])
     kept = corpus_pipeline.near_dedup(spark, docs, sf)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, x in want.items() if i == x)
+
+
+def test_rows_of_keys_that_one_id_has_stay_in_python(spark):
+    rows = [(1, " ".join(words(1, 100, 3000))), (2, " ".join(words(2, 100, 3000))), (3, None)]
+    docs = table(spark, rows).selectExpr("CAST(doc_id AS long) AS id", "text")
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    every = {(r["key"], r["id"]) for r in jaccard._prefixes(docs, none).collect()}
+    some = spark.createDataFrame([(k,) for k, i in every if i == 2], "key long")
+    got = jaccard._prefixes(docs, none, keybits.key_bits(some, keybits.long_keys, 20)).collect()
+    assert {(r["key"], r["id"]) for r in got} == {(k, i) for k, i in every if i == 2} and {r["n"] for r in got} == {96}

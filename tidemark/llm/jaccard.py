@@ -8,7 +8,7 @@ Two texts are linked if the sets of their five-word shingles (A to Z lower-cased
 2. In any one order of all shingles, the least shingle that two such sets share is among the first ``n - ceil(4n/5) + 1`` of
    each (n its size): only that prefix of each set matters, and every pair that is similar enough meets by a key.
    The order puts common shingles last. Which ones count as common is estimated, but it is the same for all texts, so that it
-   decides about speed alone. Keys of a single id end in a partial aggregate; only rows of the others, told by a bounded bitmap, are joined.
+   decides about speed alone. Keys of a single id end in a partial aggregate; rows of the others alone, told by a bounded bitmap (``keybits``), leave Python and are joined.
    Whatever two sets share comes after the least shingle they share, in both orders: a pair that meets by a key too late in either for what is left to
    be enough is no pair by that key. Nor is one whose sets differ by more than similarity allows by their parity bitmaps (a bucket's parity differs only
    if some shingle of one set alone is in it). Both hold for every pair that is similar enough; what passes is checked on the whole texts.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import KeyBitmap, cut, dealt, map_batches, small_batches, texts_of
 from tidemark.llm.components import components
+from tidemark.llm.keybits import key_bits, long_keys, passed, width_for
 from tidemark.llm.simhash import near_components, shingle_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
@@ -43,6 +44,8 @@ FLUSH, MOST_COMMON = 1 << 20, 1 << 18
 SLICE = 256
 #: Words of 64 bits in a set's parity bitmap.
 PARITY = 8
+#: log2 of the bits of the bitmap of keys that several ids have: 16 MB at most.
+WIDTH = 27
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -107,12 +110,14 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(buckets, minlength=64 * PARITY) & 1, bitorder="little").view("<i8")
 
 
-def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], wide: bool = False) -> DataFrame:
-    """(key, id): a row for each shingle of each set's prefix. If wide, with n, i, p0, ..: the size of the whole set, the shingle's place in its order from 0, and the set's parity bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], asked: np.ndarray | None = None) -> DataFrame:
+    """(key, id): a row for each shingle of each set's prefix. With a bitmap of keys only those it lets through, and with n, i, p0, ..: the size of the
+    whole set, the shingle's place in its order from 0, and the set's parity bitmap."""
+    wide = asked is not None
+    shared = docs.sparkSession.sparkContext.broadcast((*common, asked))
 
     def make():  # noqa: ANN202
-        keys, counts = shared.value
+        keys, counts, asked = shared.value
 
         def prefix(text: bytes) -> tuple[np.ndarray, int, np.ndarray | None]:
             found = _hashes(text)
@@ -133,7 +138,9 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], wide: bool
             columns = [np.concatenate([x for x, _, _ in held]), np.repeat(some.column(0).to_numpy(), sizes)]
             if wide:
                 columns += [np.repeat(np.array([n for _, n, _ in held], np.int32), sizes), np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])]
-                columns += list(np.repeat(np.stack([p for _, _, p in held]), sizes, 0).T)
+                which = np.flatnonzero(passed(columns[0].view(np.uint64), asked))
+                text = np.repeat(np.arange(len(held)), sizes)[which]
+                columns = [c[which] for c in columns] + list(np.stack([p for _, _, p in held])[text].T)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], _WIDE if wide else _WIDE[:2])
 
         return each
@@ -204,7 +211,8 @@ def near_copies(df: DataFrame) -> DataFrame:
     links = cut(_checked(cut(_proposed(docs)), docs))
     common = _common(docs)
     ends = cut(_prefixes(docs, common).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    met = cut(KeyBitmap(ends, "key").held(_prefixes(docs, common, wide=True), "key").join(dealt(ends), "key"))
+    asked = key_bits(ends.select("key"), long_keys, width_for(16 * ends.count(), WIDTH))
+    met = cut(_prefixes(docs, common, asked).join(dealt(ends), "key"))
     # the proposed links are stars around the smallest of each, no node in two of them: components as they are
     apart = _apart(met, links.select(F.col("b").alias("node"), F.col("a").alias("label")))
     tried = cut(_met_by(apart.where("id = lo"), apart).union(_met_by(apart, apart.where("id = hi"))).distinct())
