@@ -118,7 +118,9 @@ def _pieces(rows: DataFrame, known: Known, starts: dict[str, set[int]], sep: str
     ends_within = walker(sep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         schema = pa.schema([("record", pa.binary()), ("file", pa.string()), ("start", pa.int64()), ("owner", pa.int64()), ("first", pa.bool_())])
         now, within, owner, first = None, False, -1, False
@@ -135,7 +137,14 @@ def _pieces(rows: DataFrame, known: Known, starts: dict[str, set[int]], sep: str
             return batch
 
         for batch in batches:
-            for value, file, start, odd in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not batch.num_rows:
+                continue
+            value, file_, start_, odd = batch.columns
+            same = pc.and_(pc.equal(file_[1:], file_[:-1]), pc.equal(start_[1:], start_[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), batch.num_rows]
+            odds = odd.to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                file, start = file_[a].as_py(), start_[a].as_py()
                 if (file, start) != now:
                     if held:
                         close(False)
@@ -145,14 +154,27 @@ def _pieces(rows: DataFrame, known: Known, starts: dict[str, set[int]], sep: str
                     now = (file, start)
                     _, within, owner = entries[bisect_left(entries, (start,))]
                     first = start == 0
-                held.append(value)
-                if odd:
-                    within = ends_within(value, within)
-                if not within:
+                some, after, at = value[a:b], np.empty(b - a, bool), 0
+                for k in np.flatnonzero(odds[a:b]).tolist():  # all other lines end as they begin
+                    after[at:k] = within
+                    after[k] = within = ends_within(some[k].as_py(), within)
+                    at = k + 1
+                after[at:] = within
+                stops, done_to = np.flatnonzero(~after) + 1, 0
+                if len(stops) and (held or owner >= 0 or first):
+                    done_to, stops = int(stops[0]), stops[1:]
+                    held += some[:done_to].to_pylist()
                     close(True)
                     owner, first = -1, False
-                    if len(out) > 4096:
-                        yield done()
+                if len(stops):  # whole records of this split: their lines put together at once
+                    n = len(stops)
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(done_to, stops).astype(np.int32)), some), b"\n")
+                    columns = [joined, pa.repeat(pa.scalar(file, pa.string()), n), pa.repeat(pa.scalar(start, pa.int64()), n), pa.nulls(n, pa.int64()), pa.repeat(False, n)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    done_to = int(stops[-1])
+                held += some[done_to:].to_pylist()
+            if out:
+                yield done()
         if held:
             close(False)
         if out:
