@@ -4,6 +4,7 @@ import csv
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans import pipeline
@@ -64,6 +65,19 @@ def test_late_values_decide_types(spark, tmp_path):
     assert [tuple(r) for r in df.where("i = 2.5").collect()] == [(2.5, "n/k", "maybe")] and df.where("i IS NOT NULL AND d IS NOT NULL AND b IS NOT NULL").count() == early + 1
 
 
+def test_only_text_of_a_types_shape_is_cast_to_it(spark):
+    """Failing casts throw, so texts that no cast takes must be told by their shape; and the shape must let all through that a cast takes."""
+    core = ["", "17", "17.0", "-1", "+", ".5", "1.", "1e5", "1E-5d", "1e", "0x1p3", "NaN", "+nan", "-Infinity", "infinit", "N", "R", "no", "tRuE", "y", "2024-01-01", "1 2", "1.2x", "0x1", "007", "true story"]
+    rows = spark.createDataFrame([(a + c + b,) for c in core for a in ("", " ", "\t", "\x1f") for b in ("", " ", "\r", "\x7f")], "x string")
+    x = F.col("x")
+    first = F.substring(F.ltrim("x"), 1, 1).isin(*"0123456789+-.nNiI")
+    castable = lambda t: x.try_cast(t).isNotNull() | (x.try_cast("bigint").isNotNull() if t == "double" else F.lit(False))
+    for t, begins in (("bigint", first), ("double", first), ("boolean", F.length(F.trim("x")) <= 5)):
+        told = rows.select("x", (begins & castable(t)).alias("cast"), (begins & x.rlike(readers._SHAPES[t])).alias("shape"), readers._taken(x)[t].alias("taken")).collect()  # noqa: SLF001
+        assert any(r["cast"] for r in told) and [r["x"] for r in told if r["taken"] != r["cast"]] == []
+        assert sum(r["shape"] and not r["cast"] for r in told) <= 0.1 * len(told)
+
+
 def test_ingest_needs_the_id(spark, tmp_path):
     a = write(tmp_path / "a.csv", [["CustomerID", "x", "ChurnStatus"], ["1", "2.5", "Yes"]])
     b = write(tmp_path / "b.csv", [["CustomerID", "x"], ["9", "3"]])

@@ -63,17 +63,26 @@ def parsed_csv(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return rows.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in names], _DAMAGED), no_text
 
 
-#: Types that a column can have, and a cheap test of text that a cast to them might take: only what passes is cast, as failing casts are slow.
+#: Types that a column can have, and the shape that all text has which a cast to them takes: only what has it is cast, as each failing cast throws.
 _TESTS = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+_SHAPES = {
+    "bigint": r"^ *[+-]?[0-9]+[\s\p{Cntrl}]*$",
+    "double": r"(?i)^ *[+-]?(nan|inf|infinity|(0x[0-9a-f.]*p[+-]?[0-9]+|[0-9.]+(e[+-]?[0-9]+)?)[fd]?)[\s\p{Cntrl}]*$",
+    "boolean": r"(?i)^[\s\p{Cntrl}]*(t|true|y|yes|1|f|false|n|no|0)[\s\p{Cntrl}]*$",
+}
 
 
 def _taken(x: Column) -> dict[str, Column]:
-    """For each type, whether a text can be cast to it."""
+    """For each type, whether a text can be cast to it.
+
+    Tests are branches of conditions throughout, never terms of an ``and``: Spark may evaluate terms that occur twice before all else.
+    """
     number = F.substring(F.ltrim(x), 1, 1).isin(*"0123456789+-.nNiI")
-    whole = number & x.try_cast("bigint").isNotNull()
+    fits = lambda t: F.when(x.rlike(_SHAPES[t]), x.try_cast(t).isNotNull()).otherwise(False)
+    whole = F.when(number, fits("bigint")).otherwise(False)
     return {
-        "bigint": whole, "double": F.when(whole, True).when(number, x.try_cast("double").isNotNull()).otherwise(False),
-        "boolean": F.when(F.length(F.trim(x)) <= 5, x.try_cast("boolean").isNotNull()).otherwise(False),
+        "bigint": whole, "double": F.when(whole, True).when(number, fits("double")).otherwise(False),
+        "boolean": F.when(F.length(F.trim(x)) <= 5, fits("boolean")).otherwise(False),
     }
 
 
