@@ -1,6 +1,7 @@
 """Closed-form cases and properties of the statistics."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -471,3 +472,34 @@ def test_quantiles_scan_few_times(spark):
     probs = [k / 64 for k in range(1, 64)]
     found, _ = profile.exact_quantiles(df, {"x": F.col("x")}, probs)["x"]
     assert found == pytest.approx([999 * p for p in probs]) and seen.value <= 3000
+
+
+def test_distance_from_buckets_that_can_hold_it(spark):
+    """Buckets whose bound is below the largest gap at an end are left out; the distance is that of all values, whatever their ties and gaps."""
+    rng = random.Random(5)
+    made = {
+        "moved": ([rng.gauss(0, 1) for _ in range(3000)], [rng.gauss(0.7, 1) for _ in range(2000)]), "same": ([rng.random() for _ in range(2500)], [rng.random() for _ in range(2500)]),
+        "ties": ([float(rng.randint(0, 3)) for _ in range(900)], [float(rng.randint(1, 4)) for _ in range(700)]), "apart": ([1.0, 2.0, 3.0], [4.0, 5.0]), "point": ([7.0] * 5, [7.0] * 9),
+        "jump": ([k / 1000 for k in range(1000)], [0.5004] * 50),
+    }
+    rows = [(f, x, *n) for f, (a, b) in made.items() for x, n in ((x, (a.count(x), b.count(x))) for x in {*a, *b})]
+    told = {r["feature"]: r for r in drift.ks_of(spark.createDataFrame(rows, "feature string, x double, a long, b long")).collect()}
+    for f, (a, b) in made.items():
+        gaps = [abs(sum(v <= x for v in a) / len(a) - sum(v <= x for v in b) / len(b)) for x in {*a, *b}]
+        assert told[f]["ks"] == pytest.approx(max(gaps), abs=1e-15) and (told[f]["n_train"], told[f]["n_test"]) == (len(a), len(b)), f
+
+
+def test_one_sided_feature_has_no_distance(spark):
+    rows = [("a", 1.0, 3, 0), ("a", 2.0, 1, 0)]
+    assert [tuple(r) for r in drift.ks_of(spark.createDataFrame(rows, "feature string, x double, a long, b long")).collect()] == [("a", None, 4, 0)]
+
+
+def test_texts_are_normalised_once(spark):
+    """Rows are grouped as they are; the regular expressions see distinct texts only, and levels that they make equal are added up."""
+    a = spark.createDataFrame([("A-b",), (" a B",), ("x",), (None,)], "c string")
+    pair = frequency.paired(a, a.where("c IS NOT NULL"), ["c"])
+    assert {r["category"]: (r["n_train"], r["n_test"]) for r in pair.collect()} == {"a b": (2, 2), "x": (1, 1), "__null__": (1, 0)}
+    for df in (pair, frequency.category_freq(a, ["c"])):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()  # noqa: SLF001
+        at = [k for k, x in enumerate(lines) if "Aggregate [feature" in x]
+        assert len(at) == 2 and not any("regexp_replace" in x for x in lines[at[1] + 1 :])

@@ -18,6 +18,12 @@ def running_sums(df: DataFrame, sums: Sequence[str], order: str = "x", key: str
     totals (at most ``buckets`` rows per key) carry the sums over. Buckets follow the session's shuffle partitions, which are set
     by the size of the data, so that even a single key keeps all of them busy.
     """
+    placed, carried = bucketed(df, sums, order, key, descending, buckets)
+    return within_buckets(placed, carried, sums, order, key, descending).select(*df.columns, *[f"cum_{c}" for c in sums])
+
+
+def bucketed(df: DataFrame, sums: Sequence[str], order: str = "x", key: str = "feature", descending: bool = False, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the bucket of each row, and (key, bucket_, t_<c>, before_<c>): a bucket's sums and those of all buckets before it."""
     if buckets is None:
         buckets = min(MOST, SHARE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = 1 << max(1, (buckets - 1).bit_length())
@@ -33,7 +39,13 @@ def running_sums(df: DataFrame, sums: Sequence[str], order: str = "x", key: str
     by = F.desc if descending else F.asc
     totals = placed.groupBy(key, "bucket_").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
     before = Window.partitionBy(key).orderBy(by("bucket_")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(key, "bucket_", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in sums])
+    carried = totals.select("*", *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in sums])
+    return placed, carried
+
+
+def within_buckets(placed: DataFrame, carried: DataFrame, sums: Sequence[str], order: str = "x", key: str = "feature", descending: bool = False) -> DataFrame:
+    """Rows of the buckets that ``carried`` has, with its columns and ``cum_<c>``."""
+    by = F.desc if descending else F.asc
     within = Window.partitionBy(key, "bucket_").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = placed.join(F.broadcast(carried), [key, "bucket_"])
-    return out.select(*df.columns, *[(F.col(f"before_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in sums])
+    return out.select("*", *[(F.col(f"before_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in sums])

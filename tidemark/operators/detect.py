@@ -137,17 +137,24 @@ class Detector:
             jobs["categories"] = drift.category_tests(pair, c)
         if cols := self._names(found, "high_cardinality"):
             jobs["js"] = drift.js_of(top_other_of(pair.where(F.col("feature").isin(*cols)), c.top_k), c)
-        if cols := self._names(found, "numerical"):
-            jobs["ks"] = drift.ks(train, test, cols)
+        inner = []
         if cols := self._names(found, "sparse"):
             jobs["z"] = drift.proportion_test(train, test, cols)
-            if numbers := [x for x in cols if is_numeric(train, x)]:
-                jobs["inner"] = drift.ks(train, test, numbers, nonzero=True)
-        told = gathered(jobs)
+            inner = [x for x in cols if is_numeric(train, x)]
+        values = None
+        if cols := [*self._names(found, "numerical"), *inner]:
+            values = drift.two_sample_counts(train, test, cols, nonzero=inner).persist()  # all columns counted in one scan of each split
+            jobs["ks"] = drift.ks_of(values)
+        try:
+            told = gathered(jobs)
+        finally:
+            if values is not None:
+                values.unpersist()
         of = lambda name: {r["feature"]: r for r in told.get(name, [])}
-        categories, inner = of("categories"), of("inner")
-        for r in told.get("ks", []):
-            self._ks_verdict(found[r["feature"]], r["ks"], r["n_train"], r["n_test"])
+        categories, distances = of("categories"), of("ks")
+        for x in self._names(found, "numerical"):
+            if r := distances.get(x):
+                self._ks_verdict(found[x], r["ks"], r["n_train"], r["n_test"])
         for x in self._names(found, "categorical"):
             r = categories[x]
             p = None if r["chi2"] is None else chi2_upper(r["chi2"], r["cells"] - 1)
@@ -158,7 +165,7 @@ class Detector:
             level = severity_of(r["js"], c.js)
             found[r["feature"]].settle(JS_TEST, r["js"], level != "NONE", level, f"top {c.top_k} and the rest")
         for r in told.get("z", []):
-            self._sparse_verdict(found[r["feature"]], r["z"], inner.get(r["feature"]))
+            self._sparse_verdict(found[r["feature"]], r["z"], distances.get(r["feature"]))
         return categories
 
     def _ks_verdict(self, v: Verdict, d: float, n: int, m: int) -> None:
@@ -190,15 +197,19 @@ class Detector:
         numbers = [x for x in found if is_numeric(train, x)]
         others = [x for x in found if x not in numbers]
         jobs: dict[str, DataFrame] = {}
+        sums = [months.month_sums(df, numbers, self.month).persist() for df in (train, test)] if numbers else []  # a row per column and month
         if numbers:
-            jobs["means"] = months.temporal_means(train, test, numbers, self.month, recent)
+            jobs["means"] = months.temporal_of(*sums, recent)
         if segmented := [x for x in numbers if found[x].feature_type == "numerical"]:
-            a, b = months.monthly_means(train, segmented, self.month), months.monthly_means(test, segmented, self.month)
-            jobs["ranges"] = months.drifted_months(a, b, c)
+            jobs["ranges"] = months.drifted_months(*[months.means_of(s.where(F.col("feature").isin(*segmented))) for s in sums], c)
         if others:
             late = train.where(F.col(self.month).cast("string").isin(recent))
             jobs["near"] = category_freq(late, others).groupBy("feature").agg(F.max("freq").alias("share"))
-        told = gathered(jobs)
+        try:
+            told = gathered(jobs)
+        finally:
+            for s in sums:
+                s.unpersist()
         for r in told.get("means", []):
             self._temporal(found[r["feature"]], r["near"], r["full"], r["then"])
         near = {r["feature"]: r["share"] for r in told.get("near", [])}

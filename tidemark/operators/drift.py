@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions.scalars import number, present, ratio, severity
-from tidemark.operators.cumulative import running_sums
+from tidemark.operators.cumulative import bucketed, within_buckets
 from tidemark.operators.frequency import aligned, floored, long_form, rescaled, top, top_other_of
 from tidemark.operators.profile import both_stats
 
@@ -78,21 +78,37 @@ def max_share_shift(train: DataFrame, test: DataFrame) -> DataFrame:
     return category_tests(_pair(train, test)).select("feature", "category", "shift")
 
 
-def two_sample_counts(train: DataFrame, test: DataFrame, cols: Sequence[str], nonzero: bool = False) -> DataFrame:
-    """(feature, x, a, b): how often each value occurs in either split."""
+def two_sample_counts(train: DataFrame, test: DataFrame, cols: Sequence[str], nonzero: bool | Sequence[str] = False) -> DataFrame:
+    """(feature, x, a, b): how often each value occurs in either split; of all columns, or those that ``nonzero`` names, values that are not zero only."""
     sides = [long_form(df, cols, "x", "double").select("feature", number(F.col("x")).alias("x"), F.lit(a).alias("a"), F.lit(1 - a).alias("b")) for df, a in ((train, 1), (test, 0))]
     rows = sides[0].union(sides[1]).where("x IS NOT NULL")
-    rows = rows.where("x <> 0") if nonzero else rows
+    if nonzero:
+        rows = rows.where(F.col("x") != 0 if nonzero is True else ~F.col("feature").isin(*nonzero) | (F.col("x") != 0))
     return rows.groupBy("feature", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def ks(train: DataFrame, test: DataFrame, cols: Sequence[str], nonzero: bool = False) -> DataFrame:
     """(feature, ks, n_train, n_test): the exact two-sample Kolmogorov-Smirnov distance, no sampling."""
-    counts = two_sample_counts(train, test, cols, nonzero)
-    totals = counts.groupBy("feature").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
-    gaps = running_sums(counts, ["a", "b"]).join(F.broadcast(totals), "feature")
-    gap = F.abs(F.try_divide(F.col("cum_a").cast("double"), F.col("n_train")) - F.try_divide(F.col("cum_b").cast("double"), F.col("n_test")))
-    return gaps.groupBy("feature").agg(F.max(gap).alias("ks"), F.first("n_train").alias("n_train"), F.first("n_test").alias("n_test"))
+    return ks_of(two_sample_counts(train, test, cols, nonzero))
+
+
+def ks_of(counts: DataFrame) -> DataFrame:
+    """(feature, ks, n_train, n_test) of ``two_sample_counts``, which is read several times.
+
+    Both distribution functions only rise, so what they are at the ends of a bucket of values bounds the gap within it. Only
+    buckets whose bound is above the largest gap at an end can hold a larger one: of these alone every value is looked at.
+    """
+    placed, carried = bucketed(counts, ["a", "b"])
+    every = Window.partitionBy("feature")
+    share = lambda x, n: F.try_divide(x.cast("double"), F.col(n))
+    carried = carried.withColumns({"n_train": F.sum("t_a").over(every), "n_test": F.sum("t_b").over(every)})
+    low_a, low_b = share(F.col("before_a"), "n_train"), share(F.col("before_b"), "n_test")
+    high_a, high_b = share(F.col("before_a") + F.col("t_a"), "n_train"), share(F.col("before_b") + F.col("t_b"), "n_test")
+    ends = carried.withColumn("most", F.max(F.abs(high_a - high_b)).over(every))
+    inner = within_buckets(placed, ends.where(F.greatest(high_a - low_b, high_b - low_a) > F.col("most")), ["a", "b"])
+    inner = inner.groupBy("feature").agg(F.max(F.abs(share(F.col("cum_a"), "n_train") - share(F.col("cum_b"), "n_test"))).alias("inner"))
+    told = ends.groupBy("feature").agg(F.first("most").alias("most"), F.first("n_train").alias("n_train"), F.first("n_test").alias("n_test"))
+    return told.join(F.broadcast(inner), "feature", "left").select("feature", F.greatest("most", "inner").alias("ks"), "n_train", "n_test")
 
 
 def presence(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:

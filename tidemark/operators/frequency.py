@@ -1,4 +1,4 @@
-"""Category frequencies in long form: any number of columns, one scan, one shuffle."""
+"""Category frequencies in long form: any number of columns, one scan, one shuffle of distinct texts."""
 
 from __future__ import annotations
 
@@ -17,10 +17,14 @@ def long_form(df: DataFrame, cols: Sequence[str], value: str = "category", as_ty
     return df.select(F.explode(pairs).alias("p"), *keep).select("p.*", *keep)
 
 
+def levels(counts: DataFrame, *sums: str) -> DataFrame:
+    """(feature, category, *sums) of texts as they are, added up by normalised category: a text is normalised once, not once a row."""
+    return counts.groupBy("feature", level(F.col("category")).alias("category")).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def category_freq(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, category, n, freq): normalised categories, null a level, shares of all rows."""
-    rows = long_form(df, cols).select("feature", level(F.col("category")).alias("category"))
-    counts = rows.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
+    counts = levels(long_form(df, cols).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n")), "n")
     total = df.agg(F.count(F.lit(1)).alias("rows"))  # one row
     return counts.join(F.broadcast(total)).select("feature", "category", "n", (F.col("n") / F.col("rows")).alias("freq"))
 
@@ -37,9 +41,9 @@ def top(freq: DataFrame, k: int, n: str = "n") -> DataFrame:
 
 
 def paired(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, category, n_train, n_test, rows_test, p, q): counts and shares of both splits side by side, all columns in one shuffle."""
-    side = lambda df, a: long_form(df, cols).select("feature", level(F.col("category")).alias("category"), F.lit(a).alias("a"), F.lit(1 - a).alias("b"))
-    counts = side(train, 1).union(side(test, 0)).groupBy("feature", "category").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
+    """(feature, category, n_train, n_test, rows_test, p, q): counts and shares of both splits side by side, all columns in one shuffle of distinct texts and one of categories."""
+    side = lambda df, a: long_form(df, cols).select("*", F.lit(a).alias("a"), F.lit(1 - a).alias("b"))
+    counts = levels(side(train, 1).union(side(test, 0)).groupBy("feature", "category").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test")), "n_train", "n_test")
     rows = train.agg(F.count(F.lit(1)).alias("rows_train")).join(F.broadcast(test.agg(F.count(F.lit(1)).alias("rows_test"))))  # one row
     share = lambda n: F.coalesce(F.try_divide(F.col(f"n_{n}").cast("double"), F.col(f"rows_{n}")), F.lit(0.0))
     return counts.join(F.broadcast(rows)).select("feature", "category", "n_train", "n_test", "rows_test", share("train").alias("p"), share("test").alias("q"))

@@ -61,7 +61,12 @@ def month_sums(df: DataFrame, cols: Sequence[str], month: str) -> DataFrame:
 
 def monthly_means(df: DataFrame, cols: Sequence[str], month: str, empty: float | None = 0.0) -> DataFrame:
     """(feature, month, mean): a month without values has the mean ``empty``."""
-    return month_sums(df, cols, month).select("feature", "month", F.coalesce(F.try_divide(F.col("total"), F.col("n")), F.lit(empty)).alias("mean"))
+    return means_of(month_sums(df, cols, month), empty)
+
+
+def means_of(sums: DataFrame, empty: float | None = 0.0) -> DataFrame:
+    """``monthly_means`` of ``month_sums``."""
+    return sums.select("feature", "month", F.coalesce(F.try_divide(F.col("total"), F.col("n")), F.lit(empty)).alias("mean"))
 
 
 def mean_of_means(means: DataFrame) -> DataFrame:
@@ -74,10 +79,15 @@ def temporal_means(train: DataFrame, test: DataFrame, cols: Sequence[str], month
 
     near falls back on full, the others on 0.
     """
+    return temporal_of(month_sums(train, cols, month), month_sums(test, cols, month), recent)
+
+
+def temporal_of(train: DataFrame, test: DataFrame, recent: Sequence[str]) -> DataFrame:
+    """``temporal_means`` of both splits' ``month_sums``."""
     late = lambda x: F.sum(F.when(F.col("month").isin(*recent), F.col(x)))
     mean = lambda total, n: F.try_divide(total, n.cast("double"))
-    a = month_sums(train, cols, month).groupBy("feature").agg(mean(late("total"), late("n")).alias("near"), mean(F.sum("total"), F.sum("n")).alias("full"))
-    b = mean_of_means(monthly_means(test, cols, month, None)).select("feature", F.col("mean").alias("then"))
+    a = train.groupBy("feature").agg(mean(late("total"), late("n")).alias("near"), mean(F.sum("total"), F.sum("n")).alias("full"))
+    b = mean_of_means(means_of(test, None)).select("feature", F.col("mean").alias("then"))
     told = a.join(F.broadcast(b), "feature", "left")
     return told.select("feature", F.coalesce("near", "full", F.lit(0.0)).alias("near"), F.coalesce("full", F.lit(0.0)).alias("full"), F.coalesce("then", F.lit(0.0)).alias("then"))
 
