@@ -132,3 +132,31 @@ def test_a_level_needs_one_job_with_the_levels_listed(spark):
     assert at <= boost.LISTED or best["m"] - at <= boost.LISTED
     assert sorted(best["listed"]) == sorted(order[:at] if at <= boost.LISTED else order[at:])
     assert boost.best_splits(hist, []).first()["listed"] is None
+
+
+def test_sparks_trees_grow_on_groups_of_rows(spark, monkeypatch):
+    """Rows with the same bins, levels and label are one row to the trees, and these are the trees that Spark grows on all rows."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    seen, grow = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: seen.append(df.count()) or grow(self, df))
+    rng = random.Random(2)
+    rows = [(k, float(rng.randint(0, 12)), rng.choice("abcd"), rng.random()) for k in range(3000)]
+    df = spark.createDataFrame([(k, x, c, int((x > 5) ^ (c == "a") if r > 0.2 else r < 0.1)) for k, x, c, r in rows], "id long, x double, c string, y int")
+    mine = {r["id"]: r["probability_score"] for r in model.score(model.fit(df, ["x", "c"], F.col("y"), trees=4, depth=3), df, ["id"]).collect()}
+    assert seen == [df.select("x", "c", "y").distinct().count()]
+    share = df.agg(F.avg("y")).first()[0]
+    ready = df.withColumn("w", F.when(F.col("y") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+    ready = VectorAssembler(inputCols=["x", "i"], outputCol="v").transform(StringIndexer(inputCol="c", outputCol="i", handleInvalid="keep").fit(ready).transform(ready))
+    own = grow(GBTClassifier(featuresCol="v", labelCol="y", weightCol="w", seed=42, maxIter=4, maxDepth=3, maxBins=64), ready).transform(ready)
+    theirs = {r["id"]: r["p"] for r in own.select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert all(abs(mine[k] - theirs[k]) < 1e-9 for k in theirs) and len(set(mine.values())) > 5
+
+
+def test_numbers_with_many_values_are_cut_at_all_rows_quantiles(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(0.0).alias("s"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("one"))
+    edges = model.bin_edges(df, ["s", "x", "one"], 64)
+    assert edges["one"] == [] and len(edges["x"]) == 63 and all(abs(e - 99_999 * k / 64) < 1e-6 for k, e in enumerate(edges["x"], 1))
+    assert 0 < edges["s"][0] < 1e-300 and 4 <= len(edges["s"]) <= 8  # zeros are a bin of their own

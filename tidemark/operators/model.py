@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from tidemark.functions.scalars import number, numeric_columns, ratio, text_colu
 from tidemark.functions.text import normalise
 from tidemark.operators.cumulative import running_sums
 from tidemark.operators.mitigate import with_codes
-from tidemark.operators.profile import cardinality
+from tidemark.operators.profile import cardinality, exact_quantiles
 from tidemark.sources.store import scratch, stored
 
 
@@ -69,12 +70,31 @@ class Trained:
         return cls(PipelineModel.load(f"{path}/pipeline"), about["features"], codes)
 
 
+def bin_edges(df: DataFrame, numbers: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Where each number column, none null, is cut into at most ``bins`` bins: midway between its values if there are no more of them, else behind its exact quantiles."""
+    told = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{k}") for k, c in enumerate(numbers)]).first()
+    out = {}
+    for k, c in enumerate(numbers):
+        if told[f"d{k}"] <= 2 * bins:  # few, so they may be listed
+            values = sorted(r[0] for r in df.select(c).distinct().limit(4 * bins).collect())
+            if len(values) <= bins:
+                out[c] = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+    many = {c: F.col(c) for c in numbers if c not in out}
+    if many:
+        found = exact_quantiles(df, many, [k / bins for k in range(1, bins)])
+        out |= {c: sorted({math.nextafter(x, math.inf) for x in found[c][0] or ()}) for c in many}  # values that are a quantile fall below the cut
+    return out
+
+
 def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 20, depth: int = 5, most_levels: int = MOST_LEVELS) -> Trained:
     """Gradient-boosted trees, classes balanced by weight, seed 42; rows without a label are dropped.
 
     Text levels are indexed by frequency, levels beyond train's become a level of their own. A text feature with more than
     ``most_levels`` levels becomes a number, its level's rows in train (0 for unseen ones), so that neither the trees' bins nor the
     driver have to hold its levels.
+
+    Trees see numbers by bins alone, here cut at all train rows' quantiles. Rows with the same bins, levels and label are the same to them,
+    so they become one row with the sum of their weights: the trees' hundred scans or so are of a table that bins and levels bound.
     """
     rows = train.withColumn("tm_label__", label.cast("double")).where("tm_label__ IS NOT NULL")
     told = rows.agg(F.avg("tm_label__")).first()[0] or 0.0
@@ -91,12 +111,19 @@ def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 2
     ready = stored(spark, trained.inputs(rows.withColumn("tm_weight__", weight), keep), f"{where}/inputs")  # encoded once, read by every job of the trees
     stages: list = []
     if texts:
-        stages.append(StringIndexer(inputCols=texts, outputCols=[f"tm_ix_{c}" for c in texts], handleInvalid="keep"))
-    inputs = [f"tm_ix_{c}" if c in texts else c for c in features]
+        stages.append(StringIndexer(inputCols=texts, outputCols=[f"tm_ix_{c}" for c in texts], handleInvalid="keep").fit(ready))
+    bins, numbers = max([LEAST_BINS, *(levels[c] + 2 for c in texts)]), [c for c in features if c not in texts]
+    if numbers:
+        cuts = [[-math.inf, *(e or [0.0]), math.inf] for e in map(bin_edges(ready, numbers, bins).get, numbers)]
+        stages.append(Bucketizer(splitsArray=cuts, inputCols=numbers, outputCols=[f"tm_bin_{c}" for c in numbers]))
+    binned = PipelineModel(stages).transform(ready)
+    inputs = [f"tm_ix_{c}" if c in texts else f"tm_bin_{c}" for c in features]
+    keys = [F.col(x) if x.startswith("tm_ix_") else (F.col(x) + 0.0).alias(x) for x in inputs]  # as numbers: a bucket's own metadata would make it nominal
+    grouped = binned.groupBy(*keys, "tm_label__").agg(F.sum("tm_weight__").alias("tm_weight__"))
+    grouped = stored(spark, grouped, f"{where}/grouped")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="tm_features__"))
-    bins = max([LEAST_BINS, *(levels[c] + 2 for c in texts)])
-    stages.append(GBTClassifier(featuresCol="tm_features__", labelCol="tm_label__", weightCol="tm_weight__", seed=42, maxIter=trees, maxDepth=depth, maxBins=bins))
-    trained.pipeline = Pipeline(stages=stages).fit(ready)
+    grower = GBTClassifier(featuresCol="tm_features__", labelCol="tm_label__", weightCol="tm_weight__", seed=42, maxIter=trees, maxDepth=depth, maxBins=bins)
+    trained.pipeline = PipelineModel([*stages, grower.fit(stages[-1].transform(grouped))])
     return trained
 
 
