@@ -160,3 +160,39 @@ def test_numbers_with_many_values_are_cut_at_all_rows_quantiles(spark):
     edges = model.bin_edges(df, ["s", "x", "one"], 64)
     assert edges["one"] == [] and len(edges["x"]) == 63 and all(abs(e - 99_999 * k / 64) < 1e-6 for k, e in enumerate(edges["x"], 1))
     assert 0 < edges["s"][0] < 1e-300 and 4 <= len(edges["s"]) <= 8  # zeros are a bin of their own
+
+
+def test_of_a_text_with_many_levels_only_the_ends_are_searched(spark, monkeypatch):
+    """Two texts of thousands of levels, one with a level of a third of the rows, and many equal ones: the trees are those of a search through all levels."""
+    rng = random.Random(6)
+    a, b = ["most", *(f"a{k}" for k in range(4000))], [f"b{k}" for k in range(2500)]
+    odd = {x for x in [*a, *b] if rng.random() < 0.1}
+    data = []
+    for _ in range(8000):
+        x, y, z = rng.choice([a[0], rng.choice(a), rng.choice(a[:60]), None]), rng.choice([rng.choice(b), rng.choice(b[:90])]), rng.random()
+        data.append((z, x, y, int(rng.random() < 0.2 + 0.4 * (x in odd) + 0.2 * (y in odd) + 0.1 * (z > 0.7))))
+    df = spark.createDataFrame(data, "z double, a string, b string, y int")
+    searched, search = [], boost.best_splits
+    monkeypatch.setattr(boost, "best_splits", lambda hist, texts: searched.append(hist.groupBy("node", "f").count().agg(F.max("count")).first()[0]) or search(hist, texts))
+    grow = lambda: boost.fit(df, ["z", "a", "b"], F.col("y"), trees=2, depth=3, bins=16)
+    monkeypatch.setattr(boost, "TASK_ROWS", 2000)
+    cut = grow()
+    assert len(searched) == 6 and max(searched) <= 5 * (2 * boost.LISTED + 3)
+    monkeypatch.setattr(boost, "WIDE", 1 << 40)
+    whole = grow()
+    assert max(searched) > 1500
+    told = lambda m: [(k, s.feature, s.upto, s.levels, s.listed_left, s.missing_left) for t in m.trees for k, s in sorted(t.splits.items())]
+    assert told(cut) == told(whole) and {1, 2} <= {s.feature for t in cut.trees for s in t.splits.values()}
+    assert [v for t in cut.trees for v in t.values.values()] == pytest.approx([v for t in whole.trees for v in t.values.values()])
+
+
+def test_scores_follow_the_splits_as_sql(spark):
+    """Values that are breaks, beyond all, no numbers or missing, and levels that train lacks."""
+    grown = boost.fit(spark.createDataFrame(list(rows_of(11)), "id long, x double, c string, z double, y int"), ["x", "c", "z"], F.col("y"), trees=3, depth=3, bins=8)
+    xs = [*grown.breaks["x"], *(math.nextafter(b, s * math.inf) for b in grown.breaks["x"] for s in (-1, 1)), math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(k, x, c, z) for k, (x, c, z) in enumerate((x, c, z) for x in xs for c in ("A", "d_e", "new", None) for z in (0.0, 3.0, None))], "id long, x double, c string, z double")
+    value = lambda t, k: f"CASE WHEN {t.splits[k].sql()} THEN {value(t, 2 * k)} ELSE {value(t, 2 * k + 1)} END" if k in t.splits else f"{t.values[k]!r}D"
+    margin = " + ".join(value(t, 1) for t in grown.trees)
+    want = {r["id"]: r["m"] for r in df.select("id", grown.bins().alias("bins")).selectExpr("id", f"{margin} AS m").collect()}
+    got = {r["id"]: r["probability_score"] for r in boost.score(grown, df, ["id"]).collect()}
+    assert len(set(want.values())) > 5 and all(got[k] == pytest.approx(1 / (1 + math.exp(-m)), abs=1e-12) for k, m in want.items())

@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import DEFAULT, Config
-from tidemark.functions.scalars import cut, is_numeric, number, numeric_columns, text_columns
+from tidemark.functions.scalars import is_numeric, number, numeric_columns, text_columns
 from tidemark.functions.text import parses_as_date
 
 #: Aggregate expressions in one job: wide tables go in pieces, so that generated methods stay small.
@@ -151,6 +152,21 @@ def _narrowed(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str,
     return wanted
 
 
+def _place(ends: list[float], inside: set[int]) -> Callable[[Column], Column]:
+    """The cell of a value as ``_picked`` numbers them, found by halves; -1 less the cell where it isn't one of ``inside``."""
+
+    def run(x: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+
+        value, kept = x.fill_null(0).to_numpy(zero_copy_only=False), np.zeros(2 * len(ends) + 1, bool)
+        kept[list(inside)] = True
+        cell = np.searchsorted(np.array(ends, float), value) + np.searchsorted(np.array(ends, float), value, side="right")
+        return pa.array(np.where(kept[cell], cell, -1 - cell).astype(np.int32), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, "int")
+
+
 def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
     """Interpolated values at the wanted ranks; left out where the bracket misses.
 
@@ -167,13 +183,9 @@ def _picked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, in
         hi = 2 * len(ends[c]) if b.hi is None else cells[c][b.hi] - b.hi_open
         rows.append((k, names.index(c), lo, hi))
         inside[names.index(c)] |= set(range(lo, hi + 1))
-    at = [F.array(*map(F.lit, ends[c])).cast("array<double>") for c in names]
-    kept = [F.array(*map(F.lit, sorted(inside[k]))).cast("array<int>") for k in range(len(names))]
-    one = [F.struct(F.lit(k).alias("c"), values[c].alias("x")) for k, c in enumerate(names)]
+    one = [F.struct(F.lit(k).alias("c"), values[c].alias("x"), _place(ends[c], inside[k])(values[c].cast("double")).alias("at")) for k, c in enumerate(names)]
     long = df.select(F.explode(F.array(*one)).alias("s")).select("s.*").where("x IS NOT NULL")
-    of = lambda arrays: F.element_at(F.array(*arrays), F.col("c") + 1)
-    long = long.withColumn("cell", 2 * cut(F.col("x"), of(at)) + F.array_contains(of(at), F.col("x")).cast("int"))
-    long = long.withColumn("v", F.when(F.array_contains(of(kept), F.col("cell")), F.col("x")))
+    long = long.select("c", "x", F.expr("CASE WHEN at < 0 THEN -1 - at ELSE at END AS cell"), F.expr("CASE WHEN at >= 0 THEN x END AS v"))
     counted = long.groupBy("c", "cell", "v").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x")).persist()
     brackets = F.broadcast(df.sparkSession.createDataFrame(rows, "key int, b int, lo int, hi int"))
     told = counted.join(brackets, F.col("c") == F.col("b"))
