@@ -206,10 +206,10 @@ def _opened() -> Callable:
     return run
 
 
-def _moved(tree: Tree) -> Column:
-    """The margins of a pack with what a tree gives the rows added."""
-    opened, (read, route), splits = _opened(), _router(), tree.plain()
-    worth = [tree.values.get(k, 0.0) for k in range(max(tree.values, default=1) + 1)]
+def _moved(trees: Sequence[Tree]) -> Column:
+    """The margins of a pack with what trees give the rows added."""
+    opened, (read, route) = _opened(), _router()
+    told = [(t.plain(), [t.values.get(k, 0.0) for k in range(max(t.values, default=1) + 1)]) for t in trees]
 
     def run(packs: pa.Array, margins: pa.Array) -> pa.Array:
         import numpy as np
@@ -217,8 +217,11 @@ def _moved(tree: Tree) -> Column:
 
         out = []
         for pack, margin in zip(packs, margins, strict=True):
-            (_, *columns), before = opened(pack, margin)
-            out.append((before + np.array(worth)[route(list(map(read, columns)), splits, len(before))]).tobytes())
+            (_, *columns), total = opened(pack, margin)
+            columns = list(map(read, columns))
+            for splits, worth in told:
+                total = total + np.array(worth)[route(columns, splits, len(total))]
+            out.append(total.tobytes())
         return pa.array(out, pa.binary())
 
     return F.arrow_udf(run, "binary")("pack", "margin")
@@ -437,22 +440,26 @@ def fit(train: DataFrame, features: Sequence[str], label: Column, trees: int = 2
     binned = [(_binned(model.breaks[c])(x) if c in model.breaks else x).alias(f"b{k}") for k, (c, x) in enumerate(zip(features, model.inputs(), strict=True))]
     rows = stored(spark, rows.select(F.col("tm_label__").alias("y"), *binned), scratch(spark))
     packs, *how = _dealt(rows, texts)
-    now, old = packs.persist(), None
+    # Spark looks at all that a kept table was made of, at a cost that doubles with each step, so only some margins rest on others
+    base, since, step = packs.persist(), 0, max(5, trees // 5)
+    now, held = base, [base]
     try:
         for k in range(trees):
             tree = _grown(now, texts, *how, weights, depth, rate)
-            if old is not None:  # the tree has read all rows, so they are kept by now
+            for old in [x for x in held if x is not base and x is not now]:  # the tree has read all rows, so they are kept by now
                 old.unpersist()
-                old = None
+                held.remove(old)
             if not tree.splits:
                 break
             model.trees.append(tree)
             if k + 1 < trees:
-                now, old = now.withColumn("margin", _moved(tree)).persist(), now
+                now = base.withColumn("margin", _moved(model.trees[since:])).persist()
+                held.append(now)
+                if k + 1 - since == step:
+                    base, since = now, k + 1
     finally:
-        now.unpersist()
-        if old is not None:
-            old.unpersist()
+        for x in held:
+            x.unpersist()
     return model
 
 
